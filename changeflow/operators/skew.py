@@ -78,8 +78,9 @@ def skew_join(
         return left.join(right, on, how)
     is_hot = _hash(on).isin(list(hot))
     spread = [c for c, t in left.dtypes if "map<" not in t and "variant" not in t]
-    salted = left.withColumn(
-        _SALT, F.when(is_hot, F.pmod(F.xxhash64(F.lit(7), *spread), F.lit(salts)).cast("int")).otherwise(0))
+    # The partition id spreads identical rows too, and is the same again when a task is repeated.
+    salt = F.pmod(F.xxhash64(F.lit(7), *spread) + F.spark_partition_id(), F.lit(salts)).cast("int")
+    salted = left.withColumn(_SALT, F.when(is_hot, salt).otherwise(0))
     copies = F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
     return salted.join(right.withColumn(_SALT, copies), [*on, _SALT], how).drop(_SALT)
 
