@@ -1 +1,172 @@
-"""Placeholder."""
+"""Streaming queries. Each stages its input as files, runs over what is available, ends, and returns
+the table it wrote, so that it can be compared with the batch form."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import materialize
+from ..operators.deadletter import parse_messages
+from ..operators.expand import split_pk_update
+from ..session import keep_state_on_disk, work_path
+from ..sources import readers, sinks
+from ..sources.fixtures import change_log, raw_messages, table, transactions
+from ..streaming import jobs
+from .dead import PAYLOAD, REASON
+from .registry import committed_log, flat, query, split_log
+from .snapshots import WINDOWS, order_rows, window_signals
+from .state import FIELDS
+
+
+def staged(df: DataFrame, name: str, files: int = 4, max_files: int | None = 2) -> DataFrame:
+    """Writes ``df`` as a few files and returns a stream over them, some files per micro-batch."""
+    path = work_path(df.sparkSession, name)
+    df.repartition(files).write.parquet(path)
+    return readers.stream_changes(df.sparkSession, path, df.schema, max_files=max_files)
+
+
+@query("stream_change_log", "SELECT tbl, op, key_id, pos, tx_id, a_status AS status FROM change_log")
+def stream_change_log(spark, sf):
+    out = work_path(spark, "stream_out")
+    stream = staged(change_log(spark, sf), "change_topic").select(
+        "tbl", "op", "key_id", "pos", "tx_id", F.col("after.status").alias("status"))
+    jobs.finish(jobs.append_files(stream, out, work_path(spark, "ck"), ("tbl",)))
+    return spark.read.parquet(out).select("tbl", "op", "key_id", "pos", "tx_id", "status")
+
+
+@query("apply_changes", "SELECT tbl, key_id, a_customer_id AS customer_id, a_status AS status, a_amount_cents AS amount_cents, pos FROM state")
+def apply_changes(spark, sf):
+    path = work_path(spark, "warehouse")
+    jobs.finish(jobs.materialize_stream(staged(committed_log(spark, sf), "committed"), path, work_path(spark, "ck")))
+    return sinks.read_applied(spark, path).select("tbl", "key_id", *flat("", "after"), "pos")
+
+
+@query("stream_resume", "SELECT tbl, key_id, a_status AS status, pos FROM state")
+def stream_resume(spark, sf):
+    """Stopped after the first files, resumed from its checkpoint when more have arrived."""
+    log = committed_log(spark, sf)
+    topic, path, ck = work_path(spark, "topic"), work_path(spark, "resumed"), work_path(spark, "ck")
+    for first_half in (True, False):
+        log.filter((F.col("pos") % 2 == 0) == first_half).write.mode("append").parquet(topic)
+        stream = readers.stream_changes(spark, topic, log.schema, max_files=2)
+        jobs.finish(jobs.materialize_stream(stream, path, ck))
+    return sinks.read_applied(spark, path).select("tbl", "key_id", F.col("after.status").alias("status"), "pos")
+
+
+@query("stream_latest", """
+SELECT tbl, key_id, op, a_status AS status, pos FROM split WHERE key_id IS NOT NULL
+QUALIFY ROW_NUMBER() OVER (PARTITION BY tbl, key_id ORDER BY pos DESC, sub_order DESC) = 1""")
+def stream_latest(spark, sf):
+    keep_state_on_disk(spark)
+    path = work_path(spark, "latest")
+    stream = staged(split_log(spark, sf).filter("key_id IS NOT NULL"), "split")
+    jobs.finish(jobs.latest_stream(stream, path, work_path(spark, "ck")))
+    last = materialize.latest_per_key(spark.read.parquet(path).drop("batch_id"))
+    return last.select("tbl", "key_id", "op", F.col("after.status").alias("status"), "pos")
+
+
+@query("stream_tx_buffer", "SELECT tbl, op, key_id, pos, tx_id FROM committed")
+def stream_tx_buffer(spark, sf):
+    keep_state_on_disk(spark)
+    log = change_log(spark, sf)
+    ended = log.groupBy("tx_id").agg(F.max("source_ts").alias("ended"))
+    events = staged(log, "log").withColumn("source_ts", F.col("source_ts").cast("timestamp"))
+    outcomes = staged(transactions(log).join(ended, "tx_id"), "outcomes").withColumn("ended", F.col("ended").cast("timestamp"))
+    out = work_path(spark, "flushed")
+    # Order dates spread over years inside one transaction, hence the wide bounds.
+    flushed = jobs.committed_stream(events, outcomes, "source_ts", "ended", "3650 days", "3650 days")
+    jobs.finish(jobs.append_files(flushed.select("tbl", "op", "key_id", "pos", "tx_id"), out, work_path(spark, "ck")))
+    return spark.read.parquet(out)
+
+
+def event_stream(spark, sf) -> DataFrame:
+    """The events file itself as a stream."""
+    schema = table(spark, sf, "events").schema
+    return readers.stream_changes(spark, sf, schema, glob="events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("stream_golden_signals", """
+SELECT CAST(time_bucket(INTERVAL 6 HOUR, ts) AS VARCHAR) AS window_start, COUNT(*) AS events, MAX(value) AS top_value,
+       COUNT(*) FILTER (WHERE event_type = 'error') AS errors
+FROM events GROUP BY time_bucket(INTERVAL 6 HOUR, ts)
+HAVING time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR <= (SELECT MAX(ts) FROM events) - INTERVAL 10 MINUTE""", shared=False)
+def stream_golden_signals(spark, sf):
+    """Closed windows only: an open one is held until the watermark passes its end."""
+    keep_state_on_disk(spark)
+    out = work_path(spark, "signals")
+    measures = {"top_value": F.max("value"), "errors": F.count_if(F.col("event_type") == "error")}
+    rows = jobs.windowed_signals(event_stream(spark, sf), "ts", "10 minutes", "6 hours", measures)
+    jobs.finish(jobs.append_files(rows, out, work_path(spark, "ck")))
+    return spark.read.parquet(out).withColumn("window_start", F.col("window_start").cast("string"))
+
+
+@query("stream_dedupe", "SELECT event_id, user_id, event_type FROM events", shared=False)
+def stream_dedupe(spark, sf):
+    keep_state_on_disk(spark)
+    out = work_path(spark, "unique")
+    copies = F.explode(F.when(F.col("event_id") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    delivered = event_stream(spark, sf).withColumn("copy", copies)
+    rows = jobs.dedupe_stream(delivered, "ts", "10 minutes").select("event_id", "user_id", "event_type")
+    jobs.finish(jobs.append_files(rows, out, work_path(spark, "ck")))
+    return spark.read.parquet(out)
+
+
+@query("stream_dlq", f"""
+, r AS (SELECT *, {REASON} AS reason FROM decoded)
+SELECT key_id, reason, CASE WHEN reason IS NULL THEN 'main' ELSE 'dlq' END AS route FROM r""")
+def stream_dlq(spark, sf):
+    raw = raw_messages(spark, sf).select("key_id", F.unhex("value_hex").alias("value"))
+    parsed = parse_messages(staged(raw, "raw"), PAYLOAD, known_ids=[42, 43])
+    main, dlq = work_path(spark, "main"), work_path(spark, "dlq")
+    jobs.finish(jobs.route_stream(parsed, main, dlq, work_path(spark, "ck")))
+    good = spark.read.parquet(main).select("key_id", F.lit(None).cast("string").alias("reason"), F.lit("main").alias("route"))
+    return good.unionByName(spark.read.parquet(dlq).select("key_id", "reason", F.lit("dlq").alias("route")))
+
+
+@query("stream_snapshot_window", WINDOWS + """
+SELECT chunk_id, key_id, status, 'r' AS op, 'READ' AS event_type FROM reads
+WHERE chunk_id IN (SELECT chunk_id FROM windows WHERE high <= (SELECT MAX(pos) FROM committed WHERE tbl = 'orders'))""")
+def stream_snapshot_window(spark, sf):
+    from ..operators.snapshot import snapshot_windows
+    log = committed_log(spark, sf).filter("tbl = 'orders'").select("key_id", "pos")
+    rows, windows = order_rows(spark, sf), snapshot_windows(window_signals(spark, sf))
+    path = work_path(spark, "superseded")
+    jobs.finish(jobs.superseded_stream(staged(log, "orders_log"), rows, windows, path, work_path(spark, "ck")))
+    reached = log.agg(F.max("pos")).first()[0]
+    return jobs.closed_chunks(spark, rows, windows, path, reached)
+
+
+@query("stream_fan_out", """
+SELECT 'warehouse' AS consumer, tbl, key_id, pos, a_status AS detail FROM state
+UNION ALL SELECT 'microservice', tbl, key_id, pos, a_status FROM committed WHERE op = 'u' AND b_status IS DISTINCT FROM a_status
+UNION ALL SELECT 'search', tbl, key_id, pos, CASE WHEN op = 'd' THEN 'REMOVE' ELSE 'UPSERT' END FROM last_event""")
+def stream_fan_out(spark, sf):
+    """Three consumers of one topic, each with its own checkpoint."""
+    log = committed_log(spark, sf)
+    paths = {c: work_path(spark, c) for c in ("warehouse", "microservice", "search")}
+
+    def microservice(batch: DataFrame, batch_id: int) -> None:
+        moved = materialize.transitions(batch.filter("op = 'u'"), "status", FIELDS)
+        moved.write.mode("overwrite").parquet(sinks.batch_folder(paths["microservice"], batch_id))
+
+    def search(batch: DataFrame, batch_id: int) -> None:
+        rows = split_pk_update(batch).select("tbl", "key_id", "op", "pos", "sub_order", "after")
+        keyed = materialize.latest_per_key(rows.filter("key_id IS NOT NULL"))
+        clears = rows.filter("op = 't'").select(*keyed.columns)
+        keyed.unionByName(clears).write.mode("overwrite").parquet(sinks.batch_folder(paths["search"], batch_id))
+
+    consumers = {
+        "warehouse": lambda df, i: sinks.apply_batch(df, i, paths["warehouse"]), "microservice": microservice, "search": search}
+    for running in jobs.fan_out(staged(log, "fan_topic"), work_path(spark, "ck"), consumers).values():
+        jobs.finish(running)
+    state = sinks.read_applied(spark, paths["warehouse"]).select("tbl", "key_id", "pos", F.col("after.status").alias("detail"))
+    moved = spark.read.parquet(paths["microservice"]).select("tbl", "key_id", "pos", F.col("new_value").alias("detail"))
+    feed = spark.read.parquet(paths["search"]).drop("batch_id")
+    truncated = feed.filter("op = 't'").withColumn("source_ts", F.lit(None).cast("timestamp")).select("tbl", "pos", "source_ts")
+    docs = materialize.search_feed(feed, truncated).filter("action <> 'CLEAR'").select("tbl", "key_id", "pos", F.col("action").alias("detail"))
+    out = None
+    for name, rows in (("warehouse", state), ("microservice", moved), ("search", docs)):
+        one = rows.withColumn("consumer", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out.select("consumer", "tbl", "key_id", "pos", "detail")

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+_STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -47,3 +49,9 @@ def shared_folder(spark: SparkSession) -> str:
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; nothing is ever overwritten or removed."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def keep_state_on_disk(spark: SparkSession) -> None:
+    """Lets streaming state outgrow executor memory, unless the session already names a store."""
+    if spark.conf.get(_STATE_STORE, "").endswith("HDFSBackedStateStoreProvider") and not spark.sparkContext.getConf().contains(_STATE_STORE):
+        spark.conf.set(_STATE_STORE, _ROCKSDB)
