@@ -6,26 +6,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..envelope import LAYOUT, Layout
-from .skew import HOT_ROWS, row_numbers, skew_join
+from .skew import BROADCAST_ROWS, HOT_ROWS, bounded, join_small, row_numbers, skew_join
 
 COMMITTED, ABORTED = "COMMITTED", "ABORTED"
 # Fixed value: rows from which a transaction counts as large.
 LARGE_TX_ROWS = 10_000
 
 
-def committed_only(log: DataFrame, tx: DataFrame, layout: Layout = LAYOUT, hot_rows: int = HOT_ROWS) -> DataFrame:
+def committed_only(
+    log: DataFrame, tx: DataFrame, layout: Layout = LAYOUT, limit: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS,
+) -> DataFrame:
     """Events of committed transactions. Transactions without an outcome yet are held back.
 
-    ``tx`` grows with the log, so it is never broadcast by hint; one huge transaction is salted.
+    Few transactions fail, so first their ids are found from the id column alone. Up to ``limit``
+    of them are broadcast and the log is only filtered, not shuffled. Beyond that the log meets the
+    committed ids in a shuffle, with the rows of a huge transaction salted.
     """
+    log = log.filter(F.col(layout.tx).isNotNull())
     done = tx.filter(F.col("status") == COMMITTED).select(layout.tx)
+    failed = bounded(log.select(layout.tx).distinct().join(done, layout.tx, "left_anti"), limit)
+    if failed is not None:
+        return log.join(F.broadcast(failed), layout.tx, "left_anti")
     return skew_join(log, done, [layout.tx], "left_semi", hot_rows=hot_rows)
 
 
 def rollback_leaks(emitted: DataFrame, tx: DataFrame, layout: Layout = LAYOUT, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Emitted events that belong to a rolled-back transaction. Must be empty."""
     aborted = tx.filter(F.col("status") == ABORTED).select(layout.tx)
-    return skew_join(emitted, aborted, [layout.tx], "left_semi", hot_rows=hot_rows)
+    return join_small(emitted, aborted, [layout.tx], "left_semi", hot_rows=hot_rows)
 
 
 def rollback_audit(log: DataFrame, emitted: DataFrame, tx: DataFrame, layout: Layout = LAYOUT) -> DataFrame:

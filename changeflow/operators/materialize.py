@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..envelope import LAYOUT, Layout
 from ..functions.diffing import diff_struct
-from .commit import COMMITTED, committed_only
+from .commit import committed_only
 from .expand import split_pk_update
 from .skew import HOT_ROWS, join_small, neighbours, skew_join
 
@@ -22,14 +22,9 @@ def _order(layout: Layout) -> Column:
     return F.struct(layout.pos, layout.sub)
 
 
-def truncates(log: DataFrame, tx: DataFrame | None = None, layout: Layout = LAYOUT) -> DataFrame:
-    """Committed truncate events: table, position and time."""
-    events = log.filter(F.col(layout.op) == "t").select(layout.table, layout.tx, layout.pos, layout.ts)
-    if tx is not None:
-        # Few truncates against many transactions: the transactions are filtered, not shuffled.
-        done = tx.filter(F.col("status") == COMMITTED).select(layout.tx)
-        events = join_small(done, events, [layout.tx])
-    return events.select(layout.table, layout.pos, layout.ts)
+def truncates(committed: DataFrame, layout: Layout = LAYOUT) -> DataFrame:
+    """Truncate events of a committed log: table, position and time."""
+    return committed.filter(F.col(layout.op) == "t").select(layout.table, layout.pos, layout.ts)
 
 
 def truncate_barrier(events: DataFrame, truncated: DataFrame, layout: Layout = LAYOUT) -> DataFrame:
@@ -56,11 +51,9 @@ def materialize(
     log: DataFrame, tx: DataFrame | None = None, layout: Layout = LAYOUT, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Current rows of all tables: table, key, ``after`` image and position of the last change."""
-    truncated = truncates(log, tx, layout)
-    rows = log.filter(F.col(layout.op) != "t")
-    if tx is not None:
-        rows = committed_only(rows, tx, layout, hot_rows)
-    events = truncate_barrier(split_pk_update(rows, layout), truncated, layout)
+    committed = log if tx is None else committed_only(log, tx, layout, hot_rows=hot_rows)
+    rows = split_pk_update(committed.filter(F.col(layout.op) != "t"), layout)
+    events = truncate_barrier(rows, truncates(committed, layout), layout)
     last = latest_per_key(events, layout, [layout.op, layout.after, layout.pos, layout.sub])
     return last.filter(F.col(layout.op) != "d").select(*layout.row_key, layout.after, layout.pos)
 

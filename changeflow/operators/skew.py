@@ -22,7 +22,8 @@ HOT_ROWS = 5_000_000
 SALTS = 64
 SEGMENT_ROWS = 1_000_000
 MAX_SEGMENTS = 8192
-BROADCAST_ROWS = 10_000
+BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 32 * 2**20
 
 _TOP_KEYS, _TRACKED_KEYS = 1000, 20_000
 _HASH, _SALT, _SEG = "__hash", "__salt", "__seg"
@@ -44,12 +45,15 @@ def hot_hashes(df: DataFrame, cols: Sequence[str], hot_rows: int = HOT_ROWS) ->
     return [t["item"] for t in (row["top"] or []) if t["count"] > hot_rows]
 
 
-def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame | None:
-    """``df`` as a small local frame when it has at most ``limit`` rows, else None."""
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame | None:
+    """``df`` as a local frame when it has at most ``rows`` rows and ``size`` bytes, else None.
+
+    Evaluates ``df`` once; never more than ``rows + 1`` rows leave the executors.
+    """
+    small = df.limit(rows + 1).toArrow()
+    if small.num_rows > rows or small.nbytes > size:
         return None
-    return df.sparkSession.createDataFrame(rows, df.schema)
+    return df.sparkSession.createDataFrame(small, df.schema)
 
 
 def join_small(

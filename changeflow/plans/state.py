@@ -105,18 +105,15 @@ def tx_order(spark, sf):
 SELECT t.tbl, t.pos AS truncate_pos, COUNT(s.key_id) AS purged
 FROM truncs t LEFT JOIN seen s ON s.tbl = t.tbl AND s.truncate_pos = t.pos AND s.op <> 'd' GROUP BY t.tbl, t.pos""")
 def truncate_counts(spark, sf):
-    log = change_log(spark, sf)
-    tx = transactions(log)
-    events = expand.split_pk_update(commit.committed_only(log, tx))
-    return materialize.truncate_counts(events, materialize.truncates(log, tx))
+    committed = committed_log(spark, sf)
+    return materialize.truncate_counts(expand.split_pk_update(committed), materialize.truncates(committed))
 
 
 @query("truncate_barrier", "SELECT tbl, op, key_id, pos, sub_order FROM after_barrier")
 def truncate_barrier(spark, sf):
-    log = change_log(spark, sf)
-    tx = transactions(log)
-    events = expand.split_pk_update(commit.committed_only(log, tx))
-    return materialize.truncate_barrier(events, materialize.truncates(log, tx)).select("tbl", "op", "key_id", "pos", "sub_order")
+    committed = committed_log(spark, sf)
+    events = expand.split_pk_update(committed)
+    return materialize.truncate_barrier(events, materialize.truncates(committed)).select("tbl", "op", "key_id", "pos", "sub_order")
 
 
 @query("update_lookup", """
@@ -206,11 +203,10 @@ SELECT c.tbl, c.key_id, c.op, c.pos, c.a_status AS status, CAST(c.source_ts AS V
             THEN (SELECT t.source_ts FROM truncs t WHERE t.tbl = c.tbl AND t.pos = c.cpos) ELSE nts END AS VARCHAR) AS valid_to
 FROM cut c""")
 def change_history(spark, sf):
-    log = change_log(spark, sf)
-    tx = transactions(log)
-    slim = expand.split_pk_update(commit.committed_only(log, tx)).select(
+    committed = committed_log(spark, sf)
+    slim = expand.split_pk_update(committed).select(
         "tbl", "op", "key_id", "pos", "sub_order", "source_ts", F.col("after.status").alias("status"))
-    rows = materialize.change_history(slim, materialize.truncates(log, tx))
+    rows = materialize.change_history(slim, materialize.truncates(committed))
     return rows.select("tbl", "key_id", "op", "pos", "status",
                        F.col("valid_from").cast("string").alias("valid_from"), F.col("valid_to").cast("string").alias("valid_to"))
 
@@ -228,11 +224,10 @@ SELECT tbl, key_id, CASE WHEN op = 'd' THEN 'REMOVE' ELSE 'UPSERT' END AS action
 UNION ALL SELECT tbl, NULL, 'CLEAR', MAX(pos), NULL FROM truncs GROUP BY tbl
 UNION ALL SELECT tbl, NULL, 'MAPPING_UPDATE', pos, NULL FROM ddl_log""")
 def search_feed(spark, sf):
-    log = change_log(spark, sf)
-    tx = transactions(log)
-    rows = expand.split_pk_update(commit.committed_only(log, tx))
+    committed = committed_log(spark, sf)
+    rows = expand.split_pk_update(committed)
     events = rows.unionByName(ddl_log(spark, sf), allowMissingColumns=True)
-    return materialize.search_feed(events, materialize.truncates(log, tx)).select(
+    return materialize.search_feed(events, materialize.truncates(committed)).select(
         "tbl", "key_id", "action", "pos", F.col("after.status").alias("status"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 _STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+_IN_MEMORY = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -52,6 +53,6 @@ def work_path(spark: SparkSession, name: str) -> str:
 
 
 def keep_state_on_disk(spark: SparkSession) -> None:
-    """Lets streaming state outgrow executor memory, unless the session already names a store."""
-    if spark.conf.get(_STATE_STORE, "").endswith("HDFSBackedStateStoreProvider") and not spark.sparkContext.getConf().contains(_STATE_STORE):
+    """Lets streaming state outgrow executor memory, unless the session names a store of its own."""
+    if spark.conf.get(_STATE_STORE, None) is None or spark.conf.get(_STATE_STORE) == _IN_MEMORY:
         spark.conf.set(_STATE_STORE, _ROCKSDB)

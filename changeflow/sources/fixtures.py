@@ -69,8 +69,8 @@ def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 7, image(F.lit("reload"), amount)).alias("after"),
         "ts0")
     none = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema.fields}
-    truncate = orders.agg(F.max("ts0").alias("ts0")).select(
-        F.lit(6).alias("step"), F.lit("staging_orders").alias("tbl"), F.lit("t").alias("op"),
+    truncate = orders.agg(F.max("ts0").alias("ts0"), F.max(F.lit(6)).alias("step")).select(
+        "step", F.lit("staging_orders").alias("tbl"), F.lit("t").alias("op"),
         none["key_id"], none["old_key_id"], none["before"], none["after"], "ts0")
     return _stamp(events.unionByName(truncate))
 
