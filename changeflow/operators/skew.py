@@ -33,16 +33,20 @@ def _hash(cols: Sequence[str]) -> Column:
     return F.xxhash64(*[F.col(c) for c in cols]) if cols else F.lit(0).cast("long")
 
 
+def _hot_counts(df: DataFrame, cols: Sequence[str], hot_rows: int) -> dict[int, int]:
+    row = df.select(_hash(cols).alias(_HASH)).agg(
+        F.expr(f"approx_top_k({_HASH}, {_TOP_KEYS}, {_TRACKED_KEYS})").alias("top")
+    ).first()
+    return {t["item"]: t["count"] for t in (row["top"] or []) if t["count"] > hot_rows}
+
+
 def hot_hashes(df: DataFrame, cols: Sequence[str], hot_rows: int = HOT_ROWS) -> list[int]:
     """Hashes of the ``cols`` values held by more than ``hot_rows`` rows (at most 1000 of them).
 
     The tracked-key sketch finds every value above 0.02 % of the rows. A hash shared by two values
     only means that one more group is split.
     """
-    row = df.select(_hash(cols).alias(_HASH)).agg(
-        F.expr(f"approx_top_k({_HASH}, {_TOP_KEYS}, {_TRACKED_KEYS})").alias("top")
-    ).first()
-    return [t["item"] for t in (row["top"] or []) if t["count"] > hot_rows]
+    return list(_hot_counts(df, cols, hot_rows))
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame | None:
@@ -58,12 +62,12 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYT
 
 def join_small(
     left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner",
-    limit: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS,
+    limit: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS, hot: Sequence[int] | None = None,
 ) -> DataFrame:
     """Join with a side expected to be small: broadcast after its size was checked, else shuffle."""
     small = bounded(right, limit)
     if small is None:
-        return skew_join(left, right, on, how, hot_rows=hot_rows)
+        return skew_join(left, right, on, how, hot_rows=hot_rows, hot=hot)
     return left.join(F.broadcast(small), list(on), how)
 
 
@@ -89,9 +93,8 @@ def skew_join(
     return salted.join(right.withColumn(_SALT, copies), [*on, _SALT], how).drop(_SALT)
 
 
-def _bounds(df: DataFrame, col: str, segment_rows: int) -> list:
-    """Ascending cut points that leave about ``segment_rows`` rows between neighbours."""
-    rows = df.count()
+def _bounds(df: DataFrame, col: str, rows: int, segment_rows: int) -> list:
+    """Ascending cut points that leave about ``segment_rows`` of ``rows`` rows between neighbours."""
     n = max(1, min(MAX_SEGMENTS, -(-rows // segment_rows)))
     if n == 1:
         return []
@@ -116,11 +119,11 @@ def _segmented(
     df: DataFrame, group: Sequence[str], order: Sequence[str], hot_rows: int, segment_rows: int,
 ) -> tuple[DataFrame, bool]:
     """``df`` with a segment column: -1 for normal groups, an ordered number for hot ones."""
-    hot = hot_hashes(df, group, hot_rows)
+    hot = _hot_counts(df, group, hot_rows)
     if not hot:
         return df.withColumn(_SEG, F.lit(-1)), False
-    is_hot = _hash(group).isin(hot)
-    bounds = _bounds(df.filter(is_hot).select(order[0]), order[0], segment_rows)
+    is_hot = _hash(group).isin(list(hot))
+    bounds = _bounds(df.filter(is_hot).select(order[0]), order[0], sum(hot.values()), segment_rows)
     if not bounds:
         return df.withColumn(_SEG, F.lit(-1)), False
     return df.withColumn(_SEG, F.when(is_hot, _segment_of(F.col(order[0]), bounds)).otherwise(-1)), True

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..envelope import EVENT_TYPES
-from .skew import HOT_ROWS, row_numbers, skew_join
+from .skew import HOT_ROWS, join_small, row_numbers, skew_join
 
 # Rows per chunk and the names of the signal types.
 CHUNK_ROWS = 1024
@@ -73,26 +73,34 @@ def chunk_plan_exact(rows: DataFrame, key: str, chunk_rows: int = CHUNK_ROWS, **
 
 def superseded_keys(
     chunk_rows: DataFrame, log: DataFrame, windows: DataFrame, key: str = "key_id", pos: str = "pos",
-    chunk: str = "chunk_id", hot_rows: int = HOT_ROWS,
+    chunk: str = "chunk_id", chunk_of: Column | None = None, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Distinct (chunk, key) of chunk rows that the log changed inside the window of the chunk.
+    """Distinct (chunk, key) that the log changed inside the window of the chunk holding the key.
 
-    The log meets the rows on their key, not the windows on a position range, so no range join is
-    planned. The log side may be skewed and is salted; the rows side holds a key once per chunk.
+    An event matters only to the chunk of its key, so the log meets the windows on the chunk and no
+    range join is planned. ``chunk_of`` computes the chunk from the key of a log event (key-range
+    plans); without it the chunk is looked up in ``chunk_rows``. A hot key or chunk of the log is
+    salted. The outer bounds of all windows reach the scan of the log as literals.
     """
-    bounded = chunk_rows.select(chunk, key).join(windows.select(chunk, "low", "high"), chunk)
-    events = log.filter(F.col(key).isNotNull()).select(key, pos)
-    hits = skew_join(events, bounded, [key], "inner", hot_rows=hot_rows)
+    span = windows.agg(F.min("low").alias("low"), F.max(F.coalesce("high", F.lit(2**63 - 1))).alias("high")).first()
+    if span["low"] is None:
+        return chunk_rows.select(chunk, key).limit(0)
+    events = log.filter(F.col(key).isNotNull() & (F.col(pos) > span["low"]) & (F.col(pos) < span["high"]))
+    if chunk_of is None:
+        events = skew_join(events.select(key, pos), chunk_rows.select(chunk, key), [key], hot_rows=hot_rows)
+    else:
+        events = events.select(chunk_of.alias(chunk), key, pos)
+    hits = join_small(events, windows.select(chunk, "low", "high"), [chunk], hot_rows=hot_rows)
     inside = (F.col(pos) > F.col("low")) & (F.col("high").isNull() | (F.col(pos) < F.col("high")))
     return hits.filter(inside).select(chunk, key).distinct()
 
 
 def dblog_reconcile(
     chunk_rows: DataFrame, log: DataFrame, windows: DataFrame, key: str = "key_id", pos: str = "pos",
-    chunk: str = "chunk_id", hot_rows: int = HOT_ROWS,
+    chunk: str = "chunk_id", chunk_of: Column | None = None, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Chunk rows to emit as READ events: those the log did not touch while the chunk was read."""
-    changed = superseded_keys(chunk_rows, log, windows, key, pos, chunk, hot_rows)
+    changed = superseded_keys(chunk_rows, log, windows, key, pos, chunk, chunk_of, hot_rows)
     return chunk_rows.join(changed, [chunk, key], "left_anti").withColumns({
         "op": F.lit("r"), "event_type": F.lit(EVENT_TYPES["r"])})
 

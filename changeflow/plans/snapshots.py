@@ -91,7 +91,15 @@ def chunk_plan_exact(spark, sf):
 def dblog_reconcile(spark, sf):
     log = committed_log(spark, sf).filter("tbl = 'orders'")
     windows = snapshot.snapshot_windows(window_signals(spark, sf))
-    return snapshot.dblog_reconcile(order_rows(spark, sf), log, windows)
+    return snapshot.dblog_reconcile(order_rows(spark, sf), log, windows, chunk_of=F.floor(F.col("key_id") / CHUNK))
+
+
+@query("dblog_reconcile_lookup", WINDOWS + "SELECT chunk_id, key_id, status FROM reads")
+def dblog_reconcile_lookup(spark, sf):
+    """The same with the chunk of a key looked up, as needed for chunks of exact size."""
+    log = committed_log(spark, sf).filter("tbl = 'orders'")
+    windows = snapshot.snapshot_windows(window_signals(spark, sf))
+    return snapshot.dblog_reconcile(order_rows(spark, sf), log, windows).select("chunk_id", "key_id", "status")
 
 
 @query("snapshot_merge", WINDOWS + """

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from ..operators import materialize
 from ..operators.deadletter import parse_messages
 from ..operators.expand import split_pk_update
+from ..operators.snapshot import snapshot_windows
 from ..session import keep_state_on_disk, work_path
 from ..sources import readers, sinks
 from ..sources.fixtures import change_log, raw_messages, table, transactions
 from ..streaming import jobs
 from .dead import PAYLOAD, REASON
 from .registry import committed_log, flat, query, split_log
-from .snapshots import WINDOWS, order_rows, window_signals
+from .snapshots import CHUNK, WINDOWS, order_rows, window_signals
 from .state import FIELDS
 
 
@@ -128,11 +129,11 @@ def stream_dlq(spark, sf):
 SELECT chunk_id, key_id, status, 'r' AS op, 'READ' AS event_type FROM reads
 WHERE chunk_id IN (SELECT chunk_id FROM windows WHERE high <= (SELECT MAX(pos) FROM committed WHERE tbl = 'orders'))""")
 def stream_snapshot_window(spark, sf):
-    from ..operators.snapshot import snapshot_windows
     log = committed_log(spark, sf).filter("tbl = 'orders'").select("key_id", "pos")
     rows, windows = order_rows(spark, sf), snapshot_windows(window_signals(spark, sf))
     path = work_path(spark, "superseded")
-    jobs.finish(jobs.superseded_stream(staged(log, "orders_log"), rows, windows, path, work_path(spark, "ck")))
+    chunk_of = F.floor(F.col("key_id") / CHUNK)
+    jobs.finish(jobs.superseded_stream(staged(log, "orders_log"), rows, windows, path, work_path(spark, "ck"), chunk_of))
     reached = log.agg(F.max("pos")).first()[0]
     return jobs.closed_chunks(spark, rows, windows, path, reached)
 

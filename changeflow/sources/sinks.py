@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -52,14 +53,46 @@ def apply_batch(batch: DataFrame, batch_id: int, path: str, layout: Layout = LAY
         batch.unpersist()
 
 
+def _newest_base(spark: SparkSession, path: str) -> int | None:
+    try:
+        return spark.read.parquet(f"{path}/base").agg(F.max("upto")).first()[0]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _merged(spark: SparkSession, path: str, layout: Layout, base: int | None, upto: int | None = None) -> DataFrame:
+    """Last event per key, deletes included, over a base and the batches after it."""
+    changes = spark.read.parquet(f"{path}/changes")
+    if base is not None:
+        changes = changes.filter(F.col("batch_id") > base)
+    if upto is not None:
+        changes = changes.filter(F.col("batch_id") <= upto)
+    changes = changes.drop("batch_id")
+    if base is not None:
+        changes = changes.unionByName(spark.read.parquet(f"{path}/base/upto={base}"))
+    truncated = spark.read.parquet(f"{path}/truncates").select(layout.table, layout.pos)
+    keep = [layout.op, layout.after, layout.pos, layout.sub]
+    return latest_per_key(truncate_barrier(changes, truncated, layout), layout, keep)
+
+
 def read_applied(spark: SparkSession, path: str, layout: Layout = LAYOUT) -> DataFrame:
     """Current rows of a table written by ``apply_batch``: merged by position when read."""
-    truncated = spark.read.parquet(f"{path}/truncates").select(layout.table, layout.pos)
-    events = truncate_barrier(spark.read.parquet(f"{path}/changes").drop("batch_id"), truncated, layout)
-    last = latest_per_key(events, layout, [layout.op, layout.after, layout.pos, layout.sub])
+    last = _merged(spark, path, layout, _newest_base(spark, path))
     return last.filter(F.col(layout.op) != "d").select(*layout.row_key, layout.after, layout.pos)
 
 
+def fold_batches(spark: SparkSession, path: str, upto: int, layout: Layout = LAYOUT) -> None:
+    """Folds the batches up to ``upto`` into a new base, so that reads stay short.
+
+    Delete marks are kept: an older event that arrives late must not bring a row back.
+    """
+    base = _newest_base(spark, path)
+    if base is None or base < upto:
+        _merged(spark, path, layout, base, upto).write.mode("overwrite").parquet(f"{path}/base/upto={upto}")
+
+
 def start_batches(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None]) -> StreamingQuery:
     """A query that takes what is available now and then ends; call again to resume."""
     return (stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)

@@ -89,10 +89,12 @@ def route_stream(parsed: DataFrame, main: str, dlq: str, checkpoint: str) -> Str
     return start_batches(parsed, checkpoint, lambda df, i: route_batch(df, i, main, dlq))
 
 
-def superseded_stream(log: DataFrame, chunk_rows: DataFrame, windows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def superseded_stream(
+    log: DataFrame, chunk_rows: DataFrame, windows: DataFrame, path: str, checkpoint: str, chunk_of: Column | None = None,
+) -> StreamingQuery:
     """Stores the chunk keys that each micro-batch of the log changed inside their windows."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        superseded_keys(chunk_rows, batch, windows).write.mode("overwrite").parquet(batch_folder(path, batch_id))
+        superseded_keys(chunk_rows, batch, windows, chunk_of=chunk_of).write.mode("overwrite").parquet(batch_folder(path, batch_id))
 
     return start_batches(log, checkpoint, handle)
 
