@@ -113,14 +113,13 @@ LAYOUT = Layout()
 
 def _lookup(mapping: dict, col: Column) -> Column:
     """Literal map lookup; NULL when the key is absent."""
-    pairs = [F.lit(x) for kv in mapping.items() for x in kv]
-    return F.try_element_at(F.create_map(*pairs), col)
+    pairs = ", ".join(repr(x) for kv in mapping.items() for x in kv)
+    return F.try_element_at(F.expr(f"map({pairs})"), col)
 
 
 def canonical_op(col: Column) -> Column:
     """Operation code for a code or name from any source; unknown names give NULL."""
-    known = _lookup({**{k: k for k in EVENT_TYPES}, **OP_ALIASES}, col)
-    return known
+    return _lookup({**{k: k for k in EVENT_TYPES}, **OP_ALIASES}, col)
 
 
 def canonical_mssql_op(col: Column) -> Column:

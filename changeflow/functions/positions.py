@@ -56,10 +56,17 @@ def parse_mssql_lsn(text: Column) -> Column:
     return F.when(ok, (terms[0] + terms[1] + terms[2]).cast("decimal(38,0)"))
 
 
-def position_ordinal(engine: Column, value: Column) -> Column:
-    """Ordinal of a position by engine; NULL for MongoDB, whose tokens order as text."""
-    out = F.when(engine == "postgres", parse_lsn(value).cast("decimal(38,0)"))
-    out = out.when(engine == "mysql", parse_gtid(value)["seq"].cast("decimal(38,0)"))
-    out = out.when(engine == "mariadb", parse_mariadb_gtid(value)["seq"].cast("decimal(38,0)"))
-    out = out.when(engine == "oracle", parse_scn(value).cast("decimal(38,0)"))
-    return out.when(engine == "sqlserver", parse_mssql_lsn(value))
+# How each engine turns a position into an ordinal. MongoDB tokens order as text.
+_ORDINALS = {
+    "postgres": parse_lsn,
+    "mysql": lambda v: parse_gtid(v)["seq"],
+    "mariadb": lambda v: parse_mariadb_gtid(v)["seq"],
+    "oracle": parse_scn,
+    "sqlserver": parse_mssql_lsn,
+}
+
+
+def position_ordinal(engine: str, value: Column) -> Column:
+    """Ordinal of a position of one engine; NULL where there is none."""
+    ordinal = _ORDINALS[engine](value) if engine in _ORDINALS else F.lit(None)
+    return ordinal.cast("decimal(38,0)")

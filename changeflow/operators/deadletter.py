@@ -21,23 +21,26 @@ POISON = "POISON_PILL"
 
 
 def parse_messages(
-    messages: DataFrame, payload_schema: str, value: str = "value", known_ids: Sequence[int] | None = None,
+    messages: DataFrame, fields: str, value: str = "value", known_ids: Sequence[int] | None = None,
 ) -> DataFrame:
-    """Decodes header and JSON. ``reason`` is NULL for a good row; ``doc`` holds its fields.
-
-    One pass gives both sides, so the routes differ by a filter only.
+    """Decodes header and JSON once. ``reason`` is NULL for a good row; ``doc`` holds its ``fields``
+    (a DDL list). A payload that is broken, or does not fit the fields, is BAD_JSON.
     """
     decoded = messages.withColumn("__wire", wire_decode(F.col(value)))
-    text = F.col("__wire.payload").cast("string")
-    parsed = decoded.withColumns({
-        "schema_id": F.col("__wire.schema_id"),
-        "doc": F.from_json(text, payload_schema),
-        "__json_ok": F.try_parse_json(text).isNotNull(),
-    })
-    reason = F.when(~F.col("__wire.valid"), BAD_HEADER).when(~F.col("__json_ok"), BAD_JSON)
+    parsed = decoded.withColumn(
+        "__doc", F.from_json(F.col("__wire.payload").cast("string"), f"{fields}, _corrupt_record string"))
+    reason = F.when(~F.col("__wire.valid"), BAD_HEADER).when(
+        F.col("__doc").isNull() | F.col("__doc._corrupt_record").isNotNull(), BAD_JSON)
     if known_ids is not None:
-        reason = reason.when(~F.col("schema_id").isin(list(known_ids)), UNKNOWN_SCHEMA)
-    return parsed.withColumn("reason", reason).drop("__wire", "__json_ok")
+        reason = reason.when(~F.col("__wire.schema_id").isin(list(known_ids)), UNKNOWN_SCHEMA)
+    judged = parsed.withColumns({"schema_id": F.col("__wire.schema_id"), "reason": reason})
+    doc = F.when(F.col("reason").isNull(), F.col("__doc").dropFields("_corrupt_record"))
+    return judged.withColumn("doc", doc).drop("__wire", "__doc")
+
+
+def with_route(parsed: DataFrame) -> DataFrame:
+    """Adds ``route``, so that one pass serves both sides."""
+    return parsed.withColumn("route", F.when(F.col("reason").isNull(), "main").otherwise("dlq"))
 
 
 def good(parsed: DataFrame) -> DataFrame:
@@ -63,13 +66,13 @@ def dlq_envelope(
 
 
 def dlq_retry(
-    letters: DataFrame, payload_schema: str, known_ids: Sequence[int] | None = None, value: str = "payload",
+    letters: DataFrame, fields: str, known_ids: Sequence[int] | None = None, value: str = "payload",
     retries: str = "retry_count", max_retries: int = MAX_RETRIES, backoff_ms: int = BACKOFF_MS,
 ) -> DataFrame:
     """Parses dead letters again. ``outcome`` is REPLAYED, RETRY or PARKED; the count and the wait
     before the next attempt (doubling) are updated. Letters at the cap are not tried again."""
     capped = F.col(retries) >= max_retries
-    parsed = parse_messages(letters, payload_schema, value, known_ids)
+    parsed = parse_messages(letters, fields, value, known_ids)
     count = F.when(capped | F.col("reason").isNull(), F.col(retries)).otherwise(F.col(retries) + 1)
     out = parsed.withColumn(
         "outcome",

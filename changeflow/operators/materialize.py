@@ -15,7 +15,9 @@ from ..envelope import LAYOUT, Layout
 from ..functions.diffing import diff_struct
 from .commit import committed_only
 from .expand import split_pk_update
-from .skew import HOT_ROWS, join_small, neighbours, skew_join
+from .skew import HOT_ROWS, bounded, join_small, neighbours, next_value, skew_join
+
+FEW_TRUNCATES = 1000
 
 
 def _order(layout: Layout) -> Column:
@@ -78,13 +80,29 @@ def net_changes(events: DataFrame, layout: Layout = LAYOUT) -> DataFrame:
     return spans.withColumn("net_op", F.when(b & a, "u").when(a, "c").when(b, "d")).filter("net_op IS NOT NULL")
 
 
-def _truncate_list(truncated: DataFrame, layout: Layout) -> DataFrame:
-    return truncated.groupBy(layout.table).agg(
-        F.sort_array(F.collect_set(F.struct(F.col(layout.pos).alias("pos"), F.col(layout.ts).alias("ts")))).alias("__cuts"))
+def with_next_truncate(
+    events: DataFrame, truncated: DataFrame, layout: Layout = LAYOUT, limit: int = FEW_TRUNCATES, **split,
+) -> DataFrame:
+    """Adds ``cut``: position and time of the first truncate of the table after the event, or NULL.
+
+    A few truncates are broadcast as one sorted list per table. Beyond ``limit`` they are merged
+    into the order of the events instead.
+    """
+    cut = F.struct(F.col(layout.pos).alias("pos"), F.col(layout.ts).alias("ts"))
+    few = bounded(truncated, limit)
+    if few is not None:
+        lists = few.groupBy(layout.table).agg(F.sort_array(F.collect_set(cut)).alias("__cuts"))
+        joined = events.join(F.broadcast(lists), layout.table, "left")
+        later = F.get(F.filter("__cuts", lambda c: c["pos"] > F.col(layout.pos)), 0)
+        return joined.withColumn("cut", later).drop("__cuts")
+    marks = truncated.select(layout.table, layout.pos, F.lit(-1).alias("__rank"), cut.alias("__mark"))
+    merged = events.withColumn("__rank", F.col(layout.sub)).unionByName(marks, allowMissingColumns=True)
+    filled = next_value(merged, [layout.table], [layout.pos, "__rank"], "__mark", "cut", **split)
+    return filled.filter(F.col("__mark").isNull()).drop("__rank", "__mark")
 
 
 def change_history(
-    events: DataFrame, truncated: DataFrame, layout: Layout = LAYOUT, **split,
+    events: DataFrame, truncated: DataFrame, layout: Layout = LAYOUT, few_truncates: int = FEW_TRUNCATES, **split,
 ) -> DataFrame:
     """Validity intervals of row versions; ``valid_to`` is NULL for the current version.
 
@@ -92,20 +110,19 @@ def change_history(
     """
     keyed = events.filter(F.col(layout.key).isNotNull())
     linked = neighbours(keyed, layout.row_key, [layout.pos, layout.sub], [layout.pos, layout.ts], "__next", following=True, **split)
-    nxt = F.struct(F.col(f"__next.{layout.pos}").alias("pos"), F.col(f"__next.{layout.ts}").alias("ts"))
-    joined = join_small(linked.filter(F.col(layout.op) != "d"), _truncate_list(truncated, layout), [layout.table], "left")
-    cut = F.get(F.filter("__cuts", lambda c: c["pos"] > F.col(layout.pos)), 0)
-    end = F.when(F.col("__next").isNull(), cut).when(cut["pos"] < nxt["pos"], cut).otherwise(nxt)
-    return joined.withColumns({"valid_from": F.col(layout.ts), "valid_to": end["ts"]}).drop("__next", "__cuts")
+    versions = with_next_truncate(linked.filter(F.col(layout.op) != "d"), truncated, layout, few_truncates, **split)
+    nxt, cut = F.col("__next"), F.col("cut")
+    ended = F.when(nxt.isNull() | (cut["pos"] < nxt[layout.pos]), cut["ts"]).otherwise(nxt[layout.ts])
+    return versions.withColumns({"valid_from": F.col(layout.ts), "valid_to": ended}).drop("__next", "cut")
 
 
-def truncate_counts(events: DataFrame, truncated: DataFrame, layout: Layout = LAYOUT) -> DataFrame:
+def truncate_counts(
+    events: DataFrame, truncated: DataFrame, layout: Layout = LAYOUT, few_truncates: int = FEW_TRUNCATES, **split,
+) -> DataFrame:
     """Rows that each truncate removed: keys alive since the truncate before it."""
-    keyed = events.filter(F.col(layout.key).isNotNull())
-    joined = join_small(keyed, _truncate_list(truncated, layout), [layout.table])
-    cut = F.get(F.filter("__cuts", lambda c: c["pos"] > F.col(layout.pos)), 0)["pos"]
+    keyed = with_next_truncate(events.filter(F.col(layout.key).isNotNull()), truncated, layout, few_truncates, **split)
     alive = (
-        joined.withColumn("truncate_pos", cut).filter("truncate_pos IS NOT NULL")
+        keyed.withColumn("truncate_pos", F.col("cut.pos")).filter("truncate_pos IS NOT NULL")
         .groupBy(*layout.row_key, "truncate_pos").agg(F.max_by(layout.op, _order(layout)).alias("__op"))
         .groupBy(layout.table, "truncate_pos").agg(F.count_if(F.col("__op") != "d").alias("purged"))
     )
@@ -169,3 +186,12 @@ def recent_events(df: DataFrame, layout: Layout = LAYOUT, keep: int = 25) -> Dat
     return df.orderBy(F.col(layout.pos).desc(), F.col(layout.table)).limit(keep)
 
 
+
+
+def position_order(events: DataFrame, layout: Layout = LAYOUT) -> DataFrame:
+    """Events sorted by table, key and position within partitions of disjoint ranges.
+
+    Ranges end inside a key when it is large, so no task has to take one key alone.
+    """
+    order = [*layout.row_key, layout.pos, layout.sub]
+    return events.repartitionByRange(*order).sortWithinPartitions(*order)

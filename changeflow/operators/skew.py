@@ -5,7 +5,7 @@ and a bounded sketch. When there are none, callers build the plain plan. Otherwi
 
 * ``skew_join`` salts the rows of the hot keys over many tasks and repeats only the matching hot
   rows of the other side;
-* ``row_numbers`` and ``neighbours`` cut a hot group into ordered segments, compute inside every
+* ``row_numbers``, ``neighbours`` and ``next_value`` cut a hot group into ordered segments, compute inside every
   segment, and carry one row per segment across the borders.
 
 The sketch decides only where rows are computed, never what is computed, so results are exact.
@@ -25,7 +25,7 @@ MAX_SEGMENTS = 8192
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 32 * 2**20
 
-_TOP_KEYS, _TRACKED_KEYS = 1000, 20_000
+_TOP_KEYS, _TRACKED_KEYS = 5000, 50_000
 _HASH, _SALT, _SEG = "__hash", "__salt", "__seg"
 
 
@@ -41,7 +41,7 @@ def _hot_counts(df: DataFrame, cols: Sequence[str], hot_rows: int) -> dict[int,
 
 
 def hot_hashes(df: DataFrame, cols: Sequence[str], hot_rows: int = HOT_ROWS) -> list[int]:
-    """Hashes of the ``cols`` values held by more than ``hot_rows`` rows (at most 1000 of them).
+    """Hashes of the ``cols`` values held by more than ``hot_rows`` rows (the largest 5000 of them).
 
     The tracked-key sketch finds every value above 0.02 % of the rows. A hash shared by two values
     only means that one more group is split.
@@ -182,3 +182,31 @@ def neighbours(
         .withColumn(name, F.coalesce(name, "__carry"))
         .select(*df.columns, name)
     )
+
+
+def next_value(
+    df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, name: str,
+    hot_rows: int = HOT_ROWS, segment_rows: int = SEGMENT_ROWS,
+) -> DataFrame:
+    """Adds ``name``: the nearest non-NULL ``value`` on a later row of the group.
+
+    Same conditions as ``row_numbers``. Rows are visited backwards, so frames only grow.
+    """
+    group = list(group)
+    marked, split = _segmented(df, group, order, hot_rows, segment_rows)
+    growing = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    backwards = growing(Window.partitionBy(*group, _SEG).orderBy(*[F.col(c).desc() for c in order]))
+    filled = marked.withColumn(name, F.last(value, ignorenulls=True).over(backwards))
+    if not split:
+        return filled.drop(_SEG)
+    across = growing(Window.partitionBy(*group).orderBy(F.col(_SEG).desc()))
+    first = F.min_by(F.col(value), F.when(F.col(value).isNotNull(), F.struct(*order)))
+    carry = (
+        marked.filter(F.col(_SEG) >= 0).groupBy(*group, _SEG).agg(first.alias("__first"))
+        .select(*group, _SEG, F.last("__first", ignorenulls=True).over(across).alias("__carry"))
+    )
+    return (
+        filled.join(carry, [*group, _SEG], "left")
+        .withColumn(name, F.coalesce(name, "__carry"))
+        .select(*df.columns, name)
+    )

@@ -9,7 +9,7 @@ from ..operators import deadletter
 from ..sources.fixtures import raw_messages
 from .registry import query
 
-PAYLOAD = "struct<id:bigint,status:string>"
+PAYLOAD = "id bigint, status string"
 
 
 def parsed(spark, sf, known_ids=None) -> DataFrame:
@@ -26,11 +26,8 @@ SELECT key_id, schema_id, reason, CASE WHEN reason IS NULL THEN 'main' ELSE 'dlq
        CASE WHEN reason IS NULL THEN CAST(json_extract_string(body, 'id') AS BIGINT) END AS id,
        CASE WHEN reason IS NULL THEN json_extract_string(body, 'status') END AS status FROM r""")
 def dlq_split(spark, sf):
-    rows = parsed(spark, sf, [42, 43])
-    good, dead = deadletter.good(rows), deadletter.dead(rows)
-    main = good.select("key_id", "schema_id", "reason", F.lit("main").alias("route"), "doc.id", "doc.status")
-    rejected = dead.select("key_id", "schema_id", "reason", F.lit("dlq").alias("route"))
-    return main.unionByName(rejected, allowMissingColumns=True)
+    rows = deadletter.with_route(parsed(spark, sf, [42, 43]))
+    return rows.select("key_id", "schema_id", "reason", "route", "doc.id", "doc.status")
 
 
 @query("dlq_envelope", f"""

@@ -152,6 +152,6 @@ def ddl_events(spark, sf):
 SELECT key_id, schema_id, CASE schema_id WHEN 42 THEN 'orders-value' WHEN 43 THEN 'orders-value' END AS subject,
        CASE schema_id WHEN 42 THEN 1 WHEN 43 THEN 2 END AS version, COALESCE(schema_id IN (42, 43), FALSE) AS known FROM decoded""")
 def schema_lookup(spark, sf):
-    parsed = parse_messages(raw_messages(spark, sf).drop("schema_id").withColumn("value", F.unhex("value_hex")), "struct<id:bigint>")
+    parsed = parse_messages(raw_messages(spark, sf).drop("schema_id").withColumn("value", F.unhex("value_hex")), "id bigint")
     known = spark.createDataFrame([(42, "orders-value", 1), (43, "orders-value", 2)], "schema_id bigint, subject string, version int")
     return schema_gov.schema_lookup(parsed.select("key_id", "schema_id"), known).select("key_id", "schema_id", "subject", "version", "known")

@@ -99,7 +99,7 @@ def topic_inventory(spark, sf):
 
 
 def dead_letters(spark, sf) -> DataFrame:
-    parsed = parse_messages(raw_messages(spark, sf).withColumn("value", F.unhex("value_hex")), "struct<id:bigint,status:string>")
+    parsed = parse_messages(raw_messages(spark, sf).withColumn("value", F.unhex("value_hex")), "id bigint, status string")
     return dead(parsed)
 
 

@@ -231,6 +231,11 @@ def search_feed(spark, sf):
         "tbl", "key_id", "action", "pos", F.col("after.status").alias("status"))
 
 
+@query("position_order", "SELECT tbl, key_id, op, pos, sub_order FROM split")
+def position_order(spark, sf):
+    return materialize.position_order(split_log(spark, sf).select("tbl", "key_id", "op", "pos", "sub_order"))
+
+
 @query("recent_events", """
 SELECT tbl, op, key_id, pos FROM committed ORDER BY pos DESC, tbl LIMIT 25""")
 def recent_events(spark, sf):

@@ -65,8 +65,10 @@ def _envelope(
     df = df.withColumns({"__b": image(df, before), "__a": image(df, after)})
     b, a = F.col("__b"), F.col("__a")
     if moved:
-        old_key, new_key = extract_key(b, b, source.pk), extract_key(a, a, source.pk)
-        op = F.when((op == "u") & (F.to_json(old_key) != F.to_json(new_key)), "pk").otherwise(op)
+        changed = F.lit(False)
+        for k in source.pk:
+            changed = changed | ~b[k].eqNullSafe(a[k])
+        op = F.when((op == "u") & changed, "pk").otherwise(op)
     if schema is None:
         schema = F.lit(source.schema).cast("string")
     return df.select(
@@ -79,7 +81,7 @@ def _envelope(
             (F.col(tx).cast("string") if tx else F.lit(None).cast("string")).alias("id"),
             F.lit(None).cast("timestamp").alias("ts"), F.lit(None).cast("int").alias("ord")).alias("tx"),
         F.struct(F.lit(position_type).alias("type"), F.col(position).cast("string").alias("value")).alias("position"),
-        position_ordinal(F.lit(engine), F.col(position).cast("string")).alias("pos_ord"),
+        position_ordinal(engine, F.col(position).cast("string")).alias("pos_ord"),
         (extract_key(b, a, source.pk) if key is None else key).alias("key"),
         b.alias("before"), a.alias("after"),
         F.lit(source.connector).cast("string").alias("connector"), F.lit(False).alias("snapshot"))

@@ -13,18 +13,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _stamp(df: DataFrame) -> DataFrame:
+# The steps that apply to an orders row. Kinds 1-5 are the steps of `orders`; 6 and 7 are steps 1
+# and 7 of `staging_orders`.
+_KINDS = """explode(array(1, IF(id % 2 = 0, 2, NULL), IF(id % 29 = 0, 3, NULL), IF(id % 17 = 0 AND id % 29 <> 0, 4, NULL),
+    IF(id % 13 = 0, 5, NULL), IF(id % 19 = 0, 6, NULL), IF(id % 190 = 0, 7, NULL))) AS kind"""
+_FIRST = "named_struct('customer_id', customer_id, 'status', status, 'amount_cents', amount_cents)"
+_LATEST = """named_struct('customer_id', customer_id, 'status', IF(id % 2 = 0, 'SHIPPED', status),
+    'amount_cents', IF(id % 2 = 0, amount_cents + 500, amount_cents))"""
+_SPECIAL = "named_struct('customer_id', customer_id, 'status', {0}, 'amount_cents', {1})"
+
+
+def _stamp(events: DataFrame) -> DataFrame:
     """Position, transaction and times of an event from its step and key."""
-    step, key = F.col("step").cast("long"), F.coalesce(F.col("key_id") % PK_SHIFT, F.lit(0))
-    shift = F.expr("INTERVAL '1' DAY") * (F.col("step") - 1)
-    lag_ms = F.coalesce(F.col("key_id"), F.lit(0)) * 37 % 5000
-    return df.select(
+    return events.selectExpr(
         "step", "tbl", "op", "key_id", "old_key_id", "before", "after",
-        (step * 1_000_000_000 + key).alias("pos"),
-        (step * 1_000_000 + F.floor(key / 10)).alias("tx_id"),
-        (F.col("ts0") + shift).alias("source_ts"),
-        (F.col("ts0") + shift + F.expr("INTERVAL '0.001' SECOND") * lag_ms).alias("capture_ts"),
-    )
+        f"CAST(step AS BIGINT) * 1000000000 + COALESCE(key_id % {PK_SHIFT}, 0) AS pos",
+        f"CAST(step AS BIGINT) * 1000000 + FLOOR(COALESCE(key_id % {PK_SHIFT}, 0) / 10) AS tx_id",
+        "ts0 + INTERVAL '1' DAY * (step - 1) AS source_ts",
+        "ts0 + INTERVAL '1' DAY * (step - 1) + INTERVAL '0.001' SECOND * (COALESCE(key_id, 0) * 37 % 5000) AS capture_ts")
 
 
 def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,45 +39,25 @@ def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     Each ``orders`` row yields up to seven events in one pass over the file: the steps that apply
     to it are exploded as small numbers, and the event is built from the row and the step.
     """
-    orders = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer_id"), F.col("o_orderstatus").alias("status"),
-        F.round(F.col("o_totalprice") * 100).cast("long").alias("amount_cents"), F.col("o_orderdate").alias("ts0"))
-    key, customer, status, amount = (F.col(c) for c in ("id", "customer_id", "status", "amount_cents"))
-    # Kinds 1-5 are the steps of `orders`; 6 and 7 are steps 1 and 7 of `staging_orders`.
-    kinds = F.array(
-        F.lit(1),
-        F.when(key % 2 == 0, 2),
-        F.when(key % 29 == 0, 3),
-        F.when((key % 17 == 0) & (key % 29 != 0), 4),
-        F.when(key % 13 == 0, 5),
-        F.when(key % 19 == 0, 6),
-        F.when(key % 190 == 0, 7),
-    )
-    rows = orders.withColumn("kind", F.explode(kinds)).filter("kind IS NOT NULL")
-    kind = F.col("kind")
-
-    def image(st: Column, cents: Column) -> Column:
-        return F.struct(customer.alias("customer_id"), st.alias("status"), cents.alias("amount_cents"))
-
-    shipped = key % 2 == 0
-    latest = image(F.when(shipped, "SHIPPED").otherwise(status), F.when(shipped, amount + 500).otherwise(amount))
-    events = rows.select(
-        F.when(kind == 6, 1).otherwise(kind).alias("step"),
-        F.when(kind <= 5, "orders").otherwise("staging_orders").alias("tbl"),
-        F.when(kind == 2, "u").when(kind == 3, "pk").when(kind == 4, "d").otherwise("c").alias("op"),
-        F.when(kind == 3, key + PK_SHIFT).when(kind == 5, key + ABORT_SHIFT).otherwise(key).alias("key_id"),
-        F.when(kind == 3, key).alias("old_key_id"),
-        F.when(kind == 2, image(status, amount)).when(kind.isin(3, 4), latest).alias("before"),
-        F.when(kind == 1, image(status, amount))
-        .when(kind.isin(2, 3), latest)
-        .when(kind == 5, image(F.lit("ABORTED"), F.lit(9999).cast("long")))
-        .when(kind == 6, image(F.lit("temp"), amount))
-        .when(kind == 7, image(F.lit("reload"), amount)).alias("after"),
+    orders = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS id", "o_custkey AS customer_id", "o_orderstatus AS status",
+        "CAST(ROUND(o_totalprice * 100) AS BIGINT) AS amount_cents", "o_orderdate AS ts0")
+    events = orders.selectExpr("*", _KINDS).filter("kind IS NOT NULL").selectExpr(
+        "IF(kind = 6, 1, kind) AS step",
+        "IF(kind <= 5, 'orders', 'staging_orders') AS tbl",
+        "CASE kind WHEN 2 THEN 'u' WHEN 3 THEN 'pk' WHEN 4 THEN 'd' ELSE 'c' END AS op",
+        f"CASE kind WHEN 3 THEN id + {PK_SHIFT} WHEN 5 THEN id + {ABORT_SHIFT} ELSE id END AS key_id",
+        "IF(kind = 3, id, NULL) AS old_key_id",
+        f"CASE WHEN kind = 2 THEN {_FIRST} WHEN kind IN (3, 4) THEN {_LATEST} END AS before",
+        f"CASE WHEN kind = 1 THEN {_FIRST} WHEN kind IN (2, 3) THEN {_LATEST} "
+        f"WHEN kind = 5 THEN {_SPECIAL.format(repr('ABORTED'), '9999L')} "
+        f"WHEN kind = 6 THEN {_SPECIAL.format(repr('temp'), 'amount_cents')} "
+        f"WHEN kind = 7 THEN {_SPECIAL.format(repr('reload'), 'amount_cents')} END AS after",
         "ts0")
-    none = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema.fields}
-    truncate = orders.agg(F.max("ts0").alias("ts0"), F.max(F.lit(6)).alias("step")).select(
-        "step", F.lit("staging_orders").alias("tbl"), F.lit("t").alias("op"),
-        none["key_id"], none["old_key_id"], none["before"], none["after"], "ts0")
+    image = events.schema["after"].dataType.simpleString()
+    truncate = orders.selectExpr("MAX(ts0) AS ts0", "MAX(6) AS step").selectExpr(
+        "step", "'staging_orders' AS tbl", "'t' AS op", "CAST(NULL AS BIGINT) AS key_id", "CAST(NULL AS BIGINT) AS old_key_id",
+        f"CAST(NULL AS {image}) AS before", f"CAST(NULL AS {image}) AS after", "ts0")
     return _stamp(events.unionByName(truncate))
 
 

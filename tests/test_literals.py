@@ -203,7 +203,7 @@ def test_snapshot_signal(spark):
 def test_poison_record(spark):
     raw = spark.createDataFrame([(1, bytearray(b"\xff\xde\xad\xbe\xef"))], "id int, value binary")
     letters = deadletter.dlq_envelope(
-        deadletter.dead(deadletter.parse_messages(raw, "struct<id:int>")), F.lit("t"), F.lit("ecommerce"), F.lit("orders"))
+        deadletter.dead(deadletter.parse_messages(raw, "id int")), F.lit("t"), F.lit("ecommerce"), F.lit("orders"))
     row = letters.first()
     assert row["dlq_topic"] == "cdc.dlq.ecommerce.orders" and bytes(row["payload"]) == b"\xff\xde\xad\xbe\xef"
     assert row["headers"] == {"error_type": "POISON_PILL", "retry_count": "0"}

@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from changeflow.operators import skew
-from changeflow.operators.materialize import change_history
+from changeflow.operators.materialize import change_history, truncate_counts
 from changeflow.operators.snapshot import chunk_plan_exact
 
 
@@ -102,7 +102,34 @@ def test_history_of_a_hot_key(spark):
     cuts = log.filter("pos IN (700, 1400)").select("tbl", F.col("pos"), "source_ts")
     plain = change_history(log, cuts)
     split = change_history(log, cuts, hot_rows=50, segment_rows=60)
-    assert rows_of(split) == rows_of(plain) and plain.count() > 1000
+    merged = change_history(log, cuts, few_truncates=1)
+    merged_split = change_history(log, cuts, few_truncates=1, hot_rows=50, segment_rows=60)
+    assert plain.count() > 1000
+    assert rows_of(split) == rows_of(merged) == rows_of(merged_split) == rows_of(plain)
+
+
+@pytest.mark.parametrize("split", [{}, {"hot_rows": 10, "segment_rows": 7}])
+def test_many_truncates(spark, split):
+    """A table that is truncated after every third event."""
+    n = F.col("id")
+    log = spark.range(300).select(
+        F.lit("t").alias("tbl"), F.when(n % 3 == 2, "t").otherwise("c").alias("op"), F.when(n % 3 != 2, n % 2).alias("key_id"),
+        n.alias("pos"), F.lit(0).alias("sub_order"), F.timestamp_seconds(n).alias("source_ts"))
+    cuts = log.filter("op = 't'").select("tbl", "pos", "source_ts")
+    counts = truncate_counts(log, cuts, few_truncates=5, **split)
+    assert rows_of(counts) == rows_of(truncate_counts(log, cuts)) and counts.count() == 100
+    assert counts.agg(F.sum("purged")).first()[0] == 200
+    history = change_history(log, cuts, few_truncates=5, **split)
+    assert rows_of(history) == rows_of(change_history(log, cuts)) and history.filter("valid_to IS NULL").count() == 0
+
+
+@pytest.mark.parametrize("segment_rows", [3, 40, 5000])
+def test_next_value(spark, hot_frame, segment_rows):
+    df = hot_frame.withColumn("v", F.when(F.col("o") % 97 == 0, F.col("x")))
+    window = Window.partitionBy("k").orderBy(F.col("o").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    want = df.withColumn("n", F.last("v", ignorenulls=True).over(window))
+    got = skew.next_value(df, ["k"], ["o"], "v", "n", hot_rows=50, segment_rows=segment_rows)
+    assert rows_of(got) == rows_of(want)
 
 
 def test_exact_chunks_over_segments(spark):
