@@ -10,7 +10,7 @@ from ..operators import materialize
 from ..operators.deadletter import parse_messages
 from ..operators.expand import split_pk_update
 from ..operators.snapshot import snapshot_windows
-from ..session import keep_state_on_disk, work_path
+from ..session import work_path
 from ..sources import readers, sinks
 from ..sources.fixtures import change_log, raw_messages, table, transactions
 from ..streaming import jobs
@@ -59,17 +59,15 @@ def stream_resume(spark, sf):
 SELECT tbl, key_id, op, a_status AS status, pos FROM split WHERE key_id IS NOT NULL
 QUALIFY ROW_NUMBER() OVER (PARTITION BY tbl, key_id ORDER BY pos DESC, sub_order DESC) = 1""")
 def stream_latest(spark, sf):
-    keep_state_on_disk(spark)
     path = work_path(spark, "latest")
     stream = staged(split_log(spark, sf).filter("key_id IS NOT NULL"), "split")
-    jobs.finish(jobs.latest_stream(stream, path, work_path(spark, "ck")))
+    jobs.run_stateful(spark, lambda: jobs.latest_stream(stream, path, work_path(spark, "ck")))
     last = materialize.latest_per_key(spark.read.parquet(path).drop("batch_id"))
     return last.select("tbl", "key_id", "op", F.col("after.status").alias("status"), "pos")
 
 
 @query("stream_tx_buffer", "SELECT tbl, op, key_id, pos, tx_id FROM committed")
 def stream_tx_buffer(spark, sf):
-    keep_state_on_disk(spark)
     log = change_log(spark, sf)
     ended = log.groupBy("tx_id").agg(F.max("source_ts").alias("ended"))
     events = staged(log, "log").withColumn("source_ts", F.col("source_ts").cast("timestamp"))
@@ -77,7 +75,8 @@ def stream_tx_buffer(spark, sf):
     out = work_path(spark, "flushed")
     # Order dates spread over years inside one transaction, hence the wide bounds.
     flushed = jobs.committed_stream(events, outcomes, "source_ts", "ended", "3650 days", "3650 days")
-    jobs.finish(jobs.append_files(flushed.select("tbl", "op", "key_id", "pos", "tx_id"), out, work_path(spark, "ck")))
+    rows = flushed.select("tbl", "op", "key_id", "pos", "tx_id")
+    jobs.run_stateful(spark, lambda: jobs.append_files(rows, out, work_path(spark, "ck")))
     return spark.read.parquet(out)
 
 
@@ -94,22 +93,20 @@ FROM events GROUP BY time_bucket(INTERVAL 6 HOUR, ts)
 HAVING time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR <= (SELECT MAX(ts) FROM events) - INTERVAL 10 MINUTE""", shared=False)
 def stream_golden_signals(spark, sf):
     """Closed windows only: an open one is held until the watermark passes its end."""
-    keep_state_on_disk(spark)
     out = work_path(spark, "signals")
     measures = {"top_value": F.max("value"), "errors": F.count_if(F.col("event_type") == "error")}
     rows = jobs.windowed_signals(event_stream(spark, sf), "ts", "10 minutes", "6 hours", measures)
-    jobs.finish(jobs.append_files(rows, out, work_path(spark, "ck")))
+    jobs.run_stateful(spark, lambda: jobs.append_files(rows, out, work_path(spark, "ck")))
     return spark.read.parquet(out).withColumn("window_start", F.col("window_start").cast("string"))
 
 
 @query("stream_dedupe", "SELECT event_id, user_id, event_type FROM events", shared=False)
 def stream_dedupe(spark, sf):
-    keep_state_on_disk(spark)
     out = work_path(spark, "unique")
     copies = F.explode(F.when(F.col("event_id") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
     delivered = event_stream(spark, sf).withColumn("copy", copies)
     rows = jobs.dedupe_stream(delivered, "ts", "10 minutes").select("event_id", "user_id", "event_type")
-    jobs.finish(jobs.append_files(rows, out, work_path(spark, "ck")))
+    jobs.run_stateful(spark, lambda: jobs.append_files(rows, out, work_path(spark, "ck")))
     return spark.read.parquet(out)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..envelope import LAYOUT, Layout
 from ..operators.snapshot import superseded_keys
+from ..session import keep_state_on_disk
 from ..sources.sinks import apply_batch, batch_folder, route_batch, start_batches
 
 STATE_SALTS = 16
@@ -21,6 +22,20 @@ def finish(query: StreamingQuery) -> StreamingQuery:
     return query
 
 
+def run_stateful(spark: SparkSession, start: Callable[[], StreamingQuery], partitions: int | None = None) -> StreamingQuery:
+    """Starts a query with state and waits for it. The number of state partitions is fixed for the
+    life of a checkpoint; by default it is the number of cores of the cluster."""
+    keep_state_on_disk(spark)
+    setting = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(partitions or max(8, spark.sparkContext.defaultParallelism)))
+    try:
+        running = start()
+    finally:
+        spark.conf.set(setting, before)
+    return finish(running)
+
+
 def append_files(stream: DataFrame, path: str, checkpoint: str, partition_by: tuple[str, ...] = ()) -> StreamingQuery:
     writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
     if partition_by:
