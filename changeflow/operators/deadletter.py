@@ -33,7 +33,10 @@ def parse_messages(
         F.col("__doc").isNull() | F.col("__doc._corrupt_record").isNotNull(), BAD_JSON)
     if known_ids is not None:
         reason = reason.when(~F.col("__wire.schema_id").isin(list(known_ids)), UNKNOWN_SCHEMA)
-    judged = parsed.withColumns({"schema_id": F.col("__wire.schema_id"), "reason": reason})
+    # A one-row inline: a later filter on the reason is then not pushed below the parsing, where it
+    # would parse every message a second time.
+    verdict = F.struct(F.col("__wire.schema_id").alias("schema_id"), reason.alias("reason"))
+    judged = parsed.drop("schema_id", "reason").select("*", F.inline(F.array(verdict)))
     doc = F.when(F.col("reason").isNull(), F.col("__doc").dropFields("_corrupt_record"))
     return judged.withColumn("doc", doc).drop("__wire", "__doc")
 

@@ -116,10 +116,9 @@ SELECT key_id, reason, CASE WHEN reason IS NULL THEN 'main' ELSE 'dlq' END AS ro
 def stream_dlq(spark, sf):
     raw = raw_messages(spark, sf).select("key_id", F.unhex("value_hex").alias("value"))
     parsed = parse_messages(staged(raw, "raw"), PAYLOAD, known_ids=[42, 43])
-    main, dlq = work_path(spark, "main"), work_path(spark, "dlq")
-    jobs.finish(jobs.route_stream(parsed, main, dlq, work_path(spark, "ck")))
-    good = spark.read.parquet(main).select("key_id", F.lit(None).cast("string").alias("reason"), F.lit("main").alias("route"))
-    return good.unionByName(spark.read.parquet(dlq).select("key_id", "reason", F.lit("dlq").alias("route")))
+    path = work_path(spark, "routed")
+    jobs.finish(jobs.route_stream(parsed, path, work_path(spark, "ck")))
+    return spark.read.parquet(path).select("key_id", "reason", "route")
 
 
 @query("stream_snapshot_window", WINDOWS + """
@@ -150,9 +149,7 @@ def stream_fan_out(spark, sf):
 
     def search(batch: DataFrame, batch_id: int) -> None:
         rows = split_pk_update(batch).select("tbl", "key_id", "op", "pos", "sub_order", "after")
-        keyed = materialize.latest_per_key(rows.filter("key_id IS NOT NULL"))
-        clears = rows.filter("op = 't'").select(*keyed.columns)
-        keyed.unionByName(clears).write.mode("overwrite").parquet(sinks.batch_folder(paths["search"], batch_id))
+        materialize.latest_per_key(rows).write.mode("overwrite").parquet(sinks.batch_folder(paths["search"], batch_id))
 
     consumers = {
         "warehouse": lambda df, i: sinks.apply_batch(df, i, paths["warehouse"]), "microservice": microservice, "search": search}

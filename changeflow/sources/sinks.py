@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..envelope import LAYOUT, Layout
-from ..operators.deadletter import dead, good
+from ..operators.deadletter import with_route
 from ..operators.expand import split_pk_update
 from ..operators.materialize import latest_per_key, truncate_barrier
 
@@ -40,17 +40,15 @@ def batch_folder(path: str, batch_id: int) -> str:
     return f"{path}/batch_id={batch_id}"
 
 
+def _kept(layout: Layout) -> list[str]:
+    return [layout.op, layout.after, layout.pos, layout.sub]
+
+
 def apply_batch(batch: DataFrame, batch_id: int, path: str, layout: Layout = LAYOUT) -> None:
-    """Stores the last event per key of a micro-batch, and its truncates."""
-    batch.persist()
-    try:
-        rows = split_pk_update(batch.filter(F.col(layout.op) != "t"), layout)
-        latest_per_key(rows, layout, [layout.op, layout.after, layout.pos, layout.sub]).write.mode("overwrite").parquet(
-            batch_folder(f"{path}/changes", batch_id))
-        batch.filter(F.col(layout.op) == "t").select(layout.table, layout.pos).write.mode("overwrite").parquet(
-            batch_folder(f"{path}/truncates", batch_id))
-    finally:
-        batch.unpersist()
+    """Stores the last event per key of a micro-batch in one pass; the last truncate of a table is
+    the row without a key."""
+    last = latest_per_key(split_pk_update(batch, layout), layout, _kept(layout))
+    last.write.mode("overwrite").parquet(batch_folder(f"{path}/changes", batch_id))
 
 
 def _newest_base(spark: SparkSession, path: str) -> int | None:
@@ -62,35 +60,39 @@ def _newest_base(spark: SparkSession, path: str) -> int | None:
         return None
 
 
-def _merged(spark: SparkSession, path: str, layout: Layout, base: int | None, upto: int | None = None) -> DataFrame:
-    """Last event per key, deletes included, over a base and the batches after it."""
+def _stored(spark: SparkSession, path: str, base: int | None, upto: int | None = None) -> DataFrame:
+    """Rows of a base and of the batches after it, up to ``upto``."""
     changes = spark.read.parquet(f"{path}/changes")
     if base is not None:
         changes = changes.filter(F.col("batch_id") > base)
     if upto is not None:
         changes = changes.filter(F.col("batch_id") <= upto)
     changes = changes.drop("batch_id")
-    if base is not None:
-        changes = changes.unionByName(spark.read.parquet(f"{path}/base/upto={base}"))
-    truncated = spark.read.parquet(f"{path}/truncates").select(layout.table, layout.pos)
-    keep = [layout.op, layout.after, layout.pos, layout.sub]
-    return latest_per_key(truncate_barrier(changes, truncated, layout), layout, keep)
+    return changes if base is None else changes.unionByName(spark.read.parquet(f"{path}/base/upto={base}"))
+
+
+def _merged(stored: DataFrame, layout: Layout) -> DataFrame:
+    truncated = stored.filter(F.col(layout.op) == "t").select(layout.table, layout.pos)
+    return latest_per_key(truncate_barrier(stored, truncated, layout), layout, _kept(layout))
 
 
 def read_applied(spark: SparkSession, path: str, layout: Layout = LAYOUT) -> DataFrame:
     """Current rows of a table written by ``apply_batch``: merged by position when read."""
-    last = _merged(spark, path, layout, _newest_base(spark, path))
+    last = _merged(_stored(spark, path, _newest_base(spark, path)), layout)
     return last.filter(F.col(layout.op) != "d").select(*layout.row_key, layout.after, layout.pos)
 
 
 def fold_batches(spark: SparkSession, path: str, upto: int, layout: Layout = LAYOUT) -> None:
     """Folds the batches up to ``upto`` into a new base, so that reads stay short.
 
-    Delete marks are kept: an older event that arrives late must not bring a row back.
+    Deletes and truncates are kept: an older event that arrives late must not bring a row back.
     """
     base = _newest_base(spark, path)
-    if base is None or base < upto:
-        _merged(spark, path, layout, base, upto).write.mode("overwrite").parquet(f"{path}/base/upto={upto}")
+    if base is not None and base >= upto:
+        return
+    stored = _stored(spark, path, base, upto)
+    cleared = latest_per_key(stored.filter(F.col(layout.op) == "t"), layout, _kept(layout))
+    _merged(stored, layout).unionByName(cleared).write.mode("overwrite").parquet(f"{path}/base/upto={upto}")
 
 
 def start_batches(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None]) -> StreamingQuery:
@@ -99,11 +101,7 @@ def start_batches(stream: DataFrame, checkpoint: str, handle: Callable[[DataFram
             .trigger(availableNow=True).start())
 
 
-def route_batch(parsed: DataFrame, batch_id: int, main: str, dlq: str) -> None:
-    """Good and dead rows of a parsed micro-batch, under one checkpoint."""
-    parsed.persist()
-    try:
-        good(parsed).drop("reason").write.mode("overwrite").parquet(batch_folder(main, batch_id))
-        dead(parsed).drop("doc").write.mode("overwrite").parquet(batch_folder(dlq, batch_id))
-    finally:
-        parsed.unpersist()
+def route_batch(parsed: DataFrame, batch_id: int, path: str) -> None:
+    """Writes good and dead rows of a parsed micro-batch in one pass, as partitions ``route=main``
+    and ``route=dlq``."""
+    with_route(parsed).write.mode("overwrite").partitionBy("route").parquet(batch_folder(path, batch_id))

@@ -100,8 +100,8 @@ def late_rows(query: StreamingQuery) -> int:
     return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
 
 
-def route_stream(parsed: DataFrame, main: str, dlq: str, checkpoint: str) -> StreamingQuery:
-    return start_batches(parsed, checkpoint, lambda df, i: route_batch(df, i, main, dlq))
+def route_stream(parsed: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    return start_batches(parsed, checkpoint, lambda df, i: route_batch(df, i, path))
 
 
 def superseded_stream(
