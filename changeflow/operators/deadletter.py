@@ -46,6 +46,11 @@ def with_route(parsed: DataFrame) -> DataFrame:
     return parsed.withColumn("route", F.when(F.col("reason").isNull(), "main").otherwise("dlq"))
 
 
+def with_topic(parsed: DataFrame, main: Column, dlq: Column) -> DataFrame:
+    """Adds the ``topic`` a parsed message goes to, its own or the dead-letter topic."""
+    return parsed.withColumn("topic", F.when(F.col("reason").isNull(), main).otherwise(dlq))
+
+
 def good(parsed: DataFrame) -> DataFrame:
     return parsed.filter(F.col("reason").isNull())
 

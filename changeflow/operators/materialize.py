@@ -157,17 +157,25 @@ def transitions(updates: DataFrame, field: str, fields: Sequence[str], layout: L
 
 def search_feed(events: DataFrame, truncated: DataFrame, layout: Layout = LAYOUT) -> DataFrame:
     """Work list of a search index: CLEAR per truncated table, MAPPING_UPDATE per DDL event, and the
-    last UPSERT or REMOVE per document after the last CLEAR. Apply in order of position."""
-    ddl = events.filter(F.col(layout.op).startswith("DDL")).select(
-        layout.table, F.lit(None).cast("long").alias(layout.key), F.lit("MAPPING_UPDATE").alias("action"),
-        layout.pos, F.lit(None).cast(events.schema[layout.after].dataType).alias(layout.after))
-    rows = events.filter(F.col(layout.op).isin("c", "u", "r", "d"))
-    docs = latest_per_key(
-        truncate_barrier(rows, truncated, layout), layout, [layout.op, layout.pos, layout.after]
-    ).select(
-        *layout.row_key, F.when(F.col(layout.op) == "d", "REMOVE").otherwise("UPSERT").alias("action"), layout.pos, layout.after)
-    clears = truncated.groupBy(layout.table).agg(F.max(layout.pos).alias(layout.pos)).withColumn("action", F.lit("CLEAR"))
-    return docs.unionByName(ddl).unionByName(clears, allowMissingColumns=True)
+    last UPSERT or REMOVE per document after the last CLEAR. Apply in order of position.
+
+    One pass: a document, a table and a DDL event are each a group of their own.
+    """
+    op = F.col(layout.op)
+    is_doc, is_ddl = op.isin("c", "u", "r", "d"), op.startswith("DDL")
+    last = truncated.groupBy(layout.table).agg(F.max(layout.pos).alias("__barrier"))
+    relevant = join_small(events.filter(is_doc | is_ddl | (op == "t")), last, [layout.table], "left").filter(
+        ~is_doc | F.col("__barrier").isNull() | (F.col(layout.pos) > F.col("__barrier")))
+    keep = [layout.op, layout.pos, layout.after]
+    grouped = (
+        relevant.withColumns({
+            layout.key: F.when(is_doc, F.col(layout.key)),
+            layout.after: F.when(is_doc, F.col(layout.after)),
+            "__ddl": F.when(is_ddl, F.col(layout.pos))})
+        .groupBy(*layout.row_key, "__ddl").agg(F.max_by(F.struct(*keep), _order(layout)).alias("__last"))
+        .select(*layout.row_key, "__last.*"))
+    action = F.when(is_ddl, "MAPPING_UPDATE").when(op == "t", "CLEAR").when(op == "d", "REMOVE").otherwise("UPSERT")
+    return grouped.select(*layout.row_key, action.alias("action"), layout.pos, layout.after)
 
 
 def retention_filter(df: DataFrame, ts: str, days: float = 7, now: str | None = None) -> DataFrame:

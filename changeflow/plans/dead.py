@@ -48,12 +48,8 @@ def dlq_envelope(spark, sf):
 SELECT CASE WHEN reason IS NULL THEN 'cdc.local.ecommerce.orders_db.public.orders' ELSE 'cdc.dlq.orders.unparseable' END AS topic,
        reason, COUNT(*) AS messages, CAST(SUM(length(value_hex) / 2) AS BIGINT) AS bytes FROM r GROUP BY ALL""")
 def dlq_route(spark, sf):
-    rows = parsed(spark, sf, [42, 43])
-    main = F.lit("cdc.local.ecommerce.orders_db.public.orders")
-    letters = deadletter.dlq_envelope(deadletter.dead(rows), main, F.lit("ecommerce"), F.lit("orders"), override="cdc.dlq.orders.unparseable")
-    routed = deadletter.good(rows).select(main.alias("topic"), "reason", "value").unionByName(
-        letters.select(F.col("dlq_topic").alias("topic"), F.col("error_reason").alias("reason"), F.col("payload").alias("value")))
-    return routed.groupBy("topic", "reason").agg(
+    main, dlq = F.lit("cdc.local.ecommerce.orders_db.public.orders"), F.lit("cdc.dlq.orders.unparseable")
+    return deadletter.with_topic(parsed(spark, sf, [42, 43]), main, dlq).groupBy("topic", "reason").agg(
         F.count(F.lit(1)).alias("messages"), F.sum(F.octet_length("value")).alias("bytes"))
 
 

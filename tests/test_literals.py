@@ -207,6 +207,22 @@ def test_poison_record(spark):
     row = letters.first()
     assert row["dlq_topic"] == "cdc.dlq.ecommerce.orders" and bytes(row["payload"]) == b"\xff\xde\xad\xbe\xef"
     assert row["headers"] == {"error_type": "POISON_PILL", "retry_count": "0"}
+    fixed = deadletter.dlq_envelope(
+        deadletter.dead(deadletter.parse_messages(raw, "id int")), F.lit("t"), F.lit("e"), F.lit("o"), override="cdc.dlq.orders.unparseable")
+    assert fixed.first()["dlq_topic"] == "cdc.dlq.orders.unparseable"
+
+
+def test_payload_must_fit_the_fields(spark):
+    bodies = ['{"id":1}', '{"id":"x"}', "[1]", "null", "", '{"other":1}']
+    raw = spark.createDataFrame([(b,) for b in bodies], "b string").withColumn("value", wire.wire_encode(F.lit(7), F.col("b")))
+    got = {r["b"]: r["reason"] for r in deadletter.parse_messages(raw, "id int").collect()}
+    assert [got[b] for b in bodies] == [None, "BAD_JSON", "BAD_JSON", "BAD_JSON", "BAD_JSON", None]
+
+
+def test_retries_end_parked(spark):
+    letters = spark.createDataFrame([(n, bytearray(b"\xff"), n) for n in range(4)], "n int, payload binary, retry_count int")
+    rows = deadletter.dlq_retry(letters, "id int").select("n", "outcome", "retry_count", "next_wait_ms").orderBy("n").collect()
+    assert [tuple(r) for r in rows] == [(0, "RETRY", 1, 1000), (1, "RETRY", 2, 2000), (2, "PARKED", 3, None), (3, "PARKED", 3, None)]
 
 
 def verdict(spark, v1, v2, **kwargs):
