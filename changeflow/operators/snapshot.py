@@ -80,7 +80,8 @@ def superseded_keys(
     An event matters only to the chunk of its key, so the log meets the windows on the chunk and no
     range join is planned. ``chunk_of`` computes the chunk from the key of a log event (key-range
     plans); without it the chunk is looked up in ``chunk_rows``. A hot key or chunk of the log is
-    salted. The outer bounds of all windows reach the scan of the log as literals.
+    salted. The outer bounds of all windows reach the scan of the log as literals. Pass a log split
+    at key updates, so that both keys count as changed.
     """
     span = windows.agg(F.min("low").alias("low"), F.max(F.coalesce("high", F.lit(2**63 - 1))).alias("high")).first()
     if span["low"] is None:
@@ -97,12 +98,17 @@ def superseded_keys(
 
 def dblog_reconcile(
     chunk_rows: DataFrame, log: DataFrame, windows: DataFrame, key: str = "key_id", pos: str = "pos",
-    chunk: str = "chunk_id", chunk_of: Column | None = None, hot_rows: int = HOT_ROWS,
+    chunk: str = "chunk_id", chunk_of: Column | None = None, stamp: bool = False, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Chunk rows to emit as READ events: those the log did not touch while the chunk was read."""
+    """Chunk rows to emit as READ events: those the log did not touch while the chunk was read.
+
+    ``stamp`` adds the position of the opening watermark, so that reads and log can be applied
+    together: later events win, and a truncate inside the window removes the reads.
+    """
     changed = superseded_keys(chunk_rows, log, windows, key, pos, chunk, chunk_of, hot_rows)
-    return chunk_rows.join(changed, [chunk, key], "left_anti").withColumns({
+    reads = chunk_rows.join(changed, [chunk, key], "left_anti").withColumns({
         "op": F.lit("r"), "event_type": F.lit(EVENT_TYPES["r"])})
+    return join_small(reads, windows.select(chunk, F.col("low").alias(pos)), [chunk], hot_rows=hot_rows) if stamp else reads
 
 
 def merge_snapshot(reads: DataFrame, log: DataFrame) -> DataFrame:
