@@ -42,7 +42,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Alternates large-star and small-star steps, so the number of rounds grows with the logarithm
     of the longest chain. Each round is written to the shared folder; only two numbers come back.
     """
-    pairs = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v"))
+    pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     pairs = written(pairs.filter("u IS NOT NULL AND v IS NOT NULL AND u <> v").distinct(), "links")
     state = None
     while True:
