@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, minhash_dedup, quality, secret_scan
+from . import line_dedup, minhash_dedup, passage_dedup, quality, secret_scan
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,7 @@ QUERIES: dict[str, Query] = {
     "op1_line_dedup": _over("documents", line_dedup.op1_line_dedup),
     "op2_secret_scan": _over("documents", secret_scan.op2_secret_scan),
     "op5_minhash_dedup": _over("documents", minhash_dedup.op5_minhash_dedup),
+    "op6_passage_dedup": _over("documents", passage_dedup.op6_passage_dedup),
     "op7_quality_rules": _over("documents", quality.op7_quality_rules),
 }
 
@@ -27,5 +28,6 @@ ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.SQL,
     "op2_secret_scan": secret_scan.SQL,
     "op5_minhash_dedup": minhash_dedup.SQL,
+    "op6_passage_dedup": passage_dedup.SQL,
     "op7_quality_rules": quality.SQL,
 }
