@@ -9,6 +9,10 @@ HEADER_BYTES = 5
 
 
 def wire_header(schema_id: Column) -> Column:
+    """The header of a schema id; an id that does not fit in 32 bits is an error."""
+    fits = schema_id.isNull() | ((schema_id >= 0) & (schema_id < 2**32))
+    schema_id = F.when(fits, schema_id.cast("long")).otherwise(
+        F.raise_error(F.concat(F.lit("schema id does not fit in four bytes: "), schema_id.cast("string"))).cast("long"))
     return F.concat(F.lit(b"\x00"), F.unhex(F.lpad(F.hex(schema_id.cast("long")), 8, "0")))
 
 

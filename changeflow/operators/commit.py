@@ -16,18 +16,21 @@ LARGE_TX_ROWS = 10_000
 def committed_only(
     log: DataFrame, tx: DataFrame, layout: Layout = LAYOUT, limit: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Events of committed transactions. Transactions without an outcome yet are held back.
+    """Events of committed transactions, and events outside any transaction (reads, for example).
 
-    Few transactions fail, so first their ids are found from the id column alone. Up to ``limit``
-    of them are broadcast and the log is only filtered, not shuffled. Beyond that the log meets the
-    committed ids in a shuffle, with the rows of a huge transaction salted.
+    An event passes only if its transaction is known as committed, so one without an outcome yet,
+    or one that appears between two reads of a moving source, is held back. Up to ``limit`` committed
+    ids are broadcast. Beyond that the log meets them in a shuffle, with the rows of a huge
+    transaction salted.
     """
-    log = log.filter(F.col(layout.tx).isNotNull())
-    done = tx.filter(F.col("status") == COMMITTED).select(layout.tx)
-    failed = bounded(log.select(layout.tx).distinct().join(done, layout.tx, "left_anti"), limit)
-    if failed is not None:
-        return log.join(F.broadcast(failed), layout.tx, "left_anti")
-    return skew_join(log, done, [layout.tx], "left_semi", hot_rows=hot_rows)
+    done = tx.filter((F.col("status") == COMMITTED) & F.col(layout.tx).isNotNull()).select(layout.tx).distinct()
+    few = bounded(done, limit)
+    if few is not None:
+        marked = log.join(F.broadcast(few.withColumn("__done", F.lit(True))), layout.tx, "left")
+        return marked.filter(F.col("__done") | F.col(layout.tx).isNull()).select(*log.columns)
+    inside = log.filter(F.col(layout.tx).isNotNull())
+    kept = skew_join(inside, done, [layout.tx], "left_semi", hot_rows=hot_rows)
+    return kept.select(*log.columns).unionByName(log.filter(F.col(layout.tx).isNull()))
 
 
 def rollback_leaks(emitted: DataFrame, tx: DataFrame, layout: Layout = LAYOUT, hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -24,12 +24,13 @@ def parse_messages(
     messages: DataFrame, fields: str, value: str = "value", known_ids: Sequence[int] | None = None,
 ) -> DataFrame:
     """Decodes header and JSON once. ``reason`` is NULL for a good row; ``doc`` holds its ``fields``
-    (a DDL list). A payload that is broken, or does not fit the fields, is BAD_JSON.
+    (a DDL list). A payload that is broken, or does not fit the fields, is BAD_JSON. A NULL value is
+    a tombstone: good, without a document.
     """
     decoded = messages.withColumn("__wire", wire_decode(F.col(value)))
     parsed = decoded.withColumn(
         "__doc", F.from_json(F.col("__wire.payload").cast("string"), f"{fields}, _corrupt_record string"))
-    reason = F.when(~F.col("__wire.valid"), BAD_HEADER).when(
+    reason = F.when(F.col(value).isNull(), F.lit(None).cast("string")).when(~F.col("__wire.valid"), BAD_HEADER).when(
         F.col("__doc").isNull() | F.col("__doc._corrupt_record").isNotNull(), BAD_JSON)
     if known_ids is not None:
         reason = reason.when(~F.col("__wire.schema_id").isin(list(known_ids)), UNKNOWN_SCHEMA)

@@ -12,19 +12,22 @@ from .skew import row_numbers
 def split_pk_update(log: DataFrame, layout: Layout = LAYOUT) -> DataFrame:
     """A key update becomes a delete of the old key (sub-order 0) and a create of the new (1).
 
-    Only a small array of numbers is exploded; the images stay where they are.
+    Where the log has a sub-order already (the place of a row in its transaction), it is doubled and
+    the two halves follow each other in it. Only a small array of numbers is exploded; the images stay where they are.
     """
     moved = (F.col(layout.op) == "pk") | (F.col(layout.old_key).isNotNull() & (F.col(layout.old_key) != F.col(layout.key)))
     halves = log.withColumn("__moved", F.coalesce(moved, F.lit(False))).withColumn(
-        layout.sub, F.explode(F.when(F.col("__moved"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-    old = F.col("__moved") & (F.col(layout.sub) == 0)
-    new = F.col("__moved") & (F.col(layout.sub) == 1)
+        "__half", F.explode(F.when(F.col("__moved"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    old = F.col("__moved") & (F.col("__half") == 0)
+    new = F.col("__moved") & (F.col("__half") == 1)
+    place = F.coalesce(F.col(layout.sub), F.lit(0)) * 2 + F.col("__half") if layout.sub in log.columns else F.col("__half")
     return halves.withColumns({
         layout.op: F.when(old, "d").when(new, "c").otherwise(F.col(layout.op)),
         layout.key: F.when(old, F.col(layout.old_key)).otherwise(F.col(layout.key)),
         layout.before: F.when(~new, F.col(layout.before)),
         layout.after: F.when(~old, F.col(layout.after)),
-    }).drop("__moved", layout.old_key)
+        layout.sub: place,
+    }).drop("__moved", "__half", layout.old_key)
 
 
 def delete_tombstones(events: DataFrame, layout: Layout = LAYOUT) -> DataFrame:

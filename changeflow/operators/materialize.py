@@ -65,8 +65,12 @@ def state_as_of(log: DataFrame, position: int, tx: DataFrame | None = None, layo
 
 
 def compact_log(events: DataFrame, layout: Layout = LAYOUT) -> DataFrame:
-    """Last event per key of a split log, without deleted keys. Keyless events count as one key."""
-    return latest_per_key(events, layout).filter(F.col(layout.op) != "d")
+    """Last event per key of a split log, without deleted keys. Of events without a key, the last one
+    of each operation stays."""
+    kinds = events.withColumn("__kind", F.when(F.col(layout.key).isNull(), F.col(layout.op)))
+    keep = [c for c in events.columns if c not in layout.row_key]
+    last = kinds.groupBy(*layout.row_key, "__kind").agg(F.max_by(F.struct(*keep), _order(layout)).alias("__last"))
+    return last.select(*layout.row_key, "__last.*").filter(F.col(layout.op) != "d")
 
 
 def net_changes(events: DataFrame, layout: Layout = LAYOUT) -> DataFrame:
@@ -194,8 +198,6 @@ def recent_events(df: DataFrame, layout: Layout = LAYOUT, keep: int = 25) -> Dat
     return df.orderBy(F.col(layout.pos).desc(), F.col(layout.table)).limit(keep)
 
 
-
-
 def position_order(events: DataFrame, layout: Layout = LAYOUT) -> DataFrame:
     """Events sorted by table, key and position within partitions of disjoint ranges.
 

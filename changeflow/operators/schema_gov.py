@@ -29,13 +29,15 @@ def is_widening(old: Column, new: Column) -> Column:
 
 
 def schema_diff(registry: DataFrame) -> DataFrame:
-    """Each field of each version compared with the version before it.
+    """Each field of each version compared with the version before it; numbers may have gaps.
 
     Both roles of a field row meet in one grouping, so no self join is needed.
     """
     new = registry.select("subject", "version", "field", F.lit(True).alias("is_new"), "type", "has_default")
-    old = registry.select(
-        "subject", (F.col("version") + 1).alias("version"), "field", F.lit(False).alias("is_new"), "type", "has_default")
+    following = registry.select("subject", "version").distinct().withColumn(
+        "next", F.lead("version").over(Window.partitionBy("subject").orderBy("version")))
+    old = registry.join(following.filter("next IS NOT NULL"), ["subject", "version"]).select(
+        "subject", F.col("next").alias("version"), "field", F.lit(False).alias("is_new"), "type", "has_default")
     pick = lambda col, role: F.max(F.when(F.col("is_new") == role, F.col(col)))
     fields = new.unionByName(old).groupBy("subject", "version", "field").agg(
         pick("type", False).alias("old_type"), pick("type", True).alias("new_type"),
@@ -51,37 +53,46 @@ def schema_diff(registry: DataFrame) -> DataFrame:
         .withColumn("widening", F.when(F.col("change") == ALTERED, is_widening(F.col("old_type"), F.col("new_type")))))
 
 
-def incompatible(policy: str = REFERENCE, check_added_defaults: bool = True) -> Column:
+def incompatible(policy: str = REFERENCE, check_added_defaults: bool = True, check_types: bool = True) -> Column:
     """Condition on a ``schema_diff`` row.
 
     ``reference`` quarantines every dropped field; ``avro_backward`` lets a reader ignore it.
     """
-    bad = (F.col("change") == ALTERED) & ~F.col("widening")
+    bad = (F.col("change") == ALTERED) & ~F.col("widening") if check_types else F.lit(False)
     if policy == REFERENCE:
         bad = bad | (F.col("change") == DROPPED)
     elif policy != AVRO_BACKWARD:
         raise ValueError(f"unknown policy {policy!r}")
     if check_added_defaults:
-        bad = bad | ((F.col("change") == ADDED) & ~F.col("has_default"))
+        bad = bad | ((F.col("change") == ADDED) & ~F.coalesce("has_default", F.lit(False)))
     return bad
 
 
-def schema_compat(diff: DataFrame, policy: str = REFERENCE, check_added_defaults: bool = True) -> DataFrame:
+def schema_compat(
+    diff: DataFrame, policy: str = REFERENCE, check_added_defaults: bool = True, check_types: bool = True,
+) -> DataFrame:
     """Verdict per subject and version, with the fields behind it."""
     listed = lambda change: F.array_sort(F.collect_list(F.when(F.col("change") == change, F.col("field"))))
     return diff.groupBy("subject", "version").agg(
-        (~F.bool_or(incompatible(policy, check_added_defaults))).alias("compatible"),
+        (~F.bool_or(incompatible(policy, check_added_defaults, check_types))).alias("compatible"),
         listed(ADDED).alias("added_fields"), listed(ALTERED).alias("altered_fields"), listed(DROPPED).alias("dropped_fields"),
     ).withColumn("policy_action", F.when(F.col("compatible"), AUTO_REGISTER).otherwise(QUARANTINE))
 
 
+def schema_verdicts(registry: DataFrame, policy: str = REFERENCE, check_added_defaults: bool = True) -> DataFrame:
+    """(subject, version, compatible) of every registered version; the first of a subject is compatible."""
+    judged = schema_compat(schema_diff(registry), policy, check_added_defaults).select("subject", "version", "compatible")
+    first = registry.groupBy("subject").agg(F.min("version").alias("version")).withColumn("compatible", F.lit(True))
+    return judged.unionByName(first)
+
+
 def quarantine_split(
     events: DataFrame, verdicts: DataFrame, on: Sequence[str] = ("subject", "version"),
 ) -> DataFrame:
-    """Adds ``route``: ``main``, or ``dlq`` for events written under an incompatible schema."""
-    bad = verdicts.filter(~F.col("compatible")).select(*on, F.lit(True).alias("__bad"))
-    joined = join_small(events, bad, on, "left")
-    return joined.withColumn("route", F.when(F.col("__bad"), "dlq").otherwise("main")).drop("__bad")
+    """Adds ``route``: ``main`` for events written under a schema known as compatible, else ``dlq``."""
+    known = verdicts.filter("compatible").select(*on, F.lit(True).alias("__good"))
+    joined = join_small(events, known, on, "left")
+    return joined.withColumn("route", F.when(F.col("__good"), "main").otherwise("dlq")).drop("__good")
 
 
 def schema_versions(

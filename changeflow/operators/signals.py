@@ -68,8 +68,8 @@ def size_label(size: Column) -> Column:
 
 def slot_lag(slots: DataFrame, log: DataFrame, lsn: str = "lsn", confirmed: str = "confirmed_lsn") -> DataFrame:
     """Bytes between the newest log position and the confirmed position of each slot."""
-    newest = log.agg(F.max(parse_lsn(F.col(lsn))).cast("long")).first()[0]
-    lag = F.lit(newest) - parse_lsn(F.col(confirmed)).cast("long")
+    newest = log.agg(F.max(parse_lsn(F.col(lsn)))).first()[0]
+    lag = (F.lit(newest).cast("decimal(20,0)") - parse_lsn(F.col(confirmed))).cast("decimal(20,0)")
     return slots.withColumn("lag_bytes", lag).withColumn("lag_label", size_label(F.col("lag_bytes")))
 
 

@@ -1,14 +1,15 @@
 """Joins and ordered computations that stay balanced when one key holds a large share of the rows.
 
-``hot_hashes`` finds the keys that exceed what one task should take, with one column-pruned scan
-and a bounded sketch. When there are none, callers build the plain plan. Otherwise
+``hot_hashes`` counts the rows of every key with one column-pruned scan and names the keys that exceed
+what one task should take. When there are none, callers build the plain plan. Otherwise
 
 * ``skew_join`` salts the rows of the hot keys over many tasks and repeats only the matching hot
   rows of the other side;
-* ``row_numbers``, ``neighbours`` and ``next_value`` cut a hot group into ordered segments, compute inside every
-  segment, and carry one row per segment across the borders.
+* ``row_numbers``, ``neighbours`` and ``next_value`` cut each hot group into ordered segments, compute
+  inside every segment, and carry one row per segment across the borders.
 
-The sketch decides only where rows are computed, never what is computed, so results are exact.
+The counts decide only where rows are computed, never what is computed: NULL groups, text or NULL
+order columns and ties give the same rows with and without segments.
 """
 
 from __future__ import annotations
@@ -17,16 +18,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HOT_ROWS = 5_000_000
 SALTS = 64
 SEGMENT_ROWS = 1_000_000
-MAX_SEGMENTS = 8192
+MAX_SEGMENTS = 100_000  # of all hot groups together; segments grow with the rows beyond that
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 32 * 2**20
 
-_TOP_KEYS, _TRACKED_KEYS = 5000, 50_000
-_HASH, _SALT, _SEG = "__hash", "__salt", "__seg"
+_SAMPLES = 40  # rows looked at per segment to place its border
+_HASH, _SALT, _SEG, _CUTS = "__hash", "__salt", "__seg", "__cuts"
 
 
 def _hash(cols: Sequence[str]) -> Column:
@@ -34,30 +36,39 @@ def _hash(cols: Sequence[str]) -> Column:
 
 
 def _hot_counts(df: DataFrame, cols: Sequence[str], hot_rows: int) -> dict[int, int]:
-    row = df.select(_hash(cols).alias(_HASH)).agg(
-        F.expr(f"approx_top_k({_HASH}, {_TOP_KEYS}, {_TRACKED_KEYS})").alias("top")
-    ).first()
-    return {t["item"]: t["count"] for t in (row["top"] or []) if t["count"] > hot_rows}
+    """Rows per hash of the hot keys; there are at most as many as all rows over ``hot_rows``."""
+    counts = df.select(_hash(cols).alias(_HASH)).groupBy(_HASH).agg(F.count(F.lit(1)).alias("n"))
+    return {r[_HASH]: r["n"] for r in counts.filter(F.col("n") > hot_rows).collect()}
 
 
 def hot_hashes(df: DataFrame, cols: Sequence[str], hot_rows: int = HOT_ROWS) -> list[int]:
-    """Hashes of the ``cols`` values held by more than ``hot_rows`` rows (the largest 5000 of them).
+    """Hashes of the ``cols`` values held by more than ``hot_rows`` rows.
 
-    The tracked-key sketch finds every value above 0.02 % of the rows. A hash shared by two values
-    only means that one more group is split.
+    A hash shared by two values only means that one more group is split.
     """
     return list(_hot_counts(df, cols, hot_rows))
 
 
+def _fixed_width(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_fixed_width(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.VariantType))
+
+
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame | None:
     """``df`` as a local frame when it has at most ``rows`` rows and ``size`` bytes, else None.
 
-    Evaluates ``df`` once; never more than ``rows + 1`` rows leave the executors.
+    Rows of fixed width are bounded by their number. Others are measured on the executors first.
     """
-    small = df.limit(rows + 1).toArrow()
-    if small.num_rows > rows or small.nbytes > size:
-        return None
-    return df.sparkSession.createDataFrame(small, df.schema)
+    few = df.limit(rows + 1)
+    wide = [f.name for f in df.schema.fields if not _fixed_width(f.dataType)]
+    if wide:
+        text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in wide]))
+        found = few.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(text)).alias("bytes")).first()
+        if found["n"] > rows or (found["bytes"] or 0) > size:
+            return None
+    small = few.toArrow()
+    return None if small.num_rows > rows else df.sparkSession.createDataFrame(small, df.schema)
 
 
 def join_small(
@@ -93,47 +104,61 @@ def skew_join(
     return salted.join(right.withColumn(_SALT, copies), [*on, _SALT], how).drop(_SALT)
 
 
-def _bounds(df: DataFrame, col: str, rows: int, segment_rows: int) -> list:
-    """Ascending cut points that leave about ``segment_rows`` of ``rows`` rows between neighbours."""
-    n = max(1, min(MAX_SEGMENTS, -(-rows // segment_rows)))
-    if n == 1:
-        return []
-    shares = [i / n for i in range(1, n)]
-    cuts = df.agg(F.percentile_approx(col, shares, F.lit(max(10_000, 4 * n))).alias("cuts")).first()["cuts"]
-    return sorted(set(cuts))
-
-
-def _segment_of(value: Column, bounds: list) -> Column:
-    """Number of cut points not above ``value``, by binary search over a literal array."""
-    cuts = F.array(*[F.lit(b) for b in bounds])
+def _segment_of(value: Column, cuts: Column, longest: int) -> Column:
+    """Number of cut points not above ``value``, by binary search."""
     step, steps = 1, []
-    while step <= len(bounds):
+    while step <= longest:
         steps.append(step)
         step *= 2
     return F.aggregate(
         F.array(*[F.lit(s) for s in reversed(steps)]), F.lit(0),
-        lambda low, s: F.when((low + s <= len(bounds)) & (F.get(cuts, low + s - 1) <= value), low + s).otherwise(low))
+        lambda low, s: F.when(F.get(cuts, low + s - 1) <= value, low + s).otherwise(low))
 
 
 def _segmented(
     df: DataFrame, group: Sequence[str], order: Sequence[str], hot_rows: int, segment_rows: int,
 ) -> tuple[DataFrame, bool]:
-    """``df`` with a segment column: -1 for normal groups, an ordered number for hot ones."""
+    """``df`` with a segment column: -1 for normal groups, an ordered number for hot ones.
+
+    Each hot group is cut at rows of its own: a sample by hash of the order columns, of which every so
+    manieth is a border. Borders compare as the order itself does, whatever its types.
+    """
     hot = _hot_counts(df, group, hot_rows)
-    if not hot:
+    segment_rows = max(segment_rows, -(-sum(hot.values()) // MAX_SEGMENTS))
+    if not any(n > segment_rows for n in hot.values()):
         return df.withColumn(_SEG, F.lit(-1)), False
-    is_hot = _hash(group).isin(list(hot))
-    bounds = _bounds(df.filter(is_hot).select(order[0]), order[0], sum(hot.values()), segment_rows)
-    if not bounds:
+    spark, place = df.sparkSession, F.struct(*order)
+    names = spark.createDataFrame([(h,) for h in hot], f"{_HASH} long")
+    rate = max(1, segment_rows // _SAMPLES)
+    sample = df.select(_hash(group).alias(_HASH), place.alias("place")).join(F.broadcast(names), _HASH).filter(
+        F.pmod(F.xxhash64(F.lit(3), "place"), F.lit(rate)) == 0)
+    along = Window.partitionBy(_HASH).orderBy("place")
+    borders = sample.distinct().withColumn("i", F.row_number().over(along)).filter(F.col("i") % _SAMPLES == 0)
+    cuts = borders.groupBy(_HASH).agg(F.sort_array(F.collect_list("place")).alias(_CUTS)).toArrow()
+    if not cuts.num_rows:
         return df.withColumn(_SEG, F.lit(-1)), False
-    return df.withColumn(_SEG, F.when(is_hot, _segment_of(F.col(order[0]), bounds)).otherwise(-1)), True
+    longest = max(len(c) for c in cuts.column(_CUTS))
+    kind = T.StructType([T.StructField(_HASH, T.LongType()), T.StructField(_CUTS, T.ArrayType(sample.schema["place"].dataType))])
+    cuts = spark.createDataFrame(cuts, kind)
+    marked = df.withColumn(_HASH, _hash(group)).join(F.broadcast(cuts), _HASH, "left")
+    segment = F.when(F.col(_CUTS).isNotNull(), _segment_of(place, F.col(_CUTS), longest)).otherwise(-1)
+    return marked.withColumn(_SEG, segment).select(*df.columns, _SEG), True
+
+
+def _carried(rows: DataFrame, carry: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """Adds ``value`` of ``carry``, one row per group and segment, also where the group is NULL."""
+    small = carry.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(group)], F.col(_SEG).alias("__gs"), value)
+    same = F.col(_SEG) == F.col("__gs")
+    for i, c in enumerate(group):
+        same = same & F.col(c).eqNullSafe(F.col(f"__g{i}"))
+    return rows.join(F.broadcast(small), same, "left")
 
 
 def row_numbers(
     df: DataFrame, group: Sequence[str], order: Sequence[str], name: str,
     hot_rows: int = HOT_ROWS, segment_rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
-    """``row_number()`` per group. Group columns must not be NULL; ``order[0]`` must be numeric.
+    """``row_number()`` per group; NULL is a group.
 
     ``group`` may be empty: one numbering over everything, still computed in segments.
     """
@@ -148,7 +173,7 @@ def row_numbers(
         .select(*group, _SEG, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
     )
     return (
-        numbered.join(base, [*group, _SEG], "left")
+        _carried(numbered, base, group, "__base")
         .withColumn(name, F.col(name) + F.coalesce(F.col("__base"), F.lit(0)))
         .select(*df.columns, name)
     )
@@ -178,7 +203,7 @@ def neighbours(
         .select(*group, _SEG, shift("__edge").over(across).alias("__carry"))
     )
     return (
-        shifted.join(carry, [*group, _SEG], "left")
+        _carried(shifted, carry, group, "__carry")
         .withColumn(name, F.coalesce(name, "__carry"))
         .select(*df.columns, name)
     )
@@ -206,7 +231,7 @@ def next_value(
         .select(*group, _SEG, F.last("__first", ignorenulls=True).over(across).alias("__carry"))
     )
     return (
-        filled.join(carry, [*group, _SEG], "left")
+        _carried(filled, carry, group, "__carry")
         .withColumn(name, F.coalesce(name, "__carry"))
         .select(*df.columns, name)
     )

@@ -48,16 +48,27 @@ def snapshot_signal(collections: Column, condition: Column, signal_id: Column) -
 
 
 def snapshot_windows(signals: DataFrame) -> DataFrame:
-    """Pairs open and close signals by ``chunk_id``; a window without its close is still open."""
-    return signals.groupBy("chunk_id").agg(
-        F.max(F.when(F.col("type") == OPEN, F.col("pos"))).alias("low"),
-        F.max(F.when(F.col("type") == CLOSE, F.col("pos"))).alias("high"),
-    ).filter(F.col("low").isNotNull())
+    """The last window of each ``chunk_id``: its opening, and the close that follows it.
+
+    A window without a close after its opening is still open (``high`` is NULL), also when an earlier
+    window of the chunk was closed.
+    """
+    low = F.max(F.when(F.col("type") == OPEN, F.col("pos")))
+    close = F.max(F.when(F.col("type") == CLOSE, F.col("pos")))
+    return signals.groupBy("chunk_id").agg(low.alias("low"), close.alias("close")).filter(F.col("low").isNotNull()).select(
+        "chunk_id", "low", F.when(F.col("close") > F.col("low"), F.col("close")).alias("high"))
+
+
+def chunk_number(key: str | Column, chunk_rows: int = CHUNK_ROWS) -> Column:
+    """Chunk of an integer key, in whole numbers; keys below zero have chunks below zero."""
+    key = F.col(key) if isinstance(key, str) else key
+    size = F.lit(chunk_rows).cast("long")
+    return F.call_function("div", key - F.pmod(key, size), size)
 
 
 def chunk_plan(rows: DataFrame, key: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Chunks of equal key range: bounds and row count. No sort, one partial aggregation."""
-    chunk = F.floor(F.col(key) / chunk_rows)
+    chunk = chunk_number(key, chunk_rows)
     return rows.groupBy(chunk.alias("chunk_id")).agg(
         F.min(key).alias("first_key"), F.max(key).alias("last_key"), F.count(F.lit(1)).alias("rows"),
     ).withColumns({
@@ -67,7 +78,7 @@ def chunk_plan(rows: DataFrame, key: str, chunk_rows: int = CHUNK_ROWS) -> DataF
 def chunk_plan_exact(rows: DataFrame, key: str, chunk_rows: int = CHUNK_ROWS, **split) -> DataFrame:
     """Chunks of exactly ``chunk_rows`` rows in key order; the key must be unique and numeric."""
     numbered = row_numbers(rows.select(key), [], [key], "rn", **split)
-    return numbered.groupBy(F.floor((F.col("rn") - 1) / chunk_rows).alias("chunk_id")).agg(
+    return numbered.groupBy(chunk_number(F.col("rn") - 1, chunk_rows).alias("chunk_id")).agg(
         F.min(key).alias("first_key"), F.max(key).alias("last_key"), F.count(F.lit(1)).alias("rows"))
 
 
@@ -102,13 +113,16 @@ def dblog_reconcile(
 ) -> DataFrame:
     """Chunk rows to emit as READ events: those the log did not touch while the chunk was read.
 
-    ``stamp`` adds the position of the opening watermark, so that reads and log can be applied
+    Only chunks with a closed window are emitted; rows of a chunk that has no window yet, or whose
+    window is open, are pending. ``stamp`` adds the position of the opening watermark, so that reads and log can be applied
     together: later events win, and a truncate inside the window removes the reads.
     """
-    changed = superseded_keys(chunk_rows, log, windows, key, pos, chunk, chunk_of, hot_rows)
+    closed = windows.filter(F.col("high").isNotNull())
+    changed = superseded_keys(chunk_rows, log, closed, key, pos, chunk, chunk_of, hot_rows)
     reads = chunk_rows.join(changed, [chunk, key], "left_anti").withColumns({
         "op": F.lit("r"), "event_type": F.lit(EVENT_TYPES["r"])})
-    return join_small(reads, windows.select(chunk, F.col("low").alias(pos)), [chunk], hot_rows=hot_rows) if stamp else reads
+    stamped = join_small(reads, closed.select(chunk, F.col("low").alias("__low")), [chunk], hot_rows=hot_rows)
+    return stamped.withColumnRenamed("__low", pos) if stamp else stamped.drop("__low")
 
 
 def merge_snapshot(reads: DataFrame, log: DataFrame) -> DataFrame:

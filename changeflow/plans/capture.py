@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..envelope import ENVELOPE, canonical_mssql_op
 from ..functions import positions as pos
 from ..operators import continuity
+from ..operators.skew import neighbours
 from ..session import work_path
 from ..sources import engines, readers, sinks
 from ..sources.engines import Source
@@ -31,14 +32,19 @@ def scan_change_log(spark, sf):
         F.col("after")["amount_cents"].alias("a_amount_cents"), F.col("source_ts").cast("string").alias("source_ts"))
 
 
-@query("topic_sink", 'SELECT topic, partition, "offset", \'{"id":\' || key_id || \'}\' AS key, tombstone FROM offsets WHERE key_id IS NOT NULL')
+@query("topic_sink", """
+SELECT topic, partition, "offset", CASE WHEN key_id IS NULL THEN tbl ELSE '{"id":' || key_id || '}' END AS key, tombstone,
+       CASE WHEN NOT tombstone THEN op END AS op, a_status AS status, pos FROM offsets""")
 def topic_sink(spark, sf):
+    """Every event reaches the topic, those without a key too; values are read back from the files."""
     from ..operators.expand import assign_offsets
     path = work_path(spark, "topics")
-    rows = sinks.keyed_messages(assign_offsets(messages(spark, sf))).filter("key_id IS NOT NULL")
-    sinks.write_topic(rows.select("topic", "partition", "offset", "key", "value"), path)
+    rows = sinks.keyed_messages(assign_offsets(messages(spark, sf)))
+    sinks.write_topic(rows.select("topic", "partition", "offset", "key", "value", "headers"), path)
+    doc = F.from_json("value", "op string, after struct<status:string>")
     return spark.read.parquet(path).select(
-        "topic", "partition", "offset", "key", F.col("value").isNull().alias("tombstone"))
+        "topic", "partition", "offset", "key", F.col("value").isNull().alias("tombstone"), doc["op"].alias("op"),
+        doc["after"]["status"].alias("status"), F.col("headers")["pos"].cast("long").alias("pos"))
 
 
 def raw_changes(spark, sf) -> dict[str, tuple[DataFrame, Source]]:
@@ -179,6 +185,20 @@ def parse_mssql_lsn(spark, sf):
     return positions(spark, sf).select("event_id", pos.parse_mssql_lsn(F.col("mssql_lsn")).cast("string").alias("ordinal"))
 
 
+@query("token_order", """
+, t AS (SELECT user_id, concat('8263A29B', lpad(hex(event_id), 8, '0'), '2B0229296E04') AS token FROM positions)
+SELECT CASE WHEN user_id % 4 = 0 THEN NULL ELSE user_id % 4 END AS part, token,
+       LAG(token) OVER (PARTITION BY CASE WHEN user_id % 4 = 0 THEN NULL ELSE user_id % 4 END ORDER BY token) AS previous
+FROM t""")
+def token_order(spark, sf):
+    """The token before each token, in groups large enough to be cut; tokens order as text, and one group is NULL."""
+    rows = positions(spark, sf).select(
+        F.when(F.col("user_id") % 4 != 0, F.col("user_id") % 4).alias("part"),
+        F.concat(F.lit("8263A29B"), F.lpad(F.hex("event_id"), 8, "0"), F.lit("2B0229296E04")).alias("token"))
+    linked = neighbours(rows, ["part"], ["token"], ["token"], "before", hot_rows=100, segment_rows=50)
+    return linked.select("part", "token", F.col("before.token").alias("previous"))
+
+
 @query("resume_token_order", """
 SELECT user_id, MAX(concat('8263A29B', lpad(hex(event_id), 8, '0'), '2B0229296E04')) AS last_token, COUNT(*) AS events
 FROM positions GROUP BY user_id""")
@@ -188,11 +208,12 @@ def resume_token_order(spark, sf):
 
 
 @query("gtid_gaps", """
-, s AS (SELECT string_split(gtid, ':')[1] AS server, CAST(string_split(gtid, ':')[2] AS BIGINT) AS seq FROM positions),
+, s AS (SELECT string_split(gtid, ':')[1] AS server, CAST(string_split(gtid, ':')[2] AS BIGINT) AS seq FROM positions WHERE event_id % 50 <> 0),
 l AS (SELECT server, seq, LAG(seq) OVER (PARTITION BY server ORDER BY seq) AS prev_seq FROM s)
 SELECT server, prev_seq, seq AS next_seq, seq - prev_seq - 1 AS missing FROM l WHERE seq - prev_seq > 1""")
 def gtid_gaps(spark, sf):
-    rows = positions(spark, sf).select(pos.parse_gtid(F.col("gtid")).alias("g")).select("g.*")
+    # Every 50th event is left out, so that there are gaps to find.
+    rows = positions(spark, sf).filter("event_id % 50 <> 0").select(pos.parse_gtid(F.col("gtid")).alias("g")).select("g.*")
     return continuity.sequence_gaps(rows, ["server"], "seq")
 
 

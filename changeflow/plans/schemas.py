@@ -75,8 +75,7 @@ SELECT subject, version, parity_compatible, avro_compatible FROM verdicts""", sh
 def schema_compat_policies(spark, sf):
     """The lenient reference check looks at dropped fields only; the other policy ignores drops."""
     diff = schema_gov.schema_diff(registry(spark, sf))
-    dropped_only = diff.filter(F.col("change") != schema_gov.ALTERED)
-    lenient = schema_gov.schema_compat(dropped_only, check_added_defaults=False)
+    lenient = schema_gov.schema_compat(diff, check_added_defaults=False, check_types=False)
     avro = schema_gov.schema_compat(diff, schema_gov.AVRO_BACKWARD)
     return lenient.select("subject", "version", F.col("compatible").alias("parity_compatible")).join(
         avro.select("subject", "version", F.col("compatible").alias("avro_compatible")), ["subject", "version"])
@@ -104,6 +103,31 @@ def schema_quarantine(spark, sf):
     return schema_gov.quarantine_split(events, verdicts).drop("version")
 
 
+@query("schema_quarantine_gaps", """
+WITH fields AS (
+  SELECT 'part_' || p_partkey || '-value' AS subject, p_partkey, v.version, v.field, CASE WHEN v.field = 'tier' THEN NULL ELSE FALSE END AS has_default
+  FROM part, (VALUES (1, 'id'), (1, 'notes'), (3, 'id'), (3, 'notes'), (3, 'tier'), (7, 'id'), (7, 'notes'), (7, 'tier')) v(version, field)
+  WHERE NOT (v.field = 'tier' AND p_partkey % 3 <> 0) AND NOT (v.version = 7 AND v.field = 'notes' AND p_partkey % 4 = 0)),
+judged AS (
+  SELECT p_partkey, 'part_' || p_partkey || '-value' AS subject, v.version,
+         CASE v.version WHEN 1 THEN TRUE WHEN 3 THEN p_partkey % 3 <> 0 WHEN 7 THEN p_partkey % 4 <> 0 ELSE FALSE END AS good
+  FROM part, (VALUES (1), (2), (3), (7)) v(version))
+SELECT l_orderkey, l_linenumber, j.subject, j.version, CASE WHEN j.good THEN 'main' ELSE 'dlq' END AS route
+FROM lineitem JOIN judged j ON j.p_partkey = l_partkey AND j.version = [1, 2, 3, 7][CAST(l_linenumber % 4 AS INTEGER) + 1]""", shared=False)
+def schema_quarantine_gaps(spark, sf):
+    """Versions 1, 3 and 7; an added field whose default is unknown, a dropped one, and an unknown version 2."""
+    k, f = F.col("p_partkey"), lambda v, n, kind, d=False: F.struct(
+        F.lit(v).alias("version"), F.lit(n).alias("field"), F.lit(kind).alias("type"), F.lit(d).cast("boolean").alias("has_default"))
+    fields = F.array_compact(F.array(
+        f(1, "id", "int"), f(1, "notes", "string"), f(3, "id", "int"), f(3, "notes", "string"), F.when(k % 3 == 0, f(3, "tier", "string", None)),
+        f(7, "id", "int"), F.when(k % 4 != 0, f(7, "notes", "string")), F.when(k % 3 == 0, f(7, "tier", "string", None))))
+    held = table(spark, sf, "part").select(F.concat(F.lit("part_"), k, F.lit("-value")).alias("subject"), F.explode(fields).alias("f"))
+    version = F.element_at(F.array(*[F.lit(v) for v in (1, 2, 3, 7)]), (F.col("l_linenumber") % 4 + 1).cast("int"))
+    events = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.concat(F.lit("part_"), "l_partkey", F.lit("-value")).alias("subject"), version.alias("version"))
+    return schema_gov.quarantine_split(events, schema_gov.schema_verdicts(held.select("subject", "f.*")))
+
+
 @query("schema_versions", """
 , o AS (SELECT segment, array_to_string(list_sort(json_keys(after_json)), ',') AS fingerprint, MIN(key_id) AS first_pos FROM customer_images GROUP BY 1, 2)
 SELECT segment, fingerprint, first_pos, CAST(DENSE_RANK() OVER (PARTITION BY segment ORDER BY first_pos) AS INTEGER) AS version,

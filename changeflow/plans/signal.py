@@ -72,7 +72,7 @@ SELECT slot_name, confirmed_lsn, lag_bytes, CASE WHEN lag_bytes < 1024 THEN lag_
   WHEN lag_bytes < 1073741824 THEN CAST(FLOOR(lag_bytes / 1048576) AS BIGINT) || ' MB'
   ELSE CAST(FLOOR(lag_bytes / 1073741824) AS BIGINT) || ' GB' END AS lag_label FROM l""")
 def slot_lag(spark, sf):
-    return signals.slot_lag(slots(spark, sf), positions(spark, sf))
+    return signals.slot_lag(slots(spark, sf), positions(spark, sf)).withColumn("lag_bytes", F.col("lag_bytes").cast("long"))
 
 
 # The three consumer groups, numbered in this order.

@@ -16,7 +16,7 @@ def order_rows(spark, sf) -> DataFrame:
     """Rows of ``orders`` with the chunk each one belongs to."""
     k = F.col("o_orderkey")
     return table(spark, sf, "orders").select(
-        F.floor(k / CHUNK).alias("chunk_id"), k.alias("key_id"), F.col("o_orderstatus").alias("status"))
+        snapshot.chunk_number(k, CHUNK).alias("chunk_id"), k.alias("key_id"), F.col("o_orderstatus").alias("status"))
 
 
 def window_signals(spark, sf) -> DataFrame:
@@ -70,6 +70,49 @@ def snapshot_windows(spark, sf):
     return snapshot.snapshot_windows(window_signals(spark, sf))
 
 
+REOPENED = """
+, chunks AS (SELECT o_orderkey // 1024 AS chunk_id, o_orderkey AS key_id, o_orderstatus AS status FROM orders),
+spans AS (SELECT DISTINCT chunk_id, 2000000000 + chunk_id * 1024 AS low, 2000000000 + (chunk_id + 1) * 1024 + 512 AS high FROM chunks),
+windows AS (
+  SELECT chunk_id, CASE WHEN chunk_id % 4 IN (1, 2) THEN high + 700 ELSE low END AS low,
+         CASE chunk_id % 4 WHEN 1 THEN NULL WHEN 2 THEN high + 1400 ELSE high END AS high FROM spans WHERE chunk_id % 4 <> 3)
+"""
+
+
+def reopened_signals(spark, sf) -> DataFrame:
+    """By chunk number: 0 one window, 1 closed and opened again, 2 closed twice, 3 no window at all."""
+    c = F.col("chunk_id") % 4
+    spans = window_signals(spark, sf).filter(c != 3)
+    high = F.lit(2_000_000_000) + (F.col("chunk_id") + 1) * CHUNK + 512
+    extra = F.array_compact(F.array(
+        F.when(c.isin(1, 2), F.struct(F.lit(snapshot.OPEN).alias("type"), (high + 700).alias("pos"))),
+        F.when(c == 2, F.struct(F.lit(snapshot.CLOSE).alias("type"), (high + 1400).alias("pos")))))
+    again = spans.select("chunk_id").distinct().select("chunk_id", F.explode(extra).alias("m")).select("chunk_id", "m.*")
+    return spans.unionByName(again)
+
+
+@query("snapshot_windows_reopened", REOPENED + "SELECT chunk_id, low, high FROM windows")
+def snapshot_windows_reopened(spark, sf):
+    return snapshot.snapshot_windows(reopened_signals(spark, sf))
+
+
+@query("dblog_pending", REOPENED + """
+, touched AS (SELECT DISTINCT w.chunk_id, l.key_id FROM windows w JOIN committed l ON l.tbl = 'orders' AND l.pos > w.low AND l.pos < w.high),
+reads AS (SELECT c.*, w.low FROM chunks c JOIN windows w ON c.chunk_id = w.chunk_id AND w.high IS NOT NULL
+          WHERE NOT EXISTS (SELECT 1 FROM touched t WHERE t.chunk_id = c.chunk_id AND t.key_id = c.key_id))
+SELECT TRUE AS stamped, chunk_id, key_id, status, low AS pos FROM reads
+UNION ALL SELECT FALSE, chunk_id, key_id, status, NULL FROM reads""")
+def dblog_pending(spark, sf):
+    """Chunks without a closed window wait, with and without the stamp."""
+    log = committed_log(spark, sf).filter("tbl = 'orders'")
+    windows = snapshot.snapshot_windows(reopened_signals(spark, sf))
+    reads = lambda stamp: snapshot.dblog_reconcile(
+        order_rows(spark, sf), log, windows, chunk_of=snapshot.chunk_number("key_id", CHUNK), stamp=stamp)
+    rows = reads(False).withColumn("pos", F.lit(None).cast("long"))
+    return reads(True).withColumn("stamped", F.lit(True)).unionByName(rows.withColumn("stamped", F.lit(False))).select(
+        "stamped", "chunk_id", "key_id", "status", "pos")
+
+
 @query("chunk_plan", """
 SELECT o_orderkey // 1024 AS chunk_id, MIN(o_orderkey) AS first_key, MAX(o_orderkey) AS last_key, COUNT(*) AS rows,
        o_orderkey // 1024 * 1024 AS low_key, (o_orderkey // 1024 + 1) * 1024 AS high_key
@@ -79,19 +122,18 @@ def chunk_plan(spark, sf):
 
 
 @query("chunk_plan_exact", """
-WITH n AS (SELECT event_id, (ROW_NUMBER() OVER (ORDER BY event_id) - 1) // 1024 AS chunk_id FROM events WHERE event_id % 50 <> 0)
+WITH n AS (SELECT event_id, (ROW_NUMBER() OVER (ORDER BY event_id) - 1) // 1024 AS chunk_id FROM events)
 SELECT chunk_id, MIN(event_id) AS first_key, MAX(event_id) AS last_key, COUNT(*) AS rows FROM n GROUP BY chunk_id""", shared=False)
 def chunk_plan_exact(spark, sf):
-    """On a key with holes, cut into segments even at this size."""
-    rows = table(spark, sf, "events").filter("event_id % 50 <> 0")
-    return snapshot.chunk_plan_exact(rows, "event_id", hot_rows=1000, segment_rows=1000)
+    """Cut into segments even at this size."""
+    return snapshot.chunk_plan_exact(table(spark, sf, "events"), "event_id", hot_rows=1000, segment_rows=1000)
 
 
 @query("dblog_reconcile", WINDOWS + "SELECT chunk_id, key_id, status, 'r' AS op, 'READ' AS event_type FROM reads")
 def dblog_reconcile(spark, sf):
     log = committed_log(spark, sf).filter("tbl = 'orders'")
     windows = snapshot.snapshot_windows(window_signals(spark, sf))
-    return snapshot.dblog_reconcile(order_rows(spark, sf), log, windows, chunk_of=F.floor(F.col("key_id") / CHUNK))
+    return snapshot.dblog_reconcile(order_rows(spark, sf), log, windows, chunk_of=snapshot.chunk_number("key_id", CHUNK))
 
 
 @query("dblog_reconcile_lookup", WINDOWS + "SELECT chunk_id, key_id, status FROM reads")

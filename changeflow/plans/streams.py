@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import materialize
 from ..operators.deadletter import parse_messages
 from ..operators.expand import split_pk_update
-from ..operators.snapshot import snapshot_windows
+from ..operators.snapshot import chunk_number, snapshot_windows
 from ..session import work_path
 from ..sources import readers, sinks
 from ..sources.fixtures import change_log, raw_messages, table, transactions
@@ -20,11 +20,14 @@ from .snapshots import CHUNK, WINDOWS, order_rows, window_signals
 from .state import FIELDS
 
 
-def staged(df: DataFrame, name: str, files: int = 4, max_files: int | None = 2) -> DataFrame:
-    """Writes ``df`` as a few files and returns a stream over them, some files per micro-batch."""
+BATCH_BYTES = 2**30
+
+
+def staged(df: DataFrame, name: str, max_bytes: int = BATCH_BYTES) -> DataFrame:
+    """Writes ``df`` as files, as it is partitioned, and returns a stream over them in batches of bounded size."""
     path = work_path(df.sparkSession, name)
-    df.repartition(files).write.parquet(path)
-    return readers.stream_changes(df.sparkSession, path, df.schema, max_files=max_files)
+    df.write.parquet(path)
+    return readers.stream_changes(df.sparkSession, path, df.schema, max_bytes=max_bytes)
 
 
 @query("stream_change_log", "SELECT tbl, op, key_id, pos, tx_id, a_status AS status FROM change_log")
@@ -50,7 +53,7 @@ def stream_resume(spark, sf):
     topic, path, ck = work_path(spark, "topic"), work_path(spark, "resumed"), work_path(spark, "ck")
     for first_half in (True, False):
         log.filter((F.col("pos") % 2 == 0) == first_half).write.mode("append").parquet(topic)
-        stream = readers.stream_changes(spark, topic, log.schema, max_files=2)
+        stream = readers.stream_changes(spark, topic, log.schema, max_bytes=BATCH_BYTES)
         jobs.finish(jobs.materialize_stream(stream, path, ck))
     return sinks.read_applied(spark, path).select("tbl", "key_id", F.col("after.status").alias("status"), "pos")
 
@@ -80,6 +83,39 @@ def stream_tx_buffer(spark, sf):
     return spark.read.parquet(out)
 
 
+@query("stream_tx_expired", """
+WITH e AS (SELECT event_id, ts, CAST(FLOOR(event_id / 10) AS BIGINT) AS tx_id FROM events),
+o AS (SELECT tx_id, CASE WHEN tx_id % 5 = 0 THEN 'ABORTED' ELSE 'COMMITTED' END AS status, MAX(ts) AS ended FROM e WHERE tx_id % 7 <> 3 GROUP BY tx_id),
+mark AS (SELECT LEAST((SELECT MAX(ts) FROM e), (SELECT MAX(ended) FROM o)) - INTERVAL 10 MINUTE AS w)
+SELECT e.event_id, e.tx_id, COALESCE(o.status, 'EXPIRED') AS settled FROM e LEFT JOIN o ON e.tx_id = o.tx_id
+WHERE o.status IS NOT NULL OR e.ts + INTERVAL 2 DAY < (SELECT w FROM mark)""", shared=False)
+def stream_tx_expired(spark, sf):
+    """Every seventh transaction never ends: its events come out as expired once the watermark has passed them."""
+    events = table(spark, sf, "events").select("event_id", "ts", F.floor(F.col("event_id") / 10).alias("tx_id"))
+    ended = events.filter("tx_id % 7 <> 3").groupBy("tx_id").agg(F.max("ts").alias("ended")).withColumn(
+        "status", F.when(F.col("tx_id") % 5 == 0, "ABORTED").otherwise("COMMITTED"))
+    left = event_stream(spark, sf).select(
+        "event_id", "ts", F.floor(F.col("event_id") / 10).alias("tx_id"), F.col("event_id").alias("pos"), F.lit("events").alias("tbl"))
+    right = staged(ended, "endings").withColumn("ended", F.col("ended").cast("timestamp"))
+    out = work_path(spark, "settled")
+    rows = jobs.settled_stream(left, right, "ts", "ended", "10 minutes", "2 days").select("event_id", "tx_id", "settled")
+    jobs.run_stateful(spark, lambda: jobs.append_files(rows, out, work_path(spark, "ck")))
+    return spark.read.parquet(out)
+
+
+@query("stream_truncate_ddl", """
+SELECT tbl, key_id, a_customer_id AS customer_id, a_status AS status, a_amount_cents AS amount_cents, pos FROM state""")
+def stream_truncate_ddl(spark, sf):
+    """Rows, truncates and later schema changes of one table in one micro-batch."""
+    log = committed_log(spark, sf)
+    ddl = log.groupBy("tbl").agg((F.max("pos") + 1).alias("pos"), F.max("tx_id").alias("tx_id"), F.max("source_ts").alias("source_ts")).select(
+        "tbl", F.lit("DDL_ADD_COL").alias("op"), "pos", "tx_id", "source_ts")
+    path = work_path(spark, "with_ddl")
+    stream = staged(log.unionByName(ddl, allowMissingColumns=True), "with_ddl_topic")
+    jobs.finish(jobs.materialize_stream(stream, path, work_path(spark, "ck"), fold_every=2))
+    return sinks.read_applied(spark, path).select("tbl", "key_id", *flat("", "after"), "pos")
+
+
 def event_stream(spark, sf) -> DataFrame:
     """The events file itself as a stream."""
     schema = table(spark, sf, "events").schema
@@ -100,6 +136,20 @@ def stream_golden_signals(spark, sf):
     return spark.read.parquet(out).withColumn("window_start", F.col("window_start").cast("string"))
 
 
+@query("stream_late_rows", """
+WITH first AS (SELECT MAX(ts) - INTERVAL 10 MINUTE AS mark FROM events WHERE event_id % 10 <> 0)
+SELECT event_id, event_id % 10 = 0 AND ts < (SELECT mark FROM first) AS late FROM events""", shared=False)
+def stream_late_rows(spark, sf):
+    """A tenth of the events arrives in a second delivery; those behind the watermark are kept apart as rows."""
+    events = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    topic, path, ck = work_path(spark, "deliveries"), work_path(spark, "by_lateness"), work_path(spark, "ck")
+    for second in (False, True):
+        events.filter((F.col("event_id") % 10 == 0) == second).write.mode("append").parquet(topic)
+        stream = readers.stream_changes(spark, topic, events.schema)
+        jobs.finish(jobs.lateness_stream(stream, "ts", 600, path, ck))
+    return jobs.by_lateness(spark, path).select("event_id", "late")
+
+
 @query("stream_dedupe", "SELECT event_id, user_id, event_type FROM events", shared=False)
 def stream_dedupe(spark, sf):
     out = work_path(spark, "unique")
@@ -128,7 +178,7 @@ def stream_snapshot_window(spark, sf):
     log = committed_log(spark, sf).filter("tbl = 'orders'").select("key_id", "pos")
     rows, windows = order_rows(spark, sf), snapshot_windows(window_signals(spark, sf))
     path = work_path(spark, "superseded")
-    chunk_of = F.floor(F.col("key_id") / CHUNK)
+    chunk_of = chunk_number("key_id", CHUNK)
     jobs.finish(jobs.superseded_stream(staged(log, "orders_log"), rows, windows, path, work_path(spark, "ck"), chunk_of))
     reached = log.agg(F.max("pos")).first()[0]
     return jobs.closed_chunks(spark, rows, windows, path, reached)

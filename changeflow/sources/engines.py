@@ -1,7 +1,12 @@
 """Normalisers from the change formats of six engines to the canonical envelope.
 
 A normaliser is one projection (SQL Server needs one grouping to pair its update images). Row
-images may arrive as struct, map or JSON text columns.
+images may arrive as struct, map or JSON text columns. Many rows share one position, so the place of a
+row in its transaction is taken in (``row_ord``, where the source gives it) and becomes, with the key,
+part of the event id and of the order. ``source_ts``, ``capture_ts``, ``tx_ts`` and ``tx_id`` are
+taken in under these names where the raw changes have them.
+
+``from_envelope`` turns envelopes into the flat log that the state operators read.
 """
 
 from __future__ import annotations
@@ -13,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..envelope import canonical_mssql_op, canonical_op, category, event_type
+from ..envelope import STATUSES, canonical_mssql_op, canonical_op, category, event_type
+from ..functions.diffing import diff_fields
 from ..functions.positions import position_ordinal
 from ..functions.routing import event_id
 from ..operators.transforms import extract_key
@@ -64,6 +70,9 @@ def _envelope(
 ) -> DataFrame:
     df = df.withColumns({"__b": image(df, before), "__a": image(df, after)})
     b, a = F.col("__b"), F.col("__a")
+    given = lambda name, kind: (F.col(name) if name in df.columns else F.lit(None)).cast(kind)
+    if tx is None and "tx_id" in df.columns:
+        tx = "tx_id"
     if moved:
         changed = F.lit(False)
         for k in source.pk:
@@ -71,20 +80,25 @@ def _envelope(
         op = F.when((op == "u") & changed, "pk").otherwise(op)
     if schema is None:
         schema = F.lit(source.schema).cast("string")
+    key = extract_key(b, a, source.pk) if key is None else key
+    place = given("row_ord", "int") if sub is None else sub
     return df.select(
-        event_id(F.lit(engine), F.lit(source.database), table, F.col(position), F.lit(0) if sub is None else sub).alias("event_id"),
+        event_id(F.lit(engine), F.lit(source.database), schema, table, F.col(position), place, F.to_json(key), op).alias("event_id"),
         event_type(op).alias("event_type"), op.alias("op"), category(op).alias("category"),
         F.struct(
             F.lit(engine).alias("type"), F.lit(source.cluster).cast("string").alias("cluster"),
             F.lit(source.database).alias("database"), schema.alias("schema"), table.alias("table")).alias("source"),
         F.struct(
             (F.col(tx).cast("string") if tx else F.lit(None).cast("string")).alias("id"),
-            F.lit(None).cast("timestamp").alias("ts"), F.lit(None).cast("int").alias("ord")).alias("tx"),
+            given("tx_ts", "timestamp").alias("ts"), place.cast("int").alias("ord")).alias("tx"),
         F.struct(F.lit(position_type).alias("type"), F.col(position).cast("string").alias("value")).alias("position"),
         position_ordinal(engine, F.col(position).cast("string")).alias("pos_ord"),
-        (extract_key(b, a, source.pk) if key is None else key).alias("key"),
-        b.alias("before"), a.alias("after"),
-        F.lit(source.connector).cast("string").alias("connector"), F.lit(False).alias("snapshot"))
+        key.alias("key"), b.alias("before"), a.alias("after"), diff_fields(b, a).alias("diff_fields"),
+        given("topic", "string").alias("topic"), given("partition", "int").alias("partition"), given("offset", "long").alias("offset"),
+        given("schema_id", "int").alias("schema_id"), given("schema_version", "int").alias("schema_version"),
+        F.lit(source.connector).cast("string").alias("connector"), (op == "r").alias("snapshot"),
+        given("source_ts", "timestamp").alias("source_ts"), given("capture_ts", "timestamp").alias("capture_ts"),
+        F.lit(STATUSES[0]).alias("status"))
 
 
 def _postgres(raw: DataFrame, source: Source) -> DataFrame:
@@ -101,7 +115,7 @@ def _mysql(raw: DataFrame, source: Source) -> DataFrame:
 
 def _mariadb(raw: DataFrame, source: Source) -> DataFrame:
     """``table, op, gtid, after`` and possibly ``before``."""
-    return _envelope(raw, "mariadb", source, canonical_op(F.col("op")), "GTID", "gtid", F.col("table"))
+    return _envelope(raw, "mariadb", source, canonical_op(F.col("op")), "GTID", "gtid", F.col("table"), moved=True)
 
 
 def _oracle(raw: DataFrame, source: Source) -> DataFrame:
@@ -114,15 +128,16 @@ def pair_mssql(raw: DataFrame, columns: str = "columns") -> DataFrame:
     """Change-table rows ``operation, start_lsn, seqval, table, columns`` with the two images of an
     update in one row. At most two rows share a (position, sequence)."""
     code = F.col("operation")
+    kept = [c for c in ("row_ord", "source_ts", "capture_ts", "tx_ts", "tx_id") if c in raw.columns]
     picked = lambda *codes: F.max(F.when(code.isin(*codes), F.col(columns)))
     return raw.groupBy("table", "start_lsn", "seqval").agg(
-        F.max(code).alias("operation"), picked(1, 3).alias("before"), picked(2, 4).alias("after"))
+        F.max(code).alias("operation"), picked(1, 3).alias("before"), picked(2, 4).alias("after"), *[F.max(c).alias(c) for c in kept])
 
 
 def _sqlserver(raw: DataFrame, source: Source) -> DataFrame:
     paired = pair_mssql(raw)
     return _envelope(paired, "sqlserver", source, canonical_mssql_op(F.col("operation")), "LSN", "start_lsn", F.col("table"),
-                     sub=F.col("seqval"))
+                     sub=F.conv("seqval", 16, 10).cast("int"))
 
 
 def _mongodb(raw: DataFrame, source: Source) -> DataFrame:
@@ -146,3 +161,21 @@ def normalize_all(raws: dict[str, tuple[DataFrame, Source]]) -> DataFrame:
         one = normalize(engine, raw, source)
         out = one if out is None else out.unionByName(one, allowMissingColumns=True)
     return out
+
+
+def from_envelope(envelopes: DataFrame) -> DataFrame:
+    """The flat change log of envelopes: ``tbl, op, key_id, old_key_id, before, after, pos, sub_order,
+    tx_id, source_ts, event_id``.
+
+    A key of any number of fields becomes JSON text, with its fields in one order. Tables of different
+    sources never share a name, and a table has one source, so positions of one kind are compared: numbers of
+    one width as text, resume tokens as they are.
+    """
+    key = F.col("key")
+    before = F.map_from_arrays(F.map_keys(key), F.transform(F.map_keys(key), lambda k: F.try_element_at(F.col("before"), k)))
+    text = lambda m: F.to_json(F.map_from_entries(F.array_sort(F.map_entries(m))))
+    return envelopes.select(
+        F.concat_ws(".", "source.type", "source.database", "source.schema", "source.table").alias("tbl"), "op",
+        F.when(F.size(key) > 0, text(key)).alias("key_id"), F.when(F.col("op") == "pk", text(before)).alias("old_key_id"),
+        "before", "after", F.coalesce(F.lpad(F.col("pos_ord").cast("string"), 38, "0"), "position.value").alias("pos"),
+        F.coalesce("tx.ord", F.lit(0)).alias("sub_order"), F.col("tx.id").alias("tx_id"), "source_ts", "event_id")

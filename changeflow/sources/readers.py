@@ -16,12 +16,14 @@ def scan_changes(spark: SparkSession, path: str, schema: StructType = ENVELOPE,
 
 def stream_changes(
     spark: SparkSession, path: str, schema: StructType = ENVELOPE, fmt: str = "parquet",
-    max_files: int | None = None, glob: str | None = None,
+    max_files: int | None = None, glob: str | None = None, max_bytes: int | None = None,
 ) -> DataFrame:
-    """Streaming scan of a folder of files; ``max_files`` bounds what one micro-batch takes in."""
+    """Streaming scan of a folder of files; ``max_bytes`` or ``max_files`` bounds what one micro-batch takes in."""
     reader = spark.readStream.schema(schema).format(fmt)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
+    if max_bytes:
+        reader = reader.option("maxBytesPerTrigger", max_bytes)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     return reader.load(path)

@@ -5,23 +5,32 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..envelope import LAYOUT, Layout
+from ..functions.wire import wire_encode
 from ..operators.deadletter import with_route
 from ..operators.expand import split_pk_update
 from ..operators.materialize import latest_per_key, truncate_barrier
 
 
-def keyed_messages(events: DataFrame, layout: Layout = LAYOUT) -> DataFrame:
-    """Topic records ``topic, partition, key, value`` in JSON; a tombstone has a NULL value."""
+def keyed_messages(events: DataFrame, layout: Layout = LAYOUT, schema_id: Column | None = None) -> DataFrame:
+    """Topic records ``topic, partition, key, value, headers`` in JSON; a tombstone has a NULL value.
+
+    With a ``schema_id`` the value starts with the wire header, as the parser expects it. Events
+    without a key go under the name of their table. The headers tell the table and the commit order.
+    """
     value = F.to_json(F.struct(layout.op, layout.before, layout.after), {"ignoreNullFields": "false"})
+    if schema_id is not None:
+        value = wire_encode(schema_id, value)
     dead_row = F.col("tombstone") if "tombstone" in events.columns else F.lit(False)
+    key = F.to_json(F.when(F.col(layout.key).isNotNull(), F.struct(F.col(layout.key).alias("id"))))
+    order = [F.lit("pos"), F.col(layout.pos).cast("string"), F.lit("sub"), F.col(layout.sub).cast("string")]
     return events.withColumns({
-        "key": F.to_json(F.struct(F.col(layout.key).alias("id"))), "value": F.when(~dead_row, value)})
+        "key": F.coalesce(key, F.col(layout.table)), "value": F.when(~dead_row, value),
+        "headers": F.create_map(F.lit("table"), F.col(layout.table), *order)})
 
 
 def write_topic(messages: DataFrame, path: str) -> None:
@@ -45,19 +54,18 @@ def _kept(layout: Layout) -> list[str]:
 
 
 def apply_batch(batch: DataFrame, batch_id: int, path: str, layout: Layout = LAYOUT) -> None:
-    """Stores the last event per key of a micro-batch in one pass; the last truncate of a table is
-    the row without a key."""
-    last = latest_per_key(split_pk_update(batch, layout), layout, _kept(layout))
-    last.write.mode("overwrite").parquet(batch_folder(f"{path}/changes", batch_id))
+    """Stores the last event per key of a micro-batch in one pass, and the last truncate of each table
+    as a row without a key. Other events without a key, such as schema changes, hold no state."""
+    rows = split_pk_update(batch, layout).filter(F.col(layout.key).isNotNull() | (F.col(layout.op) == "t"))
+    latest_per_key(rows, layout, _kept(layout)).write.mode("overwrite").parquet(batch_folder(f"{path}/changes", batch_id))
 
 
 def _newest_base(spark: SparkSession, path: str) -> int | None:
-    try:
-        return spark.read.parquet(f"{path}/base").agg(F.max("upto")).first()[0]
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
+    """The newest base that was written to its end, from the names of its folder alone."""
+    jvm = spark.sparkContext._jvm
+    marks = jvm.org.apache.hadoop.fs.Path(f"{path}/base/upto=*/_SUCCESS")
+    found = marks.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(marks) or []
+    return max((int(f.getPath().getParent().getName().split("=")[1]) for f in found), default=None)
 
 
 def _stored(spark: SparkSession, path: str, base: int | None, upto: int | None = None) -> DataFrame:

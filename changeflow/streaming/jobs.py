@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..envelope import LAYOUT, Layout
 from ..operators.snapshot import superseded_keys
 from ..session import keep_state_on_disk
-from ..sources.sinks import apply_batch, batch_folder, route_batch, start_batches
+from ..sources.sinks import apply_batch, batch_folder, fold_batches, route_batch, start_batches
 
 STATE_SALTS = 16
 
@@ -43,9 +43,20 @@ def append_files(stream: DataFrame, path: str, checkpoint: str, partition_by: tu
     return writer.trigger(availableNow=True).start(path)
 
 
-def materialize_stream(stream: DataFrame, path: str, checkpoint: str, layout: Layout = LAYOUT) -> StreamingQuery:
-    """Applies committed changes batch by batch; read the table with ``read_applied``."""
-    return start_batches(stream, checkpoint, lambda df, i: apply_batch(df, i, path, layout))
+FOLD_EVERY = 16
+
+
+def materialize_stream(
+    stream: DataFrame, path: str, checkpoint: str, layout: Layout = LAYOUT, fold_every: int = FOLD_EVERY,
+) -> StreamingQuery:
+    """Applies committed changes batch by batch and folds every ``fold_every`` of them into a base;
+    read the table with ``read_applied``."""
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        apply_batch(batch, batch_id, path, layout)
+        if (batch_id + 1) % fold_every == 0:
+            fold_batches(batch.sparkSession, path, batch_id, layout)
+
+    return start_batches(stream, checkpoint, handle)
 
 
 def latest_stream(stream: DataFrame, path: str, checkpoint: str, layout: Layout = LAYOUT) -> StreamingQuery:
@@ -61,26 +72,38 @@ def latest_stream(stream: DataFrame, path: str, checkpoint: str, layout: Layout
             .trigger(availableNow=True).start())
 
 
-def committed_stream(
+EXPIRED = "EXPIRED"
+
+
+def settled_stream(
     events: DataFrame, outcomes: DataFrame, event_ts: str, outcome_ts: str, delay: str, max_open: str,
     layout: Layout = LAYOUT, salts: int = STATE_SALTS,
 ) -> DataFrame:
-    """Holds events until their transaction commits; rolled-back ones never leave.
+    """Events with ``settled``: the outcome of their transaction, as soon as it arrives.
 
     A stream-stream join with its state in the state store. The salt spreads one huge transaction
-    over many tasks; only the few outcome rows are repeated. Events without an outcome within
-    ``max_open`` are dropped by the watermark.
+    over many tasks; only the few outcome rows are repeated. Events whose outcome does not come
+    within ``max_open`` leave as EXPIRED when the watermark passes them, so none is lost.
     """
     left = events.withWatermark(event_ts, delay).withColumn(
         "__salt", F.pmod(F.xxhash64(layout.table, layout.pos), F.lit(salts)).cast("int"))
-    right = (
-        outcomes.filter(F.col("status") == "COMMITTED").withWatermark(outcome_ts, delay)
-        .select(F.col(layout.tx).alias("__tx"), F.col(outcome_ts).alias("__done"))
-        .withColumn("__rsalt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
+    right = outcomes.withWatermark(outcome_ts, delay).select(
+        F.col(layout.tx).alias("__tx"), F.col(outcome_ts).alias("__done"), F.col("status").alias("__status")).withColumn(
+        "__rsalt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     span = F.expr(f"INTERVAL {max_open}")
     same = (F.col(layout.tx) == F.col("__tx")) & (F.col("__salt") == F.col("__rsalt"))
     in_time = (F.col("__done") >= F.col(event_ts) - span) & (F.col("__done") <= F.col(event_ts) + span)
-    return left.join(right, same & in_time, "inner").drop("__tx", "__done", "__salt", "__rsalt")
+    joined = left.join(right, same & in_time, "left_outer")
+    return joined.withColumn("settled", F.coalesce("__status", F.lit(EXPIRED))).drop("__tx", "__done", "__status", "__salt", "__rsalt")
+
+
+def committed_stream(
+    events: DataFrame, outcomes: DataFrame, event_ts: str, outcome_ts: str, delay: str, max_open: str,
+    layout: Layout = LAYOUT, salts: int = STATE_SALTS,
+) -> DataFrame:
+    """Holds events until their transaction commits; rolled-back ones never leave. See ``settled_stream``."""
+    settled = settled_stream(events, outcomes, event_ts, outcome_ts, delay, max_open, layout, salts)
+    return settled.filter(F.col("settled") == "COMMITTED").drop("settled")
 
 
 def windowed_signals(stream: DataFrame, ts: str, delay: str, window: str, measures: Mapping[str, Column]) -> DataFrame:
@@ -95,8 +118,31 @@ def dedupe_stream(stream: DataFrame, ts: str, delay: str, event_id: str = "event
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([event_id])
 
 
+def lateness_stream(stream: DataFrame, ts: str, delay_seconds: int, path: str, checkpoint: str) -> StreamingQuery:
+    """Writes all rows of a stream, late ones apart: those more than the delay behind the newest row of
+    earlier batches, which a watermark of that delay would drop. Each batch also stores its newest time."""
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        newest = None
+        if batch_id:
+            marks = spark.read.schema("newest timestamp, batch_id long").parquet(f"{path}/marks")
+            newest = marks.filter(F.col("batch_id") < batch_id).agg(F.max("newest").cast("string")).first()[0]
+        bound = F.lit(newest).cast("timestamp") - F.make_dt_interval(secs=F.lit(delay_seconds))
+        late = F.coalesce(F.col(ts) < bound, F.lit(False))
+        batch.withColumn("late", late).write.mode("overwrite").partitionBy("late").parquet(batch_folder(f"{path}/rows", batch_id))
+        batch.agg(F.max(ts).alias("newest")).write.mode("overwrite").parquet(batch_folder(f"{path}/marks", batch_id))
+
+    return start_batches(stream, checkpoint, handle)
+
+
+def by_lateness(spark: SparkSession, path: str) -> DataFrame:
+    """Rows written by ``lateness_stream`` with ``batch_id`` and ``late``."""
+    return spark.read.parquet(f"{path}/rows").withColumn("late", F.col("late").cast("boolean"))
+
+
 def late_rows(query: StreamingQuery) -> int:
-    """Rows dropped as late over the progress reports of a query."""
+    """Rows dropped as late over the progress reports a query still holds (a hundred by default);
+    ``lateness_stream`` keeps the rows themselves."""
     return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
 
 
