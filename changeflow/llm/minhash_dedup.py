@@ -68,8 +68,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # Both shares of the prefix rule: values of one node alone come first in the order and need no list.
     own = values.join(shared, "key").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("held"))
     prefix = F.slice("held", F.lit(1), F.size("held") - (MATCHES - 1))
-    posts = written(own.filter(F.size("held") >= MATCHES).select("node", "n", F.explode(prefix).alias("p")).select(
-        F.col("p.key").alias("key"), "node", "n"), "posts")
+    posts = written(own.filter(F.size("held") >= MATCHES).select(
+        "node", "n", F.aggregate("held", F.lit(0).cast("long"), lambda s, h: s + h["df"]).alias("weight"),
+        F.explode(prefix).alias("p")).select(F.col("p.key").alias("key"), "node", "n", "weight"), "posts")
     wanted = written(posts.select("node").distinct().join(nodes.select("node", "did"), "node").select("did").distinct(), "wanted")
     texts = docs.select(known_id().alias("did"), "text").join(wanted, "did", "left_semi")
     sets = written(full_sets(texts).dropDuplicates(["node"]), "sets")

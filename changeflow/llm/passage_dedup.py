@@ -94,7 +94,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     nodes = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
     values = written(nodes.select("node", "n", F.explode(F.array_distinct("bands")).alias("key")), "bands")
     shared = values.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    posts = written(values.join(shared.select("key"), "key").select("key", "node", "n"), "posts")
+    met = values.join(shared, "key")
+    weight = met.groupBy("node").agg(F.sum("df").alias("weight"))
+    posts = written(met.join(weight, "node").select("key", "node", "n", "weight"), "posts")
     places = rows.groupBy("node").agg(F.min(F.struct("did", "paragraph")).alias("at"))
     wanted = posts.select("node").distinct().join(places, "node").groupBy(F.col("at.did").alias("did")).agg(
         F.collect_set("at.paragraph").alias("wanted"))

@@ -6,14 +6,14 @@ space, A-Z lower-cased; a shingle is five words, or the whole of a shorter text,
 
 ``link`` finds all links that matter for components among nodes that meet in posting lists, without
 writing out the pairs of a list: first every member of a list is compared with one hub of the list;
-then only members that lie in different components so far are compared with each other. Whatever the
-size of a group of near copies, its members meet in one component after the first step, and no link
-between different components is left out by the second.
+then only members that lie in different components so far are compared with each other, by an exact
+prefix filter over their full sets. Whatever the size of a group of near copies, its members meet in one
+component in the first step, and no link between different components is left out by the second.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,19 +26,29 @@ from .common import components, written
 WORDS = 5
 SIMILAR = 75  # per cent
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-_CACHED_WORDS = 400_000
+_CACHED_WORDS = 200_000
 _CHUNK = 1 << 17
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _CACHED_WORDS:
+class Remembered(dict):
+    """A cache of what ``make`` gives for a key, of two generations of ``size`` keys at most."""
+
+    def __init__(self, make: Callable, size: int = _CACHED_WORDS):
+        super().__init__()
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
             self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        self[key] = value
         return value
 
 
-_hashes = _WordHashes()
+_hashes = Remembered(xxhash.xxh3_64_intdigest)
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -117,29 +127,55 @@ def _could_be(n: Column, m: Column) -> Column:
     return 100 * F.least(n, m) >= SIMILAR * F.greatest(n, m)
 
 
+def _unlinked(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of different ``part`` whose full sets may still reach the similarity.
+
+    An exact prefix filter: the shingles of a node are put in one order for all nodes, the rarest first,
+    and only so many are posted that a partner must share one of them. Where two nodes first meet, the
+    shingles that are left bound what they can share, which ends most meetings in the join itself. A list
+    within one part is not posted, and the largest part of a list meets the others only.
+    """
+    tokens = open_.join(sets, "node").select("node", "part", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
+    shared = tokens.groupBy("key").agg(
+        F.count(F.lit(1)).alias("df"), (F.min("part") != F.max("part")).alias("mixed")).filter("df > 1")
+    held = tokens.join(shared, "key").groupBy("node", "part", "n").agg(
+        F.array_sort(F.collect_list(F.struct("df", "key", "mixed"))).alias("held"))
+    placed = held.select("node", "part", "n", F.posexplode("held").alias("i", "t"), (F.col("n") - F.size("held")).alias("alone"))
+    longest = F.floor(F.col("n") * (100 - SIMILAR) / 100)  # the last place at which a partner must have been met
+    posts = written(placed.select("node", "part", "n", (F.col("alone") + F.col("i")).alias("p"), F.col("t.key").alias("key"), "t.mixed").filter(
+        (F.col("p") <= longest) & F.col("mixed")).drop("mixed"), "prefixes")
+    parts = posts.groupBy("key", "part").agg(F.count(F.lit(1)).alias("rows"))
+    main = parts.groupBy("key").agg(
+        F.max(F.struct("rows", "part")).getField("part").alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    mixed = posts.join(main.select("key", "main"), "key")
+    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("node", "part", "n", "p")]
+    others = mixed.filter("part <> main").select("key", *side("a"))
+    every = mixed.select("key", "main", *side("b"))
+    # The smaller set's own prefix is shorter: its partner has as many shingles at least.
+    short = F.when(F.col("n_a") <= F.col("n_b"), F.struct(F.col("n_a").alias("n"), F.col("p_a").alias("p"))).otherwise(
+        F.struct(F.col("n_b").alias("n"), F.col("p_b").alias("p")))
+    needed = F.ceil((F.col("n_a") + F.col("n_b")) * SIMILAR / (100 + SIMILAR))
+    return others.join(every, "key").filter(
+        (F.col("part_a") != F.col("part_b")) & ((F.col("part_b") == F.col("main")) | (F.col("node_a") < F.col("node_b")))
+        & _could_be(F.col("n_a"), F.col("n_b")) & (short["p"] <= short["n"] - F.ceil(short["n"] * 2 * SIMILAR / (100 + SIMILAR)))
+        & (F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) >= needed)
+    ).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
 def link(posts: DataFrame, sets: DataFrame, promising=None) -> DataFrame:
     """(id, component_id) over the links among nodes that share a list.
 
-    ``posts`` is (key, node, n): the lists with the size of each node's set. ``promising`` narrows
-    candidate pairs (a, b) before the full sets are compared; ``sets`` must hold every node of ``posts``.
+    ``posts`` is (key, node, n, weight): the lists, the size of each node's set, and how frequent its
+    values are; the weightiest node of a list is its hub. ``promising`` narrows the pairs with hubs
+    before the full sets are compared; ``sets`` must hold every node of ``posts`` once.
     """
-    promising = promising or (lambda pairs: pairs)
-    hubs = posts.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"))
-    first = written(posts.join(hubs, "key").filter("node <> hub.node").filter(_could_be(F.col("n"), F.col("hub.n"))).select(
-        F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct(), "hub-pairs")
-    links = written(similar_enough(promising(first), sets), "hub-links")
+    hubs = posts.groupBy("key").agg(F.max(F.struct("weight", "node", "n")).alias("hub"))
+    first = posts.join(hubs, "key").filter("node <> hub.node").filter(_could_be(F.col("n"), F.col("hub.n"))).select(
+        F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
+    links = written(similar_enough(promising(first) if promising else first, sets), "hub-links")
     groups = components(links).withColumnRenamed("id", "node")
-    placed = written(posts.join(groups, "node", "left").select(
-        "key", "node", "n", F.coalesce("component_id", "node").alias("part")), "placed")
-    # Of every list with two components or more, the largest one is compared with the others only.
-    parts = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("rows"))
-    mixed = parts.groupBy("key").agg(
-        F.max(F.struct("rows", "part")).getField("part").alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    mixed = placed.join(mixed.select("key", "main"), "key")
-    others = mixed.filter("part <> main").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
-    rest = mixed.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"), "main")
-    second = others.join(rest, "key").filter("pa <> pb AND (pb = main OR a < b)").filter(_could_be(F.col("na"), F.col("nb")))
-    second = second.select("a", "b").distinct().join(first, ["a", "b"], "left_anti").join(
-        first.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    more = written(similar_enough(promising(second), sets), "cross-links")
+    placed = written(posts.join(groups, "node", "left").select("key", "node", F.coalesce("component_id", "node").alias("part")), "placed")
+    mixed = placed.groupBy("key").agg((F.min("part") != F.max("part")).alias("mixed")).filter("mixed").select("key")
+    open_ = written(placed.join(mixed, "key", "left_semi").select("node", "part").distinct(), "open")
+    more = written(similar_enough(_unlinked(open_, sets), sets), "cross-links")
     return components(links.union(more))
