@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, minhash_dedup, passage_dedup, quality, secret_scan
+from . import (
+    language_id, line_dedup, minhash_dedup, packing, passage_dedup, quality, secret_scan, subword, token_counts, vector_dedup,
+)
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,9 +21,14 @@ def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": _over("documents", line_dedup.op1_line_dedup),
     "op2_secret_scan": _over("documents", secret_scan.op2_secret_scan),
+    "op3_language_id": _over("documents", language_id.op3_language_id),
+    "op4_best_fit_packing": _over("documents", packing.op4_best_fit_packing),
     "op5_minhash_dedup": _over("documents", minhash_dedup.op5_minhash_dedup),
     "op6_passage_dedup": _over("documents", passage_dedup.op6_passage_dedup),
     "op7_quality_rules": _over("documents", quality.op7_quality_rules),
+    "op8_vector_dedup": _over("embeddings", vector_dedup.op8_vector_dedup),
+    "op9_token_counts": _over("documents", token_counts.op9_token_counts),
+    "op10_sentencepiece": _over("documents", subword.op10_sentencepiece),
 }
 
 ORACLES: dict[str, str] = {
