@@ -68,7 +68,7 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYT
         if found["n"] > rows or (found["bytes"] or 0) > size:
             return None
     small = few.toArrow()
-    return None if small.num_rows > rows else df.sparkSession.createDataFrame(small, df.schema)
+    return None if small.num_rows > rows or small.nbytes > size else df.sparkSession.createDataFrame(small, df.schema)
 
 
 def join_small(
