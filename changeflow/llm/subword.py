@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from .similar import Remembered, small_batches
 
 MARK = "▁"
+_SHORT = 48
 _PARTS = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -57,10 +59,42 @@ class MergeModel:
         self.unknown = p.unk_id()
         self.neighbours = {piece[i:i + 2] for piece in self.rank for i in range(len(piece) - 1)}
         self.cut = not any(MARK in piece.lstrip(MARK) for piece in self.rank)
-        self.runs = Remembered(self.agenda)
+        self.raw_of = [bytes([self.byte_of[i]]) if i in self.byte_of else self.pieces[i].replace(MARK, " ").encode() for i in ids]
+        self.decimal_of = [str(i).encode() for i in ids]
+        self.runs = Remembered(lambda text: self.short_agenda(text) if len(text) <= _SHORT else self.agenda(text))
         self.parts = Remembered(self._part)
-        self.words = Remembered(lambda word: self.parts[MARK + word])
-        self.fresh: dict[str, bytes] = {}
+        self.words = Remembered(lambda word: self._part(MARK + word))
+        self.fresh: list[tuple[str, list[int]]] = []
+
+    def short_agenda(self, text: str) -> list[int]:
+        """As ``agenda``; for a few symbols a list of all adjacent pairs is searched faster than a heap is kept."""
+        rank = self.rank.get
+        symbol, none = list(text), float("inf")
+        agenda = [rank(text[i:i + 2], none) for i in range(len(text) - 1)]
+        while agenda:
+            best = min(agenda)
+            if best == none:
+                break
+            i = agenda.index(best)
+            symbol[i] += symbol.pop(i + 1)
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = rank(symbol[i] + symbol[i + 1], none)
+            if i:
+                agenda[i - 1] = rank(symbol[i - 1] + symbol[i], none)
+        return self._ids(symbol)
+
+    def _ids(self, symbols: list[str]) -> list[int]:
+        out: list[int] = []
+        for s in symbols:
+            found = self.id_of.get(s)
+            if found is not None:
+                out.append(found)
+            elif self.byte:
+                out += [self.byte[b] for b in s.encode()]
+            else:
+                out.append(self.unknown)
+        return out
 
     def agenda(self, text: str) -> list[int]:
         """Ids of a text whose spaces are marks already."""
@@ -91,16 +125,7 @@ class MergeModel:
                 longer = symbol[previous] + pair
                 if longer in rank:
                     heapq.heappush(heap, (rank[longer], previous, longer))
-        out: list[int] = []
-        for s in filter(None, symbol):
-            found = self.id_of.get(s)
-            if found is not None:
-                out.append(found)
-            elif self.byte:
-                out += [self.byte[b] for b in s.encode()]
-            else:
-                out.append(self.unknown)
-        return out
+        return self._ids([s for s in symbol if s])
 
     def _part(self, part: str) -> tuple[bytes, bytes, bytes]:
         """The ids of a part in 32 bits and in decimal, and what they decode to.
@@ -109,9 +134,8 @@ class MergeModel:
         """
         cuts = [i + 1 for i in range(len(part) - 1) if part[i:i + 2] not in self.neighbours]
         ids = [i for a, b in zip([0, *cuts], [*cuts, len(part)], strict=True) for i in self.runs[part[a:b]]]
-        packed = np.array(ids, "<i4").tobytes()
-        self.fresh[part] = packed
-        return packed, ",".join(map(str, ids)).encode(), self.raw(ids)
+        self.fresh.append((part, ids))
+        return array("i", ids).tobytes(), b",".join([self.decimal_of[i] for i in ids]), self.raw(ids)
 
     def encoded(self, text: str) -> list[tuple[bytes, bytes, bytes]]:
         """The parts of a text."""
@@ -124,11 +148,10 @@ class MergeModel:
         return list(map(self.parts.__getitem__, _PARTS.findall(marked) if self.cut else [marked]))
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(b"".join(p[0] for p in self.encoded(text)), "<i4").tolist()
+        return np.frombuffer(b"".join([p[0] for p in self.encoded(text)]), np.int32).tolist()
 
     def raw(self, ids: list[int]) -> bytes:
-        return b"".join(
-            bytes([self.byte_of[i]]) if i in self.byte_of else self.pieces[i].replace(MARK, " ").encode() for i in ids)
+        return b"".join([self.raw_of[i] for i in ids])
 
     def decode(self, ids: list[int]) -> str:
         """The text of the pieces."""
@@ -136,10 +159,10 @@ class MergeModel:
 
     def check(self, whole: str | None = None) -> None:
         """Compares what is new since the last check, and one whole text, with the library."""
-        fresh, self.fresh = [f for f in self.fresh.items() if f[0] != MARK], {}
+        fresh, self.fresh = [f for f in self.fresh if f[0] != MARK], []
         wanted = self.library.encode([part[1:].replace(MARK, " ") for part, _ in fresh], num_threads=1) if fresh else []
         for (part, ids), want in zip(fresh, wanted, strict=True):
-            if ids != np.array(want, "<i4").tobytes():
+            if ids != want:
                 raise ValueError(f"ids of {part!r} differ from the library's {want}")
         if whole is not None:
             ids = self.library.encode(whole)
@@ -173,7 +196,7 @@ def packed_ids(docs: DataFrame, model: str | None = None) -> DataFrame:
         own = MergeModel(path)
         for batch in small_batches(batches):
             joined = [b"".join(p[0] for p in own.encoded(t.as_py() or "")) for t in batch.column(0)]
-            ids = [np.frombuffer(j, "<i4").astype("<u2").tobytes() for j in joined]
+            ids = [np.frombuffer(j, np.int32).astype("<u2").tobytes() for j in joined]
             own.check()
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], names=["ids"])
 
