@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import work_path
-from .common import WHITE, ascii_lower, hash128, known_id, written
+from .common import WHITE, ascii_lower, hash128, known_id, shuffles_removed, written
 
 MIN_CHARS = 10
 BATCHES = 4
@@ -39,8 +39,9 @@ class LineLedger:
 
     def _write(self, rows: DataFrame, level: int) -> str:
         name = f"line_run_{level}_{uuid.uuid4().hex[:12]}"
-        (rows.select("h1", "h2", "owner").repartition(self.buckets, "h1", "h2").write
-         .bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{self.folder}/{name}").saveAsTable(name))
+        with shuffles_removed(self.spark):
+            (rows.select("h1", "h2", "owner").repartition(self.buckets, "h1", "h2").write
+             .bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{self.folder}/{name}").saveAsTable(name))
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(name)
