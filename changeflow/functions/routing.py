@@ -40,8 +40,9 @@ def partition_of(key: Column, partitions: int = PARTITIONS) -> Column:
 
 
 def partition_of_text(key: Column, partitions: int = PARTITIONS) -> Column:
-    """Partition of a text or composite key."""
-    return F.pmod(F.xxhash64(key), F.lit(partitions)).cast("int")
+    """Partition of a text or composite key, by the first 32 bits of its MD5 digest."""
+    digest = F.conv(F.substr(F.md5(key.cast("binary")), F.lit(1), F.lit(8)), 16, 10).cast("long")
+    return F.pmod(digest, F.lit(partitions).cast("long")).cast("int")
 
 
 def event_id(*parts: Column) -> Column:

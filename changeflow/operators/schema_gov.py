@@ -116,6 +116,18 @@ def schema_drift(payloads: DataFrame, value: str, group: Sequence[str], register
         F.count(F.lit(1)).alias("rows"))
 
 
+def schema_drift_windows(
+    payloads: DataFrame, value: str, ts: str, registry: DataFrame, window: str = "1 day", subject: str = "subject",
+) -> DataFrame:
+    """Fields seen in JSON payloads that the newest registered version of their subject lacks, by subject and
+    time window, with the rows that carry them. A subject that was never registered drifts in all fields."""
+    newest = registry.groupBy(subject).agg(F.max("version").alias("version"))
+    known = registry.join(newest, [subject, "version"], "left_semi").select(subject, "field").distinct()
+    seen = payloads.select(subject, F.window(ts, window).getField("start").alias("window_start"), F.explode(F.json_object_keys(value)).alias("field"))
+    counted = seen.groupBy(subject, "window_start", "field").agg(F.count(F.lit(1)).alias("rows"))
+    return join_small(counted, known, [subject, "field"], "left_anti").select(subject, "window_start", "field", "rows")
+
+
 def read_with_defaults(versions: Sequence[DataFrame], defaults: Mapping[str, object]) -> DataFrame:
     """One table from files of several schema versions; columns a version lacks take their default.
 

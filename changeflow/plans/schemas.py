@@ -146,6 +146,40 @@ def schema_drift(spark, sf):
     return schema_gov.schema_drift(rows, "after_json", ["segment", "batch"], ["id", "email", "credit_card", "tax_id", "segment"])
 
 
+@query("schema_drift_windows", """
+, r AS (SELECT segment, field FROM (SELECT DISTINCT segment FROM customer_images WHERE segment <> 'MACHINERY') s,
+        (VALUES ('id'), ('email'), ('credit_card'), ('tax_id'), ('segment'), ('note')) v(field) WHERE NOT (segment = 'BUILDING' AND field = 'note')),
+k AS (SELECT segment, TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * CAST(key_id // 50 AS INTEGER) AS window_start, UNNEST(json_keys(after_json)) AS field
+      FROM customer_images)
+SELECT k.segment AS subject, CAST(window_start AS VARCHAR) AS window_start, k.field, COUNT(*) AS rows
+FROM k LEFT JOIN r ON k.segment = r.segment AND k.field = r.field WHERE r.field IS NULL GROUP BY ALL""")
+def schema_drift_windows(spark, sf):
+    """Against a registry table of two versions; one segment was never registered."""
+    images = customer_images(spark, sf)
+    names = images.filter("segment <> 'MACHINERY'").select(F.col("segment").alias("subject")).distinct()
+    fields = F.when(F.col("version") == 1, F.array(F.lit("id"), F.lit("loyalty_tier"))).otherwise(
+        F.array(*[F.lit(f) for f in ("id", "email", "credit_card", "tax_id", "segment", "note")]))
+    held = names.select("subject", F.explode(F.array(F.lit(1), F.lit(2))).alias("version")).select(
+        "subject", "version", F.explode(fields).alias("field")).filter("NOT (subject = 'BUILDING' AND field = 'note')")
+    day = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(days=F.floor(F.col("key_id") / 50).cast("int"), hours=(F.col("key_id") % 24).cast("int"))
+    rows = images.select(F.col("segment").alias("subject"), day.alias("ts"), "after_json")
+    found = schema_gov.schema_drift_windows(rows, "after_json", "ts", held)
+    return found.withColumn("window_start", F.col("window_start").cast("string"))
+
+
+@query("transform_chain", """
+SELECT tbl, op, key_id, pos, CASE WHEN NOT (tombstone) THEN a_status END AS status FROM messages WHERE NOT tombstone AND op <> 't' AND tbl = 'orders'""")
+def transform_chain(spark, sf):
+    """Steps put together with ``chain``: key split, tombstones, their removal, a table filter."""
+    from ..operators import expand
+    from ..operators.transforms import chain
+    from .registry import committed_log
+    rows = chain(
+        committed_log(spark, sf), expand.split_pk_update, expand.delete_tombstones, expand.drop_tombstones,
+        lambda df: df.filter("tbl = 'orders' AND op <> 't'"))
+    return rows.select("tbl", "op", "key_id", "pos", F.col("after.status").alias("status"))
+
+
 @query("read_with_defaults", """
 SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 7 = 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'GOLD' END ELSE 'BRONZE' END AS loyalty_tier
 FROM customer""", shared=False)

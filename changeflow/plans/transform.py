@@ -147,9 +147,9 @@ def assign_partition(spark, sf):
         "tbl", "key_id", "pos", routing.partition_of(F.col("key_id")).alias("partition"))
 
 
-@query("assign_partition_text")
+@query("assign_partition_text", """
+SELECT page_id, CAST(CAST('0x' || substr(md5(url), 1, 8) AS BIGINT) % 3 AS INTEGER) AS partition FROM pages""", shared=False)
 def assign_partition_text(spark, sf):
-    """Text keys: the hash has no SQL equivalent, so only rows are compared."""
     return table(spark, sf, "pages").select("page_id", routing.partition_of_text(F.col("url")).alias("partition"))
 
 
