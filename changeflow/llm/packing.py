@@ -3,9 +3,10 @@
 Documents become token ids and a closing id 0; longer ones are cut into pieces of full length, the first
 one shorter. Full pieces fill a sequence each. All others are dealt evenly over partitions of bounded
 size. A partition packs its pieces best-fit decreasing, and dual-feasible functions give a lower bound
-of its bins. Where the bins reach the bound, the partition is certified and only its emptiest bin may
-still be shared with others; where a gap is left, all its pieces go. What partitions give away is dealt
-anew over fewer partitions and packed again, until one partition holds the rest.
+of its bins. Where a gap to the bound is left, all pieces go. Where the bins reach it, the partition is
+certified; its emptiest bin goes, and if more than a bin's worth is empty, so do all bins that are not
+nearly full, since pieces of other partitions might fill them. What partitions give away is dealt anew over
+fewer partitions and packed again, until one partition holds the rest or their number stops falling.
 
 Defined results: a null or empty text is the closing id alone; rows may repeat, each one is packed; an
 empty table gives an empty result; other columns are ignored. A partition holds ``PARTITION`` pieces, a
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,7 @@ from .similar import Remembered, small_batches
 
 CAPACITY = 2048
 PARTITION = 8192
+NEARLY = 64  # a bin is full enough when less than this part of it is free
 CLOSING = 0
 #: Characters of which all Unicode versions and both tokenizer libraries think alike.
 _UNUSUAL = re.compile("[^\t\n -~¡-ɏ‐-‧‰-⁞€]")
@@ -157,6 +159,10 @@ def lower_bound(sizes: np.ndarray, capacity: int = CAPACITY) -> float:
     return best
 
 
+def _packer(last: bool, capacity: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    return lambda pieces: _pack_partition(pieces, last, capacity)
+
+
 def _pack_partition(pieces: pd.DataFrame, last: bool, capacity: int) -> pd.DataFrame:
     sizes = pieces["length"].to_numpy(np.int64)
     bins, places, fill = best_fit_decreasing(sizes, capacity)
@@ -164,8 +170,10 @@ def _pack_partition(pieces: pd.DataFrame, last: bool, capacity: int) -> pd.DataF
     given = np.zeros(len(fill), bool)
     if not last and len(fill) > np.ceil(bound - 1e-9):
         given[:] = True
-    elif not last and min(fill) < capacity:
-        given[int(np.argmin(fill))] = True
+    elif not last:
+        given[int(np.argmin(fill))] = min(fill) < capacity
+        if len(fill) - sizes.sum() / capacity > 1:  # the best for these pieces, but others might fill the gaps
+            given |= np.array(fill) < capacity - capacity // NEARLY
     return pieces.assign(bin=bins, offset=places, given=given[bins])
 
 
@@ -175,15 +183,16 @@ def pack(pieces: DataFrame, partition: int = PARTITION, capacity: int = CAPACITY
     columns = pieces.columns
     packed = pieces.filter(F.col("length") == capacity).select(
         *columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    rest, round_no = pieces.filter(F.col("length") < capacity), 0
+    rest, round_no, before = pieces.filter(F.col("length") < capacity), 0, None
     while True:
         partitions = max(1, -(-rest.count() // partition))
-        last = partitions == 1
+        last = partitions == 1 or (before is not None and partitions >= before)
+        before = partitions
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rest.schema)
         # Rows are dealt in turn, whatever they hold, so that copies don't pile up in one partition.
         dealt = rest.withColumn("group", F.pmod(F.monotonically_increasing_id(), F.lit(partitions)))
         done = written(dealt.groupBy("group").applyInPandas(
-            lambda rows, last=last: _pack_partition(rows, last, capacity),
+            _packer(last, capacity),
             f"{schema}, group long, bin long, offset long, given boolean"), "packed")
         number = (F.lit(round_no) * 2**42 + F.col("group")) * 2**14 + F.col("bin")
         packed = packed.unionByName(done.filter("NOT given").select(*columns, number.alias("sequence_id"), "offset"))

@@ -75,7 +75,7 @@ def count_tokens(spark: SparkSession, path: str, separator: int = SEPARATOR, wid
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = found.select(
         "file", "block", "ids", "ends",
-        F.coalesce(F.max(F.element_at("ends", -1)).over(before) + 1, F.lit(0)).alias("open"),
+        F.coalesce(F.max(F.try_element_at("ends", F.lit(-1))).over(before) + 1, F.lit(0)).alias("open"),
         F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)).alias("seen"))
     starts = F.concat(F.array("open"), F.transform("ends", lambda e: e + 1))
     closed = carried.select("file", "seen", F.posexplode(F.arrays_zip(
@@ -84,7 +84,7 @@ def count_tokens(spark: SparkSession, path: str, separator: int = SEPARATOR, wid
         F.lit(True).alias("closed"))
     tails = found.groupBy("file").agg(
         F.sum("ids").alias("ids"), F.sum(F.size("ends")).cast("long").alias("document"),
-        F.coalesce(F.max(F.element_at("ends", -1)) + 1, F.lit(0)).alias("start")).filter("ids > start")
+        F.coalesce(F.max(F.try_element_at("ends", F.lit(-1))) + 1, F.lit(0)).alias("start")).filter("ids > start")
     return closed.unionByName(tails.select(
         "file", "document", "start", (F.col("ids") - F.col("start")).alias("n_tokens"), F.lit(False).alias("closed")))
 

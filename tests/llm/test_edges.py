@@ -185,7 +185,7 @@ def test_packing_in_many_partitions(spark):
         own.sort()
         assert [o for o, _ in own] == np.cumsum([0] + [n for _, n in own[:-1]]).tolist() and sum(n for _, n in own) <= 2048
     alone = packing.best_fit_decreasing(np.array(sizes))[2]
-    assert np.ceil(packing.lower_bound(np.array(sizes)) - 1e-9) <= len(used) <= 1.01 * len(alone) + 2
+    assert np.ceil(packing.lower_bound(np.array(sizes)) - 1e-9) <= len(used) <= 1.02 * len(alone)  # partitions this small cost a little
 
 
 def test_bounds_hold():
