@@ -141,18 +141,18 @@ placed AS (
   SELECT *, CAST(coalesce(SUM(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY paragraph ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
                  AS BIGINT) AS start,
          regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM lines),
-units AS (SELECT *, row_number() OVER (ORDER BY doc_id, paragraph) AS u FROM placed WHERE len(w) >= {MIN_WORDS}),
-shingles AS (
+units AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY doc_id, paragraph) AS u FROM placed WHERE len(w) >= {MIN_WORDS}),
+shingles AS MATERIALIZED (
   SELECT DISTINCT u, unnest([concat_ws(' ', w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4]) for i in range(1, len(w) - 3)]) AS s FROM units),
-sizes AS (SELECT u, COUNT(*) AS n FROM shingles GROUP BY u),
-meets AS (SELECT a.u AS a, b.u AS b, COUNT(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.u < b.u GROUP BY ALL),
-links AS (
+sizes AS MATERIALIZED (SELECT u, COUNT(*) AS n FROM shingles GROUP BY u),
+meets AS MATERIALIZED (SELECT a.u AS a, b.u AS b, COUNT(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.u < b.u GROUP BY ALL),
+links AS MATERIALIZED (
   SELECT m.a, m.b FROM meets m JOIN sizes x ON m.a = x.u JOIN sizes y ON m.b = y.u WHERE 100 * m.n >= {SIMILAR} * (x.n + y.n - m.n)),
-both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+both_ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a),
-low AS (SELECT a AS u, MIN(b) AS part, MAX(b) AS high FROM reach GROUP BY a),
 spans AS (
-  SELECT l.u, l.part FROM low l JOIN units x ON l.part = x.u JOIN units y ON l.high = y.u WHERE x.doc_id <> y.doc_id)
+  SELECT r.a AS u, MIN(r.b) AS part FROM reach r JOIN (SELECT u, doc_id FROM units) d ON r.b = d.u
+  GROUP BY r.a HAVING MIN(d.doc_id) <> MAX(d.doc_id))
 SELECT x.doc_id, x.paragraph, x.start, length(x.line) AS length, len(x.w) AS n_words, f.doc_id AS component_id, x.u <> f.u AS removed
 FROM spans s JOIN units x ON s.u = x.u JOIN units f ON s.part = f.u
 """
