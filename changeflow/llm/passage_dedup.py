@@ -1,9 +1,13 @@
 """Passages repeated across documents: MinHash bands over paragraphs, exact check, removal by components.
 
-A paragraph is a line of at least ``MIN_WORDS`` words. Its signature is cut into bands; ``bands_for``
-tunes their number so that two paragraphs at the similarity bound meet in a band with the wanted
-probability. Colliding paragraphs are compared by their full shingle sets, linked ones form a cluster,
-and a cluster that reaches over two documents or more loses all its paragraphs but the first.
+Paragraphs are the lines of at least ``MIN_WORDS`` words, and, for passages inside longer lines, windows: a
+window begins where a sentence seems to begin and runs over at least ``WINDOW`` words to the next such
+place, ``LONGEST`` at most. Windows whose first ``ANCHOR`` bytes occur in one document alone are left
+out before anything else is computed for them. The signature of a paragraph is cut into bands;
+``bands_for`` tunes their number so that two paragraphs at the similarity bound meet in a band with the
+wanted probability. Colliding paragraphs are compared by their full shingle sets, linked ones form a
+cluster, and a cluster that reaches over two documents or more loses all its paragraphs but those of the
+document of smallest id.
 
 Defined results: a null or empty text has no paragraph; a null ``doc_id`` counts as the largest id; a
 repeat within one document alone is no finding; rows that share an id and a text repeat each other's
@@ -14,19 +18,27 @@ places and are one document; an empty table gives an empty result; other columns
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, known_id, written
+from .common import LAST_ID, WHITE, known_id, written
 from .similar import SIMILAR, MinHash, digest, link, lists, shingles, small_batches
 
 MIN_WORDS = 40
+WINDOW, LONGEST = 24, 40
+ANCHOR = 40
 ROWS = 2
 RECALL = 0.9999
+_IS_WHITE, _ENDS = np.zeros(256, bool), np.zeros(256, bool)
+_IS_WHITE[list(WHITE.encode())] = True
+_ENDS[list(b".!?")] = True
+_LOWER = np.arange(256, dtype=np.uint64)
+_LOWER[65:91] += np.uint64(32)
+_WEIGHTS = np.random.default_rng(3).integers(0, 2**63, ANCHOR, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def bands_for(rows: int = ROWS, recall: float = RECALL, similar: float = SIMILAR / 100) -> int:
@@ -34,53 +46,122 @@ def bands_for(rows: int = ROWS, recall: float = RECALL, similar: float = SIMILAR
     return math.ceil(math.log(1 - recall) / math.log(1 - similar**rows))
 
 
-def _cut(text: str) -> Iterator[tuple[int, int, bytes, int]]:
-    """(paragraph, start, line, words) of the lines that are long enough."""
+def _lines(text: str) -> Iterator[tuple[int, str]]:
     start = 0
-    for i, line in enumerate(text.split("\n")):
-        raw = line.encode()
-        words = len(raw.split())
-        if words >= MIN_WORDS:
-            yield i, start, raw, words
+    for line in text.split("\n"):
+        yield start, line
         start += len(line) + 1
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """(did, paragraph, start, length, n_words, n, node, bands) of every paragraph."""
+def long_lines(text: str) -> list[tuple[int, int, int]]:
+    """(start, length, words) of the lines that are long enough."""
+    out = []
+    for start, line in _lines(text):
+        words = len(line.encode().split())
+        if words >= MIN_WORDS:
+            out.append((start, len(line), words))
+    return out
+
+
+def windows(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, start, length, words) of the windows of a text; the key stands for the first bytes, A-Z lower-cased.
+
+    A sentence seems to begin with a line, after a mark that ends one, and with a capital and a small letter.
+    """
+    raw = text.encode()
+    b = np.frombuffer(raw + bytes(ANCHOR), np.uint8)
+    n = len(raw)
+    white = np.ones(n + 2, bool)
+    white[1:-1] = _IS_WHITE[b[:n]]
+    begin, end = np.flatnonzero(white[:-2] & ~white[1:-1]), np.flatnonzero(~white[1:-1] & white[2:]) + 1
+    if len(begin) < WINDOW:
+        return (np.empty(0, np.int64),) * 4
+    line = np.searchsorted(np.flatnonzero(b[:n] == 10), begin)
+    two = b[begin] == 0xC3  # a Latin letter of two bytes
+    capital = (b[begin] >= 65) & (b[begin] <= 90) | two & (b[begin + 1] >= 0x80) & (b[begin + 1] <= 0x9E)
+    at = begin + 1 + two
+    small = (b[at] >= 97) & (b[at] <= 122) | (b[at] == 0xC3) & (b[at + 1] >= 0x9F)
+    first = capital & small
+    first[0] = True
+    first[1:] |= (line[1:] != line[:-1]) | _ENDS[b[end[:-1] - 1]]
+    places = np.append(np.flatnonzero(first), len(begin))
+    stop = np.searchsorted(line, line[places[:-1]], "right")  # the word after the line
+    from_ = places[:-1][stop - places[:-1] >= WINDOW]
+    stop = stop[stop - places[:-1] >= WINDOW]
+    to = np.minimum(np.minimum(places[np.searchsorted(places, np.minimum(from_ + WINDOW, len(begin)))], from_ + LONGEST), stop)
+    key = (_LOWER[b[begin[from_][:, None] + np.arange(ANCHOR)]] * _WEIGHTS).sum(1, dtype=np.uint64)
+    key ^= key >> np.uint64(31)
+    points = np.zeros(n + 1, np.int64)
+    np.cumsum((b[:n] & 0xC0) != 0x80, out=points[1:])
+    start = points[begin[from_]]
+    return key.view(np.int64), start, points[end[to - 1]] - start, to - from_
+
+
+UNITS = "did long, start long, length long, n_words long, n long, node binary, bands array<bigint>"
+
+
+def _units(spans_of: Callable[[pa.RecordBatch, int], list[tuple[int, int, int]]]) -> Callable:
+    """Signs the spans (start, length, words) that ``spans_of`` gives for row ``i`` of a batch of (did, text, ...)."""
     bands = bands_for()
     hashed = MinHash(bands * ROWS)
     odd = np.uint64(0x9E3779B97F4A7C15)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
-            found = [(did.as_py(), *p) for did, t in zip(batch.column(0), batch.column(1), strict=True) for p in _cut(t.as_py() or "")]
+        for batch in small_batches(batches, 128):
+            found, sets = [], []
+            for i in range(batch.num_rows):
+                text = batch.column(1)[i].as_py() or ""
+                for start, length, words in spans_of(batch, i):
+                    found.append((batch.column(0)[i].as_py(), start, length, words))
+                    sets.append(shingles(text[start:start + length].encode()))
             if not found:
                 continue
-            sets = [shingles(f[3]) for f in found]
             signature = hashed(sets).view(np.uint64)
             keys = signature[:, ::ROWS].copy()
             for r in range(1, ROWS):
                 keys = (keys * odd ^ (keys >> np.uint64(29))) + signature[:, r::ROWS]
             keys = keys * odd
             yield pa.RecordBatch.from_arrays([
-                pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int32()),
-                pa.array([f[2] for f in found], pa.int64()), pa.array([len(f[3].decode()) for f in found], pa.int64()),
-                pa.array([f[4] for f in found], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                *[pa.array(c, pa.int64()) for c in zip(*found, strict=True)], pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([digest(s) for s in sets], pa.binary()), lists(list(keys))],
-                names=["did", "paragraph", "start", "length", "n_words", "n", "node", "bands"])
+                names=["did", "start", "length", "n_words", "n", "node", "bands"])
+
+    return run
+
+
+def paragraphs(docs: DataFrame) -> DataFrame:
+    """(did, start, length, n_words, n, node, bands) of every line that is long enough."""
+    run = _units(lambda batch, i: long_lines(batch.column(1)[i].as_py() or ""))
+    return docs.select(known_id().alias("did"), "text").mapInArrow(run, UNITS)
 
-    return docs.select(known_id().alias("did"), "text").mapInArrow(
-        run, "did long, paragraph int, start long, length long, n_words long, n long, node binary, bands array<bigint>")
+
+def repeated_windows(docs: DataFrame) -> DataFrame:
+    """The same of every window whose first words occur in two documents or more."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            found = [windows(t.as_py() or "") for t in batch.column(1)]
+            did = np.repeat(batch.column(0).to_numpy(), [len(f[0]) for f in found])
+            rest = [np.concatenate(c) for c in zip(*found, strict=True)]
+            kinds = (np.int64, np.int64, np.int32, np.int32, np.int16)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c.astype(k)) for c, k in zip([did, *rest], kinds, strict=True)], names=["did", "key", "start", "length", "n_words"])
+
+    rows = docs.select(known_id().alias("did"), "text")
+    found = written(rows.mapInArrow(run, "did long, key long, start int, length int, n_words short"), "windows")
+    shared = found.groupBy("key").agg(F.min("did").alias("low"), F.max("did").alias("high")).filter("low <> high").select("key")
+    spans = found.join(shared, "key").groupBy("did").agg(F.collect_set(F.struct("start", "length", "n_words")).alias("spans"))
+    sign = _units(lambda batch, i: [(s["start"], s["length"], s["n_words"]) for s in batch.column(2)[i].as_py()])
+    return rows.join(written(spans, "spans"), "did").select("did", "text", "spans").mapInArrow(sign, UNITS)
 
 
 def _sets_of(texts: DataFrame) -> DataFrame:
-    """(node, shingles) of the paragraphs named in ``wanted`` of every (text, wanted)."""
+    """(node, shingles) of the spans in ``wanted`` of every (text, wanted)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 128):
             sets = []
             for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
-                lines = (text.as_py() or "").split("\n")
-                sets += [shingles(lines[i].encode()) for i in wanted.as_py() if i < len(lines)]
+                text = text.as_py() or ""
+                sets += [shingles(text[w["start"]:w["start"] + w["length"]].encode()) for w in wanted.as_py()]
             sets = [s for s in sets if len(s)]
             if sets:
                 yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.binary()), lists(sets)], names=["node", "shingles"])
@@ -89,70 +170,58 @@ def _sets_of(texts: DataFrame) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """(did, paragraph, start, length, n_words, component_id, removed) of every repeated paragraph."""
-    rows = written(paragraphs(docs), "paragraphs")
+    """(did, start, length, n_words, component_id, removed) of every repeated paragraph."""
+    rows = written(paragraphs(docs).unionByName(repeated_windows(docs)), "paragraphs")
     nodes = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
     values = written(nodes.select("node", "n", F.explode(F.array_distinct("bands")).alias("key")), "bands")
     shared = values.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     met = values.join(shared, "key")
     weight = met.groupBy("node").agg(F.sum("df").alias("weight"))
     posts = written(met.join(weight, "node").select("key", "node", "n", "weight"), "posts")
-    places = rows.groupBy("node").agg(F.min(F.struct("did", "paragraph")).alias("at"))
+    places = rows.groupBy("node").agg(F.min(F.struct("did", "start", "length")).alias("at"))
     wanted = posts.select("node").distinct().join(places, "node").groupBy(F.col("at.did").alias("did")).agg(
-        F.collect_set("at.paragraph").alias("wanted"))
+        F.collect_set(F.struct("at.start", "at.length")).alias("wanted"))
     texts = docs.select(known_id().alias("did"), "text").join(wanted, "did")
     sets = written(_sets_of(texts).dropDuplicates(["node"]), "sets")
     groups = link(posts, sets).select(F.col("id").alias("node"), F.col("component_id").alias("part"))
-    placed = rows.select("did", "paragraph", "start", "length", "n_words", "node").join(groups, "node", "left").withColumn(
+    placed = rows.select("did", "start", "length", "n_words", "node").join(groups, "node", "left").withColumn(
         "part", F.coalesce("part", "node"))
-    spans = placed.groupBy("part").agg(F.min(F.struct("did", "paragraph")).alias("first"), F.max("did").alias("last")).filter("first.did <> last")
-    return placed.join(spans.select("part", "first"), "part").select(
-        "did", "paragraph", "start", "length", "n_words", F.col("first.did").alias("component_id"),
-        (F.struct("did", "paragraph") != F.col("first")).alias("removed"))
+    spans = placed.groupBy("part").agg(F.min("did").alias("component_id"), F.max("did").alias("last")).filter("component_id <> last")
+    return placed.join(spans.select("part", "component_id"), "part").select(
+        "did", "start", "length", "n_words", "component_id", (F.col("did") != F.col("component_id")).alias("removed"))
 
 
 def op6_passage_dedup(docs: DataFrame) -> DataFrame:
     real = lambda c: F.when(F.col(c) < LAST_ID, F.col(c)).alias(c)
     found = repeated_passages(docs.select("doc_id", "text"))
-    return found.select(
-        real("did").alias("doc_id"), F.col("paragraph").cast("long").alias("paragraph"), "start", "length", "n_words",
-        real("component_id"), "removed").distinct()
+    return found.select(real("did").alias("doc_id"), "start", "length", "n_words", real("component_id"), "removed").distinct()
+
+
+def without(text: str | None, spans: list[tuple[int, int]]) -> str | None:
+    """The text without the (start, length) spans, which may overlap."""
+    if text is None:
+        return None
+    kept, at = [], 0
+    for start, length in sorted(spans):
+        kept.append(text[at:max(at, start)])
+        at = max(at, start + length)
+    return "".join(kept) + text[at:]
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` without the repeated paragraphs, except the first of every cluster."""
+    """``docs`` without the repeated paragraphs, except those of the first document of every cluster."""
     gone = repeated_passages(docs.select("doc_id", "text")).filter("removed").groupBy(F.col("did").alias("__did")).agg(
-        F.collect_set("paragraph").alias("__gone"))
-    rows = docs.select(
-        *[F.col(c) for c in docs.columns if c != "text"], known_id().alias("__did"), F.col("text").alias("__text"),
-        F.split("text", "\n", -1).alias("__lines"))
-    joined = rows.join(gone, "__did", "left").withColumn(
-        "__stay", F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__gone"))
-    text = F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(
-        F.array_join(F.transform("__stay", lambda i: F.get(F.col("__lines"), i)), "\n"))
-    return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
-
-
-SQL = rf"""
-WITH RECURSIVE lines AS (
-  SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS paragraph, unnest(string_split(text, chr(10))) AS line
-  FROM documents),
-placed AS (
-  SELECT *, CAST(coalesce(SUM(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY paragraph ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
-                 AS BIGINT) AS start,
-         regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM lines),
-units AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY doc_id, paragraph) AS u FROM placed WHERE len(w) >= {MIN_WORDS}),
-shingles AS MATERIALIZED (
-  SELECT DISTINCT u, unnest([concat_ws(' ', w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4]) for i in range(1, len(w) - 3)]) AS s FROM units),
-sizes AS MATERIALIZED (SELECT u, COUNT(*) AS n FROM shingles GROUP BY u),
-meets AS MATERIALIZED (SELECT a.u AS a, b.u AS b, COUNT(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.u < b.u GROUP BY ALL),
-links AS MATERIALIZED (
-  SELECT m.a, m.b FROM meets m JOIN sizes x ON m.a = x.u JOIN sizes y ON m.b = y.u WHERE 100 * m.n >= {SIMILAR} * (x.n + y.n - m.n)),
-both_ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
-reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a),
-spans AS (
-  SELECT r.a AS u, MIN(r.b) AS part FROM reach r JOIN (SELECT u, doc_id FROM units) d ON r.b = d.u
-  GROUP BY r.a HAVING MIN(d.doc_id) <> MAX(d.doc_id))
-SELECT x.doc_id, x.paragraph, x.start, length(x.line) AS length, len(x.w) AS n_words, f.doc_id AS component_id, x.u <> f.u AS removed
-FROM spans s JOIN units x ON s.u = x.u JOIN units f ON s.part = f.u
-"""
+        F.collect_set(F.struct("start", "length")).alias("__gone"))
+    joined = docs.withColumn("__did", known_id()).join(gone, "__did", "left").select(*docs.columns, "__gone")
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [
+                without(t.as_py(), [(g["start"], g["length"]) for g in gone.as_py() or []])
+                for t, gone in zip(batch.column(place), batch.column(batch.num_columns - 1), strict=True)]
+            columns = list(batch.columns)[:-1]
+            columns[place] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    return joined.mapInArrow(run, docs.schema)

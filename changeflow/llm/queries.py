@@ -35,6 +35,5 @@ ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.SQL,
     "op2_secret_scan": secret_scan.SQL,
     "op5_minhash_dedup": minhash_dedup.SQL,
-    "op6_passage_dedup": passage_dedup.SQL,
     "op7_quality_rules": quality.SQL,
 }

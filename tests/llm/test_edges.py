@@ -245,10 +245,39 @@ def test_passages(spark):
             (5, (own := words(50)) + "\n" + own), (6, None), (7, "short\nshort"), (8, passage[:100])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = by_id(passage_dedup.op6_passage_dedup(docs))
-    assert {d: [(r["paragraph"], r["start"], r["component_id"], r["removed"]) for r in rs] for d, rs in got.items()} == {
-        1: [(1, len(rows[0][1]) - len(passage), 1, False)], 2: [(0, 0, 1, True)], 3: [(0, 0, 1, True)], None: [(0, 0, 1, True)]}
+    whole = {d: [(r["start"], r["component_id"], r["removed"]) for r in rs if r["n_words"] >= 60] for d, rs in got.items()}
+    assert whole == {1: [(len(rows[0][1]) - len(passage), 1, False)], 2: [(0, 1, True)], 3: [(0, 1, True)], None: [(0, 1, True)]}
     left = {r["doc_id"]: r["text"] for r in passage_dedup.remove_repeats(docs).collect()}
-    assert left[1] == rows[0][1] and left[2] == rows[1][1].split("\n")[1] and left[3] == "" and left[6] is None
+    assert left[1] == rows[0][1] and left[2] == "\n" + rows[1][1].split("\n")[1] and left[3] == "" and left[6] is None
+
+
+def test_passages_inside_lines(spark):
+    """Passages of five sentences put anywhere into long lines; texts without one are left alone."""
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), int(rng.integers(2, 9))))
+    sentence = lambda n: " ".join([word().title(), *[word() for _ in range(n - 2)], word() + "."])
+    text = lambda k: " ".join(sentence(int(rng.integers(6, 18))) for _ in range(k))
+    passages, rows, holders = [text(5) for _ in range(12)], [], {}
+    for d in range(120):
+        line = text(12).split(" ")
+        if d % 2:
+            place = int(rng.integers(0, len(line)))
+            line[place:place] = passages[d % 24 // 2].split(" ")
+            holders.setdefault(d % 24 // 2, []).append(d)
+        rows.append((d, text(3) + "\n" + " ".join(line)))
+    got = by_id(passage_dedup.op6_passage_dedup(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert set(got) == {d for ds in holders.values() for d in ds}
+    texts = dict(rows)
+    for d, rs in got.items():
+        for r in rs:
+            inside = texts[d][r["start"]:r["start"] + r["length"]]
+            assert len(inside.split()) == r["n_words"] >= passage_dedup.WINDOW
+            assert r["removed"] == (r["component_id"] != d)
+
+
+@pytest.mark.parametrize("spans,left", [([], "abcdef"), ([(0, 2), (1, 3)], "ef"), ([(4, 2), (1, 1)], "acd"), ([(0, 6)], "")])
+def test_text_without_spans(spans, left):
+    assert passage_dedup.without("abcdef", spans) == left
 
 
 def test_bands():

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from changeflow.llm import language_id, minhash_dedup, packing, quality, queries, subword
+from changeflow.llm import language_id, minhash_dedup, packing, passage_dedup, quality, queries, subword
 from tests.oracle import compare, connect
 
 
@@ -103,6 +103,34 @@ def test_near_duplicates(spark, sf, docs):
         d: (len(sets[d]), least[d], least[d] == d) for d in docs}
 
 
+def test_passages(spark, sf, docs):
+    """Every paragraph of the definition, compared with every other one that shares a shingle."""
+    units, anchored = {}, defaultdict(set)
+    for d, (t, _) in docs.items():
+        for start, length, n in passage_dedup.long_lines(t):
+            units[d, start, length] = n
+        for key in passage_dedup.windows(t)[0].tolist():
+            anchored[key].add(d)
+    for d, (t, _) in docs.items():
+        for key, start, length, n in zip(*[x.tolist() for x in passage_dedup.windows(t)], strict=True):
+            if len(anchored[key]) > 1:
+                units[d, start, length] = n
+    sets = sets_of({u: docs[u[0]][0][u[1]:u[1] + u[2]] for u in units})
+    index, pairs = defaultdict(list), Counter()
+    for u, s in sets.items():
+        for x in s:
+            pairs.update((v, u) for v in index[x])
+            index[x].append(u)
+    links = [(a, b) for (a, b), both in pairs.items() if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both)]
+    groups = defaultdict(list)
+    for u, part in smallest_reachable(units, links).items():
+        groups[part].append(u)
+    want = {(*u, units[u], part[0], u[0] != part[0]) for part, us in groups.items() if len({u[0] for u in us}) > 1 for u in us}
+    got = {tuple(r) for r in queries.QUERIES["op6_passage_dedup"](spark, sf).select(
+        "doc_id", "start", "length", "n_words", "component_id", "removed").collect()}
+    assert got == want and len(want) > 20
+
+
 def brute_vectors(rows):
     unit = {}
     for vec_id, values, label in rows:
