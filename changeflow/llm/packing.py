@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -82,6 +83,12 @@ class ByteBpe:
         return self._bytes(self.whole.encode(text, add_special_tokens=False).ids)
 
 
+@lru_cache(maxsize=2)
+def loaded(tokenizer: str, ranks: str, pattern: str) -> ByteBpe:
+    """The encoder of a worker process; its cache serves all tasks that the process runs."""
+    return ByteBpe(tokenizer, ranks, pattern)
+
+
 def public_byte_bpe() -> tuple[str, str, str]:
     """The default vocabulary: its two files and the pattern of its pre-tokens."""
     import public_tokenizers
@@ -101,7 +108,7 @@ def token_pieces(docs: DataFrame, vocabulary: tuple[str, str, str] | None = None
     closing = np.array([CLOSING], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe(*vocabulary)
+        bpe = loaded(*vocabulary)
         for batch in small_batches(batches):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
