@@ -66,13 +66,18 @@ def _spans(hits: DataFrame) -> DataFrame:
 
 
 class BlobLedger:
-    """Outcome of every (blob, rule version) scanned so far, in a folder that all executors see."""
+    """Outcome of every (blob, rule version) scanned so far, in a folder that all executors see.
+
+    A ledger opened on a folder goes on from what was written there to its end.
+    """
 
     SCHEMA = "blob string, rules string, found array<struct<start: bigint, rank: bigint, kind: string, end: bigint>>"
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark, self.folder = spark, folder or work_path(spark, "blobs")
-        self.parts = 0
+        done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/part=*/_SUCCESS")
+        found = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(done) or []
+        self.parts = len(found)
 
     def rows(self) -> DataFrame | None:
         paths = [f"{self.folder}/part={i}" for i in range(self.parts)]
@@ -92,7 +97,7 @@ class BlobLedger:
         outcome = hits.select("blob").join(found, "blob", "left").select(
             "blob", F.lit(rules).alias("rules"), F.coalesce("found", F.array().cast(found.schema["found"].dataType)).alias("found"))
         with shuffles_removed(self.spark):
-            outcome.write.parquet(f"{self.folder}/part={self.parts}")
+            outcome.write.mode("overwrite").parquet(f"{self.folder}/part={self.parts}")  # an unfinished part may lie there
         self.parts += 1
         return self.rows().filter(F.col("rules") == rules)
 
