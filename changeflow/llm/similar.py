@@ -25,7 +25,7 @@ from .common import components, written
 
 WORDS = 5
 SIMILAR = 75  # per cent
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _CACHED_WORDS = 200_000
 _CHUNK = 1 << 17
 
@@ -51,17 +51,22 @@ class Remembered(dict):
 _hashes = Remembered(xxhash.xxh3_64_intdigest)
 
 
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of every word of a text."""
+    words = text.lower().split()
+    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+
+
 def shingles(text: bytes) -> np.ndarray:
     """The distinct shingles of a text as sorted 64-bit hashes."""
-    words = text.lower().split()
-    if not words:
+    h = word_hashes(text)
+    if not len(h):
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(words) - WORDS + 1)
+    n = max(1, len(h) - WORDS + 1)
     out = np.zeros(n, np.uint64)
-    for k in range(min(WORDS, len(words))):
-        out += h[k:n + k] * _ODD[k]
-    out += np.uint64(len(words) if len(words) < WORDS else 0)
+    for k in range(min(WORDS, len(h))):
+        out += h[k:n + k] * ODD[k]
+    out += np.uint64(len(h) if len(h) < WORDS else 0)
     out ^= out >> np.uint64(32)
     out *= np.uint64(0xD6E8FEB86659FD93)
     out ^= out >> np.uint64(29)
@@ -141,9 +146,14 @@ def _unlinked(open_: DataFrame, sets: DataFrame) -> DataFrame:
     held = tokens.join(shared, "key").groupBy("node", "part", "n").agg(
         F.array_sort(F.collect_list(F.struct("df", "key", "mixed"))).alias("held"))
     placed = held.select("node", "part", "n", F.posexplode("held").alias("i", "t"), (F.col("n") - F.size("held")).alias("alone"))
-    longest = F.floor(F.col("n") * (100 - SIMILAR) / 100)  # the last place at which a partner must have been met
-    posts = written(placed.select("node", "part", "n", (F.col("alone") + F.col("i")).alias("p"), F.col("t.key").alias("key"), "t.mixed").filter(
-        (F.col("p") <= longest) & F.col("mixed")).drop("mixed"), "prefixes")
+    needed = lambda n, m: F.ceil((n + m) * SIMILAR / (100 + SIMILAR))  # noqa: E731  shingles that two sets of these sizes must share
+    left, smallest = F.col("n") - F.col("p"), F.ceil(F.col("n") * SIMILAR / 100)
+    met = placed.select("node", "part", "n", (F.col("alone") + F.col("i")).alias("p"), F.col("t.key").alias("key"), "t.mixed").filter(
+        F.col("mixed") & (left >= needed(F.col("n"), smallest)))
+    # No partner of a list is smaller than its smallest set, which raises the bound for most.
+    least = met.groupBy("key").agg(F.min("n").alias("least"))
+    posts = written(met.join(least, "key").filter(left >= needed(F.col("n"), F.greatest(smallest, "least"))).select(
+        "key", "node", "part", "n", "p"), "prefixes")
     parts = posts.groupBy("key", "part").agg(F.count(F.lit(1)).alias("rows"))
     main = parts.groupBy("key").agg(
         F.max(F.struct("rows", "part")).getField("part").alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
@@ -154,11 +164,10 @@ def _unlinked(open_: DataFrame, sets: DataFrame) -> DataFrame:
     # The smaller set's own prefix is shorter: its partner has as many shingles at least.
     short = F.when(F.col("n_a") <= F.col("n_b"), F.struct(F.col("n_a").alias("n"), F.col("p_a").alias("p"))).otherwise(
         F.struct(F.col("n_b").alias("n"), F.col("p_b").alias("p")))
-    needed = F.ceil((F.col("n_a") + F.col("n_b")) * SIMILAR / (100 + SIMILAR))
     return others.join(every, "key").filter(
         (F.col("part_a") != F.col("part_b")) & ((F.col("part_b") == F.col("main")) | (F.col("node_a") < F.col("node_b")))
         & _could_be(F.col("n_a"), F.col("n_b")) & (short["p"] <= short["n"] - F.ceil(short["n"] * 2 * SIMILAR / (100 + SIMILAR)))
-        & (F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) >= needed)
+        & (F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) >= needed(F.col("n_a"), F.col("n_b")))
     ).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
