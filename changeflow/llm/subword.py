@@ -18,6 +18,7 @@ import heapq
 import re
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,7 @@ from .similar import Remembered, small_batches
 
 MARK = "▁"
 _SHORT = 48
+_CACHED = 400_000  # words in each of two generations, below 200 MB each
 _PARTS = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -63,7 +65,7 @@ class MergeModel:
         self.decimal_of = [str(i).encode() for i in ids]
         self.runs = Remembered(lambda text: self.short_agenda(text) if len(text) <= _SHORT else self.agenda(text))
         self.parts = Remembered(self._part)
-        self.words = Remembered(lambda word: self._part(MARK + word))
+        self.words = Remembered(lambda word: self._part(MARK + word), _CACHED)
         self.fresh: list[tuple[str, list[int]]] = []
 
     def short_agenda(self, text: str) -> list[int]:
@@ -170,12 +172,18 @@ class MergeModel:
                 raise ValueError("ids of a text differ from the library's")
 
 
+@lru_cache(maxsize=2)
+def loaded(path: str) -> MergeModel:
+    """The model of a worker process; its caches serve all tasks that the process runs."""
+    return MergeModel(path)
+
+
 def encode_texts(docs: DataFrame, model: str | None = None) -> DataFrame:
     """(doc_id, ids array<int>, decoded) of every row."""
     path = model or public_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = MergeModel(path)
+        own = loaded(path)
         for batch in small_batches(batches):
             texts = [t.as_py() or "" for t in batch.column(1)]
             ids = [own.encode(t) for t in texts]
@@ -193,7 +201,7 @@ def packed_ids(docs: DataFrame, model: str | None = None) -> DataFrame:
     path = model or public_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = MergeModel(path)
+        own = loaded(path)
         for batch in small_batches(batches):
             joined = [b"".join(p[0] for p in own.encoded(t.as_py() or "")) for t in batch.column(0)]
             ids = [np.frombuffer(j, np.int32).astype("<u2").tobytes() for j in joined]
@@ -208,7 +216,7 @@ def op10_sentencepiece(docs: DataFrame, model: str | None = None) -> DataFrame:
     path = model or public_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = MergeModel(path)
+        own = loaded(path)
         sha = lambda raw: hashlib.sha256(raw).hexdigest()
         for batch in small_batches(batches):
             texts = [t.as_py() or "" for t in batch.column(1)]
