@@ -1,9 +1,13 @@
 """Passages repeated across documents: MinHash bands over paragraphs, exact check, removal by components.
 
-Paragraphs are the lines of at least ``MIN_WORDS`` words, and, for passages inside longer lines, windows: a
-window begins where a sentence seems to begin and runs over at least ``WINDOW`` words to the next such
-place, ``LONGEST`` at most. Windows whose first ``ANCHOR`` bytes occur in one document alone are left
-out before anything else is computed for them. The signature of a paragraph is cut into bands;
+Paragraphs are the lines of at least ``MIN_WORDS`` words, and windows of two kinds. One kind, for passages inside
+longer lines that need not agree word for word, begins where a sentence seems to begin and runs over at
+least ``WINDOW`` words to the next such place, ``LONGEST`` at most. The other kind, for passages that agree word for
+word, is cut from the words of the whole text whatever its lines, marks and script: of any ``SPACING`` runs of
+``WINDOW`` words that begin one after another, the one of smallest hash. The choice follows from the words alone, so any
+``MIN_WORDS`` words that two documents have in common hold a window that both have. Windows whose first
+``ANCHOR`` bytes, or for the other kind whose words, occur in one document alone are left out before
+anything else is computed for them. The signature of a paragraph is cut into bands;
 ``bands_for`` tunes their number so that two paragraphs at the similarity bound meet in a band with the
 wanted probability. Colliding paragraphs are compared by their full shingle sets, linked ones form a
 cluster, and a cluster that reaches over two documents or more loses all its paragraphs but those of the
@@ -12,12 +16,15 @@ document of smallest id.
 Defined results: a null or empty text has no paragraph; a null ``doc_id`` counts as the largest id; a
 repeat within one document alone is no finding; rows that share an id and a text repeat each other's
 places and are one document; an empty table gives an empty result; other columns pass through
-``remove_repeats`` whatever their names.
+``remove_repeats`` whatever their names. ``remove_repeats`` also takes the words before and after a paragraph, as far as
+they agree word for word with the document of smallest id that has the same paragraph.
 """
 
 from __future__ import annotations
 
 import math
+import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,10 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LAST_ID, WHITE, known_id, written
-from .similar import SIMILAR, MinHash, digest, link, lists, shingles, small_batches
+from .similar import SIMILAR, WORDS, MinHash, digest, link, lists, shingle_hashes, shingles, small_batches, word_hashes
 
 MIN_WORDS = 40
 WINDOW, LONGEST = 24, 40
+SPACING = MIN_WORDS - WINDOW + 1
 ANCHOR = 40
 ROWS = 2
 RECALL = 0.9999
@@ -39,6 +47,11 @@ _ENDS[list(b".!?")] = True
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += np.uint64(32)
 _WEIGHTS = np.random.default_rng(3).integers(0, 2**63, ANCHOR, np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTES = np.random.default_rng(5).integers(0, 2**64, 256, np.uint64)
+_BYTES[65:91] = _BYTES[97:123]
+_BASE = 0x9E3779B97F4A7C15
+_WORD = re.compile(f"[^{WHITE}]+")
+_powers = [np.ones(1, np.uint64)] * 2
 
 
 def bands_for(rows: int = ROWS, recall: float = RECALL, similar: float = SIMILAR / 100) -> int:
@@ -63,8 +76,44 @@ def long_lines(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _run_hashes(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A hash of every ``values[first:last]`` that depends on the values alone, not on their place."""
+    if len(_powers[0]) <= len(values):
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
+            _powers[i] = np.cumprod(np.append(np.uint64(1), np.full(2 * len(values), base, np.uint64)))
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _powers[0][:len(values)], out=sums[1:])
+    out = (sums[last] - sums[first]) * _powers[1][first]
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    return out ^ out >> np.uint64(29)
+
+
+def _slid(of: np.ufunc, values: np.ndarray, width: int) -> np.ndarray:
+    """``of`` (minimum or maximum) over every ``width`` values that follow one another."""
+    size = 1
+    while 2 * size <= width:
+        values, size = of(values[:-size], values[size:]), 2 * size
+    rest = width - size
+    return of(values[:-rest], values[rest:]) if rest else values
+
+
+def _chosen(b: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, first word) of the windows that are cut by the words alone."""
+    count = len(begin) - WINDOW + 1
+    if count < SPACING:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    first = np.arange(count)
+    key = _run_hashes(_run_hashes(_BYTES[b], begin, end), first, first + WINDOW)
+    least = np.zeros(count + SPACING - 1, np.uint64)
+    least[SPACING - 1:count] = _slid(np.minimum, key, SPACING)
+    at = np.flatnonzero(_slid(np.maximum, least, SPACING) == key)
+    return key[at], at
+
+
 def windows(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, start, length, words) of the windows of a text; the key stands for the first bytes, A-Z lower-cased.
+    """(key, start, length, words) of the windows of a text; the key stands for the first bytes, A-Z lower-cased,
+    or for all words.
 
     A sentence seems to begin with a line, after a mark that ends one, and with a capital and a small letter.
     """
@@ -91,46 +140,97 @@ def windows(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     to = np.minimum(np.minimum(places[np.searchsorted(places, np.minimum(from_ + WINDOW, len(begin)))], from_ + LONGEST), stop)
     key = (_LOWER[b[begin[from_][:, None] + np.arange(ANCHOR)]] * _WEIGHTS).sum(1, dtype=np.uint64)
     key ^= key >> np.uint64(31)
+    more, at = _chosen(b[:n], begin, end)
+    key, from_, to = np.append(key, more), np.append(from_, at), np.append(to, at + WINDOW)
     points = np.zeros(n + 1, np.int64)
     np.cumsum((b[:n] & 0xC0) != 0x80, out=points[1:])
     start = points[begin[from_]]
     return key.view(np.int64), start, points[end[to - 1]] - start, to - from_
 
 
-UNITS = "did long, start long, length long, n_words long, n long, node binary, bands array<bigint>"
+UNITS = "did long, start long, length long, n_words long, n long, node binary"
+
+
+def _span_sets(text: str, spans: list[tuple[int, int]]) -> list[np.ndarray]:
+    """``shingles`` of every (start, length) of a text; a span begins and ends with a word or with its line."""
+    raw = text.encode()
+    h = word_hashes(raw)
+    if len(h) < WORDS:
+        return [shingles(text[start:start + length].encode()) for start, length in spans]
+    every = shingle_hashes(h)
+    b = np.frombuffer(raw, np.uint8)
+    white = np.ones(len(raw) + 1, bool)
+    white[1:] = _IS_WHITE[b]
+    points = np.cumsum((b & 0xC0) != 0x80) - 1
+    begin = points[np.flatnonzero(white[:-1] & ~white[1:])]
+    places = np.array(spans, np.int64).reshape(-1, 2)
+    first, last = np.searchsorted(begin, places[:, 0]), np.searchsorted(begin, places.sum(1))
+    out = []
+    for i, j in zip(first.tolist(), last.tolist(), strict=True):
+        if j - i < WORDS:
+            out.append(shingles(text[spans[len(out)][0]:sum(spans[len(out)])].encode()))
+            continue
+        found = np.sort(every[i:j - WORDS + 1])
+        out.append(np.unique(found) if (found[1:] == found[:-1]).any() else found)
+    return out
 
 
 def _units(spans_of: Callable[[pa.RecordBatch, int], list[tuple[int, int, int]]]) -> Callable:
-    """Signs the spans (start, length, words) that ``spans_of`` gives for row ``i`` of a batch of (did, text, ...)."""
+    """Names the sets of the spans (start, length, words) that ``spans_of`` gives for row ``i`` of a batch of (did, text, ...)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 128):
+            found, sizes, nodes = [], [], []
+            for i in range(batch.num_rows):
+                spans = spans_of(batch, i)
+                if not spans:
+                    continue
+                did, text = batch.column(0)[i].as_py(), batch.column(1)[i].as_py() or ""
+                found += [(did, *s) for s in spans]
+                for one in _span_sets(text, [s[:2] for s in spans]):
+                    sizes.append(len(one))
+                    nodes.append(digest(one))
+            if found:
+                yield pa.RecordBatch.from_arrays(
+                    [*[pa.array(c, pa.int64()) for c in zip(*found, strict=True)], pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary())],
+                    names=["did", "start", "length", "n_words", "n", "node"])
+
+    return run
+
+
+def _sets_at(batch: pa.RecordBatch) -> Iterator[tuple[bytes, np.ndarray]]:
+    """(node, set) of the places (start, length, node) in the second column of a batch of (text, places)."""
+    for text, places in zip(batch.column(0), batch.column(1), strict=True):
+        places = places.as_py()
+        for place, one in zip(places, _span_sets(text.as_py() or "", [(p["start"], p["length"]) for p in places]), strict=True):
+            if len(one) and digest(one) == place["node"]:  # another text may have the same id
+                yield place["node"], one
+
+
+def _signed(texts: DataFrame) -> DataFrame:
+    """(node, n, bands) of the sets at the places of every (text, wanted)."""
     bands = bands_for()
     hashed = MinHash(bands * ROWS)
     odd = np.uint64(0x9E3779B97F4A7C15)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 128):
-            found, sets = [], []
-            for i in range(batch.num_rows):
-                text = batch.column(1)[i].as_py() or ""
-                for start, length, words in spans_of(batch, i):
-                    found.append((batch.column(0)[i].as_py(), start, length, words))
-                    sets.append(shingles(text[start:start + length].encode()))
+            found = list(_sets_at(batch))
             if not found:
                 continue
-            signature = hashed(sets).view(np.uint64)
+            nodes, sets = zip(*found, strict=True)
+            signature = hashed(list(sets)).view(np.uint64)
             keys = signature[:, ::ROWS].copy()
             for r in range(1, ROWS):
                 keys = (keys * odd ^ (keys >> np.uint64(29))) + signature[:, r::ROWS]
             keys = keys * odd
             yield pa.RecordBatch.from_arrays([
-                *[pa.array(c, pa.int64()) for c in zip(*found, strict=True)], pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([digest(s) for s in sets], pa.binary()), lists(list(keys))],
-                names=["did", "start", "length", "n_words", "n", "node", "bands"])
+                pa.array(nodes, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), lists(list(keys))], names=["node", "n", "bands"])
 
-    return run
+    return texts.select("text", "wanted").mapInArrow(run, "node binary, n long, bands array<bigint>")
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(did, start, length, n_words, n, node, bands) of every line that is long enough."""
+    """(did, start, length, n_words, n, node) of every line that is long enough."""
     run = _units(lambda batch, i: long_lines(batch.column(1)[i].as_py() or ""))
     return docs.select(known_id().alias("did"), "text").mapInArrow(run, UNITS)
 
@@ -155,39 +255,46 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
 
 
 def _sets_of(texts: DataFrame) -> DataFrame:
-    """(node, shingles) of the spans in ``wanted`` of every (text, wanted)."""
+    """(node, shingles) of the sets at the places of every (text, wanted)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 128):
-            sets = []
-            for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
-                text = text.as_py() or ""
-                sets += [shingles(text[w["start"]:w["start"] + w["length"]].encode()) for w in wanted.as_py()]
-            sets = [s for s in sets if len(s)]
-            if sets:
-                yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.binary()), lists(sets)], names=["node", "shingles"])
+            found = list(_sets_at(batch))
+            if found:
+                nodes, sets = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), lists(sets)], names=["node", "shingles"])
 
     return texts.select("text", "wanted").mapInArrow(run, "node binary, shingles array<bigint>")
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
-    """(did, start, length, n_words, component_id, removed) of every repeated paragraph."""
+def _placed(docs: DataFrame) -> DataFrame:
+    """(did, start, length, n_words, node, component_id) of every repeated paragraph."""
     rows = written(paragraphs(docs).unionByName(repeated_windows(docs)), "paragraphs")
-    nodes = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
-    values = written(nodes.select("node", "n", F.explode(F.array_distinct("bands")).alias("key")), "bands")
-    shared = values.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    met = values.join(shared, "key")
+    texts = docs.select(known_id().alias("did"), "text")
+    places = written(rows.groupBy("node").agg(F.min(F.struct("did", "start", "length")).alias("at")), "places")
+
+    def wanted(of: DataFrame) -> DataFrame:
+        at = of.groupBy(F.col("at.did").alias("did")).agg(F.collect_set(F.struct("at.start", "at.length", "node")).alias("wanted"))
+        return texts.join(at, "did")
+
+    # Every distinct set is signed once; two rows of one id and text give it twice.
+    nodes = written(_signed(wanted(places)).dropDuplicates(["node"]), "nodes")
+    values = nodes.select("node", "n", F.explode(F.array_distinct("bands")).alias("key"))
+    shared = written(values.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "shared")
+    met = written(values.join(shared, "key"), "met")
     weight = met.groupBy("node").agg(F.sum("df").alias("weight"))
     posts = written(met.join(weight, "node").select("key", "node", "n", "weight"), "posts")
-    places = rows.groupBy("node").agg(F.min(F.struct("did", "start", "length")).alias("at"))
-    wanted = posts.select("node").distinct().join(places, "node").groupBy(F.col("at.did").alias("did")).agg(
-        F.collect_set(F.struct("at.start", "at.length")).alias("wanted"))
-    texts = docs.select(known_id().alias("did"), "text").join(wanted, "did")
-    sets = written(_sets_of(texts).dropDuplicates(["node"]), "sets")
+    sets = written(_sets_of(wanted(places.join(posts.select("node").distinct(), "node", "left_semi"))).dropDuplicates(["node"]), "sets")
     groups = link(posts, sets).select(F.col("id").alias("node"), F.col("component_id").alias("part"))
     placed = rows.select("did", "start", "length", "n_words", "node").join(groups, "node", "left").withColumn(
         "part", F.coalesce("part", "node"))
     spans = placed.groupBy("part").agg(F.min("did").alias("component_id"), F.max("did").alias("last")).filter("component_id <> last")
     return placed.join(spans.select("part", "component_id"), "part").select(
+        "did", "start", "length", "n_words", "node", "component_id")
+
+
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """(did, start, length, n_words, component_id, removed) of every repeated paragraph."""
+    return _placed(docs).select(
         "did", "start", "length", "n_words", "component_id", (F.col("did") != F.col("component_id")).alias("removed"))
 
 
@@ -208,9 +315,53 @@ def without(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     return "".join(kept) + text[at:]
 
 
+def _words(text: str) -> tuple[list[str], list[int], list[int]]:
+    """The words of a text, A-Z lower-cased, their starts and their ends."""
+    found = list(_WORD.finditer(text))
+    return [m.group().encode().lower() for m in found], [m.start() for m in found], [m.end() for m in found]
+
+
+def maximal_runs(text: str, other: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(start, length) in ``text`` of the longest runs of equal words around each (start, length, start in ``other``)."""
+    (a, starts, ends), (b, others, _) = _words(text), _words(other)
+    out, done = [], {}
+    for start, length, at in sorted(spans):
+        first, last, i = bisect_left(starts, start), bisect_left(starts, start + length), bisect_left(others, at)
+        shift = i - first
+        if last <= done.get(shift, 0) or a[first:last] != b[i:i + last - first]:
+            continue
+        while first and first + shift and a[first - 1] == b[first + shift - 1]:
+            first -= 1
+        while last < len(a) and last + shift < len(b) and a[last] == b[last + shift]:
+            last += 1
+        done[shift] = last
+        out.append((starts[first], ends[last - 1] - starts[first]))
+    return out
+
+
+def _extended(placed: DataFrame, docs: DataFrame) -> DataFrame:
+    """(did, start, length) of the maximal runs that documents have in common with the first that holds the same paragraph."""
+    owners = placed.groupBy("node").agg(F.min(F.struct("did", "start")).alias("own"))
+    pairs = placed.join(owners, "node").filter("did <> own.did").groupBy("did", F.col("own.did").alias("owner")).agg(
+        F.collect_set(F.struct("start", "length", F.col("own.start").alias("at"))).alias("spans"))
+    texts = docs.select(known_id().alias("did"), "text")
+    both = pairs.join(texts, "did").join(texts.select(F.col("did").alias("owner"), F.col("text").alias("other")), "owner")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 128):
+            rows = [(did, *r) for did, text, other, spans in zip(*[c.to_pylist() for c in batch.columns], strict=True)
+                    for r in maximal_runs(text or "", other or "", [(s["start"], s["length"], s["at"]) for s in spans])]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[c] for r in rows], pa.int64()) for c in range(3)], names=["did", "start", "length"])
+
+    return both.select("did", "text", "other", "spans").mapInArrow(run, "did long, start long, length long")
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` without the repeated paragraphs, except those of the first document of every cluster."""
-    gone = repeated_passages(docs.select("doc_id", "text")).filter("removed").groupBy(F.col("did").alias("__did")).agg(
+    placed = written(_placed(docs.select("doc_id", "text")), "repeats")
+    removed = placed.filter("did <> component_id").select("did", "start", "length")
+    gone = removed.unionByName(_extended(placed, docs)).groupBy(F.col("did").alias("__did")).agg(
         F.collect_set(F.struct("start", "length")).alias("__gone"))
     joined = docs.withColumn("__did", known_id()).join(gone, "__did", "left").select(*docs.columns, "__gone")
     place = docs.columns.index("text")

@@ -57,11 +57,8 @@ def word_hashes(text: bytes) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 
-def shingles(text: bytes) -> np.ndarray:
-    """The distinct shingles of a text as sorted 64-bit hashes."""
-    h = word_hashes(text)
-    if not len(h):
-        return np.empty(0, np.uint64)
+def shingle_hashes(h: np.ndarray) -> np.ndarray:
+    """The shingles along the words of a text, of which there must be one."""
     n = max(1, len(h) - WORDS + 1)
     out = np.zeros(n, np.uint64)
     for k in range(min(WORDS, len(h))):
@@ -70,7 +67,13 @@ def shingles(text: bytes) -> np.ndarray:
     out ^= out >> np.uint64(32)
     out *= np.uint64(0xD6E8FEB86659FD93)
     out ^= out >> np.uint64(29)
-    return np.unique(out)
+    return out
+
+
+def shingles(text: bytes) -> np.ndarray:
+    """The distinct shingles of a text as sorted 64-bit hashes."""
+    h = word_hashes(text)
+    return np.unique(shingle_hashes(h)) if len(h) else np.empty(0, np.uint64)
 
 
 def digest(shingle_set: np.ndarray) -> bytes:

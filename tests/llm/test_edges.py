@@ -277,6 +277,47 @@ def test_passages_inside_lines(spark):
             assert r["removed"] == (r["component_id"] != d)
 
 
+def test_passages_word_for_word(spark):
+    """Every run of 50 words in two documents holds a unit found in both, whatever its lines, marks and script, and is removed."""
+    rng = np.random.default_rng(11)
+    some = lambda n, letters="abcdefghij": ["".join(rng.choice(list(letters), int(rng.integers(2, 9)))) for _ in range(n)]
+    wrapped = lambda ws, line: "".join(w + ("\n" if i % line == line - 1 else " ") for i, w in enumerate(ws))
+    late = some(45) + [w.title() for w in some(1)] + some(15)  # the only sentence start lies late
+    passages = [some(50), some(69), some(52, "абвгдежзик"), late, some(50)]
+    sizes = (17, 4, 8, 17, 23)
+    rows = []
+    for p, passage in enumerate(passages):
+        for d in range(3):
+            body = some(30 + 7 * d) + passage + some(40 - 11 * d)
+            if p == 1:  # lines of other lengths than in the next document
+                text = wrapped(body, 6 + 5 * d)
+            elif p == 4:
+                cuts = np.cumsum(sizes)
+                text = "\n".join(" ".join(x.tolist()) for x in np.split(np.array(body), cuts[cuts < len(body)]))
+            else:
+                text = " ".join(body)
+            rows.append((10 * p + d, text))
+    rows += [(900 + i, " ".join(some(120))) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got, runs = by_id(passage_dedup.op6_passage_dedup(docs)), {}
+    for d, t in rows:
+        ws = t.split()
+        for i in range(len(ws) - 49):
+            runs.setdefault(tuple(ws[i:i + 50]), []).append((d, i))
+    common = {run: at for run, at in runs.items() if len({d for d, _ in at}) > 1}
+    texts = dict(rows)
+    assert len(common) >= len(passages) and set(got) == {d for at in common.values() for d, _ in at}
+    for at in common.values():
+        held = [{" ".join(texts[d][r["start"]:r["start"] + r["length"]].split()) for r in got[d]
+                 if len(texts[d][:r["start"]].split()) >= i and len(texts[d][:r["start"] + r["length"]].split()) <= i + 50} for d, i in at]
+        assert set.intersection(*held)
+    left = {r["doc_id"]: r["text"] for r in passage_dedup.remove_repeats(docs).collect()}
+    for p, passage in enumerate(passages):
+        assert left[10 * p] == texts[10 * p]
+        for d in (10 * p + 1, 10 * p + 2):
+            assert len(left[d].split()) == len(texts[d].split()) - len(passage)
+
+
 @pytest.mark.parametrize("spans,left", [([], "abcdef"), ([(0, 2), (1, 3)], "ef"), ([(4, 2), (1, 1)], "acd"), ([(0, 6)], "")])
 def test_text_without_spans(spans, left):
     assert passage_dedup.without("abcdef", spans) == left
