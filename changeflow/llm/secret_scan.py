@@ -7,7 +7,9 @@ joins the findings back to all places that hold the text. Copies are scanned onc
 version scans every text once more.
 
 Base kinds are ``assign``, ``access`` and ``hex``; ``pem``, ``jwt`` and ``forge`` are added. Places are code points,
-the end exclusive. Matches are leftmost and do not overlap within a kind.
+the end exclusive. Matches are leftmost and do not overlap within a kind. A ``pem`` match is the whole block, from the
+header over the body to the END line, or over the base64 lines that follow where there is no END line. The SQL
+knows the header alone, so it agrees on texts without such blocks only.
 
 Defined results: a null text is an empty text without findings; rows may repeat; an empty table gives
 an empty result; other columns pass through ``redact`` whatever their names.
@@ -21,16 +23,23 @@ from pyspark.sql import functions as F
 from ..session import work_path
 from .common import shuffles_removed, written
 
-RULE_VERSION = "2"
+RULE_VERSION = "3"
 ASSIGN = (r"((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]"
           r"|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 MIN_VALUE = 12
+PEM_HEADER = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+# Lines of base64, also quoted, prefixed or with escaped line ends. Atomic steps keep the stack of Java's matcher small.
+_PEM_LINE = r"(?:[\s\"'+>#|,]|\\[nr])+[A-Za-z0-9+/]{16,}={0,2}"
+_PEM_FIELDS = r"(?:(?:[\s\"'+>#|,]|\\[nr])+[A-Z][A-Za-z]*-[A-Za-z]+: [A-Za-z0-9,-]+){0,8}"
+_PEM_LAST = r"(?:(?:[\s\"'+>#|,]|\\[nr])+[A-Za-z0-9+/]{1,15}(?:={1,2}|(?=[ \t]*(?:[\r\n\"'\\]|$))))?"
+PEM = (PEM_HEADER + r"(?:[^-]*+(?>(?:-{1,4}[^-]++){1,256})*-----END [A-Z ]*PRIVATE KEY-----"
+       + f"|{_PEM_FIELDS}(?>(?:{_PEM_LINE}){{1,256}})+{_PEM_LAST})?")
 #: kind, pattern, and text that every match holds (None: any match must be searched for)
 RULES = (
     ("assign", ASSIGN, None),
     ("access", r"AKIA[A-Z0-9]{14,}", "AKIA"),
     ("hex", r"[0-9a-f]{16,}", None),
-    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "PRIVATE KEY-----"),
+    ("pem", PEM, "PRIVATE KEY-----"),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "eyJ"),
     ("forge", r"gh[pousr]_[A-Za-z0-9]{36,}", "gh"),
 )
@@ -112,7 +121,8 @@ def findings(docs: DataFrame, ledger: BlobLedger | None = None, rules: str = RUL
 def redact(docs: DataFrame, ledger: BlobLedger | None = None, mark: str = "[REDACTED]") -> DataFrame:
     """``docs`` with every secret in ``text`` replaced; of an assignment only the value is."""
     text = F.col("text")
-    for kind, pattern, _ in RULES:
+    # Blocks go first, while no mark of another kind cuts their bodies.
+    for kind, pattern, _ in sorted(RULES, key=lambda r: r[0] != "pem"):
         if kind == "assign":
             long_value = pattern[: pattern.rindex("(")]
             text = F.regexp_replace(text, f"({long_value})[A-Za-z0-9+/_.=-]{{{MIN_VALUE},}}", f"$1{mark}")
@@ -147,7 +157,8 @@ def _sql_kind(kind: str, pattern: str) -> str:
         FROM (SELECT doc_id, t, regexp_extract_all(t, '{pattern}') AS m FROM texts) WHERE len(m) > 0)"""
 
 
-_SQL_KINDS = "\n  UNION ALL".join(_sql_kind(k, p.replace("'", "''").replace("\\\"", '"')) for k, p, _ in RULES)
+_SQL_PATTERNS = [(k, PEM_HEADER if k == "pem" else p) for k, p, _ in RULES]
+_SQL_KINDS = "\n  UNION ALL".join(_sql_kind(k, p.replace("'", "''").replace("\\\"", '"')) for k, p in _SQL_PATTERNS)
 SQL = f"""
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 spans AS ({_SQL_KINDS}),
