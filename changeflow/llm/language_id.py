@@ -6,8 +6,8 @@ over the length of the text is an estimate of its cross entropy, and the languag
 
 The model is learned from a bounded sample: of the labelled texts with crc32(doc_id as text) mod 4 other
 than 2, each label gives ``SLOTS`` texts by a hash of their ids, ``SAMPLE`` characters of each. Its size does
-not depend on the input. Everything else runs over whole texts: letters fold to lower case, runs of other
-characters to one gap, and texts are parsed in stretches of ``STRETCH`` characters, all stretches of an
+not depend on the input. Everything else runs over whole texts: letters fold to lower case, each letter of the
+samples has a class of its own whatever the number of labels and scripts, runs of other characters fold to one gap, and texts are parsed in stretches of ``STRETCH`` characters, all stretches of an
 Arrow slice and all languages side by side.
 
 Defined results: ``und`` and score 0 where a text is null or has no letter, or where nothing could be learned;
@@ -31,8 +31,7 @@ from .similar import small_batches
 SLOTS = 64
 SAMPLE = 400
 STRETCH = 512
-OWN_LETTERS = 60  # letters with a class of their own; all others share one
-_GAP, _MISS = 0, np.int32(-(2**31))
+_GAP = 0
 
 
 def held_out(doc_id: Column) -> Column:
@@ -53,11 +52,11 @@ def samples(docs: DataFrame, slots: int = SLOTS, sample: int = SAMPLE) -> dict[s
 
 
 def letter_classes(texts: list[str]) -> np.ndarray:
-    """Class of every code point: 0 for other than letters, then the frequent letters, then all others."""
+    """Class of every code point: 0 for other than letters, then the letters of the texts, then all others."""
     counts = Counter(c for t in texts for c in t.lower() if c.isalpha())
-    own = {c: i + 1 for i, (c, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:OWN_LETTERS])}
+    own = {c: i + 1 for i, (c, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0])))}
     rest = len(own) + 1
-    table = np.zeros(0x110000, np.uint8)
+    table = np.zeros(0x110000, np.int32)
     for point in range(0x110000):
         c = chr(point)
         if c.isalpha():
@@ -110,30 +109,57 @@ class SuffixAutomaton:
             last = state
 
 
+def _packed(steps: list[tuple[int, dict[int, int]]], states: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(base, slots) of sparse steps: the step of ``state`` by ``symbol`` lies in slot ``base[state] + symbol``.
+
+    A slot holds its state in the upper and the next state in the lower half, or -1. The rows of the states lie
+    over each other, so the size follows the number of steps, not that of symbols.
+    """
+    total = sum(len(after) for _, after in steps)
+    size = width + 4 * total
+    slots, base = np.full(size + width, -1, np.int64), np.zeros(states, np.int32)
+    rng = np.random.default_rng(1)
+    many = sorted((x for x in steps if len(x[1]) > 1), key=lambda x: -len(x[1]))
+    guesses = iter(())
+    for state, after in many:
+        symbols = np.fromiter(after, np.int64, len(after))
+        while True:  # three slots of four stay free, and the longest rows go first
+            at = next(guesses, None)
+            if at is None:
+                guesses = iter(rng.integers(0, size, 1 << 16).tolist())
+            elif (slots[at + symbols] < 0).all():
+                break
+        slots[at + symbols] = state << 32 | np.fromiter(after.values(), np.int64, len(after))
+        base[state] = at
+    one = np.array([(state, *step) for state, after in steps if len(after) == 1 for step in after.items()], np.int64).reshape(-1, 3)
+    free = width + np.flatnonzero(slots[width:size] < 0)[:len(one)]
+    slots[free] = one[:, 0] << 32 | one[:, 2]
+    base[one[:, 0]] = free - one[:, 1]
+    return base, slots
+
+
 class Model:
-    """One table of steps for all languages. A step that begins a phrase has its top bit set."""
+    """The steps of all languages in one sparse table; where a state has no step, a phrase begins at the root of its language."""
 
     def __init__(self, texts: dict[str, list[str]]):
         self.labels = sorted(texts)
         self.classes = letter_classes([t for ts in texts.values() for t in ts])
         self.width = int(self.classes.max(initial=0)) + 1
-        tables, weights, self.starts, states = [], [], [], 0
-        for label in self.labels:
+        steps, weights, self.starts, states = [], [], [], 0
+        self.roots = np.zeros((self.width, len(self.labels)), np.int64)
+        for i, label in enumerate(self.labels):
             sequence, _ = classes_of([" ".join(texts[label])], self.classes)
             after = SuffixAutomaton(sequence.tolist()).after
             n = len(after)
-            root = np.full(self.width, n, np.int32)  # state n: nothing of a phrase has been read
+            self.roots[:, i] = states + n  # state n: nothing of a phrase has been read
             for symbol, to in after[0].items():
-                root[symbol] = to
-            table = np.broadcast_to((root + states) * self.width | _MISS, (n + 1, self.width)).astype(np.int32)
-            for state, steps in enumerate(after):
-                for symbol, to in steps.items():
-                    table[state, symbol] = (to + states) * self.width
-            tables.append(table)
+                self.roots[symbol, i] = states + to
+            steps += [(states + state, {symbol: states + to for symbol, to in own.items()})
+                      for state, own in enumerate(after) if state and own]  # no step leads back to the root
             weights.append(math.log2(len(sequence) + 2))
-            self.starts.append((states + n) * self.width)
+            self.starts.append(states + n)
             states += n + 1
-        self.table = np.concatenate(tables).ravel() if tables else np.empty(0, np.int32)
+        self.base, self.slots = _packed(steps, states, self.width)
         self.weights = np.array(weights)
 
     def phrases(self, sequence: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -147,13 +173,15 @@ class Model:
         size = np.minimum(STRETCH, np.repeat(lengths, parts) - within * STRETCH)
         order = np.argsort(-size, kind="stable")
         begin, size, text_of = begin[order], size[order], text_of[order]
-        state = np.tile(np.array(self.starts, np.int32), (len(size), 1))
+        state = np.tile(np.array(self.starts, np.int64), (len(size), 1))
         count = np.zeros((len(size), len(self.labels)), np.int32)
         for step in range(int(size[0])):
             alive = int(np.searchsorted(-size, -step, "left"))  # stretches longer than this step come first
-            to = self.table[state[:alive] + sequence[begin[:alive] + step].astype(np.int32)[:, None]]
-            count[:alive] += to < 0
-            state[:alive] = to & np.int32(2**31 - 1)
+            symbol = sequence[begin[:alive] + step]
+            found = self.slots[self.base[state[:alive]] + symbol[:, None]]
+            begins = found >> 32 != state[:alive]
+            count[:alive] += begins
+            state[:alive] = np.where(begins, self.roots[symbol], found & 0xFFFFFFFF)
         out = np.zeros((len(lengths), len(self.labels)))
         np.add.at(out, text_of, count)
         return out

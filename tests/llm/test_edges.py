@@ -165,6 +165,26 @@ def test_language(odd):
     assert got[5][0]["lang_pred"] == "en"
 
 
+def test_languages_of_many_scripts():
+    """Labels of ten scripts, two each with letters of their own, whose words are equally long."""
+    scripts = {"latin": (0x61, 26), "cyrillic": (0x430, 32), "greek": (0x3B1, 17), "armenian": (0x561, 38), "hebrew": (0x5D0, 27),
+               "arabic": (0x628, 20), "thai": (0xE01, 46), "hindi": (0x915, 36), "korean": (0xAC00, 2000), "chinese": (0x4E00, 3000)}
+    rng = np.random.default_rng(13)
+
+    def text(first, count, words):
+        return " ".join("".join(chr(first + int(c)) for c in rng.integers(0, count, 4)) for _ in range(words))
+
+    own = {}
+    for name, (first, count) in scripts.items():
+        half = count // 2
+        own[f"{name}-a"], own[f"{name}-b"] = (first, half), (first + half, half)
+    model = language_id.Model({label: [text(*letters, 80) for _ in range(30)] for label, letters in own.items()})
+    want = [label for label in own for _ in range(5)]
+    got = model.predict([text(*own[label], 30) for label in want])
+    assert [g[0] for g in got] == want
+    assert model.slots.nbytes + model.base.nbytes + model.roots.nbytes < 20 * 2_500_000
+
+
 def test_longest_phrases():
     """Phrases equal those of a plain search, stretches included."""
     rng = np.random.default_rng(3)
