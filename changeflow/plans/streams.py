@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import materialize
+from ..operators.commit import COMMITTED
 from ..operators.deadletter import parse_messages
 from ..operators.expand import split_pk_update
 from ..operators.snapshot import chunk_number, snapshot_windows
@@ -77,10 +78,10 @@ def stream_tx_buffer(spark, sf):
     outcomes = staged(transactions(log).join(ended, "tx_id"), "outcomes").withColumn("ended", F.col("ended").cast("timestamp"))
     out = work_path(spark, "flushed")
     # Order dates spread over years inside one transaction, hence the wide bounds.
-    flushed = jobs.committed_stream(events, outcomes, "source_ts", "ended", "3650 days", "3650 days")
-    rows = flushed.select("tbl", "op", "key_id", "pos", "tx_id")
-    jobs.run_stateful(spark, lambda: jobs.append_files(rows, out, work_path(spark, "ck")))
-    return spark.read.parquet(out)
+    flushed = jobs.settled_stream(events, outcomes, "source_ts", "ended", "3650 days", "3650 days")
+    rows = flushed.select("tbl", "op", "key_id", "pos", "tx_id", "settled")
+    jobs.run_stateful(spark, lambda: jobs.settled_files(rows, out, work_path(spark, "ck")))
+    return jobs.settled_rows(spark, out, rows.schema, COMMITTED, jobs.PASSED).drop("settled")
 
 
 @query("stream_tx_expired", """

@@ -7,8 +7,10 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from ..envelope import LAYOUT, Layout
+from ..operators.commit import COMMITTED
 from ..operators.snapshot import superseded_keys
 from ..session import keep_state_on_disk
 from ..sources.sinks import apply_batch, batch_folder, fold_batches, route_batch, start_batches
@@ -72,7 +74,7 @@ def latest_stream(stream: DataFrame, path: str, checkpoint: str, layout: Layout
             .trigger(availableNow=True).start())
 
 
-EXPIRED = "EXPIRED"
+EXPIRED, PASSED = "EXPIRED", "PASSED"
 
 
 def settled_stream(
@@ -83,9 +85,12 @@ def settled_stream(
 
     A stream-stream join with its state in the state store. The salt spreads one huge transaction
     over many tasks; only the few outcome rows are repeated. Events whose outcome does not come
-    within ``max_open`` leave as EXPIRED when the watermark passes them, so none is lost.
+    within ``max_open`` leave as EXPIRED when the watermark passes them, so none is lost. Events that
+    belong to no transaction (snapshot reads, for example) leave at once as PASSED. They do not go through
+    the watermark: where there are none, a watermark of their own would hold back that of the join.
     """
-    left = events.withWatermark(event_ts, delay).withColumn(
+    inside, outside = events.filter(F.col(layout.tx).isNotNull()), events.filter(F.col(layout.tx).isNull())
+    left = inside.withWatermark(event_ts, delay).withColumn(
         "__salt", F.pmod(F.xxhash64(layout.table, layout.pos), F.lit(salts)).cast("int"))
     right = outcomes.withWatermark(outcome_ts, delay).select(
         F.col(layout.tx).alias("__tx"), F.col(outcome_ts).alias("__done"), F.col("status").alias("__status")).withColumn(
@@ -94,16 +99,28 @@ def settled_stream(
     same = (F.col(layout.tx) == F.col("__tx")) & (F.col("__salt") == F.col("__rsalt"))
     in_time = (F.col("__done") >= F.col(event_ts) - span) & (F.col("__done") <= F.col(event_ts) + span)
     joined = left.join(right, same & in_time, "left_outer")
-    return joined.withColumn("settled", F.coalesce("__status", F.lit(EXPIRED))).drop("__tx", "__done", "__status", "__salt", "__rsalt")
+    settled = joined.withColumn("settled", F.coalesce("__status", F.lit(EXPIRED))).drop("__tx", "__done", "__status", "__salt", "__rsalt")
+    return settled.unionByName(outside.withColumn("settled", F.lit(PASSED)))
 
 
 def committed_stream(
     events: DataFrame, outcomes: DataFrame, event_ts: str, outcome_ts: str, delay: str, max_open: str,
     layout: Layout = LAYOUT, salts: int = STATE_SALTS,
 ) -> DataFrame:
-    """Holds events until their transaction commits; rolled-back ones never leave. See ``settled_stream``."""
+    """Holds events until their transaction commits; rolled-back and expired ones never leave, those of no
+    transaction leave at once. See ``settled_stream``; ``settled_files`` keeps the expired ones too."""
     settled = settled_stream(events, outcomes, event_ts, outcome_ts, delay, max_open, layout, salts)
-    return settled.filter(F.col("settled") == "COMMITTED").drop("settled")
+    return settled.filter(F.col("settled").isin(COMMITTED, PASSED)).drop("settled")
+
+
+def settled_files(settled: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Writes the rows of ``settled_stream``, each outcome to a folder of its own; expired ones can be looked into or sent again."""
+    return append_files(settled, path, checkpoint, ("settled",))
+
+
+def settled_rows(spark: SparkSession, path: str, schema: StructType, *outcomes: str) -> DataFrame:
+    """Rows written by ``settled_files`` with one of the outcomes; ``schema`` is that of the stream."""
+    return spark.read.schema(schema).parquet(path).filter(F.col("settled").isin(*outcomes)).select(*schema.names)
 
 
 def windowed_signals(stream: DataFrame, ts: str, delay: str, window: str, measures: Mapping[str, Column]) -> DataFrame:

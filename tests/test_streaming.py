@@ -126,3 +126,25 @@ def test_stateless_operators_accept_streams(spark, committed):
     committed.write.parquet(path)
     stream = readers.stream_changes(spark, path, committed.schema)
     assert split_pk_update(stream).isStreaming
+
+
+def test_events_of_no_transaction_pass_and_expired_ones_are_kept(spark):
+    """Reads without a transaction leave a stream as they leave the batch form; an open transaction's event gets a file of its own."""
+    events = [("orders", 1, 10, "2024-01-01 00:00:00"), ("orders", 2, 20, "2024-01-01 00:01:00"), ("orders", 3, 30, "2024-01-01 00:02:00"),
+              ("orders", 4, None, "2024-01-01 00:03:00"), ("orders", 5, None, "2023-01-01 00:00:00"), ("orders", 6, 40, "2024-01-05 00:00:00")]
+    outcomes = [(10, "COMMITTED", "2024-01-01 00:05:00"), (20, "ABORTED", "2024-01-01 00:05:00"), (40, "COMMITTED", "2024-01-05 00:00:00")]
+    log = spark.createDataFrame(events, "tbl string, pos long, tx_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    tx = spark.createDataFrame(outcomes, "tx_id long, status string, ended string").withColumn("ended", F.col("ended").cast("timestamp"))
+    for name, rows in (("all", log), ("inside", log.filter("tx_id IS NOT NULL"))):
+        paths = {n: work_path(spark, f"{name}-{n}") for n in ("log", "tx", "settled", "committed", "ck1", "ck2")}
+        rows.write.parquet(paths["log"])
+        tx.write.parquet(paths["tx"])
+        e, o = (readers.stream_changes(spark, paths[n], df.schema) for n, df in (("log", rows), ("tx", tx)))
+        settled = jobs.settled_stream(e, o, "ts", "ended", "1 minute", "1 day", salts=2)
+        jobs.run_stateful(spark, lambda: jobs.settled_files(settled, paths["settled"], paths["ck1"]), 2)
+        committed = jobs.committed_stream(e, o, "ts", "ended", "1 minute", "1 day", salts=2)
+        jobs.run_stateful(spark, lambda: jobs.append_files(committed, paths["committed"], paths["ck2"]), 2)
+        of = lambda *outcome: [r["pos"] for r in jobs.settled_rows(spark, paths["settled"], settled.schema, *outcome).orderBy("pos").collect()]
+        assert of("EXPIRED") == [3] and of("ABORTED") == [2] and of("COMMITTED") == [1, 6]
+        assert of("PASSED") == ([4, 5] if name == "all" else [])
+        assert rows_of(spark.read.parquet(paths["committed"])) == rows_of(committed_only(rows, tx).select(*rows.columns))
