@@ -378,7 +378,7 @@ def test_quality(odd):
     got = by_id(quality.op7_quality_rules(odd))
     assert sum(map(len, got.values())) == len(TEXTS)
     assert (got[3][0]["n_words"], got[3][0]["base_failed"], got[3][0]["kept"]) == (0, True, False)
-    assert got[5][0]["n_words"] == 65_001 and got[5][0]["n_repeat_words"] == 60_000
+    assert got[5][0]["n_words"] == 65_001 and got[5][0]["n_repeat_words"] == 59_999
     assert got[12][0]["n_symbols"] == 3
 
 
