@@ -87,9 +87,9 @@ def bitmap(hashes: DataFrame, column: str, max_bits: int = MAX_BITS) -> bytes:
     """Bits for the upper bits of the hashes, about 64 bits a hash and ``max_bits`` at most."""
     n = hashes.agg(F.approx_count_distinct(column)).first()[0]
     bits = min(max_bits, max(LEAST_BITS, 1 << (64 * n).bit_length()))
-    slot = F.shiftrightunsigned(column, 64 - bits.bit_length() + 1)
-    cells = hashes.select(F.shiftright(slot, 3).alias("cell"), F.shiftleft(F.lit(1), (slot % 8).cast("int")).alias("bit")).groupBy(
-        "cell").agg(F.bit_or("bit").cast("int").alias("bits")).toArrow()  # one row for every 8 bits at most
+    slots = hashes.select(F.shiftrightunsigned(column, 64 - bits.bit_length() + 1).alias("slot"))
+    cells = slots.selectExpr("shiftright(slot, 3) AS cell", "shiftleft(1, CAST(slot % 8 AS INT)) AS bit").groupBy("cell").agg(
+        F.bit_or("bit").cast("int").alias("bits")).toArrow()  # one row for every 8 bits at most
     out = np.zeros(bits // 8, np.uint8)
     out[cells.column("cell").to_numpy()] = cells.column("bits").to_numpy()
     return out.tobytes()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    language_id, line_dedup, minhash_dedup, packing, passage_dedup, quality, secret_scan, subword, token_counts, vector_dedup,
+    decontaminate, language_id, line_dedup, minhash_dedup, packing, passage_dedup, quality, secret_scan, subword, token_counts, vector_dedup,
 )
 from .common import table
 
@@ -29,6 +29,7 @@ QUERIES: dict[str, Query] = {
     "op8_vector_dedup": _over("embeddings", vector_dedup.op8_vector_dedup),
     "op9_token_counts": _over("documents", token_counts.op9_token_counts),
     "op10_sentencepiece": _over("documents", subword.op10_sentencepiece),
+    "op11_decontaminate": decontaminate.query,
 }
 
 ORACLES: dict[str, str] = {
@@ -36,4 +37,5 @@ ORACLES: dict[str, str] = {
     "op2_secret_scan": secret_scan.SQL,
     "op5_minhash_dedup": minhash_dedup.SQL,
     "op7_quality_rules": quality.SQL,
+    "op11_decontaminate": decontaminate.SQL,
 }
