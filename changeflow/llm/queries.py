@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    decontaminate, language_id, line_dedup, minhash_dedup, packing, passage_dedup, quality, secret_scan, subword, token_counts, vector_dedup,
+    decontaminate, language_id, lexical_search, line_dedup, minhash_dedup, packing, passage_dedup, prefix_trie, quality, secret_scan, subword,
+    token_counts, vector_dedup,
 )
 from .common import table
 
@@ -30,6 +31,8 @@ QUERIES: dict[str, Query] = {
     "op9_token_counts": _over("documents", token_counts.op9_token_counts),
     "op10_sentencepiece": _over("documents", subword.op10_sentencepiece),
     "op11_decontaminate": decontaminate.query,
+    "op12_prefix_trie": prefix_trie.query,
+    "op13_lexical_search": lexical_search.query,
 }
 
 ORACLES: dict[str, str] = {
@@ -38,4 +41,6 @@ ORACLES: dict[str, str] = {
     "op5_minhash_dedup": minhash_dedup.SQL,
     "op7_quality_rules": quality.SQL,
     "op11_decontaminate": decontaminate.SQL,
+    "op12_prefix_trie": prefix_trie.SQL,
+    "op13_lexical_search": lexical_search.SQL,
 }
