@@ -104,7 +104,7 @@ def shard_rows(shard: int, ids: list[int], lengths: list[int], keys: list[np.nda
     numbers, docs = held >> 32, held & 0xFFFFFFFF
     cuts = np.flatnonzero(np.diff(numbers, prepend=-1))
     names = list(terms)
-    for low, high in zip(cuts, [*cuts[1:], len(held)], strict=True):
+    for low, high in zip(cuts, [*cuts[1:], len(held)], strict=False):
         rows.append(list_row(shard, names[numbers[low]], docs[low:high], tfs[low:high], n))
         if len(rows) >= 4096:
             yield pa.RecordBatch.from_pylist(rows, _LISTS)
