@@ -49,8 +49,10 @@ def rollback_audit(log: DataFrame, emitted: DataFrame, tx: DataFrame, layout: La
 
 
 def tx_order(log: DataFrame, layout: Layout = LAYOUT, **split) -> DataFrame:
-    """Adds ``tx_ord``: place of an event in its transaction, from 1. Ties on position go by table."""
-    return row_numbers(log, [layout.tx], [layout.pos, layout.table], "tx_ord", **split)
+    """Adds ``tx_ord``: place of an event in its transaction, from 1. Ties on position go by the place that the
+    source gives, where the log has it, and then by table and key."""
+    place = [layout.sub] if layout.sub in log.columns else []
+    return row_numbers(log, [layout.tx], [layout.pos, *place, layout.table, layout.key], "tx_ord", **split)
 
 
 def tx_summary(log: DataFrame, layout: Layout = LAYOUT, large: int = LARGE_TX_ROWS) -> DataFrame:

@@ -2,6 +2,10 @@
 
 The last event per key comes from a partial ``max_by`` aggregation, so a key that holds a large
 share of the events is reduced before the shuffle.
+
+Rows of one transaction share a position, so everything is compared by (position, place in the transaction)
+as one value: the last event of a key, the barrier of a truncate, the cut that ends a version. Where a
+truncate and a row have the same place too, the truncate counts as the later one.
 """
 
 from __future__ import annotations
@@ -24,19 +28,29 @@ def _order(layout: Layout) -> Column:
     return F.struct(layout.pos, layout.sub)
 
 
+def place_of(df: DataFrame, layout: Layout = LAYOUT) -> Column:
+    """(position, place in the transaction) as one value; the place is 0 where a log has none."""
+    sub = F.coalesce(F.col(layout.sub).cast("long"), F.lit(0)) if layout.sub in df.columns else F.lit(0)
+    return F.struct(F.col(layout.pos).alias("pos"), sub.cast("long").alias("sub"))
+
+
 def truncates(committed: DataFrame, layout: Layout = LAYOUT) -> DataFrame:
-    """Truncate events of a committed log: table, position and time."""
-    return committed.filter(F.col(layout.op) == "t").select(layout.table, layout.pos, layout.ts)
+    """Truncate events of a committed log: table, position, place and time.
+
+    Take them from the same form of the log as the events, as ``split_pk_update`` doubles places.
+    """
+    rows = committed.filter(F.col(layout.op) == "t")
+    return rows.select(layout.table, layout.pos, place_of(rows, layout)["sub"].alias(layout.sub), layout.ts)
+
+
+def _barriers(truncated: DataFrame, layout: Layout) -> DataFrame:
+    return truncated.groupBy(layout.table).agg(F.max(place_of(truncated, layout)).alias("__barrier"))
 
 
 def truncate_barrier(events: DataFrame, truncated: DataFrame, layout: Layout = LAYOUT) -> DataFrame:
-    """Keeps keyed events after the last truncate of their table."""
-    last = truncated.groupBy(layout.table).agg(F.max(layout.pos).alias("__barrier"))
-    return (
-        join_small(events.filter(F.col(layout.key).isNotNull()), last, [layout.table], "left")
-        .filter(F.col("__barrier").isNull() | (F.col(layout.pos) > F.col("__barrier")))
-        .drop("__barrier")
-    )
+    """Keeps keyed events after the last truncate of their table, also within its transaction."""
+    met = join_small(events.filter(F.col(layout.key).isNotNull()), _barriers(truncated, layout), [layout.table], "left")
+    return met.filter(F.col("__barrier").isNull() | (place_of(events, layout) > F.col("__barrier"))).drop("__barrier")
 
 
 def latest_per_key(events: DataFrame, layout: Layout = LAYOUT, keep: Sequence[str] | None = None) -> DataFrame:
@@ -54,14 +68,20 @@ def materialize(
 ) -> DataFrame:
     """Current rows of all tables: table, key, ``after`` image and position of the last change."""
     committed = log if tx is None else committed_only(log, tx, layout, hot_rows=hot_rows)
-    rows = split_pk_update(committed.filter(F.col(layout.op) != "t"), layout)
-    events = truncate_barrier(rows, truncates(committed, layout), layout)
+    rows = split_pk_update(committed, layout)
+    events = truncate_barrier(rows.filter(F.col(layout.op) != "t"), truncates(rows, layout), layout)
     last = latest_per_key(events, layout, [layout.op, layout.after, layout.pos, layout.sub])
     return last.filter(F.col(layout.op) != "d").select(*layout.row_key, layout.after, layout.pos)
 
 
-def state_as_of(log: DataFrame, position: int, tx: DataFrame | None = None, layout: Layout = LAYOUT) -> DataFrame:
-    return materialize(log.filter(F.col(layout.pos) <= position), tx, layout)
+def state_as_of(
+    log: DataFrame, position: int, tx: DataFrame | None = None, layout: Layout = LAYOUT, place: int | None = None,
+) -> DataFrame:
+    """State after a position, or after one place in the transaction at that position."""
+    upto = F.col(layout.pos) <= position
+    if place is not None:
+        upto = upto & ((F.col(layout.pos) < position) | (place_of(log, layout)["sub"] <= place))
+    return materialize(log.filter(upto), tx, layout)
 
 
 def compact_log(events: DataFrame, layout: Layout = LAYOUT) -> DataFrame:
@@ -87,22 +107,24 @@ def net_changes(events: DataFrame, layout: Layout = LAYOUT) -> DataFrame:
 def with_next_truncate(
     events: DataFrame, truncated: DataFrame, layout: Layout = LAYOUT, limit: int = FEW_TRUNCATES, **split,
 ) -> DataFrame:
-    """Adds ``cut``: position and time of the first truncate of the table after the event, or NULL.
+    """Adds ``cut``: place (position and place in the transaction) and time of the first truncate of the
+    table after the event, or NULL.
 
     A few truncates are broadcast as one sorted list per table. Beyond ``limit`` they are merged
     into the order of the events instead.
     """
-    cut = F.struct(F.col(layout.pos).alias("pos"), F.col(layout.ts).alias("ts"))
+    cut = F.struct(place_of(truncated, layout).alias("at"), F.col(layout.ts).alias("ts"))
+    here = place_of(events, layout)
     few = bounded(truncated, limit)
     if few is not None:
         lists = few.groupBy(layout.table).agg(F.sort_array(F.collect_set(cut)).alias("__cuts"))
         joined = events.join(F.broadcast(lists), layout.table, "left")
-        later = F.get(F.filter("__cuts", lambda c: c["pos"] > F.col(layout.pos)), 0)
+        later = F.get(F.filter("__cuts", lambda c: c["at"] >= here), 0)
         return joined.withColumn("cut", later).drop("__cuts")
-    marks = truncated.select(layout.table, layout.pos, F.lit(-1).alias("__rank"), cut.alias("__mark"))
-    merged = events.withColumn("__rank", F.col(layout.sub)).unionByName(marks, allowMissingColumns=True)
-    filled = next_value(merged, [layout.table], [layout.pos, "__rank"], "__mark", "cut", **split)
-    return filled.filter(F.col("__mark").isNull()).drop("__rank", "__mark")
+    marks = truncated.select(layout.table, cut["at"].alias("__at"), F.lit(1).alias("__rank"), cut.alias("__mark"))
+    merged = events.withColumns({"__at": here, "__rank": F.lit(0)}).unionByName(marks, allowMissingColumns=True)
+    filled = next_value(merged, [layout.table], ["__at", "__rank"], "__mark", "cut", **split)
+    return filled.filter(F.col("__mark").isNull()).drop("__at", "__rank", "__mark")
 
 
 def change_history(
@@ -113,10 +135,10 @@ def change_history(
     A version ends with the next event of its key or with the next truncate of its table.
     """
     keyed = events.filter(F.col(layout.key).isNotNull())
-    linked = neighbours(keyed, layout.row_key, [layout.pos, layout.sub], [layout.pos, layout.ts], "__next", following=True, **split)
+    linked = neighbours(keyed.withColumn("__at", place_of(keyed, layout)), layout.row_key, ["__at"], ["__at", layout.ts], "__next", following=True, **split).drop("__at")
     versions = with_next_truncate(linked.filter(F.col(layout.op) != "d"), truncated, layout, few_truncates, **split)
     nxt, cut = F.col("__next"), F.col("cut")
-    ended = F.when(nxt.isNull() | (cut["pos"] < nxt[layout.pos]), cut["ts"]).otherwise(nxt[layout.ts])
+    ended = F.when(nxt.isNull() | (cut["at"] < nxt["__at"]), cut["ts"]).otherwise(nxt[layout.ts])
     return versions.withColumns({"valid_from": F.col(layout.ts), "valid_to": ended}).drop("__next", "cut")
 
 
@@ -125,13 +147,14 @@ def truncate_counts(
 ) -> DataFrame:
     """Rows that each truncate removed: keys alive since the truncate before it."""
     keyed = with_next_truncate(events.filter(F.col(layout.key).isNotNull()), truncated, layout, few_truncates, **split)
+    at = [F.col("at.pos").alias("truncate_pos"), F.col("at.sub").alias("truncate_sub")]
     alive = (
-        keyed.withColumn("truncate_pos", F.col("cut.pos")).filter("truncate_pos IS NOT NULL")
-        .groupBy(*layout.row_key, "truncate_pos").agg(F.max_by(layout.op, _order(layout)).alias("__op"))
-        .groupBy(layout.table, "truncate_pos").agg(F.count_if(F.col("__op") != "d").alias("purged"))
+        keyed.withColumn("at", F.col("cut.at")).filter("at IS NOT NULL")
+        .groupBy(*layout.row_key, "at").agg(F.max_by(layout.op, place_of(events, layout)).alias("__op"))
+        .groupBy(layout.table, "at").agg(F.count_if(F.col("__op") != "d").alias("purged"))
     )
-    empty = truncated.select(layout.table, F.col(layout.pos).alias("truncate_pos"), F.lit(0).cast("long").alias("purged"))
-    return alive.unionByName(empty).groupBy(layout.table, "truncate_pos").agg(F.sum("purged").alias("purged"))
+    empty = truncated.select(layout.table, place_of(truncated, layout).alias("at"), F.lit(0).cast("long").alias("purged"))
+    return alive.unionByName(empty).groupBy(layout.table, "at").agg(F.sum("purged").alias("purged")).select(layout.table, *at, "purged")
 
 
 def update_lookup(
@@ -161,16 +184,15 @@ def transitions(updates: DataFrame, field: str, fields: Sequence[str], layout: L
 
 def search_feed(events: DataFrame, truncated: DataFrame, layout: Layout = LAYOUT) -> DataFrame:
     """Work list of a search index: CLEAR per truncated table, MAPPING_UPDATE per DDL event, and the
-    last UPSERT or REMOVE per document after the last CLEAR. Apply in order of position.
+    last UPSERT or REMOVE per document after the last CLEAR. Apply in order of position and place.
 
     One pass: a document, a table and a DDL event are each a group of their own.
     """
     op = F.col(layout.op)
     is_doc, is_ddl = op.isin("c", "u", "r", "d"), op.startswith("DDL")
-    last = truncated.groupBy(layout.table).agg(F.max(layout.pos).alias("__barrier"))
-    relevant = join_small(events.filter(is_doc | is_ddl | (op == "t")), last, [layout.table], "left").filter(
-        ~is_doc | F.col("__barrier").isNull() | (F.col(layout.pos) > F.col("__barrier")))
-    keep = [layout.op, layout.pos, layout.after]
+    relevant = join_small(events.filter(is_doc | is_ddl | (op == "t")), _barriers(truncated, layout), [layout.table], "left").filter(
+        ~is_doc | F.col("__barrier").isNull() | (place_of(events, layout) > F.col("__barrier")))
+    keep = [layout.op, layout.pos, layout.sub, layout.after]
     grouped = (
         relevant.withColumns({
             layout.key: F.when(is_doc, F.col(layout.key)),
@@ -179,7 +201,7 @@ def search_feed(events: DataFrame, truncated: DataFrame, layout: Layout = LAYOUT
         .groupBy(*layout.row_key, "__ddl").agg(F.max_by(F.struct(*keep), _order(layout)).alias("__last"))
         .select(*layout.row_key, "__last.*"))
     action = F.when(is_ddl, "MAPPING_UPDATE").when(op == "t", "CLEAR").when(op == "d", "REMOVE").otherwise("UPSERT")
-    return grouped.select(*layout.row_key, action.alias("action"), layout.pos, layout.after)
+    return grouped.select(*layout.row_key, action.alias("action"), layout.pos, layout.sub, layout.after)
 
 
 def retention_filter(df: DataFrame, ts: str, days: float = 7, now: str | None = None) -> DataFrame:

@@ -28,13 +28,22 @@ BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 32 * 2**20
 
 _SAMPLES = 40  # rows looked at per segment to place its border
-_HASH, _SALT, _SEG, _CUTS = "__hash", "__salt", "__seg", "__cuts"
+_HASH, _SALT, _SEG, _CUTS, _TIE = "__hash", "__salt", "__seg", "__cuts", "__tie"
 
 
 def _hash(cols: Sequence[str]) -> Column:
     return F.xxhash64(*[F.col(c) for c in cols]) if cols else F.lit(0).cast("long")
 
 
+def _hashable(df: DataFrame) -> list[str]:
+    return [c for c, t in df.dtypes if "map<" not in t and "variant" not in t]
+
+
+def _tied(df: DataFrame, order: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """``df`` and its order with a hash of the whole row last: ties get one order, and can be cut like other rows."""
+    return df.withColumn(_TIE, _hash(_hashable(df))), [*order, _TIE]
+
+
 def _hot_counts(df: DataFrame, cols: Sequence[str], hot_rows: int) -> dict[int, int]:
     """Rows per hash of the hot keys; there are at most as many as all rows over ``hot_rows``."""
     counts = df.select(_hash(cols).alias(_HASH)).groupBy(_HASH).agg(F.count(F.lit(1)).alias("n"))
@@ -96,7 +105,7 @@ def skew_join(
     if not hot:
         return left.join(right, on, how)
     is_hot = _hash(on).isin(list(hot))
-    spread = [c for c, t in left.dtypes if "map<" not in t and "variant" not in t]
+    spread = _hashable(left)
     # The partition id spreads identical rows too, and is the same again when a task is repeated.
     salt = F.pmod(F.xxhash64(F.lit(7), *spread) + F.spark_partition_id(), F.lit(salts)).cast("int")
     salted = left.withColumn(_SALT, F.when(is_hot, salt).otherwise(0))
@@ -162,11 +171,12 @@ def row_numbers(
 
     ``group`` may be empty: one numbering over everything, still computed in segments.
     """
-    group = list(group)
+    group, columns = list(group), df.columns
+    df, order = _tied(df, order)
     marked, split = _segmented(df, group, order, hot_rows, segment_rows)
     numbered = marked.withColumn(name, F.row_number().over(Window.partitionBy(*group, _SEG).orderBy(*order)).cast("long"))
     if not split:
-        return numbered.drop(_SEG)
+        return numbered.drop(_SEG, _TIE)
     before = Window.partitionBy(*group).orderBy(_SEG).rowsBetween(Window.unboundedPreceding, -1)
     base = (
         marked.filter(F.col(_SEG) >= 0).groupBy(*group, _SEG).agg(F.count(F.lit(1)).alias("__n"))
@@ -175,7 +185,7 @@ def row_numbers(
     return (
         _carried(numbered, base, group, "__base")
         .withColumn(name, F.col(name) + F.coalesce(F.col("__base"), F.lit(0)))
-        .select(*df.columns, name)
+        .select(*columns, name)
     )
 
 
@@ -187,14 +197,15 @@ def neighbours(
 
     The struct is NULL on the first (last) row. Same conditions as ``row_numbers``.
     """
-    group = list(group)
+    group, columns = list(group), df.columns
+    df, order = _tied(df, order)
     marked, split = _segmented(df, group, order, hot_rows, segment_rows)
     local = Window.partitionBy(*group, _SEG).orderBy(*order)
     shift = F.lead if following else F.lag
     payload = F.struct(*values)
     shifted = marked.withColumn(name, shift(payload).over(local))
     if not split:
-        return shifted.drop(_SEG)
+        return shifted.drop(_SEG, _TIE)
     edge = F.min_by if following else F.max_by
     across = Window.partitionBy(*group).orderBy(_SEG)
     carry = (
@@ -205,7 +216,7 @@ def neighbours(
     return (
         _carried(shifted, carry, group, "__carry")
         .withColumn(name, F.coalesce(name, "__carry"))
-        .select(*df.columns, name)
+        .select(*columns, name)
     )
 
 
@@ -217,13 +228,14 @@ def next_value(
 
     Same conditions as ``row_numbers``. Rows are visited backwards, so frames only grow.
     """
-    group = list(group)
+    group, columns = list(group), df.columns
+    df, order = _tied(df, order)
     marked, split = _segmented(df, group, order, hot_rows, segment_rows)
     growing = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     backwards = growing(Window.partitionBy(*group, _SEG).orderBy(*[F.col(c).desc() for c in order]))
     filled = marked.withColumn(name, F.last(value, ignorenulls=True).over(backwards))
     if not split:
-        return filled.drop(_SEG)
+        return filled.drop(_SEG, _TIE)
     across = growing(Window.partitionBy(*group).orderBy(F.col(_SEG).desc()))
     first = F.min_by(F.col(value), F.when(F.col(value).isNotNull(), F.struct(*order)))
     carry = (
@@ -233,5 +245,5 @@ def next_value(
     return (
         _carried(filled, carry, group, "__carry")
         .withColumn(name, F.coalesce(name, "__carry"))
-        .select(*df.columns, name)
+        .select(*columns, name)
     )

@@ -91,7 +91,7 @@ def assign_offsets(spark, sf):
 
 
 @query("tx_order", """
-SELECT tx_id, tbl, pos, key_id, ROW_NUMBER() OVER (PARTITION BY tx_id ORDER BY pos, tbl) AS tx_ord FROM committed""")
+SELECT tx_id, tbl, pos, key_id, ROW_NUMBER() OVER (PARTITION BY tx_id ORDER BY pos, tbl, key_id) AS tx_ord FROM committed""")
 def tx_order(spark, sf):
     return commit.tx_order(committed_log(spark, sf)).select("tx_id", "tbl", "pos", "key_id", "tx_ord")
 
@@ -105,15 +105,14 @@ def tx_order(spark, sf):
 SELECT t.tbl, t.pos AS truncate_pos, COUNT(s.key_id) AS purged
 FROM truncs t LEFT JOIN seen s ON s.tbl = t.tbl AND s.truncate_pos = t.pos AND s.op <> 'd' GROUP BY t.tbl, t.pos""")
 def truncate_counts(spark, sf):
-    committed = committed_log(spark, sf)
-    return materialize.truncate_counts(expand.split_pk_update(committed), materialize.truncates(committed))
+    events = split_log(spark, sf)
+    return materialize.truncate_counts(events, materialize.truncates(events)).select("tbl", "truncate_pos", "purged")
 
 
 @query("truncate_barrier", "SELECT tbl, op, key_id, pos, sub_order FROM after_barrier")
 def truncate_barrier(spark, sf):
-    committed = committed_log(spark, sf)
-    events = expand.split_pk_update(committed)
-    return materialize.truncate_barrier(events, materialize.truncates(committed)).select("tbl", "op", "key_id", "pos", "sub_order")
+    events = split_log(spark, sf)
+    return materialize.truncate_barrier(events, materialize.truncates(events)).select("tbl", "op", "key_id", "pos", "sub_order")
 
 
 @query("update_lookup", """
@@ -203,10 +202,9 @@ SELECT c.tbl, c.key_id, c.op, c.pos, c.a_status AS status, CAST(c.source_ts AS V
             THEN (SELECT t.source_ts FROM truncs t WHERE t.tbl = c.tbl AND t.pos = c.cpos) ELSE nts END AS VARCHAR) AS valid_to
 FROM cut c""")
 def change_history(spark, sf):
-    committed = committed_log(spark, sf)
-    slim = expand.split_pk_update(committed).select(
+    slim = split_log(spark, sf).select(
         "tbl", "op", "key_id", "pos", "sub_order", "source_ts", F.col("after.status").alias("status"))
-    rows = materialize.change_history(slim, materialize.truncates(committed))
+    rows = materialize.change_history(slim, materialize.truncates(slim))
     return rows.select("tbl", "key_id", "op", "pos", "status",
                        F.col("valid_from").cast("string").alias("valid_from"), F.col("valid_to").cast("string").alias("valid_to"))
 
@@ -224,10 +222,9 @@ SELECT tbl, key_id, CASE WHEN op = 'd' THEN 'REMOVE' ELSE 'UPSERT' END AS action
 UNION ALL SELECT tbl, NULL, 'CLEAR', MAX(pos), NULL FROM truncs GROUP BY tbl
 UNION ALL SELECT tbl, NULL, 'MAPPING_UPDATE', pos, NULL FROM ddl_log""")
 def search_feed(spark, sf):
-    committed = committed_log(spark, sf)
-    rows = expand.split_pk_update(committed)
+    rows = split_log(spark, sf)
     events = rows.unionByName(ddl_log(spark, sf), allowMissingColumns=True)
-    return materialize.search_feed(events, materialize.truncates(committed)).select(
+    return materialize.search_feed(events, materialize.truncates(rows)).select(
         "tbl", "key_id", "action", "pos", F.col("after.status").alias("status"))
 
 

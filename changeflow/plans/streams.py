@@ -209,8 +209,7 @@ def stream_fan_out(spark, sf):
     state = sinks.read_applied(spark, paths["warehouse"]).select("tbl", "key_id", "pos", F.col("after.status").alias("detail"))
     moved = spark.read.parquet(paths["microservice"]).select("tbl", "key_id", "pos", F.col("new_value").alias("detail"))
     feed = spark.read.parquet(paths["search"]).drop("batch_id")
-    truncated = feed.filter("op = 't'").withColumn("source_ts", F.lit(None).cast("timestamp")).select("tbl", "pos", "source_ts")
-    docs = materialize.search_feed(feed, truncated).filter("action <> 'CLEAR'").select("tbl", "key_id", "pos", F.col("action").alias("detail"))
+    docs = materialize.search_feed(feed, materialize.truncates(feed.withColumn("source_ts", F.lit(None).cast("timestamp")))).filter("action <> 'CLEAR'").select("tbl", "key_id", "pos", F.col("action").alias("detail"))
     out = None
     for name, rows in (("warehouse", state), ("microservice", moved), ("search", docs)):
         one = rows.withColumn("consumer", F.lit(name))

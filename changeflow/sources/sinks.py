@@ -80,7 +80,7 @@ def _stored(spark: SparkSession, path: str, base: int | None, upto: int | None =
 
 
 def _merged(stored: DataFrame, layout: Layout) -> DataFrame:
-    truncated = stored.filter(F.col(layout.op) == "t").select(layout.table, layout.pos)
+    truncated = stored.filter(F.col(layout.op) == "t").select(layout.table, layout.pos, layout.sub)
     return latest_per_key(truncate_barrier(stored, truncated, layout), layout, _kept(layout))
 
 
