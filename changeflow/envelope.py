@@ -25,7 +25,7 @@ ENVELOPE = T.StructType([
     T.StructField("tx", T.StructType([
         T.StructField("id", T.StringType()),
         T.StructField("ts", T.TimestampType()),
-        T.StructField("ord", T.IntegerType()),
+        T.StructField("ord", T.DecimalType(38, 0)),  # SQL Server sequence values have ten bytes
     ])),
     T.StructField("position", T.StructType([
         T.StructField("type", T.StringType()),

@@ -56,6 +56,20 @@ def parse_mssql_lsn(text: Column) -> Column:
     return F.when(ok, (terms[0] + terms[1] + terms[2]).cast("decimal(38,0)"))
 
 
+def parse_seqval(text: Column) -> Column:
+    """SQL Server sequence value, up to ten bytes in hex (with or without ``0x``), as one number; NULL when malformed."""
+    digits = F.regexp_replace(text, "^0[xX]", "")
+    padded = F.lpad(digits, 20, "0")
+    parts = F.concat_ws(":", F.substring(padded, 1, 8), F.substring(padded, 9, 8), F.substring(padded, 17, 4))
+    return F.when(digits.rlike("^[0-9A-Fa-f]{1,20}$"), parse_mssql_lsn(parts))
+
+
+def position_stream(engine: Column, value: Column) -> Column:
+    """Within which positions are numbered: the server of a MySQL position, the domain of a MariaDB one, else the source."""
+    return F.when(engine == "mysql", parse_gtid(value)["server"]).when(
+        engine == "mariadb", parse_mariadb_gtid(value)["domain"].cast("string")).otherwise("")
+
+
 # How each engine turns a position into an ordinal. MongoDB tokens order as text.
 _ORDINALS = {
     "postgres": parse_lsn,

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..envelope import LAYOUT, Layout
 from ..functions.diffing import diff_struct
@@ -30,8 +31,10 @@ def _order(layout: Layout) -> Column:
 
 def place_of(df: DataFrame, layout: Layout = LAYOUT) -> Column:
     """(position, place in the transaction) as one value; the place is 0 where a log has none."""
-    sub = F.coalesce(F.col(layout.sub).cast("long"), F.lit(0)) if layout.sub in df.columns else F.lit(0)
-    return F.struct(F.col(layout.pos).alias("pos"), sub.cast("long").alias("sub"))
+    wide = layout.sub in df.columns and isinstance(df.schema[layout.sub].dataType, T.DecimalType)
+    kind = "decimal(38,0)" if wide else "long"
+    sub = F.coalesce(F.col(layout.sub).cast(kind), F.lit(0).cast(kind)) if layout.sub in df.columns else F.lit(0).cast(kind)
+    return F.struct(F.col(layout.pos).alias("pos"), sub.alias("sub"))
 
 
 def truncates(committed: DataFrame, layout: Layout = LAYOUT) -> DataFrame:
@@ -53,24 +56,34 @@ def truncate_barrier(events: DataFrame, truncated: DataFrame, layout: Layout = L
     return met.filter(F.col("__barrier").isNull() | (place_of(events, layout) > F.col("__barrier"))).drop("__barrier")
 
 
-def latest_per_key(events: DataFrame, layout: Layout = LAYOUT, keep: Sequence[str] | None = None) -> DataFrame:
-    """The last event of every key, by position and sub-order."""
+def latest_per_key(
+    events: DataFrame, layout: Layout = LAYOUT, keep: Sequence[str] | None = None, one_of: str | None = None,
+) -> DataFrame:
+    """The last event of every key, by position and sub-order. Fails where the last ones differ in the number ``one_of``."""
     keep = list(keep) if keep else [c for c in events.columns if c not in layout.row_key]
-    return (
-        events.groupBy(*layout.row_key)
-        .agg(F.max_by(F.struct(*keep), _order(layout)).alias("__last"))
-        .select(*layout.row_key, "__last.*")
-    )
+    last = F.max_by(F.struct(*keep), _order(layout)).alias("__last")
+    if one_of is None:
+        return events.groupBy(*layout.row_key).agg(last).select(*layout.row_key, "__last.*")
+    # The largest and the smallest number at the last place, by one maximum each.
+    ends = [F.max(F.struct(_order(layout), sign.alias("what")))["what"].alias(n) for n, sign in (("__hi", F.col(one_of)), ("__lo", F.bitwise_not(one_of)))]
+    found = events.groupBy(*layout.row_key).agg(last, *ends)
+    tie = F.raise_error(F.concat(F.lit("several last changes at one place of key "), F.to_json(F.struct(*layout.row_key))))
+    return found.filter((F.col("__hi") == F.bitwise_not("__lo")) | tie.cast("boolean")).select(*layout.row_key, "__last.*")
 
 
 def materialize(
-    log: DataFrame, tx: DataFrame | None = None, layout: Layout = LAYOUT, hot_rows: int = HOT_ROWS,
+    log: DataFrame, tx: DataFrame | None = None, layout: Layout = LAYOUT, hot_rows: int = HOT_ROWS, strict: bool = False,
 ) -> DataFrame:
-    """Current rows of all tables: table, key, ``after`` image and position of the last change."""
+    """Current rows of all tables: table, key, ``after`` image and position of the last change.
+
+    ``strict`` fails where different changes share the last place of a key, so that none can be told to be the last.
+    """
     committed = log if tx is None else committed_only(log, tx, layout, hot_rows=hot_rows)
     rows = split_pk_update(committed, layout)
     events = truncate_barrier(rows.filter(F.col(layout.op) != "t"), truncates(rows, layout), layout)
-    last = latest_per_key(events, layout, [layout.op, layout.after, layout.pos, layout.sub])
+    if strict:
+        events = events.withColumn("__what", F.xxhash64(layout.op, F.to_json(F.struct(layout.after))))
+    last = latest_per_key(events, layout, [layout.op, layout.after, layout.pos, layout.sub], "__what" if strict else None)
     return last.filter(F.col(layout.op) != "d").select(*layout.row_key, layout.after, layout.pos)
 
 

@@ -5,7 +5,7 @@ what one task should take. When there are none, callers build the plain plan. Ot
 
 * ``skew_join`` salts the rows of the hot keys over many tasks and repeats only the matching hot
   rows of the other side;
-* ``row_numbers``, ``neighbours`` and ``next_value`` cut each hot group into ordered segments, compute
+* ``row_numbers``, ``running``, ``neighbours`` and ``next_value`` cut each hot group into ordered segments, compute
   inside every segment, and carry one row per segment across the borders.
 
 The counts decide only where rows are computed, never what is computed: NULL groups, text or NULL
@@ -14,7 +14,7 @@ order columns and ties give the same rows with and without segments.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -189,6 +189,32 @@ def row_numbers(
     )
 
 
+def running(
+    df: DataFrame, group: Sequence[str], order: Sequence[str], values: Mapping[str, tuple[Callable[[str], Column], str]],
+    before: bool = False, hot_rows: int = HOT_ROWS, segment_rows: int = SEGMENT_ROWS,
+) -> DataFrame:
+    """Adds running aggregates: ``values`` maps a new name to an aggregate that can be taken of its own parts
+    (``F.sum``, ``F.max``, ``F.min``) and its column. ``before`` leaves the row itself out.
+
+    Rows that tie in ``order`` have an order all the same. NULL where nothing came before.
+    """
+    group, columns = list(group), df.columns
+    df, order = _tied(df, order)
+    marked, split = _segmented(df, group, order, hot_rows, segment_rows)
+    local = Window.partitionBy(*group, _SEG).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    here = marked.withColumns({name: f(c).over(local) for name, (f, c) in values.items()})
+    if not split:
+        return here.drop(_SEG, _TIE)
+    along = Window.partitionBy(*group).orderBy(_SEG).rowsBetween(Window.unboundedPreceding, -1)
+    sums = marked.filter(F.col(_SEG) >= 0).groupBy(*group, _SEG).agg(*[f(c).alias(name) for name, (f, c) in values.items()])
+    carry = sums.select(*group, _SEG, F.struct(*[f(name).over(along).alias(name) for name, (f, _) in values.items()]).alias("__base"))
+    met = _carried(here, carry, group, "__base")
+    pair = lambda name: F.filter(F.array(F.col(name), F.col("__base")[name]), lambda x: x.isNotNull())
+    folds = {F.sum: lambda x, y: x + y, F.max: lambda x, y: F.greatest(x, y), F.min: lambda x, y: F.least(x, y)}
+    both = {name: F.aggregate(F.slice(pair(name), 2, 1), F.get(pair(name), 0), folds[f]) for name, (f, _) in values.items()}
+    return met.withColumns(both).select(*columns, *values)
+
+
 def neighbours(
     df: DataFrame, group: Sequence[str], order: Sequence[str], values: Sequence[str], name: str,
     following: bool = False, hot_rows: int = HOT_ROWS, segment_rows: int = SEGMENT_ROWS,

@@ -3,7 +3,8 @@
 A normaliser is one projection (SQL Server needs one grouping to pair its update images). Row
 images may arrive as struct, map or JSON text columns. Many rows share one position, so the place of a
 row in its transaction is taken in (``row_ord``, where the source gives it) and becomes, with the key,
-part of the event id and of the order. ``source_ts``, ``capture_ts``, ``tx_ts`` and ``tx_id`` are
+part of the event id and of the order. Where there is none, a digest of both images is part of the id, so that
+two changes of one key at one position stay two, and the topic ``offset`` orders them. ``source_ts``, ``capture_ts``, ``tx_ts`` and ``tx_id`` are
 taken in under these names where the raw changes have them.
 
 ``from_envelope`` turns envelopes into the flat log that the state operators read.
@@ -20,8 +21,9 @@ from pyspark.sql import types as T
 
 from ..envelope import STATUSES, canonical_mssql_op, canonical_op, category, event_type
 from ..functions.diffing import diff_fields
-from ..functions.positions import position_ordinal
+from ..functions.positions import parse_seqval, position_ordinal, position_stream
 from ..functions.routing import event_id
+from ..operators.failover import epochs, mixed, with_epoch
 from ..operators.transforms import extract_key
 
 
@@ -81,16 +83,18 @@ def _envelope(
     if schema is None:
         schema = F.lit(source.schema).cast("string")
     key = extract_key(b, a, source.pk) if key is None else key
-    place = given("row_ord", "int") if sub is None else sub
+    place = given("row_ord", "decimal(38,0)") if sub is None else sub
+    images = F.when(place.isNull(), F.sha2(F.concat_ws("|", F.to_json(b), F.lit("to"), F.to_json(a)), 256))
     return df.select(
-        event_id(F.lit(engine), F.lit(source.database), schema, table, F.col(position), place, F.to_json(key), op).alias("event_id"),
+        event_id(F.lit(engine), F.lit(source.database), schema, table, F.col(position), F.coalesce(place.cast("string"), images),
+                 F.to_json(key), op).alias("event_id"),
         event_type(op).alias("event_type"), op.alias("op"), category(op).alias("category"),
         F.struct(
             F.lit(engine).alias("type"), F.lit(source.cluster).cast("string").alias("cluster"),
             F.lit(source.database).alias("database"), schema.alias("schema"), table.alias("table")).alias("source"),
         F.struct(
             (F.col(tx).cast("string") if tx else F.lit(None).cast("string")).alias("id"),
-            given("tx_ts", "timestamp").alias("ts"), place.cast("int").alias("ord")).alias("tx"),
+            given("tx_ts", "timestamp").alias("ts"), place.cast("decimal(38,0)").alias("ord")).alias("tx"),
         F.struct(F.lit(position_type).alias("type"), F.col(position).cast("string").alias("value")).alias("position"),
         position_ordinal(engine, F.col(position).cast("string")).alias("pos_ord"),
         key.alias("key"), b.alias("before"), a.alias("after"), diff_fields(b, a).alias("diff_fields"),
@@ -129,7 +133,7 @@ def pair_mssql(raw: DataFrame, columns: str = "columns") -> DataFrame:
     update in one row. At most two rows share a (position, sequence)."""
     code = F.col("operation")
     kept = [c for c in ("row_ord", "source_ts", "capture_ts", "tx_ts", "tx_id") if c in raw.columns]
-    picked = lambda *codes: F.max(F.when(code.isin(*codes), F.col(columns)))
+    picked = lambda *codes: F.max_by(F.col(columns), F.when(code.isin(*codes), code))
     return raw.groupBy("table", "start_lsn", "seqval").agg(
         F.max(code).alias("operation"), picked(1, 3).alias("before"), picked(2, 4).alias("after"), *[F.max(c).alias(c) for c in kept])
 
@@ -137,7 +141,7 @@ def pair_mssql(raw: DataFrame, columns: str = "columns") -> DataFrame:
 def _sqlserver(raw: DataFrame, source: Source) -> DataFrame:
     paired = pair_mssql(raw)
     return _envelope(paired, "sqlserver", source, canonical_mssql_op(F.col("operation")), "LSN", "start_lsn", F.col("table"),
-                     sub=F.conv("seqval", 16, 10).cast("int"))
+                     sub=parse_seqval(F.col("seqval")))
 
 
 def _mongodb(raw: DataFrame, source: Source) -> DataFrame:
@@ -163,19 +167,62 @@ def normalize_all(raws: dict[str, tuple[DataFrame, Source]]) -> DataFrame:
     return out
 
 
-def from_envelope(envelopes: DataFrame) -> DataFrame:
+_CLUSTER = ["__type", "__cluster", "__database"]
+
+
+def _numbered(envelopes: DataFrame, arrival: Column, starts: DataFrame | None) -> DataFrame:
+    """Adds ``__epoch``, the place of a stream among those of its cluster."""
+    rows = envelopes.withColumns({
+        "__type": F.col("source.type"), "__cluster": F.coalesce("source.cluster", F.lit("")), "__database": F.coalesce("source.database", F.lit("")),
+        "__stream": position_stream(F.col("source.type"), F.col("position.value")), "__arrived": arrival})
+    if starts is None and not rows.isStreaming:
+        several = mixed(rows, _CLUSTER, "__stream")
+        unknown = rows.filter(F.col("__arrived").isNull()).join(several, _CLUSTER, "left_semi").select(*_CLUSTER).limit(1).collect()
+        if unknown:
+            raise ValueError(f"several servers without an arrival in {list(unknown[0])}: their order is unknown")
+        if several.limit(1).collect():
+            starts = position_epochs(envelopes, arrival)
+    if starts is None:
+        return rows.withColumn("__epoch", F.lit(1).cast("long"))
+    return with_epoch(rows, starts, _CLUSTER, "__stream", "pos_ord").withColumn("__epoch", F.coalesce("epoch", F.lit(1)))
+
+
+def first_arrival() -> Column:
+    """When an envelope came in: the time of its capture and the offset in its topic; NULL where neither is known."""
+    known = F.col("capture_ts").isNotNull() | F.col("offset").isNotNull()
+    return F.when(known, F.struct(F.col("capture_ts").alias("ts"), F.col("offset").alias("offset")))
+
+
+def position_epochs(envelopes: DataFrame, arrival: Column | None = None) -> DataFrame:
+    """Where the epochs of each cluster begin. Keep them with the table, so that the positions of later batches join up."""
+    rows = envelopes.filter(F.col("source.type").isin("mysql", "mariadb")).select(
+        F.col("source.type").alias("__type"), F.coalesce("source.cluster", F.lit("")).alias("__cluster"),
+        F.coalesce("source.database", F.lit("")).alias("__database"), position_stream(F.col("source.type"), F.col("position.value")).alias("__stream"),
+        "pos_ord", (first_arrival() if arrival is None else arrival).alias("__arrived"))
+    return epochs(rows, _CLUSTER, "__stream", "pos_ord", "__arrived")
+
+
+def from_envelope(envelopes: DataFrame, arrival: Column | None = None, starts: DataFrame | None = None) -> DataFrame:
     """The flat change log of envelopes: ``tbl, op, key_id, old_key_id, before, after, pos, sub_order,
     tx_id, source_ts, event_id``.
 
     A key of any number of fields becomes JSON text, with its fields in one order. Tables of different
     sources never share a name, and a table has one source, so positions of one kind are compared: numbers of
     one width as text, resume tokens as they are.
+
+    Where a cluster has several servers or domains, the number of the epoch comes first: positions are ordered by
+    number within a stream and by first ``arrival`` across streams (see ``failover``); by default that is the time of
+    capture and the topic offset. Without an arrival several streams are refused. ``starts`` are epochs known from before.
     """
+    rows = _numbered(envelopes, first_arrival() if arrival is None else arrival, starts)
     key = F.col("key")
     before = F.map_from_arrays(F.map_keys(key), F.transform(F.map_keys(key), lambda k: F.try_element_at(F.col("before"), k)))
     text = lambda m: F.to_json(F.map_from_entries(F.array_sort(F.map_entries(m))))
-    return envelopes.select(
+    number = F.lpad(F.col("pos_ord").cast("string"), 38, "0")
+    number = F.when(F.col("source.type").isin("mysql", "mariadb"), F.concat_ws(".", F.lpad(F.col("__epoch").cast("string"), 10, "0"), number)).otherwise(number)
+    return rows.select(
         F.concat_ws(".", "source.type", "source.database", "source.schema", "source.table").alias("tbl"), "op",
         F.when(F.size(key) > 0, text(key)).alias("key_id"), F.when(F.col("op") == "pk", text(before)).alias("old_key_id"),
-        "before", "after", F.coalesce(F.lpad(F.col("pos_ord").cast("string"), 38, "0"), "position.value").alias("pos"),
-        F.coalesce("tx.ord", F.lit(0)).alias("sub_order"), F.col("tx.id").alias("tx_id"), "source_ts", "event_id")
+        "before", "after", F.coalesce(F.when(F.col("pos_ord").isNotNull(), number), "position.value").alias("pos"),
+        F.coalesce("tx.ord", F.col("offset").cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")).alias("sub_order"),
+        F.col("tx.id").alias("tx_id"), "source_ts", "event_id")
