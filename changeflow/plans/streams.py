@@ -10,11 +10,11 @@ from ..operators import materialize
 from ..operators.commit import COMMITTED
 from ..operators.deadletter import parse_messages
 from ..operators.expand import split_pk_update
-from ..operators.snapshot import chunk_number, snapshot_windows
+from ..operators.snapshot import OPEN, chunk_number
 from ..session import work_path
 from ..sources import readers, sinks
 from ..sources.fixtures import change_log, raw_messages, table, transactions
-from ..streaming import jobs
+from ..streaming import jobs, processors
 from .dead import PAYLOAD, REASON
 from .registry import committed_log, flat, query, split_log
 from .snapshots import CHUNK, WINDOWS, order_rows, window_signals
@@ -78,7 +78,7 @@ def stream_tx_buffer(spark, sf):
     outcomes = staged(transactions(log).join(ended, "tx_id"), "outcomes").withColumn("ended", F.col("ended").cast("timestamp"))
     out = work_path(spark, "flushed")
     # Order dates spread over years inside one transaction, hence the wide bounds.
-    flushed = jobs.settled_stream(events, outcomes, "source_ts", "ended", "3650 days", "3650 days")
+    flushed = processors.buffered_stream(events, outcomes, "source_ts", "ended", "3650 days", "3650 days")
     rows = flushed.select("tbl", "op", "key_id", "pos", "tx_id", "settled")
     jobs.run_stateful(spark, lambda: jobs.settled_files(rows, out, work_path(spark, "ck")))
     return jobs.settled_rows(spark, out, rows.schema, COMMITTED, jobs.PASSED).drop("settled")
@@ -176,13 +176,16 @@ def stream_dlq(spark, sf):
 SELECT chunk_id, key_id, status, 'r' AS op, 'READ' AS event_type FROM reads
 WHERE chunk_id IN (SELECT chunk_id FROM windows WHERE high <= (SELECT MAX(pos) FROM committed WHERE tbl = 'orders'))""")
 def stream_snapshot_window(spark, sf):
-    log = committed_log(spark, sf).filter("tbl = 'orders'").select("key_id", "pos")
-    rows, windows = order_rows(spark, sf), snapshot_windows(window_signals(spark, sf))
-    path = work_path(spark, "superseded")
-    chunk_of = chunk_number("key_id", CHUNK)
-    jobs.finish(jobs.superseded_stream(staged(log, "orders_log"), rows, windows, path, work_path(spark, "ck"), chunk_of))
-    reached = log.agg(F.max("pos")).first()[0]
-    return jobs.closed_chunks(spark, rows, windows, path, reached)
+    """Windows are opened and closed by signals in the stream; what the log changes inside them does not come out."""
+    log = staged(committed_log(spark, sf).filter("tbl = 'orders'").select("key_id", "pos"), "orders_log")
+    signals = window_signals(spark, sf)
+    opened = signals.filter(F.col("type") == OPEN).select("chunk_id", F.col("pos").alias("low"))
+    reads = order_rows(spark, sf).join(opened, "chunk_id").withColumn("pos", F.col("low") + 1)
+    path = work_path(spark, "windows")
+    rows = processors.snapshot_stream(
+        log, staged(signals, "signals"), staged(reads, "chunk_reads"), chunk_number("key_id", CHUNK), ["status"], delay=1000)
+    jobs.run_stateful(spark, lambda: jobs.append_files(rows, path, work_path(spark, "ck")))
+    return processors.window_reads(spark.read.schema(rows.schema).parquet(path)).select("chunk_id", "key_id", "status", "op", "event_type")
 
 
 @query("stream_fan_out", """
