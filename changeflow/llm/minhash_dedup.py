@@ -21,11 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LAST_ID, known_id, written
-from .similar import MinHash, could_be, digest, link, lists, shingles, small_batches, with_main
+from .similar import MinHash, bits_of, digest, link, lists, shingles, small_batches
 
 SIGNATURE = 32
 MATCHES = 11
-ROUNDS = 2  # of hubs after the first
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -48,15 +47,15 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """(node, shingles) of every row of (did, text) with words."""
+    """(node, shingles, bits) of every row of (did, text) with words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             sets = [s for t in batch.column("text") if len(s := shingles((t.as_py() or "").encode()))]
             if sets:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([digest(s) for s in sets], pa.binary()), lists(sets)], names=["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([digest(s) for s in sets], pa.binary()), lists(sets), lists([bits_of(s) for s in sets])], names=["node", "shingles", "bits"])
 
-    return docs.select("text").mapInArrow(run, "node binary, shingles array<bigint>")
+    return docs.select("text").mapInArrow(run, "node binary, shingles array<bigint>, bits array<bigint>")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -69,34 +68,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # Both shares of the prefix rule: values of one node alone come first in the order and need no list.
     own = values.join(shared, "key").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("held"))
     prefix = F.slice("held", F.lit(1), F.size("held") - (MATCHES - 1))
-    prefixes = written(own.filter(F.size("held") >= MATCHES).select(
+    posts = written(own.filter(F.size("held") >= MATCHES).select(
         "node", "n", F.aggregate("held", F.lit(0).cast("long"), lambda s, h: s + h["df"]).alias("weight"),
-        F.transform(prefix, lambda p: p["key"]).alias("prefix")), "prefixes")
-    posts = written(prefixes.select(F.explode("prefix").alias("key"), "node", "n", "weight"), "posts")
+        F.explode(prefix).alias("p")).select(F.col("p.key").alias("key"), "node", "n", "weight"), "posts")
     wanted = written(posts.select("node").distinct().join(nodes.select("node", "did"), "node").select("did").distinct(), "wanted")
     texts = docs.select(known_id().alias("did"), "text").join(wanted, "did", "left_semi")
     sets = written(full_sets(texts).dropDuplicates(["node"]), "sets")
 
-    held = nodes.select("node", "coordinates")
-
     def promising(pairs: DataFrame) -> DataFrame:
+        held = nodes.select("node", "coordinates")
         return pairs.join(held.select(F.col("node").alias("a"), F.col("coordinates").alias("ca")), "a").join(
             held.select(F.col("node").alias("b"), F.col("coordinates").alias("cb")), "b").filter(
             F.size(F.array_intersect("ca", "cb")) >= MATCHES).select("a", "b")
 
-    def rest(placed: DataFrame) -> DataFrame:
-        """Pairs of different parts with enough collisions, each where the two first meet: the coordinates of both are merged
-        there, and the lists where they meet again skip them."""
-        open_ = placed.select("node").distinct().join(held, "node").join(prefixes.select("node", "prefix"), "node")
-        rows = with_main(placed).join(written(open_, "open"), "node")
-        side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("node", "part", "n", "coordinates", "prefix")]
-        return rows.filter("part <> main").select("key", *side("a")).join(rows.select("key", "main", *side("b")), "key").filter(
-            (F.col("part_a") != F.col("part_b")) & ((F.col("part_b") == F.col("main")) | (F.col("node_a") < F.col("node_b")))
-            & could_be(F.col("n_a"), F.col("n_b")) & (F.size(F.array_intersect("coordinates_a", "coordinates_b")) >= MATCHES)
-            & (F.get(F.array_intersect("prefix_a", "prefix_b"), F.lit(0)) == F.col("key"))).select(
-            F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-
-    groups = link(posts, sets, promising, rest, ROUNDS).select(F.col("id").alias("node"), F.col("component_id").alias("part"))
+    groups = link(posts, sets, promising).select(F.col("id").alias("node"), F.col("component_id").alias("part"))
     # The smallest id of a group, over its nodes and then over their copies.
     smallest = nodes.join(groups, "node", "left").select("node", "did", F.coalesce("part", "node").alias("part"))
     least = smallest.groupBy("part").agg(F.min("did").alias("component_id"))

@@ -6,9 +6,9 @@ space, A-Z lower-cased; a shingle is five words, or the whole of a shorter text,
 
 ``link`` finds all links that matter for components among nodes that meet in posting lists, without
 writing out the pairs of a list: first every member of a list is compared with one hub of the list;
-then only members that lie in different components so far are compared with each other. Whatever the size of a
-group of near copies, its members meet in one component in the first step, and no link between different
-components is left out by the second.
+then only members that lie in different components so far are compared with each other, by an exact
+prefix filter over their full sets. Whatever the size of a group of near copies, its members meet in one
+component in the first step, and no link between different components is left out by the second.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ SIMILAR = 75  # per cent
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _CACHED_WORDS = 200_000
 _CHUNK = 1 << 17
+BITS = 4096
 
 
 class Remembered(dict):
@@ -80,6 +81,13 @@ def digest(shingle_set: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingle_set.tobytes())
 
 
+def bits_of(shingle_set: np.ndarray) -> np.ndarray:
+    """A bit for the place of every shingle, as 64-bit numbers."""
+    held = np.zeros(BITS, np.uint8)
+    held[shingle_set % np.uint64(BITS)] = 1
+    return np.packbits(held).view(np.int64)
+
+
 class MinHash:
     """``size`` independent minima of a set; a value is the coordinate in the upper and the minimum in the lower half."""
 
@@ -131,19 +139,24 @@ def similar_enough(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         100 * both >= SIMILAR * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def could_be(n: Column, m: Column) -> Column:
+def _could_be(n: Column, m: Column) -> Column:
     return 100 * F.least(n, m) >= SIMILAR * F.greatest(n, m)
 
 
+def _bits_apart() -> Column:
+    return F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
 def _unlinked(open_: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes of different ``part`` whose full sets may still reach the similarity.
 
     An exact prefix filter: the shingles of a node are put in one order for all nodes, the rarest first,
     and only so many are posted that a partner must share one of them. Where two nodes first meet, the
     shingles that are left bound what they can share, which ends most meetings in the join itself. A list
-    within one part is not posted, and the largest part of a list meets the others only.
+    within one part is not posted, and the largest part of a list meets the others only. Where ``sets`` has ``bits``,
+    bits that differ are shingles that differ, and pairs with more of them than the bound allows end in the join too.
     """
-    tokens = open_.join(sets, "node").select("node", "part", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
+    tokens = open_.join(sets.select("node", "shingles"), "node").select("node", "part", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
     shared = tokens.groupBy("key").agg(
         F.count(F.lit(1)).alias("df"), (F.min("part") != F.max("part")).alias("mixed")).filter("df > 1")
     held = tokens.join(shared, "key").groupBy("node", "part", "n").agg(
@@ -161,7 +174,10 @@ def _unlinked(open_: DataFrame, sets: DataFrame) -> DataFrame:
     main = parts.groupBy("key").agg(
         F.max(F.struct("rows", "part")).getField("part").alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
     mixed = posts.join(main.select("key", "main"), "key")
-    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("node", "part", "n", "p")]
+    columns = ["node", "part", "n", "p"]
+    if "bits" in sets.columns:
+        mixed, columns = mixed.join(sets.select("node", "bits"), "node"), [*columns, "bits"]
+    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in columns]
     others = mixed.filter("part <> main").select("key", *side("a"))
     every = mixed.select("key", "main", *side("b"))
     # The smaller set's own prefix is shorter: its partner has as many shingles at least.
@@ -169,50 +185,26 @@ def _unlinked(open_: DataFrame, sets: DataFrame) -> DataFrame:
         F.struct(F.col("n_b").alias("n"), F.col("p_b").alias("p")))
     return others.join(every, "key").filter(
         (F.col("part_a") != F.col("part_b")) & ((F.col("part_b") == F.col("main")) | (F.col("node_a") < F.col("node_b")))
-        & could_be(F.col("n_a"), F.col("n_b")) & (short["p"] <= short["n"] - F.ceil(short["n"] * 2 * SIMILAR / (100 + SIMILAR)))
+        & _could_be(F.col("n_a"), F.col("n_b")) & (short["p"] <= short["n"] - F.ceil(short["n"] * 2 * SIMILAR / (100 + SIMILAR)))
         & (F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) >= needed(F.col("n_a"), F.col("n_b")))
+        & (_bits_apart() <= F.col("n_a") + F.col("n_b") - 2 * needed(F.col("n_a"), F.col("n_b")) if "bits" in columns else F.lit(True))
     ).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
-def _placed(posts: DataFrame, groups: DataFrame) -> DataFrame:
-    """(key, node, n, part) of the posts in lists that hold more than one part, written."""
-    rows = posts.join(groups.select(F.col("id").alias("node"), "component_id"), "node", "left").select(
-        "key", "node", "n", F.coalesce("component_id", "node").alias("part"))
-    rows = written(rows, "placed")
-    mixed = rows.groupBy("key").agg((F.min("part") != F.max("part")).alias("mixed")).filter("mixed").select("key")
-    return written(rows.join(mixed, "key", "left_semi"), "mixed-lists")
-
-
-def with_main(placed: DataFrame) -> DataFrame:
-    """Adds ``main``: the largest part of each list."""
-    parts = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("rows"))
-    return placed.join(parts.groupBy("key").agg(F.max(F.struct("rows", "part")).getField("part").alias("main")), "key")
-
-
-def link(posts: DataFrame, sets: DataFrame, promising=None, rest=None, rounds: int = 0) -> DataFrame:
+def link(posts: DataFrame, sets: DataFrame, promising=None) -> DataFrame:
     """(id, component_id) over the links among nodes that share a list.
 
     ``posts`` is (key, node, n, weight): the lists, the size of each node's set, and how frequent its
     values are; the weightiest node of a list is its hub. ``promising`` narrows the pairs with hubs
-    before the full sets are compared; ``sets`` must hold every node of ``posts`` once. In further ``rounds`` the
-    hub of a list is any node of its largest part, and those outside that part are compared with it. ``rest`` gives
-    the pairs of different parts that are still to be compared, from the lists that hold several; without it
-    they are found from the full sets.
+    before the full sets are compared; ``sets`` must hold every node of ``posts`` once.
     """
     hubs = posts.groupBy("key").agg(F.max(F.struct("weight", "node", "n")).alias("hub"))
-    first = posts.join(hubs, "key").filter("node <> hub.node").filter(could_be(F.col("n"), F.col("hub.n"))).select(
+    first = posts.join(hubs, "key").filter("node <> hub.node").filter(_could_be(F.col("n"), F.col("hub.n"))).select(
         F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
     links = written(similar_enough(promising(first) if promising else first, sets), "hub-links")
-    groups = components(links)
-    for i in range(rounds):
-        placed = with_main(_placed(posts, groups))
-        hubs = placed.filter("part = main").groupBy("key").agg(
-            F.min(F.struct(F.xxhash64(F.lit(i), "key", "node").alias("draw"), "node", "n")).alias("hub"))
-        more = placed.filter("part <> main").join(hubs, "key").filter(could_be(F.col("n"), F.col("hub.n"))).select(
-            F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
-        links = written(links.union(similar_enough(promising(more) if promising else more, sets)), "hub-links")
-        groups = components(links)
-    placed = _placed(posts, groups)
-    pairs = rest(placed) if rest else _unlinked(written(placed.select("node", "part").distinct(), "open"), sets)
-    more = written(similar_enough(pairs, sets), "cross-links")
+    groups = components(links).withColumnRenamed("id", "node")
+    placed = written(posts.join(groups, "node", "left").select("key", "node", F.coalesce("component_id", "node").alias("part")), "placed")
+    mixed = placed.groupBy("key").agg((F.min("part") != F.max("part")).alias("mixed")).filter("mixed").select("key")
+    open_ = written(placed.join(mixed, "key", "left_semi").select("node", "part").distinct(), "open")
+    more = written(similar_enough(_unlinked(open_, sets), sets), "cross-links")
     return components(links.union(more))
