@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.positions import parse_lsn
+from .quantiles import exact_percentiles
 
 # Service-level targets and the direction in which each one is met.
 SLO_TARGETS = {
@@ -17,6 +18,7 @@ SLO_TARGETS = {
     "wal_slot_lag_bytes": 0.0,
 }
 AT_LEAST = ("throughput_eps",)
+ONE_BUFFER = 5_000_000  # events whose different latencies go into one buffer
 
 
 def op_counters(events: DataFrame, op: str = "op") -> DataFrame:
@@ -41,11 +43,8 @@ def latency_ms(start: str, end: str) -> Column:
 
 
 def latency_percentiles(events: DataFrame, latency: Column, by: Sequence[str] = (), shares: Sequence[float] = (0.95, 0.99)) -> DataFrame:
-    """Exact interpolated percentiles. Latencies are counted per distinct value before they meet, so
-    the final step sees whole milliseconds, not events."""
-    counted = events.select(*by, latency.alias("v")).groupBy(*by, "v").agg(F.count(F.lit(1)).alias("n"))
-    return counted.groupBy(*by).agg(*[
-        F.percentile("v", F.lit(q), F.col("n")).alias(f"p{round(q * 100)}_latency_ms") for q in shares])
+    """Exact interpolated percentiles, whatever the number of different latencies; see ``exact_percentiles``."""
+    return exact_percentiles(events, latency, by, shares, [f"p{round(q * 100)}_latency_ms" for q in shares])
 
 
 def e2e_latency(flush: Column, consumers: Sequence[Column]) -> dict[str, Column]:
@@ -87,29 +86,34 @@ def topic_inventory(messages: DataFrame) -> DataFrame:
 
 def golden_signals(
     events: DataFrame, ts: str, latency: Column, slot_lags: DataFrame, dead_letters: DataFrame, connector: Column,
+    one_buffer: int = ONE_BUFFER,
 ) -> DataFrame:
     """One row with throughput, latency, lag, dead letters and active connectors.
 
-    The events are read once: counted per latency and connector, then folded. The other parts are
-    one aggregation each; the rows are stacked and folded, never cross-joined.
+    The events are counted per latency and connector, then folded. The other parts are one aggregation each; the rows
+    are stacked and folded, never cross-joined. Percentiles come from one buffer while there are so few events that it
+    is small, and otherwise by narrowing ranges.
     """
+    small = events.count() <= one_buffer
     stamp = F.unix_micros(F.col(ts).cast("timestamp"))
     counted = events.select(latency.alias("v"), connector.alias("c"), stamp.alias("t")).groupBy("v", "c").agg(
         F.count(F.lit(1)).alias("n"), F.min("t").alias("first"), F.max("t").alias("last"))
     seconds = F.greatest(F.max("last") - F.min("first"), F.lit(1))
+    buffered = [F.percentile("v", F.lit(q), F.col("n")).alias(f"p{round(q * 100)}_latency_ms") for q in (0.95, 0.99)]
     parts = [
         counted.agg(
-            (F.sum("n") * 1e6 / seconds).alias("throughput_eps"),
-            F.percentile("v", F.lit(0.95), F.col("n")).alias("p95_latency_ms"),
-            F.percentile("v", F.lit(0.99), F.col("n")).alias("p99_latency_ms"),
+            (F.sum("n") * 1e6 / seconds).alias("throughput_eps"), *(buffered if small else []),
             F.count_distinct("c").cast("double").alias("active_connectors_count")),
         slot_lags.agg(F.max("lag_bytes").cast("double").alias("wal_slot_lag_bytes")),
         dead_letters.agg(F.count(F.lit(1)).cast("double").alias("dlq_poison_count")),
     ]
+    if not small:
+        parts.append(latency_percentiles(events, latency))
     stacked = parts[0]
     for p in parts[1:]:
         stacked = stacked.unionByName(p, allowMissingColumns=True)
-    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+    order = ["throughput_eps", "p95_latency_ms", "p99_latency_ms"]
+    return stacked.agg(*[F.max(c).alias(c) for c in [*order, *[c for c in stacked.columns if c not in order]]])
 
 
 def slo_check(signals: DataFrame, targets: Mapping[str, float] = SLO_TARGETS, at_least: Sequence[str] = AT_LEAST) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import commit, signals
+from ..operators import commit, quantiles, signals
 from ..operators.deadletter import dead, parse_messages
 from ..operators.expand import assign_offsets
-from ..sources.fixtures import change_log, ddl_log, positions, raw_messages
+from ..operators.skew import join_small
+from ..sources.fixtures import change_log, ddl_log, positions, raw_messages, table
 from .registry import committed_log, query
 from .state import messages
 
@@ -45,6 +46,37 @@ def latency_percentiles(spark, sf):
     return signals.latency_percentiles(committed_log(spark, sf), latency(), ["tbl"])
 
 
+def distinct_latencies(spark, sf) -> DataFrame:
+    """Events with a latency in microseconds that no other event has, long tails among them."""
+    e = F.col("event_id")
+    micros = e * 7 + e % 1000 * 1_000_003 + F.when(e % 211 == 0, e * 1_000_000_007).otherwise(0)
+    return table(spark, sf, "events").select("event_type", (micros / 1000).alias("ms"))
+
+
+_DISTINCT = "(SELECT event_type, (event_id * 7 + event_id % 1000 * 1000003 + CASE WHEN event_id % 211 = 0 THEN event_id * 1000000007 ELSE 0 END) / 1000.0::DOUBLE AS ms FROM events)"
+
+
+@query("latency_percentiles_distinct", f"""
+SELECT event_type, quantile_cont(ms, 0.5) AS p50_latency_ms, quantile_cont(ms, 0.95) AS p95_latency_ms, quantile_cont(ms, 0.99) AS p99_latency_ms
+FROM {_DISTINCT} GROUP BY event_type""", shared=False)
+def latency_percentiles_distinct(spark, sf):
+    """Exact percentiles where all latencies differ; narrowed in several passes even at this size."""
+    names = [f"p{q}_latency_ms" for q in (50, 95, 99)]
+    return quantiles.exact_percentiles(distinct_latencies(spark, sf), F.col("ms"), ["event_type"], (0.5, 0.95, 0.99), names, buckets=64, sorted_rows=50)
+
+
+@query("latency_sketch", f"""
+SELECT event_type, COUNT(*) AS n, TRUE AS within FROM {_DISTINCT} GROUP BY event_type""", shared=False)
+def latency_sketch(spark, sf):
+    """Sketches of parts of the events, merged; the rank of each percentile is off by a hundredth at most."""
+    rows = distinct_latencies(spark, sf)
+    parts = rows.groupBy("event_type", F.spark_partition_id().alias("part")).agg(quantiles.sketch(F.col("ms")).alias("sketch"))
+    found = quantiles.sketch_percentiles(parts.groupBy("event_type").agg(quantiles.merged(F.col("sketch")).alias("sketch")), "sketch", (0.5, 0.95, 0.99))
+    ranks = join_small(rows, found, ["event_type"]).groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n"), *[(F.abs(F.avg((F.col("ms") <= F.col(f"p{q}")).cast("int")) - q / 100) <= 0.01).alias(f"w{q}") for q in (50, 95, 99)])
+    return ranks.select("event_type", "n", (F.col("w50") & F.col("w95") & F.col("w99")).alias("within"))
+
+
 @query("e2e_latency", """
 , s AS (SELECT tbl, pos, 9 + COALESCE(key_id, 0) % 6 AS f, 34 + COALESCE(key_id, 0) % 17 AS d, 12 + COALESCE(key_id, 0) % 7 AS m,
                16 + COALESCE(key_id, 0) % 10 AS x FROM committed)

@@ -10,6 +10,7 @@ from ..operators import materialize
 from ..operators.commit import COMMITTED
 from ..operators.deadletter import parse_messages
 from ..operators.expand import split_pk_update
+from ..operators.skew import join_small
 from ..operators.snapshot import OPEN, chunk_number
 from ..session import work_path
 from ..sources import readers, sinks
@@ -137,6 +138,25 @@ def stream_golden_signals(spark, sf):
     return spark.read.parquet(out).withColumn("window_start", F.col("window_start").cast("string"))
 
 
+@query("stream_latency_sketch", """
+SELECT event_type, COUNT(*) AS n, TRUE AS within FROM events
+WHERE time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR <= (SELECT MAX(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY event_type""", shared=False)
+def stream_latency_sketch(spark, sf):
+    """A sketch per closed window, merged over all of them; ranks are off by a hundredth at most."""
+    out = work_path(spark, "sketches")
+    rows = jobs.windowed_sketches(event_stream(spark, sf), "ts", "10 minutes", "6 hours", F.col("value"), ["event_type"])
+    jobs.run_stateful(spark, lambda: jobs.append_files(rows, out, work_path(spark, "ck")))
+    windows = spark.read.schema(rows.schema).parquet(out)
+    found = jobs.merge_sketches(windows, ["event_type"], (0.5, 0.9)).withColumnRenamed("n", "held")
+    last = windows.agg(F.max("window_start") + F.expr("INTERVAL 6 HOURS")).first()[0]
+    closed = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")).filter(F.col("ts") < F.lit(last))
+    below = lambda q: F.avg((F.col("value") < F.col(f"p{q}")).cast("int"))
+    upto = lambda q: F.avg((F.col("value") <= F.col(f"p{q}")).cast("int"))
+    near = lambda q: (below(q) <= q / 100 + 0.01) & (upto(q) >= q / 100 - 0.01)
+    return join_small(closed, found, ["event_type"]).groupBy("event_type", "held").agg((near(50) & near(90)).alias("within")).select(
+        "event_type", F.col("held").alias("n"), "within")
+
+
 @query("stream_late_rows", """
 WITH first AS (SELECT MAX(ts) - INTERVAL 10 MINUTE AS mark FROM events WHERE event_id % 10 <> 0)
 SELECT event_id, event_id % 10 = 0 AND ts < (SELECT mark FROM first) AS late FROM events""", shared=False)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 
 from ..envelope import LAYOUT, Layout
 from ..operators.commit import COMMITTED
+from ..operators.quantiles import SKETCH_SIZE, merged, sketch, sketch_percentiles
 from ..operators.snapshot import superseded_keys
 from ..session import keep_state_on_disk
 from ..sources.sinks import apply_batch, batch_folder, fold_batches, route_batch, start_batches
@@ -131,6 +132,18 @@ def windowed_signals(stream: DataFrame, ts: str, delay: str, window: str, measur
         .select(F.col("w.start").alias("window_start"), "events", *measures))
 
 
+def windowed_sketches(stream: DataFrame, ts: str, delay: str, window: str, value: Column, by: Sequence[str] = (), size: int = SKETCH_SIZE) -> DataFrame:
+    """A quantile sketch per tumbling window (and ``by``). Its state is one bounded sketch, whatever the window holds, and
+    sketches of several windows merge to that of all their values (``merge_sketches``)."""
+    return stream.withWatermark(ts, delay).groupBy(F.window(ts, window).alias("w"), *by).agg(sketch(value, size).alias("sketch")).select(
+        F.col("w.start").alias("window_start"), *by, "sketch")
+
+
+def merge_sketches(rows: DataFrame, by: Sequence[str], shares: Sequence[float]) -> DataFrame:
+    """Number of values and percentiles over the windows of each ``by``."""
+    return sketch_percentiles(rows.groupBy(*by).agg(merged(F.col("sketch")).alias("sketch")), "sketch", shares)
+
+
 def dedupe_stream(stream: DataFrame, ts: str, delay: str, event_id: str = "event_id") -> DataFrame:
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([event_id])
 
