@@ -15,13 +15,15 @@ LARGE_TX_ROWS = 10_000
 
 def committed_only(
     log: DataFrame, tx: DataFrame, layout: Layout = LAYOUT, limit: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS,
+    unfinished: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Events of committed transactions, and events outside any transaction (reads, for example).
 
-    An event passes only if its transaction is known as committed, so one without an outcome yet,
-    or one that appears between two reads of a moving source, is held back. Up to ``limit`` committed
-    ids are broadcast. Beyond that the log meets them in a shuffle, with the rows of a huge
-    transaction salted.
+    An event passes only if its transaction is known as committed, so one without an outcome yet is held back.
+    Up to ``limit`` committed ids are broadcast. Beyond that the transactions of the log that have not committed, rolled
+    back or without an outcome, are looked for by id alone and broadcast instead, so that the log itself is still read once and
+    not shuffled. Where those are many too, the log meets the outcomes in a shuffle, with the rows of a huge
+    transaction salted. ``log`` must be one state of its source, as a scan of files is.
     """
     done = tx.filter((F.col("status") == COMMITTED) & F.col(layout.tx).isNotNull()).select(layout.tx).distinct()
     few = bounded(done, limit)
@@ -29,6 +31,9 @@ def committed_only(
         marked = log.join(F.broadcast(few.withColumn("__done", F.lit(True))), layout.tx, "left")
         return marked.filter(F.col("__done") | F.col(layout.tx).isNull()).select(*log.columns)
     inside = log.filter(F.col(layout.tx).isNotNull())
+    held = bounded(inside.select(layout.tx).distinct().join(done, layout.tx, "left_anti"), unfinished)
+    if held is not None:
+        return log.join(F.broadcast(held), layout.tx, "left_anti").select(*log.columns)
     kept = skew_join(inside, done, [layout.tx], "left_semi", hot_rows=hot_rows)
     return kept.select(*log.columns).unionByName(log.filter(F.col(layout.tx).isNull()))
 

@@ -15,6 +15,7 @@ from ..operators.snapshot import OPEN, chunk_number
 from ..session import work_path
 from ..sources import readers, sinks
 from ..sources.fixtures import change_log, raw_messages, table, transactions
+from ..sources.state_table import StateTable
 from ..streaming import jobs, processors
 from .dead import PAYLOAD, REASON
 from .registry import committed_log, flat, query, split_log
@@ -48,6 +49,31 @@ def apply_changes(spark, sf):
     return sinks.read_applied(spark, path).select("tbl", "key_id", *flat("", "after"), "pos")
 
 
+@query("stream_state_table", "SELECT tbl, key_id, a_customer_id AS customer_id, a_status AS status, a_amount_cents AS amount_cents, pos FROM state")
+def stream_state_table(spark, sf):
+    """The steps of the log arrive one after the other; levelled runs, read bucket by bucket."""
+    log, topic = committed_log(spark, sf), work_path(spark, "steps")
+    table_ = StateTable(spark, work_path(spark, "state_table"), buckets=8, fan_in=3)
+    ck = work_path(spark, "ck")
+    for steps in ((1, 2), (3,), (4, 5), (6, 7)):
+        log.filter(F.col("step").isin(*steps)).write.mode("append").parquet(topic)
+        jobs.finish(jobs.state_table_stream(readers.stream_changes(spark, topic, log.schema, max_bytes=BATCH_BYTES), table_, ck))
+    return table_.read().select("tbl", "key_id", *flat("", "after"), "pos")
+
+
+@query("stream_atomic_sinks", """
+SELECT 'state' AS sink, tbl, COUNT(*) AS rows FROM state GROUP BY tbl
+UNION ALL SELECT 'transitions', tbl, COUNT(*) FROM committed WHERE op = 'u' AND b_status IS DISTINCT FROM a_status GROUP BY tbl""")
+def stream_atomic_sinks(spark, sf):
+    """State and status changes of a batch become visible together, by one manifest."""
+    table_ = StateTable(spark, work_path(spark, "atomic"), buckets=8)
+    moved = lambda batch: {"transitions": materialize.transitions(batch.filter("op = 'u'"), "status", FIELDS)}
+    jobs.finish(jobs.state_table_stream(staged(committed_log(spark, sf), "atomic_topic"), table_, work_path(spark, "ck"), moved))
+    parts = [(name, rows.groupBy("tbl").agg(F.count(F.lit(1)).alias("rows"))) for name, rows in (
+        ("state", table_.read()), ("transitions", table_.read_sink("transitions")))]
+    return parts[0][1].withColumn("sink", F.lit("state")).unionByName(parts[1][1].withColumn("sink", F.lit("transitions")))
+
+
 @query("stream_resume", "SELECT tbl, key_id, a_status AS status, pos FROM state")
 def stream_resume(spark, sf):
     """Stopped after the first files, resumed from its checkpoint when more have arrived."""

@@ -15,6 +15,7 @@ from ..operators.quantiles import SKETCH_SIZE, merged, sketch, sketch_percentile
 from ..operators.snapshot import superseded_keys
 from ..session import keep_state_on_disk
 from ..sources.sinks import apply_batch, batch_folder, fold_batches, route_batch, start_batches
+from ..sources.state_table import StateTable
 
 STATE_SALTS = 16
 
@@ -62,6 +63,20 @@ def materialize_stream(
     return start_batches(stream, checkpoint, handle)
 
 
+def state_table_stream(
+    stream: DataFrame, table: StateTable, checkpoint: str, sinks: Callable[[DataFrame], Mapping[str, DataFrame]] | None = None,
+) -> StreamingQuery:
+    """Applies committed changes to a ``StateTable``. ``sinks`` derives other outputs of a batch, which become visible with it."""
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            table.apply(batch, batch_id, sinks(batch) if sinks else None)
+        finally:
+            batch.unpersist()
+
+    return start_batches(stream, checkpoint, handle)
+
+
 def latest_stream(stream: DataFrame, path: str, checkpoint: str, layout: Layout = LAYOUT) -> StreamingQuery:
     """Running last event per key, kept in the state store; each batch writes the keys it changed.
 
