@@ -39,11 +39,13 @@ def held_out(doc_id: Column) -> Column:
 
 
 def samples(docs: DataFrame, slots: int = SLOTS, sample: int = SAMPLE) -> dict[str, list[str]]:
-    """Sample texts of every label, at most ``slots`` each."""
+    """Sample texts of every label, at most ``slots`` each: stretches of ``sample`` characters, anywhere in their texts."""
+    room = F.greatest(F.length("text") - sample, F.lit(0)) + 1
+    at = F.pmod(F.xxhash64(F.lit("place"), "doc_id"), room.cast("long")).cast("int") + 1
     order = F.xxhash64(F.lit("order"), "doc_id")
     rows = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0)).select(
         "lang", F.pmod(F.xxhash64("doc_id"), F.lit(slots)).alias("slot"), F.struct(
-            order.alias("order"), F.substring("text", 1, sample).alias("text")).alias("candidate"))
+            order.alias("order"), F.substring(F.col("text"), at, F.lit(sample)).alias("text")).alias("candidate"))
     picked = rows.groupBy("lang", "slot").agg(F.min("candidate").getField("text").alias("text"))
     out: dict[str, list[str]] = {}
     for r in sorted(picked.collect()):  # at most ``slots`` short texts per label

@@ -8,8 +8,8 @@ version scans every text once more.
 
 Base kinds are ``assign``, ``access`` and ``hex``; ``pem``, ``jwt`` and ``forge`` are added. Places are code points,
 the end exclusive. Matches are leftmost and do not overlap within a kind. A ``pem`` match is the whole block, from the
-header over the body to the END line, or over the base64 lines that follow where there is no END line. The SQL
-knows the header alone, so it agrees on texts without such blocks only.
+header over the body to the END line, or over all header fields and base64 lines that follow where there is no END line.
+The SQL knows the header alone, so it agrees on texts without such blocks only.
 
 Defined results: a null text is an empty text without findings; rows may repeat; an empty table gives
 an empty result; other columns pass through ``redact`` whatever their names.
@@ -23,17 +23,19 @@ from pyspark.sql import functions as F
 from ..session import work_path
 from .common import shuffles_removed, written
 
-RULE_VERSION = "3"
+RULE_VERSION = "4"
 ASSIGN = (r"((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]"
           r"|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 MIN_VALUE = 12
 PEM_HEADER = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
-# Lines of base64, also quoted, prefixed or with escaped line ends. Atomic steps keep the stack of Java's matcher small.
-_PEM_LINE = r"(?:[\s\"'+>#|,]|\\[nr])+[A-Za-z0-9+/]{16,}={0,2}"
-_PEM_FIELDS = r"(?:(?:[\s\"'+>#|,]|\\[nr])+[A-Z][A-Za-z]*-[A-Za-z]+: [A-Za-z0-9,-]+){0,8}"
-_PEM_LAST = r"(?:(?:[\s\"'+>#|,]|\\[nr])+[A-Za-z0-9+/]{1,15}(?:={1,2}|(?=[ \t]*(?:[\r\n\"'\\]|$))))?"
+# Header fields and lines of base64, also quoted, prefixed or with escaped line ends, as many as follow. A short run of base64
+# counts where it is a line of its own. Atomic steps keep the stack of Java's matcher small.
+_PEM_GAP = r"(?:[\s\"'+>#|,]|\\[nr])"
+_PEM_BREAK = r"(?:\\[nr])*[\"']?[ \t+>#|,]*(?:[\r\n]|\\[nr])[\s+>#|]*[\"']?"
+_PEM_LINE = rf"(?:{_PEM_GAP}++[A-Za-z0-9+/]{{16,}}+={{0,2}}|{_PEM_BREAK}[A-Za-z0-9+/]{{1,15}}+={{0,2}}(?=[ \t]*(?:[\r\n\"'\\,]|$)))"
+_PEM_FIELD = rf"{_PEM_GAP}++[A-Z][A-Za-z]*-[A-Za-z]+: [A-Za-z0-9,-]+"
 PEM = (PEM_HEADER + r"(?:[^-]*+(?>(?:-{1,4}[^-]++){1,256})*-----END [A-Z ]*PRIVATE KEY-----"
-       + f"|{_PEM_FIELDS}(?>(?:{_PEM_LINE}){{1,256}})+{_PEM_LAST})?")
+       + rf"|(?>(?:{_PEM_FIELD}){{1,256}})*+(?>(?:{_PEM_LINE}){{1,256}})++)?")
 #: kind, pattern, and text that every match holds (None: any match must be searched for)
 RULES = (
     ("assign", ASSIGN, None),
@@ -71,7 +73,8 @@ def _spans(hits: DataFrame) -> DataFrame:
     rank = F.array_position(F.array(*[F.lit(r[0]) for r in RULES]), F.col("kind"))
     good = ends.filter((F.col("kind") != "assign") | (F.col("value_long") >= MIN_VALUE))
     return good.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct(
-        (F.col("end") - F.col("long")).alias("start"), rank.alias("rank"), "kind", "end"))).alias("found"))
+        (F.col("end") - F.col("long")).alias("start"), rank.alias("rank"), "kind", "end",
+        F.when(F.col("kind") == "assign", F.col("end") - F.col("value_long")).otherwise(F.col("end") - F.col("long")).alias("secret")))).alias("found"))
 
 
 class BlobLedger:
@@ -80,7 +83,7 @@ class BlobLedger:
     A ledger opened on a folder goes on from what was written there to its end.
     """
 
-    SCHEMA = "blob string, rules string, found array<struct<start: bigint, rank: bigint, kind: string, end: bigint>>"
+    SCHEMA = "blob string, rules string, found array<struct<start: bigint, rank: bigint, kind: string, end: bigint, secret: bigint>>"
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark, self.folder = spark, folder or work_path(spark, "blobs")
@@ -119,18 +122,25 @@ def findings(docs: DataFrame, ledger: BlobLedger | None = None, rules: str = RUL
 
 
 def redact(docs: DataFrame, ledger: BlobLedger | None = None, mark: str = "[REDACTED]") -> DataFrame:
-    """``docs`` with every secret in ``text`` replaced; of an assignment only the value is."""
-    text = F.col("text")
-    # Blocks go first, while no mark of another kind cuts their bodies.
-    for kind, pattern, _ in sorted(RULES, key=lambda r: r[0] != "pem"):
-        if kind == "assign":
-            long_value = pattern[: pattern.rindex("(")]
-            text = F.regexp_replace(text, f"({long_value})[A-Za-z0-9+/_.=-]{{{MIN_VALUE},}}", f"$1{mark}")
-        else:
-            text = F.regexp_replace(text, pattern, mark)
-    found = findings(docs, ledger)
+    """``docs`` with every secret that was found in ``text`` replaced; of an assignment only the value is.
+
+    The text is cut at the spans of the findings; those that overlap become one.
+    """
+    place = lambda start, end: F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"))
+    spans = F.array_sort(F.transform("__found", lambda s: place(s["secret"], s["end"])))
+    none = F.array().cast("array<struct<start: bigint, end: bigint>>")
+    joined = F.aggregate(spans, none, lambda held, s: F.when(
+        F.size(held) == 0, F.array(s)).when(
+        F.try_element_at(held, F.lit(-1))["end"] > s["start"],
+        F.concat(F.slice(held, 1, F.size(held) - 1), F.array(place(
+            F.try_element_at(held, F.lit(-1))["start"], F.greatest(F.try_element_at(held, F.lit(-1))["end"], s["end"]))))).otherwise(
+        F.concat(held, F.array(s))))
+    begins = F.concat(F.array(F.lit(0).cast("long")), F.transform("__spans", lambda s: s["end"]))
+    pieces = F.transform(begins, lambda b, i: F.substring(
+        F.col("text"), (b + 1).cast("int"), (F.coalesce(F.get("__spans", i)["start"], F.length("text").cast("long")) - b).cast("int")))
+    found = findings(docs, ledger).withColumn("__spans", joined)
     return found.select(*[
-        F.when(F.size("__found") > 0, text).otherwise(F.col("text")).alias(c) if c == "text" else F.col(c) for c in docs.columns])
+        F.when(F.size("__found") > 0, F.array_join(pieces, mark)).otherwise(F.col("text")).alias(c) if c == "text" else F.col(c) for c in docs.columns])
 
 
 def _joined(spans: Column) -> Column:
