@@ -5,7 +5,7 @@ what one task should take. When there are none, callers build the plain plan. Ot
 
 * ``skew_join`` salts the rows of the hot keys over many tasks and repeats only the matching hot
   rows of the other side;
-* ``row_numbers``, ``running``, ``neighbours`` and ``next_value`` cut each hot group into ordered segments, compute
+* ``row_numbers``, ``running``, ``neighbours``, ``next_value`` and ``previous_value`` cut each hot group into ordered segments, compute
   inside every segment, and carry one row per segment across the borders.
 
 The counts decide only where rows are computed, never what is computed: NULL groups, text or NULL
@@ -273,3 +273,25 @@ def next_value(
         .withColumn(name, F.coalesce(name, "__carry"))
         .select(*columns, name)
     )
+
+
+def previous_value(
+    df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, name: str,
+    hot_rows: int = HOT_ROWS, segment_rows: int = SEGMENT_ROWS,
+) -> DataFrame:
+    """Adds ``name``: the nearest non-NULL ``value`` on an earlier row of the group.
+
+    Same conditions as ``row_numbers``.
+    """
+    group, columns = list(group), df.columns
+    df, order = _tied(df, order)
+    marked, split = _segmented(df, group, order, hot_rows, segment_rows)
+    growing = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    filled = marked.withColumn(name, F.last(value, ignorenulls=True).over(growing(Window.partitionBy(*group, _SEG).orderBy(*order))))
+    if not split:
+        return filled.drop(_SEG, _TIE)
+    last = F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.struct(*order)))
+    carry = (
+        marked.filter(F.col(_SEG) >= 0).groupBy(*group, _SEG).agg(last.alias("__last"))
+        .select(*group, _SEG, F.last("__last", ignorenulls=True).over(growing(Window.partitionBy(*group).orderBy(_SEG))).alias("__carry")))
+    return _carried(filled, carry, group, "__carry").withColumn(name, F.coalesce(name, "__carry")).select(*columns, name)
