@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import barriers, boundary, capture, dead, envelopes, failover, schemas, signal, snapshots, state, streams, transform
+from . import barriers, boundary, capture, dead, documents, envelopes, failover, schemas, signal, snapshots, state, streams, transform
 from .registry import ORACLES, QUERIES
 
 __all__ = [
-    "ORACLES", "QUERIES", "barriers", "boundary", "capture", "dead", "envelopes", "failover", "schemas", "signal", "snapshots", "state", "streams", "transform",
+    "ORACLES", "QUERIES", "barriers", "boundary", "capture", "dead", "documents", "envelopes", "failover", "schemas", "signal", "snapshots", "state", "streams", "transform",
 ]

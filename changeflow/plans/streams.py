@@ -16,7 +16,7 @@ from ..session import work_path
 from ..sources import readers, sinks
 from ..sources.fixtures import change_log, raw_messages, table, transactions
 from ..sources.state_table import StateTable
-from ..streaming import jobs, processors
+from ..streaming import intake, jobs, processors
 from .dead import PAYLOAD, REASON
 from .registry import committed_log, flat, query, split_log
 from .snapshots import CHUNK, WINDOWS, order_rows, window_signals
@@ -183,6 +183,21 @@ def stream_latency_sketch(spark, sf):
         "event_type", F.col("held").alias("n"), "within")
 
 
+FILE_ROWS, BATCH_ROWS = 400, 1000
+
+
+@query("stream_bounded", f"""
+SELECT COUNT(*) AS rows, TRUE AS within, TRUE AS several FROM (
+  SELECT id FROM base UNION ALL SELECT id FROM base WHERE id % 2 = 0)""")
+def stream_bounded(spark, sf):
+    """Files cut by rows, so that the bound bites: several micro-batches, none above it, and no row is lost."""
+    log = change_log(spark, sf).filter("step <= 2 AND tbl = 'orders'").select("tbl", "op", "key_id", "pos", "tx_id")
+    path, out = intake.cut_files(log, "bounded_topic", FILE_ROWS), work_path(spark, "intake")
+    jobs.finish(intake.measured(intake.bounded_stream(spark, path, log.schema, FILE_ROWS, BATCH_ROWS), out, work_path(spark, "ck")))
+    taken = spark.read.parquet(out)
+    return taken.agg(F.sum("rows").alias("rows"), (F.max("rows") <= BATCH_ROWS).alias("within"), (F.count(F.lit(1)) > 1).alias("several"))
+
+
 @query("stream_late_rows", """
 WITH first AS (SELECT MAX(ts) - INTERVAL 10 MINUTE AS mark FROM events WHERE event_id % 10 <> 0)
 SELECT event_id, event_id % 10 = 0 AND ts < (SELECT mark FROM first) AS late FROM events""", shared=False)
