@@ -91,3 +91,38 @@ def dlq_retry(
         retries: count.cast("int"),
         "next_wait_ms": F.when(F.col("outcome") == "RETRY", F.lit(backoff_ms) * F.pow(F.lit(2), F.col(retries)).cast("long")),
     })
+
+
+def attempt_due(letters: DataFrame, now: Column, failed_at: str = "failed_at", retries: str = "retry_count", backoff_ms: int = BACKOFF_MS) -> DataFrame:
+    """Adds ``attempt_at``, the time of the next attempt, which is the last failure and a wait that doubles, and ``due``.
+
+    The wait follows from the count that a letter carries, so it is the same whoever computes it and whenever.
+    """
+    wait = F.lit(backoff_ms) * F.pow(F.lit(2), F.greatest(F.col(retries) - 1, F.lit(0))).cast("long")
+    at = F.when(F.col(retries) > 0, F.timestamp_millis(F.unix_millis(failed_at) + wait)).otherwise(F.col(failed_at))
+    return letters.withColumn("attempt_at", at).withColumn("due", F.col("attempt_at") <= now)
+
+
+def retry_round(
+    letters: DataFrame, fields: str, now: Column, known_ids: Sequence[int] | None = None, value: str = "payload",
+    failed_at: str = "failed_at", retries: str = "retry_count", max_retries: int = MAX_RETRIES, backoff_ms: int = BACKOFF_MS,
+) -> DataFrame:
+    """One round over all letters: those that are due are tried, the others come out as WAITING. A failure moves ``failed_at`` to ``now``,
+    and ``attempt_at`` is the time of the attempt that comes next, NULL where there is none."""
+    timed = attempt_due(letters, now, failed_at, retries, backoff_ms)
+    tried = dlq_retry(timed.withColumn("__before", F.col(retries)), fields, known_ids, value, retries, max_retries, backoff_ms)
+    ready, failed = F.col("due"), F.col("outcome") == "RETRY"
+    kept = letters.select(retries).schema[retries].dataType
+    return tried.withColumns({
+        "outcome": F.when(ready, F.col("outcome")).otherwise("WAITING"),
+        retries: F.when(ready, F.col(retries)).otherwise(F.col("__before")).cast(kept),
+        failed_at: F.when(ready & failed, now).otherwise(F.col(failed_at)),
+        "attempt_at": F.when(~ready, F.col("attempt_at")).when(failed, F.timestamp_millis(F.unix_millis(now) + F.col("next_wait_ms"))),
+    }).drop("next_wait_ms", "due", "__before")
+
+
+def replay_messages(tried: DataFrame, key: Column, topic: Column, value: str = "payload", retries: str = "retry_count") -> DataFrame:
+    """Records for the topic that the replayed letters came from: the original bytes, and in the headers how often they were tried."""
+    return tried.filter(F.col("outcome") == "REPLAYED").select(
+        topic.alias("topic"), key.alias("key"), F.col(value).alias("value"),
+        F.create_map(F.lit("replayed"), F.lit("true"), F.lit("retry_count"), F.col(retries).cast("string")).alias("headers"))

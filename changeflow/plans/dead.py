@@ -64,3 +64,39 @@ def dlq_retry(spark, sf):
     letters = deadletter.dead(parsed(spark, sf, [42, 43])).select(
         "key_id", F.col("value").alias("payload"), (F.col("key_id") % 4).cast("int").alias("retry_count"))
     return deadletter.dlq_retry(letters, PAYLOAD, [42, 43, 44]).select("key_id", "outcome", "retry_count", "next_wait_ms")
+
+
+NOW = "2024-01-01 00:10:00"
+
+
+def timed_letters(spark, sf):
+    """Letters that failed up to ten minutes ago, up to three times."""
+    return deadletter.dead(parsed(spark, sf, [42, 43])).select(
+        "key_id", F.col("value").alias("payload"), (F.col("key_id") % 4).cast("int").alias("retry_count"),
+        (F.lit(NOW).cast("timestamp") - F.make_dt_interval(secs=F.col("key_id") % 7)).alias("failed_at"))
+
+
+_ROUND = f"""
+, r AS (SELECT *, {REASON} AS reason, CAST(key_id % 4 AS INTEGER) AS n, TIMESTAMP '{NOW}' - INTERVAL 1 SECOND * (key_id % 7) AS failed FROM decoded),
+a AS (SELECT *, failed + INTERVAL 1 SECOND * CAST(CASE n WHEN 0 THEN 0 ELSE power(2, n - 1) END AS INTEGER) AS due_at FROM r WHERE reason IS NOT NULL),
+o AS (SELECT *, CASE WHEN due_at > TIMESTAMP '{NOW}' THEN 'WAITING' WHEN n >= 3 THEN 'PARKED' WHEN reason = 'UNKNOWN_SCHEMA' THEN 'REPLAYED'
+                     WHEN n + 1 >= 3 THEN 'PARKED' ELSE 'RETRY' END AS outcome FROM a)
+"""
+
+
+@query("dlq_retry_round", _ROUND + f"""
+SELECT key_id, outcome, CAST(CASE WHEN outcome IN ('WAITING', 'REPLAYED') OR n >= 3 THEN n ELSE n + 1 END AS INTEGER) AS retry_count,
+       CASE outcome WHEN 'WAITING' THEN due_at WHEN 'RETRY' THEN TIMESTAMP '{NOW}' + INTERVAL 1 SECOND * CAST(power(2, n) AS INTEGER) END AS attempt_at FROM o""")
+def dlq_retry_round(spark, sf):
+    """Only letters whose time has come are tried; every failure sets the time of the next attempt."""
+    tried = deadletter.retry_round(timed_letters(spark, sf), PAYLOAD, F.lit(NOW).cast("timestamp"), [42, 43, 44])
+    return tried.select("key_id", "outcome", "retry_count", F.col("attempt_at").cast("timestamp_ntz").alias("attempt_at"))
+
+
+@query("dlq_replay", _ROUND + """
+SELECT 'orders' AS topic, key_id AS key, value_hex, CAST(n AS VARCHAR) AS retry_count FROM o WHERE outcome = 'REPLAYED'""")
+def dlq_replay(spark, sf):
+    """Records that go back to the main topic, with their original bytes."""
+    tried = deadletter.retry_round(timed_letters(spark, sf), PAYLOAD, F.lit(NOW).cast("timestamp"), [42, 43, 44])
+    sent = deadletter.replay_messages(tried, F.col("key_id"), F.lit("orders"))
+    return sent.select("topic", "key", F.hex("value").alias("value_hex"), F.col("headers")["retry_count"].alias("retry_count"))

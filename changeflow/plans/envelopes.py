@@ -157,13 +157,13 @@ def assign_offsets_split(spark, sf):
 
 
 @query("committed_reads", """
-SELECT tbl, op, key_id, pos FROM committed UNION ALL SELECT 'orders', 'r', o_orderkey, 0 FROM orders WHERE o_orderkey % 10 = 3""")
+SELECT tbl, op, key_id, pos FROM committed UNION ALL SELECT 'orders', 'r', o_orderkey, 0 FROM orders""")
 def committed_reads(spark, sf):
     """Reads of a snapshot belong to no transaction and pass the commit filter."""
     from ..operators.commit import committed_only
     log = change_log(spark, sf)
     outcomes = transactions(log)
-    reads = table(spark, sf, "orders").filter("o_orderkey % 10 = 3").select(
+    reads = table(spark, sf, "orders").select(
         F.lit("orders").alias("tbl"), F.lit("r").alias("op"), F.col("o_orderkey").alias("key_id"), F.lit(0).cast("long").alias("pos"),
         F.lit(None).cast("long").alias("tx_id"))
     events = log.select("tbl", "op", "key_id", "pos", "tx_id").unionByName(reads)
