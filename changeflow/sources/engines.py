@@ -23,7 +23,7 @@ from ..envelope import STATUSES, canonical_mssql_op, canonical_op, category, eve
 from ..functions.diffing import diff_fields
 from ..functions.positions import parse_seqval, position_ordinal, position_stream
 from ..functions.routing import event_id
-from ..operators.failover import epochs, mixed, with_epoch
+from ..operators.failover import epochs, with_epoch
 from ..operators.transforms import extract_key
 
 
@@ -176,11 +176,13 @@ def _numbered(envelopes: DataFrame, arrival: Column, starts: DataFrame | None) -
         "__type": F.col("source.type"), "__cluster": F.coalesce("source.cluster", F.lit("")), "__database": F.coalesce("source.database", F.lit("")),
         "__stream": position_stream(F.col("source.type"), F.col("position.value")), "__arrived": arrival})
     if starts is None and not rows.isStreaming:
-        several = mixed(rows, _CLUSTER, "__stream")
-        unknown = rows.filter(F.col("__arrived").isNull()).join(several, _CLUSTER, "left_semi").select(*_CLUSTER).limit(1).collect()
-        if unknown:
-            raise ValueError(f"several servers without an arrival in {list(unknown[0])}: their order is unknown")
-        if several.limit(1).collect():
+        # One row, whatever the number of clusters: is there one of several streams, and one whose order is unknown?
+        found = rows.filter(F.col("__type").isin("mysql", "mariadb")).groupBy(*_CLUSTER).agg(
+            (F.min("__stream") != F.max("__stream")).alias("several"), F.count_if(F.col("__arrived").isNull()).alias("unknown")).filter("several").agg(
+            F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("unknown") > 0, F.to_json(F.struct(*_CLUSTER)))).alias("unknown")).first()
+        if found["unknown"]:
+            raise ValueError(f"several servers without an arrival in {found['unknown']}: their order is unknown")
+        if found["n"]:
             starts = position_epochs(envelopes, arrival)
     if starts is None:
         return rows.withColumn("__epoch", F.lit(1).cast("long"))
