@@ -1,23 +1,23 @@
 """Passages repeated across documents: MinHash bands over paragraphs, exact check, removal by components.
 
-Paragraphs are the lines of at least ``MIN_WORDS`` words, and windows of two kinds. One kind, for passages inside
-longer lines that need not agree word for word, begins where a sentence seems to begin and runs over at
-least ``WINDOW`` words to the next such place, ``LONGEST`` at most. The other kind, for passages that agree word for
-word, is cut from the words of the whole text whatever its lines, marks and script: of any ``SPACING`` runs of
-``WINDOW`` words that begin one after another, the one of smallest hash. The choice follows from the words alone, so any
-``MIN_WORDS`` words that two documents have in common hold a window that both have. Windows whose first
-``ANCHOR`` bytes, or for the other kind whose words, occur in one document alone are left out before
-anything else is computed for them. The signature of a paragraph is cut into bands;
+Paragraphs are the lines of at least ``MIN_WORDS`` words. The signature of a paragraph is cut into bands;
 ``bands_for`` tunes their number so that two paragraphs at the similarity bound meet in a band with the
 wanted probability. Colliding paragraphs are compared by their full shingle sets, linked ones form a
 cluster, and a cluster that reaches over two documents or more loses all its paragraphs but those of the
 document of smallest id.
 
+Passages that begin or end inside a line, or reach over lines, are found word for word by windows cut from the words
+of the whole text, whatever its lines, marks and script: of any ``SPACING`` runs of ``WINDOW`` words that begin one
+after another, the one of smallest hash. The choice follows from the words alone, so any ``MIN_WORDS`` words that
+two documents have in common hold a window that both have. A window that two documents or more hold stays in
+the one of smallest id; windows of one document that overlap or touch and stay in the same document are one run. Of
+a passage with changed words inside longer lines the stretches of ``MIN_WORDS`` equal words are found, not the rest.
+
 Defined results: a null or empty text has no paragraph; a null ``doc_id`` counts as the largest id; a
 repeat within one document alone is no finding; rows that share an id and a text repeat each other's
 places and are one document; an empty table gives an empty result; other columns pass through
-``remove_repeats`` whatever their names. ``remove_repeats`` also takes the words before and after a paragraph, as far as
-they agree word for word with the document of smallest id that has the same paragraph.
+``remove_repeats`` whatever their names. ``remove_repeats`` also takes the words before and after a window, as far as
+they agree word for word with the document of smallest id that has the same window.
 """
 
 from __future__ import annotations
@@ -25,30 +25,24 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_left
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LAST_ID, WHITE, known_id, written
-from .similar import SIMILAR, WORDS, MinHash, digest, link, lists, shingle_hashes, shingles, small_batches, word_hashes
+from .similar import SIMILAR, WORDS, MinHash, bits_of, digest, link, lists, shingle_hashes, small_batches, word_hashes
 
 MIN_WORDS = 40
-WINDOW, LONGEST = 24, 40
+WINDOW = 24
 SPACING = MIN_WORDS - WINDOW + 1
-ANCHOR = 40
 ROWS = 2
 RECALL = 0.9999
-_IS_WHITE, _ENDS = np.zeros(256, bool), np.zeros(256, bool)
+_IS_WHITE = np.zeros(256, bool)
 _IS_WHITE[list(WHITE.encode())] = True
-_ENDS[list(b".!?")] = True
-_LOWER = np.arange(256, dtype=np.uint64)
-_LOWER[65:91] += np.uint64(32)
-_WEIGHTS = np.random.default_rng(3).integers(0, 2**63, ANCHOR, np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTES = np.random.default_rng(5).integers(0, 2**64, 256, np.uint64)
-_BYTES[65:91] = _BYTES[97:123]
 _BASE = 0x9E3779B97F4A7C15
 _WORD = re.compile(f"[^{WHITE}]+")
 _powers = [np.ones(1, np.uint64)] * 2
@@ -98,210 +92,170 @@ def _slid(of: np.ufunc, values: np.ndarray, width: int) -> np.ndarray:
     return of(values[:-rest], values[rest:]) if rest else values
 
 
-def _chosen(b: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, first word) of the windows that are cut by the words alone."""
-    count = len(begin) - WINDOW + 1
-    if count < SPACING:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    first = np.arange(count)
-    key = _run_hashes(_run_hashes(_BYTES[b], begin, end), first, first + WINDOW)
-    least = np.zeros(count + SPACING - 1, np.uint64)
-    least[SPACING - 1:count] = _slid(np.minimum, key, SPACING)
-    at = np.flatnonzero(_slid(np.maximum, least, SPACING) == key)
-    return key[at], at
-
-
-def windows(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, start, length, words) of the windows of a text; the key stands for the first bytes, A-Z lower-cased,
-    or for all words.
-
-    A sentence seems to begin with a line, after a mark that ends one, and with a capital and a small letter.
-    """
-    raw = text.encode()
-    b = np.frombuffer(raw + bytes(ANCHOR), np.uint8)
-    n = len(raw)
-    white = np.ones(n + 2, bool)
-    white[1:-1] = _IS_WHITE[b[:n]]
-    begin, end = np.flatnonzero(white[:-2] & ~white[1:-1]), np.flatnonzero(~white[1:-1] & white[2:]) + 1
-    if len(begin) < WINDOW:
-        return (np.empty(0, np.int64),) * 4
-    line = np.searchsorted(np.flatnonzero(b[:n] == 10), begin)
-    two = b[begin] == 0xC3  # a Latin letter of two bytes
-    capital = (b[begin] >= 65) & (b[begin] <= 90) | two & (b[begin + 1] >= 0x80) & (b[begin + 1] <= 0x9E)
-    at = begin + 1 + two
-    small = (b[at] >= 97) & (b[at] <= 122) | (b[at] == 0xC3) & (b[at + 1] >= 0x9F)
-    first = capital & small
-    first[0] = True
-    first[1:] |= (line[1:] != line[:-1]) | _ENDS[b[end[:-1] - 1]]
-    places = np.append(np.flatnonzero(first), len(begin))
-    stop = np.searchsorted(line, line[places[:-1]], "right")  # the word after the line
-    from_ = places[:-1][stop - places[:-1] >= WINDOW]
-    stop = stop[stop - places[:-1] >= WINDOW]
-    to = np.minimum(np.minimum(places[np.searchsorted(places, np.minimum(from_ + WINDOW, len(begin)))], from_ + LONGEST), stop)
-    key = (_LOWER[b[begin[from_][:, None] + np.arange(ANCHOR)]] * _WEIGHTS).sum(1, dtype=np.uint64)
-    key ^= key >> np.uint64(31)
-    more, at = _chosen(b[:n], begin, end)
-    key, from_, to = np.append(key, more), np.append(from_, at), np.append(to, at + WINDOW)
-    points = np.zeros(n + 1, np.int64)
-    np.cumsum((b[:n] & 0xC0) != 0x80, out=points[1:])
-    start = points[begin[from_]]
-    return key.view(np.int64), start, points[end[to - 1]] - start, to - from_
-
-
-UNITS = "did long, start long, length long, n_words long, n long, node binary"
-
-
-def _span_sets(text: str, spans: list[tuple[int, int]]) -> list[np.ndarray]:
-    """``shingles`` of every (start, length) of a text; a span begins and ends with a word or with its line."""
-    raw = text.encode()
-    h = word_hashes(raw)
-    if len(h) < WORDS:
-        return [shingles(text[start:start + length].encode()) for start, length in spans]
-    every = shingle_hashes(h)
-    b = np.frombuffer(raw, np.uint8)
-    white = np.ones(len(raw) + 1, bool)
-    white[1:] = _IS_WHITE[b]
-    points = np.cumsum((b & 0xC0) != 0x80) - 1
-    begin = points[np.flatnonzero(white[:-1] & ~white[1:])]
-    places = np.array(spans, np.int64).reshape(-1, 2)
-    first, last = np.searchsorted(begin, places[:, 0]), np.searchsorted(begin, places.sum(1))
-    out = []
-    for i, j in zip(first.tolist(), last.tolist(), strict=True):
-        if j - i < WORDS:
-            out.append(shingles(text[spans[len(out)][0]:sum(spans[len(out)])].encode()))
-            continue
-        found = np.sort(every[i:j - WORDS + 1])
-        out.append(np.unique(found) if (found[1:] == found[:-1]).any() else found)
-    return out
-
+class Words:
+    """The words of a text: their hashes, and where they begin and end in code points."""
+
+    def __init__(self, text: str):
+        raw = text.encode()
+        b = np.frombuffer(raw, np.uint8)
+        white = np.ones(len(raw) + 2, bool)
+        white[1:-1] = _IS_WHITE[b]
+        points = np.zeros(len(raw) + 1, np.int64)
+        np.cumsum((b & 0xC0) != 0x80, out=points[1:])
+        self.hashes = word_hashes(raw)
+        self.begin = points[np.flatnonzero(white[:-2] & ~white[1:-1])]
+        self.end = points[np.flatnonzero(~white[1:-1] & white[2:]) + 1]
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """(key, first word) of the windows; the key stands for all their words."""
+        count = len(self.hashes) - WINDOW + 1
+        if count < SPACING:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        first = np.arange(count)
+        key = _run_hashes(self.hashes, first, first + WINDOW)
+        least = np.zeros(count + SPACING - 1, np.uint64)
+        least[SPACING - 1:count] = _slid(np.minimum, key, SPACING)
+        at = np.flatnonzero(_slid(np.maximum, least, SPACING) == key)
+        return key[at].view(np.int64), at
+
+    def sets(self, spans: list[tuple[int, int]]) -> list[np.ndarray]:
+        """``shingles`` of every (start, length); a span begins and ends with a word or with its line."""
+        places = np.array(spans, np.int64).reshape(-1, 2)
+        first, last = np.searchsorted(self.begin, places[:, 0]), np.searchsorted(self.begin, places.sum(1))
+        every = shingle_hashes(self.hashes)
+        return [np.unique(every[i:j - WORDS + 1] if j - i >= WORDS else shingle_hashes(self.hashes[i:j])) if j > i else np.empty(0, np.uint64)
+                for i, j in zip(first.tolist(), last.tolist(), strict=True)]
+
+
+def _band_keys(signature: np.ndarray) -> np.ndarray:
+    odd = np.uint64(_BASE)
+    keys = signature[:, ::ROWS].copy()
+    for r in range(1, ROWS):
+        keys = (keys * odd ^ (keys >> np.uint64(29))) + signature[:, r::ROWS]
+    return keys * odd
+
+
+_LINE = pa.struct([("start", pa.int32()), ("length", pa.int32()), ("n_words", pa.int32()), ("n", pa.int32()), ("node", pa.binary()),
+                   ("bands", pa.list_(pa.int64()))])
+UNITS = """did long, text_id long, windows array<struct<key: bigint, at: int, start: int, length: int>>,
+  lines array<struct<start: int, length: int, n_words: int, n: int, node: binary, bands: array<bigint>>>"""
+
+
+def units(docs: DataFrame) -> DataFrame:
+    """(did, text_id, windows, lines) of every text that has any; a line has the name, size and bands of its set."""
+    hashed = MinHash(bands_for() * ROWS)
 
-def _units(spans_of: Callable[[pa.RecordBatch, int], list[tuple[int, int, int]]]) -> Callable:
-    """Names the sets of the spans (start, length, words) that ``spans_of`` gives for row ``i`` of a batch of (did, text, ...)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 128):
-            found, sizes, nodes = [], [], []
-            for i in range(batch.num_rows):
-                spans = spans_of(batch, i)
-                if not spans:
+            dids, texts, keys, ats, starts, lengths, counts, rows, sets = [], [], [], [], [], [], [], [], []
+            for did, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = Words(text or "")
+                key, at = words.windows()
+                spans = long_lines(text or "")
+                if not len(key) and not spans:
                     continue
-                did, text = batch.column(0)[i].as_py(), batch.column(1)[i].as_py() or ""
-                found += [(did, *s) for s in spans]
-                for one in _span_sets(text, [s[:2] for s in spans]):
-                    sizes.append(len(one))
-                    nodes.append(digest(one))
-            if found:
-                yield pa.RecordBatch.from_arrays(
-                    [*[pa.array(c, pa.int64()) for c in zip(*found, strict=True)], pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary())],
-                    names=["did", "start", "length", "n_words", "n", "node"])
+                dids.append(did)
+                texts.append(xxhash.xxh3_64_intdigest(text) - 2**63)
+                keys.append(key)
+                ats.append(at)
+                starts.append(words.begin[at])
+                lengths.append(words.end[at + WINDOW - 1] - words.begin[at])
+                own = words.sets([s[:2] for s in spans])
+                rows += [(*s, len(one), digest(one)) for s, one in zip(spans, own, strict=True)]
+                sets += own
+                counts.append(len(spans))
+            if not dids:
+                continue
+            held = pa.StructArray.from_arrays(
+                [pa.array(np.concatenate(c).astype(k)) for c, k in ((keys, np.int64), (ats, np.int32), (starts, np.int32), (lengths, np.int32))],
+                ["key", "at", "start", "length"])
+            bands = lists(_band_keys(hashed(sets).view(np.uint64))) if sets else pa.array([], pa.list_(pa.int64()))
+            columns = [pa.array([r[c] for r in rows], _LINE[c].type) for c in range(5)]
+            lines = pa.StructArray.from_arrays([*columns, bands], fields=list(_LINE))
+            cut = lambda sizes: pa.array(np.cumsum([0, *sizes]), pa.int32())
+            yield pa.RecordBatch.from_arrays([
+                pa.array(dids, pa.int64()), pa.array(texts, pa.int64()), pa.ListArray.from_arrays(cut(map(len, keys)), held),
+                pa.ListArray.from_arrays(cut(counts), lines)], names=["did", "text_id", "windows", "lines"])
 
-    return run
+    return docs.select(known_id().alias("did"), "text").mapInArrow(run, UNITS)
 
 
 def _sets_at(batch: pa.RecordBatch) -> Iterator[tuple[bytes, np.ndarray]]:
     """(node, set) of the places (start, length, node) in the second column of a batch of (text, places)."""
     for text, places in zip(batch.column(0), batch.column(1), strict=True):
         places = places.as_py()
-        for place, one in zip(places, _span_sets(text.as_py() or "", [(p["start"], p["length"]) for p in places]), strict=True):
+        for place, one in zip(places, Words(text.as_py() or "").sets([(p["start"], p["length"]) for p in places]), strict=True):
             if len(one) and digest(one) == place["node"]:  # another text may have the same id
                 yield place["node"], one
 
 
-def _signed(texts: DataFrame) -> DataFrame:
-    """(node, n, bands) of the sets at the places of every (text, wanted)."""
-    bands = bands_for()
-    hashed = MinHash(bands * ROWS)
-    odd = np.uint64(0x9E3779B97F4A7C15)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 128):
-            found = list(_sets_at(batch))
-            if not found:
-                continue
-            nodes, sets = zip(*found, strict=True)
-            signature = hashed(list(sets)).view(np.uint64)
-            keys = signature[:, ::ROWS].copy()
-            for r in range(1, ROWS):
-                keys = (keys * odd ^ (keys >> np.uint64(29))) + signature[:, r::ROWS]
-            keys = keys * odd
-            yield pa.RecordBatch.from_arrays([
-                pa.array(nodes, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), lists(list(keys))], names=["node", "n", "bands"])
-
-    return texts.select("text", "wanted").mapInArrow(run, "node binary, n long, bands array<bigint>")
-
-
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """(did, start, length, n_words, n, node) of every line that is long enough."""
-    run = _units(lambda batch, i: long_lines(batch.column(1)[i].as_py() or ""))
-    return docs.select(known_id().alias("did"), "text").mapInArrow(run, UNITS)
-
-
-def repeated_windows(docs: DataFrame) -> DataFrame:
-    """The same of every window whose first words occur in two documents or more."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
-            found = [windows(t.as_py() or "") for t in batch.column(1)]
-            did = np.repeat(batch.column(0).to_numpy(), [len(f[0]) for f in found])
-            rest = [np.concatenate(c) for c in zip(*found, strict=True)]
-            kinds = (np.int64, np.int64, np.int32, np.int32, np.int16)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c.astype(k)) for c, k in zip([did, *rest], kinds, strict=True)], names=["did", "key", "start", "length", "n_words"])
-
-    rows = docs.select(known_id().alias("did"), "text")
-    found = written(rows.mapInArrow(run, "did long, key long, start int, length int, n_words short"), "windows")
-    shared = found.groupBy("key").agg(F.min("did").alias("low"), F.max("did").alias("high")).filter("low <> high").select("key")
-    spans = found.join(shared, "key").groupBy("did").agg(F.collect_set(F.struct("start", "length", "n_words")).alias("spans"))
-    sign = _units(lambda batch, i: [(s["start"], s["length"], s["n_words"]) for s in batch.column(2)[i].as_py()])
-    return rows.join(written(spans, "spans"), "did").select("did", "text", "spans").mapInArrow(sign, UNITS)
-
-
 def _sets_of(texts: DataFrame) -> DataFrame:
-    """(node, shingles) of the sets at the places of every (text, wanted)."""
+    """(node, shingles, bits) of the sets at the places of every (text, wanted)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 128):
             found = list(_sets_at(batch))
             if found:
                 nodes, sets = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), lists(sets)], names=["node", "shingles"])
-
-    return texts.select("text", "wanted").mapInArrow(run, "node binary, shingles array<bigint>")
-
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(nodes, pa.binary()), lists(sets), lists([bits_of(s) for s in sets])], names=["node", "shingles", "bits"])
 
-def _placed(docs: DataFrame) -> DataFrame:
-    """(did, start, length, n_words, node, component_id) of every repeated paragraph."""
-    rows = written(paragraphs(docs).unionByName(repeated_windows(docs)), "paragraphs")
-    texts = docs.select(known_id().alias("did"), "text")
-    places = written(rows.groupBy("node").agg(F.min(F.struct("did", "start", "length")).alias("at")), "places")
+    return texts.select("text", "wanted").mapInArrow(run, "node binary, shingles array<bigint>, bits array<bigint>")
 
-    def wanted(of: DataFrame) -> DataFrame:
-        at = of.groupBy(F.col("at.did").alias("did")).agg(F.collect_set(F.struct("at.start", "at.length", "node")).alias("wanted"))
-        return texts.join(at, "did")
 
-    # Every distinct set is signed once; two rows of one id and text give it twice.
-    nodes = written(_signed(wanted(places)).dropDuplicates(["node"]), "nodes")
+def repeated_lines(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """(did, start, length, n_words, component_id) of every long line of ``units`` whose cluster reaches over documents."""
+    rows = found.select("did", F.explode("lines").alias("line")).select("did", "line.*")
+    # A set is one node however many lines have it.
+    nodes = written(rows.groupBy("node").agg(F.first("n").cast("long").alias("n"), F.first("bands").alias("bands")), "nodes")
     values = nodes.select("node", "n", F.explode(F.array_distinct("bands")).alias("key"))
-    shared = written(values.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "shared")
+    shared = values.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     met = written(values.join(shared, "key"), "met")
     weight = met.groupBy("node").agg(F.sum("df").alias("weight"))
     posts = written(met.join(weight, "node").select("key", "node", "n", "weight"), "posts")
-    sets = written(_sets_of(wanted(places.join(posts.select("node").distinct(), "node", "left_semi"))).dropDuplicates(["node"]), "sets")
+    places = rows.join(posts.select("node").distinct(), "node", "left_semi").groupBy("node").agg(
+        F.min(F.struct("did", "start", "length")).alias("at"))
+    wanted = written(places.groupBy(F.col("at.did").alias("did")).agg(
+        F.collect_set(F.struct("at.start", "at.length", "node")).alias("wanted")), "wanted")
+    texts = docs.select(known_id().alias("did"), "text").join(wanted, "did")
+    sets = written(_sets_of(texts).dropDuplicates(["node"]), "sets")  # two rows of one id and text give a set twice
     groups = link(posts, sets).select(F.col("id").alias("node"), F.col("component_id").alias("part"))
     placed = rows.select("did", "start", "length", "n_words", "node").join(groups, "node", "left").withColumn(
         "part", F.coalesce("part", "node"))
     spans = placed.groupBy("part").agg(F.min("did").alias("component_id"), F.max("did").alias("last")).filter("component_id <> last")
-    return placed.join(spans.select("part", "component_id"), "part").select(
-        "did", "start", "length", "n_words", "node", "component_id")
+    return placed.join(spans.select("part", "component_id"), "part").select("did", "start", "length", "n_words", "component_id")
+
+
+def repeated_windows(found: DataFrame) -> DataFrame:
+    """(did, text_id, key, at, start, length, component_id) of every window of ``units`` that two documents or more hold."""
+    rows = found.select("did", "text_id", F.explode("windows").alias("w")).select("did", "text_id", "w.*")
+    shared = rows.groupBy("key").agg(F.min("did").alias("component_id"), F.max("did").alias("last")).filter("component_id <> last")
+    return rows.join(shared.select("key", "component_id"), "key")
+
+
+def runs(held: DataFrame) -> DataFrame:
+    """(did, start, length, n_words, component_id): windows that overlap or touch and stay in the same document, as one."""
+    text = Window.partitionBy("did", "text_id").orderBy("at")
+    begins = (F.col("component_id") != F.lag("component_id").over(text)) | (F.col("at") > F.lag("at").over(text) + WINDOW)
+    cut = held.withColumn("begins", F.coalesce(begins, F.lit(True)).cast("int")).withColumn("part", F.sum("begins").over(text))
+    return cut.groupBy("did", "text_id", "part").agg(
+        F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end"),
+        (F.max("at") - F.min("at") + WINDOW).alias("n_words"), F.min("component_id").alias("component_id")).select(
+        "did", "start", (F.col("end") - F.col("start")).alias("length"), "n_words", "component_id")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """(did, start, length, n_words, component_id, removed) of every repeated paragraph."""
-    return _placed(docs).select(
-        "did", "start", "length", "n_words", "component_id", (F.col("did") != F.col("component_id")).alias("removed"))
+    """(did, kind, start, length, n_words, component_id, removed) of every repeated line and run."""
+    found = written(units(docs), "units")
+    rows = repeated_lines(found, docs).withColumn("kind", F.lit("line")).unionByName(
+        runs(repeated_windows(found)).withColumn("kind", F.lit("run")))
+    return rows.select("did", "kind", *[F.col(c).cast("long").alias(c) for c in ("start", "length", "n_words")], "component_id",
+                       (F.col("did") != F.col("component_id")).alias("removed"))
 
 
 def op6_passage_dedup(docs: DataFrame) -> DataFrame:
     real = lambda c: F.when(F.col(c) < LAST_ID, F.col(c)).alias(c)
     found = repeated_passages(docs.select("doc_id", "text"))
-    return found.select(real("did").alias("doc_id"), "start", "length", "n_words", real("component_id"), "removed").distinct()
+    return found.select(real("did").alias("doc_id"), "kind", "start", "length", "n_words", real("component_id"), "removed").distinct()
 
 
 def without(text: str | None, spans: list[tuple[int, int]]) -> str | None:
@@ -339,11 +293,11 @@ def maximal_runs(text: str, other: str, spans: list[tuple[int, int, int]]) -> li
     return out
 
 
-def _extended(placed: DataFrame, docs: DataFrame) -> DataFrame:
-    """(did, start, length) of the maximal runs that documents have in common with the first that holds the same paragraph."""
-    owners = placed.groupBy("node").agg(F.min(F.struct("did", "start")).alias("own"))
-    pairs = placed.join(owners, "node").filter("did <> own.did").groupBy("did", F.col("own.did").alias("owner")).agg(
-        F.collect_set(F.struct("start", "length", F.col("own.start").alias("at"))).alias("spans"))
+def _extended(held: DataFrame, docs: DataFrame) -> DataFrame:
+    """(did, start, length) of the maximal runs that documents have in common with the first that holds the same window."""
+    own = held.filter("did = component_id").groupBy("key").agg(F.min("start").alias("own"))
+    pairs = held.filter("did <> component_id").join(own, "key").groupBy("did", F.col("component_id").alias("owner")).agg(
+        F.collect_set(F.struct("start", "length", F.col("own").alias("at"))).alias("spans"))
     texts = docs.select(known_id().alias("did"), "text")
     both = pairs.join(texts, "did").join(texts.select(F.col("did").alias("owner"), F.col("text").alias("other")), "owner")
 
@@ -359,9 +313,12 @@ def _extended(placed: DataFrame, docs: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` without the repeated paragraphs, except those of the first document of every cluster."""
-    placed = written(_placed(docs.select("doc_id", "text")), "repeats")
-    removed = placed.filter("did <> component_id").select("did", "start", "length")
-    gone = removed.unionByName(_extended(placed, docs)).groupBy(F.col("did").alias("__did")).agg(
+    found = written(units(docs), "units")
+    held = written(repeated_windows(found), "repeats")
+    lines = repeated_lines(found, docs)
+    removed = lines.unionByName(held.select(*lines.columns[:3], F.lit(WINDOW).alias("n_words"), "component_id")).filter(
+        "did <> component_id").select("did", "start", "length")
+    gone = removed.unionByName(_extended(held, docs)).groupBy(F.col("did").alias("__did")).agg(
         F.collect_set(F.struct("start", "length")).alias("__gone"))
     joined = docs.withColumn("__did", known_id()).join(gone, "__did", "left").select(*docs.columns, "__gone")
     place = docs.columns.index("text")

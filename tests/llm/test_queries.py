@@ -1,6 +1,7 @@
 """Registered queries against their SQL, or against a brute-force version where SQL can't express them."""
 
 import hashlib
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,6 +13,9 @@ from changeflow.llm import language_id, minhash_dedup, packing, passage_dedup, q
 from tests.oracle import compare, connect
 
 
+LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+
 @pytest.fixture(scope="module")
 def docs(sf):
     return {r[0]: r[1:] for r in connect(sf).execute("SELECT doc_id, text, lang FROM documents").fetchall()}
@@ -104,18 +108,17 @@ def test_near_duplicates(spark, sf, docs):
 
 
 def test_passages(spark, sf, docs):
-    """Every paragraph of the definition, compared with every other one that shares a shingle."""
-    units, anchored = {}, defaultdict(set)
-    for d, (t, _) in docs.items():
-        for start, length, n in passage_dedup.long_lines(t):
-            units[d, start, length] = n
-        for key in passage_dedup.windows(t)[0].tolist():
-            anchored[key].add(d)
+    """Long lines against every other one that shares a shingle, runs against every 40 words that two documents share."""
+    ws = {d: re.findall("[^ \\t-\\r]+", (t or "").translate(LOWER)) for d, (t, _) in docs.items()}
+    rows = [r.asDict() for r in queries.QUERIES["op6_passage_dedup"](spark, sf).collect()]
+    lines = {}
     for d, (t, _) in docs.items():
-        for key, start, length, n in zip(*[x.tolist() for x in passage_dedup.windows(t)], strict=True):
-            if len(anchored[key]) > 1:
-                units[d, start, length] = n
-    sets = sets_of({u: docs[u[0]][0][u[1]:u[1] + u[2]] for u in units})
+        at = 0
+        for line in (t or "").split("\n"):
+            if (n := len(re.findall("[^ \\t-\\r]+", line))) >= 40:
+                lines[d, at, len(line)] = n
+            at += len(line) + 1
+    sets = sets_of({u: docs[u[0]][0][u[1]:u[1] + u[2]] for u in lines})
     index, pairs = defaultdict(list), Counter()
     for u, s in sets.items():
         for x in s:
@@ -123,12 +126,39 @@ def test_passages(spark, sf, docs):
             index[x].append(u)
     links = [(a, b) for (a, b), both in pairs.items() if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both)]
     groups = defaultdict(list)
-    for u, part in smallest_reachable(units, links).items():
+    for u, part in smallest_reachable(lines, links).items():
         groups[part].append(u)
-    want = {(*u, units[u], part[0], u[0] != part[0]) for part, us in groups.items() if len({u[0] for u in us}) > 1 for u in us}
-    got = {tuple(r) for r in queries.QUERIES["op6_passage_dedup"](spark, sf).select(
-        "doc_id", "start", "length", "n_words", "component_id", "removed").collect()}
-    assert got == want and len(want) > 20
+    want = {(*u, lines[u], part[0], u[0] != part[0]) for part, us in groups.items() if len({u[0] for u in us}) > 1 for u in us}
+    columns = ("doc_id", "start", "length", "n_words", "component_id", "removed")
+    assert {tuple(r[c] for c in columns) for r in rows if r["kind"] == "line"} == want and len(want) > 20
+
+    held = defaultdict(dict)  # every 24 words: the places in each document
+    for d, w in ws.items():
+        for i in range(len(w) - 23):
+            held[tuple(w[i:i + 24])].setdefault(d, i)
+    covered = defaultdict(set)
+    for r in rows:
+        if r["kind"] == "run":
+            d, t = r["doc_id"], docs[r["doc_id"]][0]
+            first, n = len(re.findall("[^ \\t-\\r]+", t[:r["start"]])), r["n_words"]
+            assert re.findall("[^ \\t-\\r]+", t[r["start"]:r["start"] + r["length"]].translate(LOWER)) == ws[d][first:first + n]
+            # Both ends of a run are windows whose first holder is the named document.
+            for i in (first, first + n - 24):
+                at = held[tuple(ws[d][i:i + 24])]
+                assert min(at) == r["component_id"] and len(at) > 1
+            assert r["removed"] == (r["component_id"] != d)
+            covered[d].update(range(first, first + n - 23))
+    shared = defaultdict(set)
+    for d, w in ws.items():
+        for i in range(len(w) - 39):
+            shared[tuple(w[i:i + 40])].add(d)
+    found = 0
+    for d, w in ws.items():
+        for i in range(len(w) - 39):
+            if len(shared[tuple(w[i:i + 40])]) > 1:
+                assert covered[d] & set(range(i, i + 17))
+                found += 1
+    assert found > 1000
 
 
 def brute_vectors(rows):
