@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LAST_ID, WHITE, known_id, written
-from .similar import SIMILAR, WORDS, MinHash, bits_of, digest, link, lists, shingle_hashes, small_batches, word_hashes
+from .similar import SIMILAR, WORDS, MinHash, bits_of, digest, link, lists, shingle_hashes, small_batches
 
 MIN_WORDS = 40
 WINDOW = 24
@@ -43,6 +43,8 @@ ROWS = 2
 RECALL = 0.9999
 _IS_WHITE = np.zeros(256, bool)
 _IS_WHITE[list(WHITE.encode())] = True
+_BYTES = np.random.default_rng(5).integers(0, 2**64, 256, np.uint64)
+_BYTES[65:91] = _BYTES[97:123]  # A-Z as a-z
 _BASE = 0x9E3779B97F4A7C15
 _WORD = re.compile(f"[^{WHITE}]+")
 _powers = [np.ones(1, np.uint64)] * 2
@@ -53,23 +55,6 @@ def bands_for(rows: int = ROWS, recall: float = RECALL, similar: float = SIMILAR
     return math.ceil(math.log(1 - recall) / math.log(1 - similar**rows))
 
 
-def _lines(text: str) -> Iterator[tuple[int, str]]:
-    start = 0
-    for line in text.split("\n"):
-        yield start, line
-        start += len(line) + 1
-
-
-def long_lines(text: str) -> list[tuple[int, int, int]]:
-    """(start, length, words) of the lines that are long enough."""
-    out = []
-    for start, line in _lines(text):
-        words = len(line.encode().split())
-        if words >= MIN_WORDS:
-            out.append((start, len(line), words))
-    return out
-
-
 def _run_hashes(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """A hash of every ``values[first:last]`` that depends on the values alone, not on their place."""
     if len(_powers[0]) <= len(values):
@@ -102,9 +87,17 @@ class Words:
         white[1:-1] = _IS_WHITE[b]
         points = np.zeros(len(raw) + 1, np.int64)
         np.cumsum((b & 0xC0) != 0x80, out=points[1:])
-        self.hashes = word_hashes(raw)
-        self.begin = points[np.flatnonzero(white[:-2] & ~white[1:-1])]
-        self.end = points[np.flatnonzero(~white[1:-1] & white[2:]) + 1]
+        begin, end = np.flatnonzero(white[:-2] & ~white[1:-1]), np.flatnonzero(~white[1:-1] & white[2:]) + 1
+        self.hashes = _run_hashes(_BYTES[b], begin, end)
+        self.begin, self.end = points[begin], points[end]
+        self.breaks = np.concatenate([[-1], points[np.flatnonzero(b == 10)], points[-1:]])
+
+    def lines(self) -> list[tuple[int, int, int]]:
+        """(start, length, words) of the lines that are long enough."""
+        counts = np.diff(np.searchsorted(self.begin, self.breaks))
+        at = np.flatnonzero(counts >= MIN_WORDS)
+        start = self.breaks[at] + 1
+        return list(zip(start.tolist(), (self.breaks[at + 1] - start).tolist(), counts[at].tolist(), strict=True))
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """(key, first word) of the windows; the key stands for all their words."""
@@ -123,8 +116,14 @@ class Words:
         places = np.array(spans, np.int64).reshape(-1, 2)
         first, last = np.searchsorted(self.begin, places[:, 0]), np.searchsorted(self.begin, places.sum(1))
         every = shingle_hashes(self.hashes)
-        return [np.unique(every[i:j - WORDS + 1] if j - i >= WORDS else shingle_hashes(self.hashes[i:j])) if j > i else np.empty(0, np.uint64)
-                for i, j in zip(first.tolist(), last.tolist(), strict=True)]
+        out = []
+        for i, j in zip(first.tolist(), last.tolist(), strict=True):
+            if j - i < WORDS:
+                out.append(shingle_hashes(self.hashes[i:j]) if j > i else np.empty(0, np.uint64))
+                continue
+            found = np.sort(every[i:j - WORDS + 1])
+            out.append(np.unique(found) if (found[1:] == found[:-1]).any() else found)
+        return out
 
 
 def _band_keys(signature: np.ndarray) -> np.ndarray:
@@ -151,7 +150,7 @@ def units(docs: DataFrame) -> DataFrame:
             for did, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = Words(text or "")
                 key, at = words.windows()
-                spans = long_lines(text or "")
+                spans = words.lines()
                 if not len(key) and not spans:
                     continue
                 dids.append(did)
