@@ -9,6 +9,9 @@ difference fails the job.
 
 Defined results: a null text is an empty text without ids; rows may repeat; an empty table gives an empty
 result. Memory is bounded by a slice of an Arrow batch and a cache of parts.
+
+Where ids are only to be stored (``packed_ids``), the library itself encodes the same parts, each batch in one
+call for those that are not remembered.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import struct
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,6 +34,8 @@ MARK = "▁"
 _SHORT = 48
 _CACHED = 400_000  # words in each of two generations, below 200 MB each
 _PARTS = re.compile(f"{MARK}+[^{MARK}]*")
+_AT_ONCE = 2**20  # characters of the texts whose words are held at once
+_CHECKED = 10_000
 
 
 def public_model() -> str:
@@ -196,16 +202,79 @@ def encode_texts(docs: DataFrame, model: str | None = None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
 
 
+def _bounded(texts: list[str], size: int = _AT_ONCE) -> Iterator[list[str]]:
+    """Runs of the texts, each ended by the text with which it reaches ``size`` characters."""
+    held, length = [], 0
+    for text in texts:
+        held.append(text)
+        length += len(text)
+        if length >= size:
+            yield held
+            held, length = [], 0
+    if held:
+        yield held
+
+
+class PackedIds:
+    """Ids in 16 bits from the library, which is called once for all parts of some texts that are not remembered."""
+
+    def __init__(self, model: MergeModel, size: int = _CACHED):
+        self.model, self.size = model, size
+        self.recent: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _parts(self, text: str) -> list[str]:
+        """The parts of a text as the library takes them, that is without the space mark that it puts before a text."""
+        if not text or not self.model.cut:
+            return [text] if text else []
+        words = text.split(" ")
+        if MARK not in text and "" not in words:
+            return words
+        return [part[1:].replace(MARK, " ") for part in _PARTS.findall(MARK + text.replace(" ", MARK))]
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}H", *ids)
+
+    def pack(self, texts: list[str]) -> list[bytes]:
+        """The ids of every text."""
+        split = [self._parts(t) for t in texts]
+        fresh = []
+        for part in set().union(*split).difference(self.recent):
+            known = self.old.get(part)
+            if known is None:
+                fresh.append(part)
+            else:
+                self.recent[part] = known
+        for part, ids in zip(fresh, self.model.library.encode(fresh, num_threads=1) if fresh else [], strict=True):
+            # To the library an empty text has no ids; here it is a space mark alone.
+            self.recent[part] = self._packed(ids if part else self.model.agenda(MARK))
+        out = [b"".join(map(self.recent.__getitem__, parts)) for parts in split]
+        if len(self.recent) >= self.size:
+            self.old, self.recent = self.recent, {}
+        return out
+
+    def check(self, text: str) -> None:
+        """Compares the ids of a text's parts with those of the whole text."""
+        if self.pack([text]) != [self._packed(self.model.library.encode(text))]:
+            raise ValueError("ids of a text differ from the library's")
+
+
+@lru_cache(maxsize=2)
+def packer(path: str) -> PackedIds:
+    """As ``loaded``."""
+    return PackedIds(loaded(path))
+
+
 def packed_ids(docs: DataFrame, model: str | None = None) -> DataFrame:
     """(ids) of every row as little-endian 16-bit bytes, for vocabularies of up to 65,536 pieces."""
     path = model or public_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = loaded(path)
+        own = packer(path)
         for batch in small_batches(batches):
-            joined = [b"".join(p[0] for p in own.encoded(t.as_py() or "")) for t in batch.column(0)]
-            ids = [np.frombuffer(j, np.int32).astype("<u2").tobytes() for j in joined]
-            own.check()
+            texts = [t or "" for t in batch.column(0).to_pylist()]
+            ids = [i for some in _bounded(texts) for i in own.pack(some)]
+            own.check(texts[0][:_CHECKED])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], names=["ids"])
 
     return docs.select("text").mapInArrow(run, "ids binary")

@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -491,6 +492,45 @@ def test_token_counts_of_odd_texts(odd):
     assert got == sorted(len(own.library.encode(t or "")) for _, t in TEXTS)
 
 
+class Captured:
+    """Stands for a DataFrame and gives the function that would run over its Arrow batches."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+ODD_WORDS = [*[t for _, t in TEXTS], "a  b", " a", "a ", "</s> <s>", "▁x ▁", "▁", " ▁", "\n x", "日本 語 x", " ", "   ", "\x00\x7f�", "é ﬁ"]
+
+
+def test_stored_ids_take_no_agenda():
+    subword.loaded.cache_clear()
+    own = subword.loaded(subword.public_model())
+    batch = pa.record_batch([pa.array(ODD_WORDS, pa.string())], names=["text"])
+    got = [r["ids"] for b in subword.packed_ids(Captured())([batch]) for r in b.to_pylist()]
+    assert got == [np.array(own.library.encode(t or ""), "<u2").tobytes() for t in ODD_WORDS]
+    assert not own.runs and not own.words and not own.parts
+
+
+def test_stored_ids_of_few_remembered_words():
+    model = subword.loaded(subword.public_model())
+    texts = [t or "" for t in ODD_WORDS] + [f"new{i} word {i % 3}" for i in range(50)]
+    want = [np.array(model.library.encode(t), "<u2").tobytes() for t in texts]
+    for size, at_once in ((1, 1), (5, 40), (7, 10**9)):
+        own = subword.PackedIds(model, size)
+        assert [i for some in subword._bounded(texts * 2, at_once) for i in own.pack(some)] == want * 2
+    asked = []
+    model.library.encode, encode = lambda parts, **more: asked.extend(parts) or encode(parts, **more), model.library.encode
+    try:
+        own = subword.PackedIds(model)
+        assert own.pack(texts) == own.pack(texts) == want
+    finally:
+        del model.library.encode
+    assert len(asked) == len(set(asked))
+
+
 @pytest.mark.parametrize("text", [
     "a  b", " a", "a ", "</s> <s>", "▁x ▁", "\n x", "日本 語 x", "<0x0A>", "", " ", "   ", "x" * 300, "\x00\x7f�", "é ﬁ"])
 def test_subword(text):
