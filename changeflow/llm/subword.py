@@ -3,9 +3,9 @@
 The agenda holds adjacent pairs of symbols that form a piece; the pair with the best score, then the
 leftmost, is merged first. Characters without a piece become bytes. Where no piece of the vocabulary
 has a space mark behind another character, a merge can't cross the start of a run of space marks, so a text
-is cut there and every part is encoded once and remembered. Each Arrow batch is checked against the
-sentencepiece library: all parts seen for the first time, and the first whole text of the batch. A
-difference fails the job.
+is cut there and every part is encoded once and remembered. The new parts of some texts go through their
+agendas together, a merge in each of them at a time. Each Arrow batch is checked against the sentencepiece
+library: all parts seen for the first time, and the first whole text of every 512. A difference fails the job.
 
 Defined results: a null text is an empty text without ids; rows may repeat; an empty table gives an empty
 result. Memory is bounded by a slice of an Arrow batch and a cache of parts.
@@ -20,22 +20,25 @@ import hashlib
 import heapq
 import re
 import struct
-from array import array
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import cached_property, lru_cache
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .similar import Remembered, small_batches
 
 MARK = "▁"
 _SHORT = 48
+_TOGETHER = 8_192  # runs whose agendas are held at once
 _CACHED = 400_000  # words in each of two generations, below 200 MB each
 _PARTS = re.compile(f"{MARK}+[^{MARK}]*")
 _AT_ONCE = 2**20  # characters of the texts whose words are held at once
 _CHECKED = 10_000
+_ROWS = 2_048  # texts in a slice of op10, as the more there are, the fewer words are new to it
 
 
 def public_model() -> str:
@@ -50,6 +53,115 @@ def readable(raw: bytes) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
+def numbers(decimals: bytes) -> list[int]:
+    """Ids in decimal as numbers."""
+    return list(map(int, decimals.split(b","))) if decimals else []
+
+
+def joined(values: pa.Array, at: np.ndarray | pa.Array, ends: np.ndarray | pa.Array, between: bytes) -> pa.Array:
+    """The values at some places, joined from each end to the next."""
+    lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), values.take(pa.array(at)))
+    return pc.binary_join(lists, pa.scalar(between, pa.large_binary()))
+
+
+class RememberedParts:
+    """As ``Remembered``, for ids in decimal and what they decode to, made in one call for all new parts of some texts."""
+
+    def __init__(self, make: Callable[[list[str]], tuple[list[bytes], list[bytes]]], size: int = _CACHED):
+        self.make, self.size = make, size
+        self.recent: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
+        self.old: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
+
+    def __len__(self) -> int:
+        return len(self.recent[0])
+
+    def of(self, parts: list[str]) -> tuple[list[bytes], list[bytes]]:
+        """Both of every part."""
+        decimals, raw = self.recent
+        fresh = []
+        for part in parts:
+            if part not in decimals:
+                if part in self.old[0]:
+                    decimals[part], raw[part] = self.old[0][part], self.old[1][part]
+                else:
+                    fresh.append(part)
+        if fresh:
+            for held, made in zip(self.recent, self.make(fresh), strict=True):
+                held.update(zip(fresh, made, strict=True))
+        out = list(map(decimals.__getitem__, parts)), list(map(raw.__getitem__, parts))
+        if len(self) >= self.size:
+            self.old, self.recent = self.recent, ({}, {})
+        return out
+
+    def joined(self, texts: pa.ListArray) -> Iterator[tuple[bytes, bytes]]:
+        """Both of every text, given by its parts, each different one of which is looked up once."""
+        parts = texts.flatten().dictionary_encode()
+        decimals, raw = (pa.array(values, pa.large_binary()) for values in self.of(parts.dictionary.to_pylist()))
+        return zip(
+            joined(decimals, parts.indices, texts.offsets, b",").to_pylist(), joined(raw, parts.indices, texts.offsets, b"").to_pylist(),
+            strict=True)
+
+
+class Agendas:
+    """The agendas of many short runs, as columns of one array; each step merges the best pair of every run.
+
+    Symbols are numbers: the characters of the pieces, then the longer pieces, then all other characters.
+    """
+
+    def __init__(self, rank: dict[str, float]):
+        chars = sorted(set().union(*rank))
+        self.symbols = [*chars, *(piece for piece in rank if len(piece) > 1)]
+        number = {s: i for i, s in enumerate(self.symbols)}
+        self.of_char = np.arange(0x110000) + len(self.symbols)
+        self.of_char[[ord(c) for c in chars]] = np.arange(len(chars))
+        place = {score: i for i, score in enumerate(sorted(set(rank.values())))}
+        merges = sorted(
+            (number[piece[:i]] << 32 | number[piece[i:]], number[piece], place[rank[piece]])
+            for piece in rank for i in range(1, len(piece)) if piece[:i] in number and piece[i:] in number)
+        # The last entry stands for a pair that forms no piece.
+        self.none = len(place)
+        self.pairs, self.merged, self.order = np.array([*merges, (2**63 - 1, -1, self.none)], np.int64).T.copy()
+
+    def _found(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The entries of pairs of symbols; -1 is no symbol."""
+        pair = left << 32 | right
+        entry = np.searchsorted(self.pairs, pair)
+        return np.where(self.pairs[entry] == pair, entry, len(self.pairs) - 1)
+
+    def merge(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols that are left, run by run, and their number in every run."""
+        lengths, n = np.fromiter(map(len, runs), np.int64, len(runs)), len(runs)
+        rows = int(lengths.max()) + 2  # a row without symbols before and behind the characters
+        bits = rows.bit_length()
+        within = np.arange(rows)[None, :] < lengths[:, None]
+        by_run = np.full((n, rows), -1)
+        by_run[:, 1:][within[:, :-1]] = self.of_char[np.frombuffer("".join(runs).encode("utf-32-le"), np.uint32)]
+        symbol = by_run.T.ravel()
+        after, before = np.arange(n, (rows + 1) * n), np.arange(-n, (rows - 1) * n)
+        entry = np.full(rows * n, len(self.pairs) - 1)
+        entry[:-n] = self._found(symbol[:-n], symbol[n:])
+        # A better score comes first, then the place to the left.
+        agenda = self.order[entry] << bits | np.repeat(np.arange(rows), n)
+        by_place = agenda.reshape(rows, n)
+        while True:
+            best = by_place.min(axis=0)
+            run = np.flatnonzero(best >> bits < self.none)
+            if not run.size:
+                break
+            left = (best[run] & (1 << bits) - 1) * n + run
+            right = after[left]
+            following, previous = after[right], before[left]
+            symbol[left], symbol[right] = self.merged[entry[left]], -1
+            after[left], before[following] = following, left
+            agenda[right] = self.none << bits
+            changed = np.concatenate([previous, left])
+            entry[changed] = found = self._found(symbol[changed], symbol[np.concatenate([left, following])])
+            agenda[changed] = self.order[found] << bits | changed // n
+        by_run = symbol.reshape(rows, n).T
+        kept = by_run >= 0
+        return by_run[kept], kept.sum(axis=1)
+
+
 class MergeModel:
     """Pieces and scores of a model file, and the agenda over them."""
 
@@ -68,29 +180,23 @@ class MergeModel:
         self.neighbours = {piece[i:i + 2] for piece in self.rank for i in range(len(piece) - 1)}
         self.cut = not any(MARK in piece.lstrip(MARK) for piece in self.rank)
         self.raw_of = [bytes([self.byte_of[i]]) if i in self.byte_of else self.pieces[i].replace(MARK, " ").encode() for i in ids]
-        self.decimal_of = [str(i).encode() for i in ids]
-        self.runs = Remembered(lambda text: self.short_agenda(text) if len(text) <= _SHORT else self.agenda(text))
-        self.parts = Remembered(self._part)
-        self.words = Remembered(lambda word: self._part(MARK + word), _CACHED)
-        self.fresh: list[tuple[str, list[int]]] = []
-
-    def short_agenda(self, text: str) -> list[int]:
-        """As ``agenda``; for a few symbols a list of all adjacent pairs is searched faster than a heap is kept."""
-        rank = self.rank.get
-        symbol, none = list(text), float("inf")
-        agenda = [rank(text[i:i + 2], none) for i in range(len(text) - 1)]
-        while agenda:
-            best = min(agenda)
-            if best == none:
-                break
-            i = agenda.index(best)
-            symbol[i] += symbol.pop(i + 1)
-            del agenda[i]
-            if i < len(agenda):
-                agenda[i] = rank(symbol[i] + symbol[i + 1], none)
-            if i:
-                agenda[i - 1] = rank(symbol[i - 1] + symbol[i], none)
-        return self._ids(symbol)
+        self.decimal_of = pa.array([str(i).encode() for i in ids], pa.large_binary())
+        self.runs = Remembered(self.agenda)
+        self.parts = RememberedParts(self._parts, _CACHED // 2)
+        self.words = RememberedParts(lambda words: self._parts([MARK + word for word in words]))
+        self.fresh: dict[str, bytes] = {}
+
+    @cached_property
+    def agendas(self) -> Agendas:
+        return Agendas(self.rank)
+
+    @cached_property
+    def of_symbol(self) -> tuple[pa.Array, pa.Array]:
+        """The ids of every symbol of ``agendas`` in decimal, and what they decode to."""
+        return self._both([self._ids([s]) for s in self.agendas.symbols])
+
+    def _both(self, lists: list[list[int]]) -> tuple[pa.Array, pa.Array]:
+        return self.decimals(lists), pa.array([self.raw(ids) for ids in lists], pa.large_binary())
 
     def _ids(self, symbols: list[str]) -> list[int]:
         out: list[int] = []
@@ -135,28 +241,66 @@ class MergeModel:
                     heapq.heappush(heap, (rank[longer], previous, longer))
         return self._ids([s for s in symbol if s])
 
-    def _part(self, part: str) -> tuple[bytes, bytes, bytes]:
-        """The ids of a part in 32 bits and in decimal, and what they decode to.
-
-        No merge joins two characters that are neighbours in no piece, so the part is cut there too.
-        """
+    def _runs(self, part: str) -> list[str]:
+        """No merge joins two characters that are neighbours in no piece, so a long part is cut there too."""
+        if len(part) <= _SHORT:
+            return [part]
         cuts = [i + 1 for i in range(len(part) - 1) if part[i:i + 2] not in self.neighbours]
-        ids = [i for a, b in zip([0, *cuts], [*cuts, len(part)], strict=True) for i in self.runs[part[a:b]]]
-        self.fresh.append((part, ids))
-        return array("i", ids).tobytes(), b",".join([self.decimal_of[i] for i in ids]), self.raw(ids)
-
-    def encoded(self, text: str) -> list[tuple[bytes, bytes, bytes]]:
-        """The parts of a text."""
-        if not text:
-            return []
-        words = text.split(" ")
-        if self.cut and MARK not in text and "" not in words:
-            return list(map(self.words.__getitem__, words))
+        return [part[a:b] for a, b in pairwise([0, *cuts, len(part)])]
+
+    def _merged(self, runs: list[str]) -> tuple[pa.Array, pa.Array]:
+        """The ids of short runs in decimal, and what they decode to."""
+        symbols, left = self.agendas.merge(runs)
+        ends = np.concatenate([[0], np.cumsum(left)])
+        known = len(self.agendas.symbols)
+        other = symbols >= known
+        chars, place = np.unique(symbols[other], return_inverse=True)
+        symbols[other] = known + place
+        more = self._both([self._ids([chr(i - known)]) for i in chars.tolist()])
+        decimals, raw = (pa.concat_arrays(values) for values in zip(self.of_symbol, more, strict=True))
+        return joined(decimals, symbols, ends, b","), joined(raw, symbols, ends, b"")
+
+    def _parts(self, parts: list[str]) -> tuple[list[bytes], list[bytes]]:
+        """The ids of every part in decimal, and what they decode to; all short runs are merged together."""
+        split = {part: self._runs(part) for part in parts if len(part) > _SHORT}
+        runs = set(parts).difference(split).union(*split.values())
+        long = [run for run in runs if len(run) > _SHORT]
+        short = sorted(runs.difference(long), key=len)
+        decimals, raw = (dict(zip(long, made.to_pylist(), strict=True)) for made in self._both([self.runs[run] for run in long]))
+        for i in range(0, len(short), _TOGETHER):
+            some = short[i:i + _TOGETHER]
+            for held, made in zip((decimals, raw), self._merged(some), strict=True):
+                held.update(zip(some, made.to_pylist(), strict=True))
+        for part, cut in split.items():
+            decimals[part], raw[part] = b",".join([decimals[run] for run in cut]), b"".join([raw[run] for run in cut])
+        out = [decimals[part] for part in parts]
+        self.fresh.update(zip(parts, out, strict=True))
+        return out, [raw[part] for part in parts]
+
+    def _odd_parts(self, text: str) -> list[str]:
+        """The parts of any text."""
         marked = MARK + text.replace(" ", MARK)
-        return list(map(self.parts.__getitem__, _PARTS.findall(marked) if self.cut else [marked]))
+        return [] if not text else _PARTS.findall(marked) if self.cut else [marked]
+
+    def _single_spaced(self, text: str) -> bool:
+        """Whether the parts of a text are its words, each behind one space mark."""
+        return self.cut and text != "" and not (text[0] == " " or text[-1] == " " or "  " in text or MARK in text)
+
+    def encoded(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """The ids of every text in decimal, and what they decode to."""
+        simple = [self._single_spaced(t) for t in texts]
+        words = pc.split_pattern(pa.array([t for t, s in zip(texts, simple, strict=True) if s], pa.large_string()), " ")
+        parts = pa.array([self._odd_parts(t) for t, s in zip(texts, simple, strict=True) if not s], pa.list_(pa.large_string()))
+        by_words, by_parts = self.words.joined(words), self.parts.joined(parts)
+        return [next(by_words if s else by_parts) for s in simple]
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(b"".join([p[0] for p in self.encoded(text)]), np.int32).tolist()
+        return numbers(self.encoded([text])[0][0])
+
+    def decimals(self, lists: list[list[int]]) -> pa.Array:
+        """Every list of ids in decimal."""
+        ids = np.fromiter(chain.from_iterable(lists), np.int64)
+        return joined(self.decimal_of, ids, np.fromiter(accumulate(map(len, lists), initial=0), np.int64), b",")
 
     def raw(self, ids: list[int]) -> bytes:
         return b"".join([self.raw_of[i] for i in ids])
@@ -167,11 +311,12 @@ class MergeModel:
 
     def check(self, whole: str | None = None) -> None:
         """Compares what is new since the last check, and one whole text, with the library."""
-        fresh, self.fresh = [f for f in self.fresh if f[0] != MARK], []
-        wanted = self.library.encode([part[1:].replace(MARK, " ") for part, _ in fresh], num_threads=1) if fresh else []
-        for (part, ids), want in zip(fresh, wanted, strict=True):
+        fresh, self.fresh = self.fresh, {}
+        fresh.pop(MARK, None)
+        wanted = self.library.encode([part[1:].replace(MARK, " ") for part in fresh], num_threads=1) if fresh else []
+        for (part, ids), want in zip(fresh.items(), self.decimals(wanted).to_pylist(), strict=True):
             if ids != want:
-                raise ValueError(f"ids of {part!r} differ from the library's {want}")
+                raise ValueError(f"ids of {part!r} differ from the library's {want.decode()}")
         if whole is not None:
             ids = self.library.encode(whole)
             if self.encode(whole) != ids or self.decode(ids) != self.library.decode(ids):
@@ -192,7 +337,7 @@ def encode_texts(docs: DataFrame, model: str | None = None) -> DataFrame:
         own = loaded(path)
         for batch in small_batches(batches):
             texts = [t.as_py() or "" for t in batch.column(1)]
-            ids = [own.encode(t) for t in texts]
+            ids = [numbers(decimals) for some in _bounded(texts) for decimals, _ in own.encoded(some)]
             own.check(texts[0] if texts else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([own.decode(i) for i in ids], pa.string())],
@@ -287,14 +432,17 @@ def op10_sentencepiece(docs: DataFrame, model: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = loaded(path)
         sha = lambda raw: hashlib.sha256(raw).hexdigest()
-        for batch in small_batches(batches):
-            texts = [t.as_py() or "" for t in batch.column(1)]
-            held = [own.encoded(t) for t in texts]
-            own.check(texts[0] if texts else None)
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([sum(len(h[0]) for h in parts) // 4 for parts in held], pa.int64()),
-                pa.array([sha(b",".join(h[1] for h in parts)) for parts in held], pa.string()),
-                pa.array([sha(readable(b"".join(h[2] for h in parts)).encode()) for parts in held], pa.string())],
+        for batch in small_batches(batches, _ROWS):
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            rows = []
+            for some in _bounded(texts, 4 * _AT_ONCE):
+                for decimals, raw in own.encoded(some):
+                    rows.append((decimals.count(b",") + bool(decimals), sha(decimals), sha(readable(raw).encode())))
+                own.check()
+            for text in texts[::512]:
+                own.check(text)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string())))],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

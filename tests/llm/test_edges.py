@@ -1,11 +1,13 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing names."""
 
 import hashlib
+import sys
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 import corpus_pipeline
 from changeflow.llm import (
@@ -531,6 +533,82 @@ def test_stored_ids_of_few_remembered_words():
     assert len(asked) == len(set(asked))
 
 
+class CapturedDocuments(Captured):
+    schema = StructType().add("doc_id", "long")
+
+
+def digests(texts):
+    """The rows of op10 over one batch."""
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    rows = [r for b in subword.op10_sentencepiece(CapturedDocuments())([batch]) for r in b.to_pylist()]
+    return [(r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in rows]
+
+
+def library_digests(texts):
+    library = subword.loaded(subword.public_model()).library
+    ids = [library.encode(t or "") for t in texts]
+    return [(len(i), sha(",".join(map(str, i))), sha(library.decode(i))) for i in ids]
+
+
+def test_new_words_take_no_calls_of_their_own():
+    rng = np.random.default_rng(10)
+    letters = list("abcdefghijklmnop\né日😀")
+    words = ["".join(rng.choice(letters, rng.integers(1, 14))) for _ in range(4000)]
+    texts = [" ".join(words[i:i + 100]) for i in range(0, len(words), 100)]
+    want = library_digests(texts)
+    digests(["a first text"])
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event == "call"
+
+    sys.setprofile(count)
+    try:
+        got = digests(texts)
+    finally:
+        sys.setprofile(None)
+    assert got == want
+    assert calls < len(set(words)) / 2
+
+
+def test_digests_of_odd_texts(monkeypatch):
+    texts = [*ODD_WORDS, *["z" * 300 + " 日本語" * 60 + "\n" * 70] * 2, *[f"new{i} word  {i % 3}" for i in range(50)]] * 2
+    want = library_digests(texts)
+    assert digests(texts) == want
+    for size, at_once, together in ((1, 1, 1), (5, 10, 3), (7, 10**9, 4)):
+        subword.loaded.cache_clear()
+        own = subword.loaded(subword.public_model())
+        own.words.size = own.parts.size = size
+        monkeypatch.setattr(subword, "_AT_ONCE", at_once)
+        monkeypatch.setattr(subword, "_TOGETHER", together)
+        assert digests(texts) == want
+        assert own.words.old[0] and own.parts.old[0]
+    subword.loaded.cache_clear()
+
+
+def test_runs_merged_together_as_one_by_one():
+    """Over pieces of equal scores, pieces that score better than what they are made of, and letters of no piece."""
+    rng = np.random.default_rng(11)
+    for _ in range(20):
+        pieces = {"".join(rng.choice(list("abcd"), rng.integers(1, 6))) for _ in range(40)}
+        own = subword.MergeModel.__new__(subword.MergeModel)
+        own.rank = {piece: float(rng.integers(0, 12)) for piece in sorted(pieces)}
+        agendas = subword.Agendas(own.rank)
+        own.id_of = {s: i for i, s in enumerate(agendas.symbols)} | {c: len(agendas.symbols) + ord(c) for c in "abcdx" if c not in agendas.symbols}
+        runs = ["".join(rng.choice(list("abcdabcdx"), rng.integers(1, 49))) for _ in range(200)]
+        symbols, left = agendas.merge(runs)
+        assert [part.tolist() for part in np.split(symbols, np.cumsum(left)[:-1])] == [own.agenda(run) for run in runs]
+
+
+def test_check_sees_wrong_ids_of_new_words(monkeypatch):
+    own = subword.MergeModel(subword.public_model())
+    own.agendas.order[:-1] = own.agendas.order[-2::-1].copy()
+    own.encode("international agreements")
+    with pytest.raises(ValueError, match="differ"):
+        own.check()
+
+
 @pytest.mark.parametrize("text", [
     "a  b", " a", "a ", "</s> <s>", "▁x ▁", "\n x", "日本 語 x", "<0x0A>", "", " ", "   ", "x" * 300, "\x00\x7f�", "é ﬁ"])
 def test_subword(text):
