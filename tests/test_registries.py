@@ -24,7 +24,7 @@ def joins(df):
     return [kind for kind in ("BroadcastExchange", "SortMergeJoin") if kind in plan]
 
 
-@pytest.mark.parametrize("name", ["schema_compat"])
+@pytest.mark.parametrize("name", ["schema_diff", "schema_compat"])
 def test_a_registry_is_not_broadcast(spark, tables, name):
     assert joins(QUERIES[name](spark, tables)) == ["SortMergeJoin"]
 
