@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from changeflow.operators import schema_gov
 from changeflow.plans import QUERIES
+from changeflow.plans import schemas
 
 
 @pytest.fixture(scope="module")
@@ -24,11 +25,20 @@ def joins(df):
     return [kind for kind in ("BroadcastExchange", "SortMergeJoin") if kind in plan]
 
 
-@pytest.mark.parametrize("name", ["schema_diff", "schema_compat", "added_default_check"])
+@pytest.mark.parametrize("name", ["schema_diff", "schema_compat", "added_default_check", "schema_compat_policies"])
 def test_a_registry_is_not_broadcast(spark, tables, name):
     assert joins(QUERIES[name](spark, tables)) == ["SortMergeJoin"]
 
 
+def test_policies_in_one_grouping_equal_each_of_them(spark, tables):
+    diff = schema_gov.schema_diff(schemas.registry(spark, tables))
+    one = lambda **policy: {(r["subject"], r["version"]): r["compatible"] for r in schema_gov.schema_compat(diff, **policy).collect()}
+    both = QUERIES["schema_compat_policies"](spark, tables).collect()
+    assert {(r[0], r[1]): r["parity_compatible"] for r in both} == one(check_added_defaults=False, check_types=False)
+    assert {(r[0], r[1]): r["avro_compatible"] for r in both} == one(policy=schema_gov.AVRO_BACKWARD)
+    assert len(both) == 12 and {(r["parity_compatible"], r["avro_compatible"]) for r in both} == {(True, True), (True, False), (False, True)}
+
+
 def test_unknown_subjects_and_versions_have_no_difference(spark):
     """Versions 1 and 3; rows without a subject or a version are compared with nothing, and a field named twice is one."""
     rows = [("s", 1, "a", "int", False), ("s", 1, "a", "int", False), ("s", 3, "a", "long", False), ("s", 3, "b", "int", None),
