@@ -84,10 +84,13 @@ def join_small(
     left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner",
     limit: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS, hot: Sequence[int] | None = None,
 ) -> DataFrame:
-    """Join with a side expected to be small: broadcast after its size was checked, else shuffle."""
+    """Join with a side expected to be small: broadcast after its size was checked, else shuffle.
+
+    A side found too large is merged by a hint, or Spark may broadcast it all the same by its own estimate.
+    """
     small = bounded(right, limit)
     if small is None:
-        return skew_join(left, right, on, how, hot_rows=hot_rows, hot=hot)
+        return skew_join(left, right.hint("merge"), on, how, hot_rows=hot_rows, hot=hot)
     return left.join(F.broadcast(small), list(on), how)
 
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from changeflow.operators import schema_gov
+from changeflow.operators import schema_gov, skew
 from changeflow.plans import QUERIES
 from changeflow.plans import schemas
 
@@ -30,6 +30,17 @@ def test_a_registry_is_not_broadcast(spark, tables, name):
     assert joins(QUERIES[name](spark, tables)) == ["SortMergeJoin"]
 
 
+@pytest.mark.parametrize("name", ["schema_quarantine"])
+def test_verdicts_beyond_the_limit_are_not_broadcast(spark, tables, name, monkeypatch):
+    """Twelve subjects, where a join takes five rows as few."""
+    want = sorted(map(tuple, QUERIES[name](spark, tables).collect()))
+    small = skew.join_small
+    monkeypatch.setattr(schema_gov, "join_small", lambda *args, **how: small(*args, **how, limit=5))
+    got = QUERIES[name](spark, tables)
+    assert joins(got) == ["SortMergeJoin"] and len(want) == 24
+    assert sorted(map(tuple, got.collect())) == want
+
+
 def test_policies_in_one_grouping_equal_each_of_them(spark, tables):
     diff = schema_gov.schema_diff(schemas.registry(spark, tables))
     one = lambda **policy: {(r["subject"], r["version"]): r["compatible"] for r in schema_gov.schema_compat(diff, **policy).collect()}
