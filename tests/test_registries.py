@@ -30,7 +30,7 @@ def test_a_registry_is_not_broadcast(spark, tables, name):
     assert joins(QUERIES[name](spark, tables)) == ["SortMergeJoin"]
 
 
-@pytest.mark.parametrize("name", ["schema_quarantine"])
+@pytest.mark.parametrize("name", ["schema_quarantine", "schema_quarantine_gaps"])
 def test_verdicts_beyond_the_limit_are_not_broadcast(spark, tables, name, monkeypatch):
     """Twelve subjects, where a join takes five rows as few."""
     want = sorted(map(tuple, QUERIES[name](spark, tables).collect()))
