@@ -25,7 +25,7 @@ def joins(df):
     return [kind for kind in ("BroadcastExchange", "SortMergeJoin") if kind in plan]
 
 
-@pytest.mark.parametrize("name", ["schema_diff", "schema_compat", "added_default_check", "schema_compat_policies"])
+@pytest.mark.parametrize("name", ["schema_diff", "schema_compat", "added_default_check", "schema_compat_policies", "type_widening"])
 def test_a_registry_is_not_broadcast(spark, tables, name):
     assert joins(QUERIES[name](spark, tables)) == ["SortMergeJoin"]
 
