@@ -22,13 +22,14 @@ _SET = ["server", "low", "high"]
 
 def parse_position_set(text: Column) -> Column:
     """``uuid:1-5:11,uuid:7`` as array of ``server, low, high``. Parts that are no interval are left out."""
-    def intervals(part: Column) -> Column:
-        fields = F.split(F.trim(part), ":")
+    def intervals(fields: Column) -> Column:
         server = F.lower(F.trim(F.get(fields, 0)))
         return F.transform(F.slice(fields, 2, F.greatest(F.size(fields) - 1, F.lit(0))), lambda r: F.struct(
             server.alias("server"), F.trim(F.get(F.split(r, "-"), 0)).try_cast("long").alias("low"),
             F.trim(F.element_at(F.split(r, "-"), -1)).try_cast("long").alias("high")))
-    found = F.flatten(F.transform(F.split(text, ","), intervals))
+    # Parts are split in a step of their own: inside the function over intervals a part would be split again for each of them.
+    parts = F.transform(F.split(text, ","), lambda part: F.split(F.trim(part), ":"))
+    found = F.flatten(F.transform(parts, intervals))
     return F.filter(found, lambda i: i["low"] <= i["high"])
 
 

@@ -161,3 +161,14 @@ def test_running_values_over_segments(spark, before):
     rows = [sorted(map(str, skew.running(df, ["g"], ["o", "id"], {"s": (F.sum, "v"), "m": (F.max, "v"), "l": (F.min, "v")}, before=before, **s).collect()))
             for s in ({}, {"hot_rows": 20, "segment_rows": 30})]
     assert rows[0] == rows[1] and len(rows[0]) == 900
+
+
+def test_a_part_is_split_once_and_not_for_each_interval(spark):
+    """The work on a text of many intervals grows with its length, not with the square of it."""
+    import re
+    text = "A:" + ":".join(f"{i}-{i + 1}" for i in range(0, 60_000, 4)) + ", b:7:x:9-3:5-5"
+    rows = spark.createDataFrame([(text,)], "text string").select(F.explode(position_sets.parse_position_set(F.col("text"))).alias("i")).select("i.*")
+    plan = rows._jdf.queryExecution().analyzed().toString()
+    assert len(re.findall(r"split\(trim\(", plan)) == 1
+    got = [tuple(r) for r in rows.collect()]
+    assert got == [("a", i, i + 1) for i in range(0, 60_000, 4)] + [("b", 7, 7), ("b", 5, 5)]
