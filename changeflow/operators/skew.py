@@ -15,7 +15,10 @@ order columns and ties give the same rows with and without segments.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from itertools import accumulate
+from math import isqrt
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +31,8 @@ BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 32 * 2**20
 
 _SAMPLES = 40  # rows looked at per segment to place its border
-_HASH, _SALT, _SEG, _CUTS, _TIE = "__hash", "__salt", "__seg", "__cuts", "__tie"
+_FEW_CUTS = 256  # borders that are searched in one list, which is copied with every row
+_HASH, _SALT, _SEG, _CUTS, _TIE, _PART = "__hash", "__salt", "__seg", "__cuts", "__tie", "__part"
 
 
 def _hash(cols: Sequence[str]) -> Column:
@@ -127,6 +131,21 @@ def _segment_of(value: Column, cuts: Column, longest: int) -> Column:
         lambda low, s: F.when(F.get(cuts, low + s - 1) <= value, low + s).otherwise(low))
 
 
+def _parts(cuts: pa.Table, width: int) -> tuple[pa.Table, pa.Table]:
+    """The lists of ``cuts`` in parts of ``width`` borders, numbered, and for each hash the first borders of its parts."""
+    lists = cuts.column(_CUTS).combine_chunks()
+    values, sizes = lists.flatten(), [len(x) for x in lists]
+    ends = list(accumulate(sizes, initial=0))
+    starts = [list(range(end, end + size, width)) for end, size in zip(ends, sizes)]
+    flat = [i for s in starts for i in s]
+    ints = lambda rows: pa.array(rows, pa.int32())
+    first = pa.ListArray.from_arrays(ints(list(accumulate(map(len, starts), initial=0))), values.take(ints(flat)))
+    parts = pa.table({
+        _HASH: cuts.column(_HASH).combine_chunks().take(ints([g for g, s in enumerate(starts) for _ in s])),
+        _PART: ints([i for s in starts for i in range(1, len(s) + 1)]), _CUTS: pa.ListArray.from_arrays(ints([*flat, ends[-1]]), values)})
+    return pa.table({_HASH: cuts.column(_HASH), _CUTS: first}), parts
+
+
 def _segmented(
     df: DataFrame, group: Sequence[str], order: Sequence[str], hot_rows: int, segment_rows: int,
 ) -> tuple[DataFrame, bool]:
@@ -150,11 +169,23 @@ def _segmented(
     if not cuts.num_rows:
         return df.withColumn(_SEG, F.lit(-1)), False
     longest = max(len(c) for c in cuts.column(_CUTS))
-    kind = T.StructType([T.StructField(_HASH, T.LongType()), T.StructField(_CUTS, T.ArrayType(sample.schema["place"].dataType))])
-    cuts = spark.createDataFrame(cuts, kind)
-    marked = df.withColumn(_HASH, _hash(group)).join(F.broadcast(cuts), _HASH, "left")
-    segment = F.when(F.col(_CUTS).isNotNull(), _segment_of(place, F.col(_CUTS), longest)).otherwise(-1)
-    return marked.withColumn(_SEG, segment).select(*df.columns, _SEG), True
+    lists = T.StructField(_CUTS, T.ArrayType(sample.schema["place"].dataType))
+    kind, part = T.StructField(_HASH, T.LongType()), T.StructField(_PART, T.IntegerType())
+    marked = df.withColumn(_HASH, _hash(group))
+    if longest <= _FEW_CUTS:
+        cuts = spark.createDataFrame(cuts, T.StructType([kind, lists]))
+        segment = F.when(F.col(_CUTS).isNotNull(), _segment_of(place, F.col(_CUTS), longest)).otherwise(-1)
+        return marked.join(F.broadcast(cuts), _HASH, "left").withColumn(_SEG, segment).select(*df.columns, _SEG), True
+    # A long list would be copied with every row: first the part of it, then the place in that part.
+    width = isqrt(longest - 1) + 1
+    first, parts = _parts(cuts, width)
+    first = spark.createDataFrame(first, T.StructType([kind, lists]))
+    parts = spark.createDataFrame(parts, T.StructType([kind, part, lists]))
+    found = F.when(F.col(_CUTS).isNotNull(), _segment_of(place, F.col(_CUTS), -(-longest // width)))
+    placed = marked.join(F.broadcast(first), _HASH, "left").withColumn(_PART, found).select(*df.columns, _HASH, _PART)
+    inside = (F.col(_PART) - 1) * width + _segment_of(place, F.col(_CUTS), width)
+    segment = F.when(F.col(_PART).isNull(), -1).when(F.col(_PART) == 0, 0).otherwise(inside)
+    return placed.join(F.broadcast(parts), [_HASH, _PART], "left").withColumn(_SEG, segment).select(*df.columns, _SEG), True
 
 
 def _carried(rows: DataFrame, carry: DataFrame, group: Sequence[str], value: str) -> DataFrame:

@@ -137,3 +137,23 @@ def test_exact_chunks_over_segments(spark):
     rows = chunk_plan_exact(keys, "key", 100, hot_rows=10, segment_rows=333).orderBy("chunk_id").collect()
     assert [r["rows"] for r in rows] == [100] * 50
     assert all(r["first_key"] == (i * 100) ** 2 and r["last_key"] == (i * 100 + 99) ** 2 for i, r in enumerate(rows))
+
+
+def test_many_borders_are_searched_in_parts(spark, monkeypatch):
+    """Segments of a few rows: a list of all their borders with every row grows with the square of the rows."""
+    n = F.col("id")
+    frame = spark.range(3000).select(
+        F.when(n % 5 != 0, n % 2).alias("k"), ((n * 7919) % 500).cast("string").alias("x"), n.alias("o"))
+    lists = []
+    made = type(spark).createDataFrame
+    def seen(self, data, *args, **kwargs):
+        if hasattr(data, "column") and "__cuts" in data.column_names:
+            lists.extend(len(x) for x in data.column("__cuts"))
+        return made(self, data, *args, **kwargs)
+    monkeypatch.setattr(type(spark), "createDataFrame", seen)
+    monkeypatch.setattr(skew, "_SAMPLES", 1)
+    monkeypatch.setattr(skew, "_FEW_CUTS", 16, raising=False)
+    got = skew.row_numbers(frame, ["k"], ["x", "o"], "n", hot_rows=100, segment_rows=5)
+    w = Window.partitionBy("k").orderBy("x", "o")
+    assert rows_of(got) == rows_of(frame.withColumn("n", F.row_number().over(w).cast("long")))
+    assert 5 < max(lists) < 60 and sum(lists) > 600
