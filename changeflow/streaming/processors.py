@@ -6,6 +6,7 @@ leaves with the watermark, on a commit, or on the close of a window, and never w
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from typing import Any
 
@@ -21,7 +22,8 @@ EXPIRED, PASSED = "EXPIRED", "PASSED"
 CHANGE, READ = "change", "read"
 SALTS = 4
 _JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
-_TOGETHER = 1000  # rows that go to a list state in one call
+BUCKETS = 4096
+_TOGETHER = 1000  # rows of one transaction that go to the state in one call
 
 
 def _milliseconds(interval: str) -> int:
@@ -31,60 +33,89 @@ def _milliseconds(interval: str) -> int:
 
 
 class TransactionBuffer(StatefulProcessor):
-    """Keeps the events of a transaction until it ends: a commit lets them go, a rollback removes them, and an end that
-    does not come lets them go as expired. An outcome is remembered as long as its events may be late."""
+    """Keeps the events of transactions until they end: a commit lets them go, a rollback removes them, and an end that
+    does not come lets them go as expired. An outcome is remembered as long as its events may be late.
+
+    A key is a bucket of transactions: every call to the state is a message to the JVM, so a transaction that begins and ends in
+    one micro-batch makes none of its own. One text holds what is open and what has ended (``held``: first event and number of
+    stored parts, ``done``: status and when it is forgotten); rows of transactions that stay open are stored by transaction.
+    """
 
     def __init__(self, max_open_ms: int, delay_ms: int):
         self.max_open, self.delay = max_open_ms, delay_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.outcome = handle.getValueState("outcome", "status string, until long")
-        self.events = handle.getListState("events", "row string")
+        self.index = handle.getValueState("index", "held_done string")
+        self.events = handle.getMapState("events", "tx string, part int", "rows array<string>")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        known = self.outcome.get()
-        status = known[0] if known else None
-        ended, first, waiting, stored = None, None, [], False
+        held, done = self._read()
+        ended: dict[str, int] = {}
+        waiting: dict[str, list[str]] = {}
+        changed = False
         for r in rows:
+            tx = r.tx
+            if tx is None:
+                continue
             if r.status is not None:
-                status, ended = r.status, r.at if ended is None else max(ended, r.at)
-            elif status is None:
-                waiting.append((r.row,))
-                first = r.at if first is None else min(first, r.at)
-                if len(waiting) == _TOGETHER:
-                    self.events.appendList(waiting)
-                    waiting, stored = [], True
-            elif status == COMMITTED:
-                yield Row(row=r.row, settled=status)
-        if status is None:
-            if waiting:
-                self.events.appendList(waiting)
-            self.handle.registerTimer(first + self.max_open)
-            return
-        if ended is None:
-            return
+                ended[tx] = max(r.at, ended.get(tx, r.at))
+                done[tx] = [r.status, 0]
+            elif tx not in done:
+                kept, now = waiting.setdefault(tx, []), held.setdefault(tx, [r.at, 0])
+                kept.append(r.row)
+                now[0], changed = min(now[0], r.at), True
+                if len(kept) == _TOGETHER:
+                    self._store(held, tx, waiting.pop(tx))
+            elif done[tx][0] == COMMITTED:
+                yield Row(row=r.row, settled=COMMITTED)
         # The outcome has come: what was kept leaves, or is forgotten.
-        stored = stored or self.events.exists()
-        if status == COMMITTED:
-            for held in (self.events.get() if stored else ()):
-                yield Row(row=held[0], settled=status)
-            for row in waiting:
-                yield Row(row=row[0], settled=status)
-        if stored:
-            self.events.clear()
-        self.outcome.update((status, ended + self.delay))
-        self.handle.registerTimer(ended + self.delay)
+        for tx, end in ended.items():
+            status = done[tx][0]
+            done[tx] = [status, end + self.delay]
+            parts = held.pop(tx, (0, 0))[1]
+            if status == COMMITTED:
+                for part in range(parts):
+                    for row in self.events.getValue((tx, part))[0]:
+                        yield Row(row=row, settled=status)
+                for row in waiting.get(tx, ()):
+                    yield Row(row=row, settled=status)
+            for part in range(parts):
+                self.events.removeKey((tx, part))
+            waiting.pop(tx, None)
+        for tx, kept in waiting.items():
+            self._store(held, tx, kept)
+        if changed or ended:
+            self._write(held, done)
 
     def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-        known = self.outcome.get()
-        if known is None:
-            if self.events.exists():
-                for held in self.events.get():
-                    yield Row(row=held[0], settled=EXPIRED)
-                self.events.clear()
-        elif known[1] <= expiredTimerInfo.getExpiryTimeInMs():
-            self.outcome.clear()
+        held, done = self._read()
+        if not held and not done:
+            return
+        # One timer stands for all that the watermark has passed.
+        at, passed = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        due = lambda when: when <= at or when < passed
+        for tx in [tx for tx, (first, _) in held.items() if due(first + self.max_open)]:
+            for part in range(held.pop(tx)[1]):
+                for row in self.events.getValue((tx, part))[0]:
+                    yield Row(row=row, settled=EXPIRED)
+                self.events.removeKey((tx, part))
+        self._write(held, {tx: kept for tx, kept in done.items() if not due(kept[1])})
+
+    def _read(self) -> tuple[dict[str, list], dict[str, list]]:
+        known = self.index.get()
+        return tuple(json.loads(known[0])) if known else ({}, {})
+
+    def _write(self, held: dict[str, list], done: dict[str, list]) -> None:
+        if held or done:
+            self.index.update((json.dumps([held, done]),))
+            self.handle.registerTimer(min([first + self.max_open for first, _ in held.values()] + [until for _, until in done.values()]))
+        else:
+            self.index.clear()
+
+    def _store(self, held: dict[str, list], tx: str, rows: list[str]) -> None:
+        self.events.updateValue((tx, held[tx][1]), (rows,))
+        held[tx][1] += 1
 
     def close(self) -> None:
         pass
@@ -92,12 +123,13 @@ class TransactionBuffer(StatefulProcessor):
 
 def buffered_stream(
     events: DataFrame, outcomes: DataFrame, event_ts: str, outcome_ts: str, delay: str, max_open: str,
-    layout: Layout = LAYOUT, salts: int = SALTS,
+    layout: Layout = LAYOUT, salts: int = SALTS, buckets: int = BUCKETS,
 ) -> DataFrame:
     """Events with ``settled``: COMMITTED once their transaction has committed, EXPIRED where no outcome came within
     ``max_open``, PASSED where they belong to none. Rolled-back events leave the state with the rollback and never come out.
 
-    The salt spreads a huge transaction over many state keys; its outcome goes to each of them.
+    The salt spreads a huge transaction over several state keys; its outcome goes to each of them. A state key is one of
+    ``buckets`` groups of transactions, a number fixed for the life of a checkpoint.
     """
     inside, outside = events.filter(F.col(layout.tx).isNotNull()), events.filter(F.col(layout.tx).isNull())
     schema = events.schema
@@ -109,7 +141,9 @@ def buffered_stream(
     right = ended.select(
         F.col(layout.tx).alias("tx"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.col(outcome_ts).alias("ts"),
         F.unix_millis(outcome_ts).alias("at"), F.lit(None).cast("string").alias("row"), F.col("status"))
-    settled = left.unionByName(right).groupBy("tx", "salt").transformWithState(
+    both = left.unionByName(right)
+    keyed = both.withColumns({"bucket": F.pmod(F.xxhash64("tx", "salt"), F.lit(buckets)).cast("int"), "tx": F.col("tx").cast("string")}).drop("salt")
+    settled = keyed.groupBy("bucket").transformWithState(
         TransactionBuffer(_milliseconds(max_open), _milliseconds(delay)), "row string, settled string", "append", "eventTime")
     rows = settled.select(F.from_json("row", schema, _JSON).alias("r"), "settled").select("r.*", "settled")
     return rows.unionByName(outside.withColumn("settled", F.lit(PASSED)))

@@ -149,3 +149,47 @@ def test_a_huge_transaction_is_split(spark):
     assert rows.count() == 4000
     salts = spark.range(4000).select(F.pmod(F.xxhash64(F.lit("t"), "id"), F.lit(processors.SALTS)).alias("s")).groupBy("s").count().collect()
     assert len(salts) == processors.SALTS and max(r["count"] for r in salts) < 1200
+
+
+class Held:
+    """A handle of dictionaries that counts the calls a processor makes."""
+
+    def __init__(self):
+        self.calls, self.timers, self.held = 0, [], {}
+
+    def state(self, name, *_):
+        def call(given):
+            self.calls += 1
+            return self.held.setdefault(name, {}), given
+        return type("State", (), {
+            "get": lambda _: call(0)[0].get(0), "exists": lambda _: bool(call(0)[0]), "clear": lambda _: call(0)[0].clear(),
+            "update": lambda _, v: call(0)[0].update({0: v}), "updateValue": lambda _, k, v: call(0)[0].update({k: v}),
+            "getValue": lambda _, k: call(0)[0][k], "removeKey": lambda _, k: call(0)[0].pop(k),
+            "appendList": lambda _, v: call(0)[0].setdefault(0, []).extend(v)})()
+
+    getValueState = getListState = getMapState = state
+
+    def registerTimer(self, when):
+        self.calls += 1
+        self.timers.append(when)
+
+
+def test_what_ends_in_its_batch_makes_no_calls_of_its_own():
+    """A thousand transactions in one key: a few calls for all that end, and one for each that stays open."""
+    from types import SimpleNamespace
+    handle, buffer = Held(), processors.TransactionBuffer(60_000, 10_000)
+    buffer.init(handle)
+    row = lambda tx, at, status=None: SimpleNamespace(tx=tx, at=at, status=status, row=None if status else f"{tx}@{at}")
+    put = lambda rows, now=0: [(r["row"], r["settled"]) for r in buffer.handleInputRows((0,), iter(rows), SimpleNamespace(getCurrentWatermarkInMs=lambda: now))]
+    fire = lambda at: [(r["row"], r["settled"]) for r in buffer.handleExpiredTimer(
+        (0,), SimpleNamespace(getCurrentWatermarkInMs=lambda: at), SimpleNamespace(getExpiryTimeInMs=lambda: at))]
+    ends = [row(str(i), 5, "COMMITTED" if i % 2 else "ABORTED") for i in range(1000)]
+    got = put([row(str(i), i) for i in range(1000)] + ends + [row("1", 7), row("2", 7), row("open", 9), row("gone", 9), row(None, 1, "ABORTED")])
+    assert sorted(got) == sorted([(f"{i}@{i}", "COMMITTED") for i in range(1, 1000, 2)] + [("1@7", "COMMITTED")])
+    assert handle.calls <= 5
+    # Later rows of an open transaction, its end, an end of nothing, and what the watermark passes.
+    assert put([row("open", 8), row("3", 11), row("4", 11)]) == [("3@11", "COMMITTED")]
+    assert put([row("open", 12, "COMMITTED"), row("new", 12, "COMMITTED")]) == [("open@9", "COMMITTED"), ("open@8", "COMMITTED")]
+    assert fire(10_006) == [] and put([row("5", 11)]) == [] and put([row("open", 13)]) == [("open@13", "COMMITTED")]
+    assert sorted(fire(70_020)) == [("5@11", "EXPIRED"), ("gone@9", "EXPIRED")]
+    assert not any(handle.held.values())
